@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words that a worker remembers before it starts anew; it bounds the worker's memory, not the result.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def _classes() -> tuple[str, str, str]:
@@ -18,6 +18,17 @@ def _classes() -> tuple[str, str, str]:
     return letters, numbers, r"\t\n\x0b\x0c\r \x85\xa0"
 
 
+class Known(dict):
+    """Numbers of words; a word not met before gets the next number and waits in ``new``."""
+
+    new: list[str]
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Ids of texts under a byte-level vocabulary file of the ``tokenizers`` library.
 
@@ -35,29 +46,58 @@ class Encoder:
         letters, numbers, space = _classes()
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
         self.other = re.compile("[^\\x00-\\x1b\\x20-\\u024f]")
-        self.forget()
+        vocabulary = self.tokenizer.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int32)
+        self.id_bytes[list(vocabulary.values())] = list(map(len, vocabulary))  # a character stands for a byte
+        self.known, self.used = Known(), 0
+        self.known.new = []
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.begin, self.size, self.hits = (np.zeros(1 << 14, t) for t in (np.int64, np.int32, np.int32))
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int32)
-        self.used = 0
+        """Keep the words met often."""
+        keep = np.flatnonzero(self.hits[: len(self.known)] > 2)
+        words = list(self.known)
+        size, begin = self.size[keep], self.begin[keep]
+        ends = np.cumsum(size, dtype=np.int64)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self.flat[: self.used] = self.flat[np.arange(self.used) + np.repeat(begin - (ends - size), size)]
+        self.known = Known(zip([words[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        self.known.new = []
+        self.begin[: len(keep)], self.size[: len(keep)] = ends - size, size
+        self.hits[:] = 0
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row, and how many each word has. Words of a space and letters are encoded side by side."""
+        plain = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool, len(words))
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * 2
+        sizes = np.zeros(len(words), np.int32)
+        if plain.any():
+            some = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
+            runs = ["".join(some[i : i + 500]) for i in range(0, len(some), 500)]
+            ids[0] = np.concatenate([np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+            after = np.cumsum(self.id_bytes[ids[0]])
+            sizes[plain] = np.diff(np.searchsorted(after, np.cumsum(list(map(len, map(str.encode, some)))), side="right"), prepend=0)
+        if not plain.all():
+            lists = [x.ids for x in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+            ids[1] = np.fromiter((i for x in lists for i in x), np.int32)
+            sizes[~plain] = list(map(len, lists))
+        out = np.empty(int(sizes.sum()), np.int32)
+        of_plain = np.repeat(plain, sizes)
+        out[of_plain], out[~of_plain] = ids
+        return out, sizes
 
     def learn(self, words: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-        k = len(self.known)
+        flat, sizes = self.encoded(words)
+        n = len(self.known)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + len(words) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while n > len(self.begin):
+            self.begin, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.hits))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.begin[k : k + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[k : k + len(words)] = sizes
+        self.begin[n - len(words) : n] = self.used + np.cumsum(sizes) - sizes
+        self.size[n - len(words) : n] = sizes
         self.used += len(flat)
-        self.known.update(zip(words, range(k, k + len(words)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (int32) and each text's number of ids; a null text is an empty one."""
@@ -73,9 +113,11 @@ class Encoder:
                 counts.append(len(found))
         if len(self.known) > REMEMBERED:
             self.forget()
-        if new := list(set(words).difference(self.known)):
-            self.learn(new)
         at = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
+        self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known)).astype(np.int32)
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[at] - ends[:-1], size)]
