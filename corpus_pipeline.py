@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm import language, packing, secrets
-from varigrid.llm.common import fold, new_path
+from varigrid.llm import decontamination, language, minhash, packing, secrets
+from varigrid.llm.common import fold, new_path, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,6 +18,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= language.KEEP_COSINE)).select(*COLUMNS)
 
 
+def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each group of near copies, the document with the smallest id stays."""
+    docs = docs.select(*COLUMNS)
+    gone = written(minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that contain a benchmark item go."""
+    return decontamination.cleaned(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: the values of secrets that few owners hold are replaced; every document stays."""
     return secrets.redacted(docs.select(*COLUMNS), F.col("source"), secrets.owner_of(F.col("source")))
@@ -30,7 +42,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language ID", language_stage), ("secret scans", secrets_stage), ("best-fit packing", packing_stage)]
+STAGES = [("language ID", language_stage), ("MinHash near-dedup", minhash_stage), ("benchmark decontamination", decontamination_stage), ("secret scans", secrets_stage), ("best-fit packing", packing_stage)]
 
 #: SQL cannot express the stages; they are tested against brute force.
 ORACLE_SQL = None

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from varigrid.llm import decontamination
+from varigrid.llm.decontamination import op9_decontamination
+from varigrid.llm.embeddings import op1_embeddings
 from varigrid.llm.language import op7_language
+from varigrid.llm.minhash import op3_minhash
 from varigrid.llm.packing import op4_packing
 from varigrid.llm.secrets import op8_secrets
+from varigrid.llm.suffixes import op10_suffixes
 from varigrid.llm.token_files import op5_token_files
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_token_files, op7_language, op8_secrets)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_embeddings, op3_minhash, op4_packing, op5_token_files, op7_language, op8_secrets, op9_decontamination, op10_suffixes)}
+ORACLE: dict[str, str] = {"op9_decontamination": decontamination.ORACLE_SQL}
