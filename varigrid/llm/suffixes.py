@@ -26,8 +26,6 @@ from varigrid.llm.shingles import GOLDEN, Rolling, mixed
 SIZE, ANCHOR = 200, 32
 #: Different contexts that one suffix array holds; larger buckets are dealt by a longer core.
 BUCKET = 256
-#: Documents up to whose number ids are broadcast.
-BROADCAST_IDS = 100_000
 
 
 def window_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -135,8 +133,6 @@ def repeats(docs: DataFrame, size: int = SIZE, bucket: int = BUCKET) -> DataFram
     wanted = contexts.where("differ").select(F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_t"), F.struct("one.pos", "one.low", "one.high", "k", "c").alias("x"))
     wanted = wanted.groupBy("_d", "_t").agg(F.collect_list("x").alias("xs"))
     wanted = written(wanted, "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
 
     def cut(batches):
         for batch in steps(batches):
