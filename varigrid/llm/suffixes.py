@@ -7,7 +7,9 @@ their windows. Contexts that recur whole are repeats at once, by a count. Where
 they form a small enhanced suffix array: a stack scan of its common prefixes yields the interval tree, and in
 each interval the order of the reversed left sides tells how far each member extends to the left with another
 member. A bucket of too many different contexts is dealt anew by a longer shared core (the windows' range of
-offsets is halved), down to one offset, where a bucket is one string: nothing is cut off.
+offsets is halved), down to one offset, where a bucket is one string: nothing is cut off. Contexts are cut to
+what windows of the halved range can reach; those that are then alike repeat each other whole, and one of them
+stands for all further on.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from varigrid.llm.common import dropped, steps, written
 from varigrid.llm.shingles import GOLDEN, Rolling, mixed
 
 SIZE, ANCHOR = 200, 32
+HALVED = "key binary, lo int, hi int, k long, c long, left binary, right binary"
 #: Different contexts that one suffix array holds; larger buckets are dealt by a longer core.
 BUCKET = 256
 
@@ -172,10 +175,11 @@ def repeats(docs: DataFrame, size: int = SIZE, bucket: int = BUCKET) -> DataFram
             for lo, hi, k, c, left, right in zip(*(batch.column(x).to_pylist() for x in ("lo", "hi", "k", "c", "left", "right")), strict=True):
                 for a, b in ((lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)):
                     if a <= len(left) and len(right) >= size - b and a <= b:
-                        core = left[len(left) - a :] + right[: size - b]
-                        rows.append((xxhash.xxh3_128_digest(core) + bytes([a % 256, b % 256]), a, b, k, c, left, right))
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            yield _arrow({n: pa.array(x, t) for n, x, t in zip(shape.names, columns, (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+                        l, r = left[max(0, len(left) - b) :], right[: size - a]
+                        core = l[len(l) - a :] + r[: size - b]
+                        rows.append((xxhash.xxh3_128_digest(core) + bytes([a % 256, b % 256]), a, b, k, c, l, r, xxhash.xxh3_128_digest(len(l).to_bytes(4, "little") + l + r)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 8
+            yield _arrow({n: pa.array(x, t) for n, x, t in zip((*shape.names, "same"), columns, (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
     partial = None
     while True:
@@ -186,8 +190,12 @@ def repeats(docs: DataFrame, size: int = SIZE, bucket: int = BUCKET) -> DataFram
         single = large.where("lo = hi").select("k", "c", (-F.col("lo")).alias("from"), (F.lit(size) - F.col("lo")).alias("to"))
         now = written(scans.unionByName(single), "extents")
         partial = now if partial is None else partial.unionByName(now)
-        more = written(large.where("lo < hi").mapInArrow(halved, shape), "sides")
-        dropped(level)
+        halves = written(large.where("lo < hi").mapInArrow(halved, f"{HALVED}, same binary"), "halves")
+        alike = written(halves.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "c", "lo", "hi", "left", "right")).alias("one")), "alike")
+        whole_ranges = halves.join(alike.where("n > 1").select("key", "same"), ["key", "same"], "left_semi")
+        partial = partial.unionByName(written(whole_ranges.select("k", "c", (-F.octet_length("left")).alias("from"), F.octet_length("right").alias("to")), "extents"))
+        more = written(alike.select("key", "one.lo", "one.hi", "one.k", "one.c", "one.left", "one.right"), "sides")
+        dropped(level, halves, alike)
         level = more
         if not level.take(1):
             break
