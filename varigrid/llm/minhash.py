@@ -7,14 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import dropped, steps, written
+from varigrid.llm.common import steps, written
 from varigrid.llm.components import components
 from varigrid.llm.shingles import GOLDEN, mixed, shingle_sets
 
-REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair of similarity 0.8 meets with probability 1 - 5e-8
+REGISTERS, ROWS = 216, 6  # 36 bands of 6: a pair of similarity 0.8 meets with probability 1 - 2e-5
 SIMILARITY = 0.8
-#: Documents up to whose number the ids of candidates are broadcast (16 bytes and a digest each).
-BROADCAST_IDS = 100_000
+#: Pairs whose signatures agree in less are not verified: four standard errors below a similarity of 0.8.
+LIKELY = 0.69
+#: Members of a bucket that one task compares; a larger bucket is dealt in blocks, and each pair of blocks is a task's.
+BLOCK = 256
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray, bytes]], registers: int = REGISTERS) -> np.ndarray:
@@ -32,14 +34,17 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray, bytes]], registers: int
     kept = np.zeros(len(sets) * registers, np.uint64)
     time, turn = np.zeros(len(key)), 0
     while len(key):
-        turn += 1
-        draw = mixed(key + np.uint64(2 * turn * int(GOLDEN) & (1 << 64) - 1))
-        time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
-        place = owner * registers + (mixed(draw + GOLDEN) >> np.uint64(33)).astype(np.int64) % registers
-        np.minimum.at(first, place, time)
-        won = time == first[place]
-        kept[place[won]] = key[won]
-        present = np.flatnonzero(np.bincount(owner, minlength=len(sets)))
+        many = min(64, max(1, (1 << 15) // len(key)))  # a few elements take several arrivals at once
+        turns = np.array([2 * t * int(GOLDEN) & (1 << 64) - 1 for t in range(turn + 1, turn + many + 1)], np.uint64)
+        turn += many
+        draw = mixed(key[:, None] + turns)
+        arrival = time[:, None] - np.cumsum(np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53), 1) / weight[:, None]
+        place = owner[:, None] * registers + (mixed(draw + GOLDEN) >> np.uint64(33)).astype(np.int64) % registers
+        np.minimum.at(first, place.ravel(), arrival.ravel())
+        won = arrival == first[place]
+        kept[place[won]] = np.broadcast_to(key[:, None], won.shape)[won]
+        time = arrival[:, -1]
+        present = owner[np.concatenate([[True], owner[1:] != owner[:-1]])]
         last = np.zeros(len(sets))
         last[present] = first.reshape(-1, registers)[present].max(1)
         go = time < last[owner]
@@ -72,13 +77,40 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (x_rest / x + y_rest / y)).sum())
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def likely(signature: np.ndarray, root: np.ndarray, band: int, block: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different roots that look similar and whose first shared band is ``band``.
+
+    Members of two blocks meet only across the blocks; a block alone meets itself.
+    """
+    n, m = signature.shape
+    across = block.min() != block.max()
+    ahead, behind = [], []
+    for a in range(0, n, 64):
+        same = signature[a : a + 64, None, :] == signature[None, :, :]
+        ok = same.mean(2) >= LIKELY
+        ok &= root[a : a + 64, None] != root
+        ok &= np.arange(a, min(n, a + 64))[:, None] < np.arange(n)
+        if across:
+            ok &= block[a : a + 64, None] != block
+        i, j = np.nonzero(ok)
+        if len(i):
+            shared = same[i, j].reshape(len(i), m // rows, rows).all(2)
+            mine = shared.argmax(1) == band
+            ahead.append(i[mine] + a)
+            behind.append(j[mine])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(ahead or [none]), np.concatenate(behind or [none])
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``doc_id, component_id, kept`` for every row: the smallest doc_id of its group, and whether it is that.
 
-    Texts with the same words are one vertex. Vertices that share a band are candidates: each bucket of a band
-    picks its smallest vertex not yet grouped as a hub and compares its other groups with it, until every
-    member is grouped with some hub, so no bucket is expanded into pairs and none is cut. Links have a
-    probability Jaccard of counted five-word shingles of at least ``similarity``, computed exactly.
+    Texts with the same words are one vertex. Vertices that share a band are candidates. Each bucket's hub, the
+    member that meets most others over all bands, is compared with all its members first: a line of comparisons,
+    not a square, and it joins the groups of copies. In buckets that still hold several groups, members of
+    different groups are compared by their signatures, in bounded blocks, each pair in the first band it
+    shares; only pairs that look similar leave the task. Links have a probability Jaccard of counted five-word
+    shingles of at least ``similarity``, computed exactly. No bucket is cut.
 
     Null and empty texts, and texts without words, link with nothing. Rows that repeat a doc_id are one
     document if their texts agree. Rows with a null doc_id come back with a null group, kept. An empty table
@@ -88,31 +120,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     def sketched(batches):
         for batch in steps(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
-            hashed = bands(signatures(sets))
+            signed = signatures(sets)
+            hashed, short = bands(signed), mixed(signed).astype("<u2")
             some = [len(h) > 0 for h, _, _ in sets]
             rows = [x if s else [] for x, s in zip(hashed.tolist(), some, strict=True)]
             keys = [d if s else None for (_, _, d), s in zip(sets, some, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "words", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "words", "bands", "signature"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(texts.mapInArrow(sketched, "doc_id long, words binary, bands array<long>"), "signatures")
+    rows = written(texts.mapInArrow(sketched, "doc_id long, words binary, bands array<long>, signature binary"), "signatures")
     known = rows.where("words is not null and doc_id is not null")
-    vertices = known.groupBy("words").agg(F.min("doc_id").alias("v"))
-    banded = known.join(vertices, "words").where("doc_id = v").select("v", "words", "bands").dropDuplicates(["v", "words"])
-    met = banded.select("v", F.explode("bands").alias("band"))
+    vertices = written(known.groupBy("words").agg(F.min("doc_id").alias("v"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s")).select("words", "v", "s.bands", "s.signature"), "vertices")
+    met = vertices.select("v", F.posexplode("bands").alias("i", "band"))
     shared = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(met.join(shared, "band").select("band", "v", F.col("v").alias("root"), F.lit(False).alias("done")), "buckets")
-    wanted = members.select("v").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    members = written(met.join(shared, "band"), "buckets")
+    central = members.groupBy("v").agg(F.sum("n").alias("score"))
+    hubs = members.select("band", "v").join(central, "v").groupBy("band").agg(F.max(F.struct("score", (-F.col("v")).alias("v"))).alias("hub")).select("band", (-F.col("hub.v")).alias("hub"))
+    stars = written(members.select("band", "v").join(hubs, "band").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
 
     def hashed(batches):
         for batch in steps(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([d for _, _, d in sets], pa.binary()), pa.array([h.tobytes() for h, _, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w, _ in sets], pa.binary())], ["v", "words", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([d for _, _, d in sets], pa.binary()), pa.array([h.tobytes() for h, _, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w, _ in sets], pa.binary())], ["v", "own", "h", "w"])
 
-    own = texts.join(wanted, F.col("doc_id") == F.col("v")).select("v", "text").mapInArrow(hashed, "v long, words binary, h binary, w binary")
-    sets = written(own.join(vertices.select("words"), "words", "left_semi").dropDuplicates(["v"]).drop("words"), "shingles")
+    wanted = vertices.select("v", "words").join(central.select("v").distinct(), "v", "left_semi")
+    own = texts.join(wanted, F.col("doc_id") == F.col("v")).select("v", "text")
+    sets = written(own.mapInArrow(hashed, "v long, own binary, h binary, w binary").join(wanted.select("v", F.col("words").alias("own")), ["v", "own"], "left_semi").dropDuplicates(["v", "own"]).drop("own"), "shingles")
 
     def compared(batches):
         for batch in batches:
@@ -122,26 +155,45 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 s = [probability_jaccard((a, x), (b, y)) for a, x, b, y in zip(h1, w1, h2, w2, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s, pa.float64())], ["a", "b", "s"])
 
-    links = None
-    while True:
-        hubs = members.where("not done").groupBy("band").agg(F.min(F.struct("v", "root")).alias("hub"))
-        now = written(members.join(hubs.select("band", F.col("hub.v").alias("hub"), F.col("hub.root").alias("hub_root")), "band"), "hubs")
-        pairs = now.where("root <> hub_root").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("v").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1")), "a").join(sets.select(F.col("v").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2")), "b")
-        new = written(both.mapInArrow(compared, "a long, b long, s double").where(F.col("s") >= similarity).select("a", "b"), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links).withColumnRenamed("a", "v").withColumnRenamed("root", "_root")
-        hub_roots = roots.select(F.col("v").alias("hub"), F.col("_root").alias("_hub_root"))
-        after = now.select("band", "v", "done", "hub").join(roots, "v", "left").join(hub_roots, "hub", "left").withColumns({"root": F.coalesce("_root", "v"), "hub_root": F.coalesce("_hub_root", "hub")})
-        after = after.select("band", "v", "root", (F.col("done") | (F.col("root") == F.col("hub_root"))).alias("done"))
-        open_ = after.where("not done").select("band").distinct()
-        left = written(after.join(open_, "band", "left_semi"), "buckets")
-        dropped(members, now)
-        members = left
-        if not members.take(1):
-            break
-    grouped = vertices.join(roots, "v", "left").select(F.col("words").alias("_words"), F.coalesce("_root", "v").alias("component_id"))
-    out = rows.join(grouped, F.col("words") == F.col("_words"), "left")
+        return written(both.mapInArrow(compared, "a long, b long, s double").where(F.col("s") >= similarity).select("a", "b"), "links")
+
+    links = verified(stars)
+    roots = written(components(links).withColumnRenamed("a", "v"), "roots")
+    grouped = members.join(roots, "v", "left").select("band", "i", "v", "n", F.coalesce("root", "v").alias("root"))
+    grouped = written(grouped.where("n > 2"), "grouped")
+    mixed_ = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    left = grouped.join(mixed_, "band", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    left = left.join(vertices.select("v", "signature"), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = left.select("band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "i", "v", "root", "block", "signature")
+
+    def met_in(batches):
+        """Groups stand in a row; each is compared when the next begins."""
+        key, group = None, []
+
+        def found():
+            band, (v, root, part, signed) = group[0][0], zip(*(g[1:] for g in group), strict=True)
+            v, root, part = np.array(v), np.array(root), np.array(part)
+            i, j = likely(np.frombuffer(b"".join(signed), "<u2").reshape(len(v), -1), root, band, part)
+            return pa.RecordBatch.from_arrays([pa.array(v[i]), pa.array(v[j])], ["a", "b"])
+
+        for batch in batches:
+            for *now, band, v, root, part, signed in zip(*(batch.column(c).to_pylist() for c in ("band", "b1", "b2", "i", "v", "root", "block", "signature")), strict=True):
+                if now != key:
+                    if len(group) > 1:
+                        yield found()
+                    key, group = now, []
+                group.append((band, v, root, part, signed))
+        if len(group) > 1:
+            yield found()
+
+    more = tasks.repartition("band", "b1", "b2").sortWithinPartitions("band", "b1", "b2").mapInArrow(met_in, "a long, b long")
+    more = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
+    roots = components(links.unionByName(verified(more))).withColumnRenamed("a", "v").withColumnRenamed("root", "_root")
+    grouped = vertices.select("words", "v").join(roots, "v", "left").select(F.col("words").alias("_words"), F.coalesce("_root", "v").alias("component_id"))
+    out = rows.select("doc_id", "words").join(grouped, F.col("words") == F.col("_words"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
