@@ -22,7 +22,7 @@ def _met(points: DataFrame, others: DataFrame, name: str) -> DataFrame:
         return points.join(F.broadcast(others.agg(F.collect_list(packed).alias(name))), F.lit(True))
     blocks = -(-n // ARRAY_ROWS)
     arrays = others.groupBy(F.pmod(F.xxhash64(*others.columns), F.lit(blocks)).alias("_block")).agg(F.collect_list(packed).alias(name))
-    return points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(arrays.withColumn("_block", F.col("_block").cast("long")), "_block").drop("_block")
+    return points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(arrays, "_block").drop("_block")
 
 
 def nearest_scene(points: DataFrame, scenes: DataFrame, *, key: Sequence[str], lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from varigrid.functions.geo import METRES_PER_DEGREE
 from varigrid.functions.nulls import masked, ratio
 from varigrid.operators import agreement, binning, ledger, spectral, variance
-from varigrid.plans.registry import query, rounded
+from varigrid.plans.registry import as_rrs, query, rounded
 from varigrid.sources.fixtures import COARSE, FINE
 
 PX = ("fx_pixels",)
@@ -51,9 +51,9 @@ def binary_opening(t):
     return spectral.binary_opening(cells, "y", "x", "water")
 
 
-@query("SELECT band, round(quantile_cont(v, 0.01), 9) AS pedestal FROM long GROUP BY band", PX, LONG)
+@query("SELECT band, round(quantile_cont(v, 0.01) / pi(), 9) AS pedestal FROM long GROUP BY band", PX, LONG)
 def dark_offset(t):
-    return spectral.dark_offset(wet(t), NAMED).select("band", *rounded(9, "pedestal"))
+    return spectral.dark_offset(wet(t), NAMED).select("band", *as_rrs(9, "pedestal"))
 
 
 @query(
@@ -140,9 +140,9 @@ def water_fraction(t):
     return binning.water_fraction(t("fx_pixels"), ["r", "c"]).select("r", "c", "n_water", "n_valid", *rounded(9, "frac_water"))
 
 
-@query("SELECT r, c, CAST(wavelength AS DOUBLE) AS band, CAST(count(v) AS BIGINT) AS n, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std FROM long WHERE wavelength BETWEEN 400 AND 700 GROUP BY r, c, wavelength", PX, LONG)
+@query("SELECT r, c, CAST(wavelength AS DOUBLE) AS band, CAST(count(v) AS BIGINT) AS n, round(avg(v) / pi(), 9) AS mean, round(stddev_pop(v) / pi(), 9) AS std FROM long WHERE wavelength BETWEEN 400 AND 700 GROUP BY r, c, wavelength", PX, LONG)
 def band_moments(t):
-    return binning.band_moments(wet(t), ["r", "c"], BANDS, 400, 700).select("r", "c", "band", "n", *rounded(9, "mean", "std"))
+    return binning.band_moments(wet(t), ["r", "c"], BANDS, 400, 700).select("r", "c", "band", "n", *as_rrs(9, "mean", "std"))
 
 
 FRAME = (
@@ -162,7 +162,7 @@ def frame(t):
 
 @query(
     "SELECT r, c, CAST(n_water AS BIGINT) AS n_water, CAST(n_valid AS BIGINT) AS n_valid, round(frac_water, 9) AS frac_water, "
-    + ", ".join(f"round({c}, 9) AS {c}" for c in BAND_COLUMNS)
+    + ", ".join(f"round({c} / pi(), 9) AS {c}" for c in BAND_COLUMNS)
     + ", "
     + ", ".join(f"round({n}_mean, 9) AS {n}_mean, round({n}_std, 9) AS {n}_std, round({n}_std / nullif(abs({n}_mean), 0), 9) AS {n}_cv, CAST({n}_n AS BIGINT) AS {n}_n" for n in RATIOS)
     + " FROM frame",
@@ -170,7 +170,7 @@ def frame(t):
     FRAME,
 )
 def aggregate_scene(t):
-    return frame(t).select("r", "c", "n_water", "n_valid", *rounded(9, "frac_water", *BAND_COLUMNS, *RATIO_COLUMNS), *(f"{n}_n" for n in RATIOS))
+    return frame(t).select("r", "c", "n_water", "n_valid", *as_rrs(9, *BAND_COLUMNS), *rounded(9, "frac_water", *RATIO_COLUMNS), *(f"{n}_n" for n in RATIOS))
 
 
 @query(
@@ -182,9 +182,9 @@ def scene_ledger(t):
     return binning.scene_ledger(frame(t))
 
 
-@query("SELECT band, CAST(count(v) AS BIGINT) AS n, round(median(v), 9) AS median, round(quantile_cont(v, 0.01), 9) AS p1 FROM long GROUP BY band", PX, LONG)
+@query("SELECT band, CAST(count(v) AS BIGINT) AS n, round(median(v) / pi(), 9) AS median, round(quantile_cont(v, 0.01) / pi(), 9) AS p1 FROM long GROUP BY band", PX, LONG)
 def water_spectrum(t):
-    return spectral.water_spectrum(wet(t), NAMED).select("band", "n", *rounded(9, "median", "p1"))
+    return spectral.water_spectrum(wet(t), NAMED).select("band", "n", *as_rrs(9, "median", "p1"))
 
 
 @query(
@@ -227,9 +227,9 @@ def variance_ladder(t):
     return out.select("scalar", "factor", "n_finite", *rounded(9, "total_variance", "between_cell_fraction", "within_cell_fraction"))
 
 
-@query("SELECT CAST(floor(y / 18.0) AS BIGINT) AS block_row, CAST(floor(x / 18.0) AS BIGINT) AS block_col, CAST(count(b560) AS BIGINT) AS n, round(avg(b560), 9) AS mean FROM fx_pixels WHERE water AND y < 90 AND x < 90 GROUP BY 1, 2", PX)
+@query("SELECT CAST(floor(y / 18.0) AS BIGINT) AS block_row, CAST(floor(x / 18.0) AS BIGINT) AS block_col, CAST(count(b560) AS BIGINT) AS n, round(avg(b560) / pi(), 9) AS mean FROM fx_pixels WHERE water AND y < 90 AND x < 90 GROUP BY 1, 2", PX)
 def block_mean(t):
-    return variance.block_mean(wet(t), "y", "x", "b560", 18, FINE, FINE).select("block_row", "block_col", "n", *rounded(9, "mean"))
+    return variance.block_mean(wet(t), "y", "x", "b560", 18, FINE, FINE).select("block_row", "block_col", "n", *as_rrs(9, "mean"))
 
 
 @query("SELECT round(quantile_cont(b560 / nullif(b490, 0), 0.08), 9) AS low, round(quantile_cont(b560 / nullif(b490, 0), 0.92), 9) AS high FROM fx_pixels WHERE water", PX)
@@ -286,9 +286,9 @@ def pair_slope(t):
     return agreement.pair_stats(paired(t).withColumn("third", F.col("r") % 3), "rrs_mean_560", "coarse_rrs560", ["third"]).select("third", "n", *rounded(7, "slope"))
 
 
-@query("SELECT wavelength_nm, CAST(n AS BIGINT) AS n, round(correlation, 7) AS correlation, round(fine_median, 9) AS fine_median, round(coarse_median, 9) AS coarse_median, round(fine_median / nullif(coarse_median, 0), 9) AS ratio_of_medians FROM stats", BOTH, AGREE)
+@query("SELECT wavelength_nm, CAST(n AS BIGINT) AS n, round(correlation, 7) AS correlation, round(fine_median / pi(), 9) AS fine_median, round(coarse_median / pi(), 9) AS coarse_median, round(fine_median / nullif(coarse_median, 0), 9) AS ratio_of_medians FROM stats", BOTH, AGREE)
 def spectral_agreement(t):
-    return agreed(t).select("wavelength_nm", "n", *rounded(7, "correlation"), *rounded(9, "fine_median", "coarse_median", "ratio_of_medians"))
+    return agreed(t).select("wavelength_nm", "n", *rounded(7, "correlation"), *as_rrs(9, "fine_median", "coarse_median"), *rounded(9, "ratio_of_medians"))
 
 
 WORST = "(SELECT round(min(correlation), 7) AS worst_correlation, (SELECT round(slope, 7) FROM stats WHERE slope > 0 ORDER BY abs(ln(slope)) DESC, slope DESC LIMIT 1) AS worst_spread FROM stats)"
@@ -339,8 +339,8 @@ def unravel_index(t):
     return t("fx_coarse").select("coarse_index", row.alias("cell_row"), col.alias("cell_col"))
 
 
-@query("SELECT a.coarse_index, round(a.coarse_rrs560, 9) AS coarse_rrs560, round(b.coarse_rrs490, 9) AS coarse_rrs490 FROM fx_coarse a LEFT JOIN (SELECT * FROM fx_coarse WHERE c % 2 = 0) b USING (coarse_index)", BOTH)
+@query("SELECT a.coarse_index, round(a.coarse_rrs560 / pi(), 9) AS coarse_rrs560, round(b.coarse_rrs490 / pi(), 9) AS coarse_rrs490 FROM fx_coarse a LEFT JOIN (SELECT * FROM fx_coarse WHERE c % 2 = 0) b USING (coarse_index)", BOTH)
 def merge_first_wins(t):
     k = t("fx_coarse")
     right = k.where("c % 2 = 0").select("coarse_index", (F.col("coarse_rrs560") * 2).alias("coarse_rrs560"), "coarse_rrs490")
-    return ledger.merge_first_wins(k.select("coarse_index", "coarse_rrs560"), right, ["coarse_index"]).select("coarse_index", *rounded(9, "coarse_rrs560", "coarse_rrs490"))
+    return ledger.merge_first_wins(k.select("coarse_index", "coarse_rrs560"), right, ["coarse_index"]).select("coarse_index", *as_rrs(9, "coarse_rrs560", "coarse_rrs490"))

@@ -28,3 +28,8 @@ def query(sql: str | None = None, fx: Sequence[str] = (), ctes_: str = ""):
 
 def rounded(digits: int, *columns: str) -> list[Column]:
     return [F.round(F.col(c), digits).alias(c) for c in columns]
+
+
+def as_rrs(digits: int, *columns: str) -> list[Column]:
+    """Reflectances over pi, rounded: the tables' values have few decimals, so their own means often end in a tie."""
+    return [F.round(F.col(c) / F.pi(), digits).alias(c) for c in columns]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from varigrid.config import BoxConfig
 from varigrid.operators import windows2d
 from varigrid.plans.pixel_queries import BOTH, FRAME, frame
-from varigrid.plans.registry import query, rounded
+from varigrid.plans.registry import as_rrs, query, rounded
 from varigrid.sources.fixtures import COARSE
 
 N = COARSE
@@ -25,9 +25,9 @@ def trimmed(value: str, name: str) -> str:
  FROM w JOIN {name}_0 USING (anchor_row, anchor_col) GROUP BY ALL)"""
 
 
-@query("SELECT anchor_row, anchor_col, CAST(count(f) AS BIGINT) AS n, round(CAST(count(f) AS DOUBLE) / 25, 9) AS valid_fraction, round(avg(f), 9) AS mean, round(max(f), 9) AS max FROM w GROUP BY ALL", BOTH, f"{COARSE_CELLS}, {ANCHORS}")
+@query("SELECT anchor_row, anchor_col, CAST(count(f) AS BIGINT) AS n, round(CAST(count(f) AS DOUBLE) / 25, 9) AS valid_fraction, round(avg(f) / pi(), 9) AS mean, round(max(f) / pi(), 9) AS max FROM w GROUP BY ALL", BOTH, f"{COARSE_CELLS}, {ANCHORS}")
 def sliding_box(t):
-    return windows2d.sliding_box(t("fx_coarse"), "r", "c", "coarse_rrs560", N, N).select("anchor_row", "anchor_col", "n", *rounded(9, "valid_fraction", "mean", "max"))
+    return windows2d.sliding_box(t("fx_coarse"), "r", "c", "coarse_rrs560", N, N).select("anchor_row", "anchor_col", "n", *rounded(9, "valid_fraction"), *as_rrs(9, "mean", "max"))
 
 
 @query("SELECT anchor_row, anchor_col, round(fraction, 9) AS valid_fraction, round(cv, 8) AS cv FROM b", BOTH, f"{COARSE_CELLS}, {ANCHORS}, {trimmed('f', 'b')}")
@@ -80,14 +80,14 @@ def noise_multiple(t):
     return out.select("scene", *rounded(8, "median_within"), "floor", *rounded(7, "multiple"))
 
 
-@query("SELECT a.r, a.c, round(abs(a.coarse_rrs560 - b.coarse_rrs560), 9) AS difference FROM fx_coarse a JOIN fx_coarse b ON a.r = b.r AND a.c = b.c + 1", BOTH)
+@query("SELECT a.r, a.c, round(abs(a.coarse_rrs560 - b.coarse_rrs560) / pi(), 9) AS difference FROM fx_coarse a JOIN fx_coarse b ON a.r = b.r AND a.c = b.c + 1", BOTH)
 def adjacent_diff(t):
-    return windows2d.adjacent_diff(t("fx_coarse"), "r", "c", "coarse_rrs560").select("r", "c", *rounded(9, "difference"))
+    return windows2d.adjacent_diff(t("fx_coarse"), "r", "c", "coarse_rrs560").select("r", "c", *as_rrs(9, "difference"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n_adjacent_pairs, round(median(abs(a.coarse_rrs560 - b.coarse_rrs560)), 9) AS neighbour_difference, count(*) >= 50 AS assessable FROM fx_coarse a JOIN fx_coarse b ON a.r = b.r AND a.c = b.c + 1", BOTH)
+@query("SELECT CAST(count(*) AS BIGINT) AS n_adjacent_pairs, round(median(abs(a.coarse_rrs560 - b.coarse_rrs560)) / pi(), 9) AS neighbour_difference, count(*) >= 50 AS assessable FROM fx_coarse a JOIN fx_coarse b ON a.r = b.r AND a.c = b.c + 1", BOTH)
 def structure_neighbours(t):
-    return windows2d.structure_score(t("fx_coarse"), "r", "c", "coarse_rrs560").select("n_adjacent_pairs", *rounded(9, "neighbour_difference"), "assessable")
+    return windows2d.structure_score(t("fx_coarse"), "r", "c", "coarse_rrs560").select("n_adjacent_pairs", *as_rrs(9, "neighbour_difference"), "assessable")
 
 
 @query()

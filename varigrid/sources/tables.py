@@ -124,7 +124,7 @@ def load_scenes(table: dict, keys: Sequence[str] | None = None, id_field: str =
 
 
 def scenes_frame(spark: SparkSession, scenes: Sequence[Scene]) -> DataFrame:
-    rows = [(s.key, s.scene_id, s.date, *s.bbox, s.role, s.cloud_percent) for s in scenes]
+    rows = [(s.key, s.scene_id, s.date, *map(float, s.bbox), s.role, None if s.cloud_percent is None else float(s.cloud_percent)) for s in scenes]
     out = spark.createDataFrame(rows, "scene string, scene_id string, date string, west double, south double, east double, north double, role string, cloud_percent double")
     return string_ids(out.withColumn("role", squeezed(F.col("role"))), "scene_id")
 
