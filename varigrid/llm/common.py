@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,8 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a Python worker handles at once; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+#: Bytes of text and rows that one step of a Python worker handles at once; a longer document is a step of its own.
+STEP_BYTES, STEP_ROWS = 2 << 20, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,19 +59,28 @@ def bounded(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
 
 
-def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the strings of a step have at most ``limit`` bytes, or are one string."""
+def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a step has at most ``rows`` rows and ``limit`` bytes of strings, or is one string."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         begin = size = 0
         for i, n in enumerate(sizes.tolist()):
-            if size and size + n > limit:
+            if size and size + n > limit or i - begin >= rows:
                 yield batch.slice(begin, i - begin)
                 begin, size = i, 0
             size += n
         yield batch.slice(begin)
+    give_back()
+
+
+def give_back() -> None:
+    """A worker lives on after its task; what the task has freed goes back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

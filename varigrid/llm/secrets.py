@@ -32,6 +32,7 @@ FURTHER = (
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in FURTHER))
 MAX_OWNERS = 9
 FOUND = "_found array<struct<start:long,rank:int,end:long,vstart:long,vend:long,hash:string>>"
+SPANS = "array<struct<start:long,rank:int,end:long,vstart:long,vend:long,hash:string,live:boolean,owners:long,repositories:long>>"
 
 
 def candidates(text: str | None) -> list[tuple[int, int, int, int, int, str]]:
@@ -56,17 +57,32 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     kept = docs.select(*keep)
     fields = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("vstart", pa.int64()), ("vend", pa.int64()), ("hash", pa.string())])
     names = ["start", "rank", "end", "vstart", "vend", "hash"]
+    text = "text" if "text" in keep else "_text"
 
     def scan(batches):
-        for batch in steps(batches, "_text"):
-            found = [candidates(t) for t in batch.column("_text").to_pylist()]
+        for batch in steps(batches, text):
+            found = [candidates(t) for t in batch.column(text).to_pylist()]
             counts = [pa.array([sum(x[1] == k for x in f) for f in found], pa.int64()) for k in range(3)]
             base = [hashlib.sha256(",".join(f"{KINDS[x[1]]}:{x[0]}:{x[2]}" for x in f if x[1] < 3).encode()).hexdigest() for f in found]
             rows = pa.array([[dict(zip(names, x, strict=True)) for x in f] for f in found], pa.list_(fields))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *counts, pa.array(base), rows], [*keep, "n_assign", "n_access", "n_hex", "base_sha256", "_found"])
 
     schema = f"{ddl(kept)}, n_assign long, n_access long, n_hex long, base_sha256 string, {FOUND}"
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scan, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])).mapInArrow(scan, schema)
+
+
+def told(docs: DataFrame, keep: list[str], repository: Column, owner: Column, max_owners: int = MAX_OWNERS) -> tuple[DataFrame, DataFrame]:
+    """:func:`scanned` rows without candidates, and those with some; see :func:`judged`."""
+    rows = written(scanned(docs.withColumns({"_repo": repository, "_owner": owner}), [*keep, "_repo", "_owner"]).withColumn("_row", F.monotonically_increasing_id()), "secrets")
+    none = F.expr(f"cast(array() as {SPANS})")
+    one = rows.where(F.size("_found") > 0)
+    each = one.select("_row", "_repo", "_owner", F.explode("_found").alias("f"))
+    owned = each.groupBy(F.col("f.hash").alias("hash")).agg(F.countDistinct(F.coalesce("_owner", F.lit(""))).alias("owners"), F.countDistinct(F.coalesce("_repo", F.lit(""))).alias("repositories"))
+    found = each.select("_row", "f.*").join(owned, "hash").withColumn("live", F.col("owners") <= max_owners).where("live or rank < 3")
+    spans = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "vstart", "vend", "hash", "live", "owners", "repositories"))).alias("_spans"))
+    with_some = one.join(spans, "_row", "left").withColumn("_spans", F.coalesce("_spans", none))
+    gone = ["_found", "_row", "_repo", "_owner"]
+    return rows.where(F.size("_found") == 0).withColumn("_spans", none).drop(*gone), with_some.drop(*gone)
 
 
 def judged(docs: DataFrame, keep: list[str], repository: Column, owner: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -75,16 +91,8 @@ def judged(docs: DataFrame, keep: list[str], repository: Column, owner: Column,
     Null texts have none; a null repository or owner counts as one unknown owner. Repeated rows stay and
     count once per owner. An empty table gives no rows.
     """
-    rows = written(scanned(docs.withColumns({"_repo": repository, "_owner": owner}), [*keep, "_repo", "_owner"]).withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    none = F.expr(f"cast(array() as {FOUND.split(' ', 1)[1].replace('>>', ',live:boolean,owners:long,repositories:long>>')})")
-    one = rows.where(F.size("_found") > 0)
-    each = one.select("_row", "_repo", "_owner", F.explode("_found").alias("f"))
-    owned = each.groupBy(F.col("f.hash").alias("hash")).agg(F.countDistinct(F.coalesce("_owner", F.lit(""))).alias("owners"), F.countDistinct(F.coalesce("_repo", F.lit(""))).alias("repositories"))
-    told = each.select("_row", "f.*").join(owned, "hash").withColumn("live", F.col("owners") <= max_owners)
-    told = told.where("live or rank < 3")
-    spans = told.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "vstart", "vend", "hash", "live", "owners", "repositories"))).alias("_spans"))
-    with_some = one.join(spans, "_row", "left").withColumn("_spans", F.coalesce("_spans", none))
-    return rows.where(F.size("_found") == 0).withColumn("_spans", none).unionByName(with_some).drop("_found", "_row", "_repo", "_owner")
+    plain, some = told(docs, keep, repository, owner, max_owners)
+    return plain.unionByName(some)
 
 
 def owner_of(source: Column) -> Column:
@@ -103,23 +111,23 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redacted(docs: DataFrame, repository: Column, owner: Column, max_owners: int = MAX_OWNERS, mark: str = "<SECRET>") -> DataFrame:
     """``docs`` with the value of each live-looking secret replaced by ``mark``; overlapping values become one."""
-    rows = judged(docs, docs.columns, repository, owner, max_owners)
-
-    @F.pandas_udf("string")
-    def cover(text, spans):
-        def one(t, found):
-            out, at = [], 0
-            for a, b in sorted((int(x["vstart"]), int(x["vend"])) for x in found if x["live"]):
-                if b <= at:
-                    continue
-                out += [t[at:a], mark] if a >= at else []
-                at = b
-            return "".join(out) + t[at:]
-
-        return type(text)([one(t, s) for t, s in zip(text, spans, strict=True)])
+    plain, some = told(docs, docs.columns, repository, owner, max_owners)
 
-    some = F.size(F.filter("_spans", lambda x: x["live"])) > 0
-    changed = rows.where(some).withColumn("text", cover("text", "_spans"))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.where(~some).unionByName(changed).select(*docs.columns)
+    def one(text: str | None, found: list[dict] | None) -> str | None:
+        out, at = [], 0
+        for a, b in sorted((x["vstart"], x["vend"]) for x in found or () if x["live"]):
+            if b > at:
+                out += [text[at:a], mark] if a >= at else []
+                at = b
+        return "".join(out) + text[at:] if at else text
+
+    def cover(batches):
+        for batch in steps(batches):
+            texts = [one(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+
+    names = docs.columns
+    changed = some.select(*names, "_spans").mapInArrow(cover, ddl(docs))
+    if "n_chars" in names:
+        changed = changed.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return plain.select(*names).unionByName(changed.select(*names))
