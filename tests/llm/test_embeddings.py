@@ -8,7 +8,7 @@ from varigrid.llm import embeddings
 
 
 def brute(rows, least=embeddings.COSINE):
-    good = {i: np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    good = {i: np.array(v, float) / np.abs(v).max() for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links, root = {i: 0 for i, _ in rows}, {i: i for i, _ in rows}
 
     def find(x):
@@ -32,9 +32,12 @@ def corpus():
     rows = []
     for _ in range(12):
         base = draw.normal(0, 1, 16)
-        rows += [(len(rows) * 2, (base * draw.uniform(0.1, 9) + draw.normal(0, 0.1, 16) * i / 10).tolist()) for i in range(15)]
+        rows += [(len(rows) * 2 + i * 2, (base * draw.uniform(0.1, 9) + draw.normal(0, 0.1, 16) * i / 10).tolist()) for i in range(15)]
     rows += [(len(rows) * 2 + i * 2, draw.normal(0, 1, 16).tolist()) for i in range(150)]
     n = len(rows) * 2
+    middle = np.eye(16)[0]
+    chain = [(n + 100 + 2 * i, (middle * np.cos(a) + np.eye(16)[1] * np.sin(a)).tolist()) for i, a in enumerate((0.6, 0.0, 0.3, 0.9))]  # links of neighbours only
+    rows += chain
     return rows + [(n, rows[0][1]), (n + 1, rows[0][1]), (n + 2, None), (n + 3, [0.0] * 16), (n + 4, [None] + [1.0] * 15), (n + 5, [float("nan")] * 16), (n + 6, []), (n + 7, [1.0, 2.0]), (n + 8, [2.0, 4.0]), (n + 9, [1e200] * 16), (n + 10, [1e-200] * 16), (n + 11, [float("inf")] * 16)]
 
 

@@ -121,7 +121,8 @@ def in_range(vectors: np.ndarray, neighbours: list[np.ndarray], entries: np.ndar
 
 
 def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degree: int, beam: int) -> DataFrame:
-    """``v, found, least``: for each class, numbers of linked vectors and smallest linked class, by shard."""
+    """``v, found, least``: for each class, its number of linked vectors, and the smallest class that links within
+    its shard reach, by shard."""
     n = classes.count()
     rows = min(SAMPLE, max(1000, (24 << 20) // (8 * dimension)))
     sample = bounded(classes, rows, "v").select("vector").toPandas()["vector"]
@@ -184,14 +185,12 @@ def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degre
             for j in in_range(vectors, neighbours, entries, i, cosine - 1e-4, beam).tolist():
                 found[i].add(j)
                 found[j].add(i)
-        total, least = np.zeros(len(ids), np.int64), ids.copy()
+        total, linked = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)] * len(ids)
         for i, hits in enumerate(found):
-            if hits:
-                j = np.fromiter(hits, np.int64)
-                j = j[exact[j] @ exact[i] >= cosine]
-                if len(j):
-                    least[i] = min(ids[i], ids[j].min())
-                    total[i] = sum(int(count[x]) for x in j.tolist() if min(own[i] & own[x]) == shard)
+            j = np.array(sorted(hits), np.int64)
+            linked[i] = j = j[exact[j] @ exact[i] >= cosine]
+            total[i] = sum(int(count[x]) for x in j.tolist() if min(own[i] & own[x]) == shard)
+        least = ids[parts(linked)]  # ids ascend, so the part's first is its smallest
         some = np.flatnonzero((total > 0) | (least < ids))
         return pa.table({"v": pa.array(ids[some]), "found": pa.array(total[some]), "least": pa.array(least[some])})
 
