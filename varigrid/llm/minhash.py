@@ -108,8 +108,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     Texts with the same words are one vertex. Vertices that share a band are candidates. Each bucket's hub, the
     member that meets most others over all bands, is compared with all its members first: a line of comparisons,
     not a square, and it joins the groups of copies. In buckets that still hold several groups, members of
-    different groups are compared by their signatures, in bounded blocks, each pair in the first band it
-    shares; only pairs that look similar leave the task. Links have a probability Jaccard of counted five-word
+    different groups are compared in bounded blocks, each pair in the first band it shares: first by signatures,
+    then those that look similar by their shingles, and only links that join groups leave a task. Links have a probability Jaccard of counted five-word
     shingles of at least ``similarity``, computed exactly. No bucket is cut.
 
     Null and empty texts, and texts without words, link with nothing. Rows that repeat a doc_id are one
@@ -155,11 +155,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
                 s = [probability_jaccard((a, x), (b, y)) for a, x, b, y in zip(h1, w1, h2, w2, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s, pa.float64())], ["a", "b", "s"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("v").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1")), "a").join(sets.select(F.col("v").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2")), "b")
-        return written(both.mapInArrow(compared, "a long, b long, s double").where(F.col("s") >= similarity).select("a", "b"), "links")
-
-    links = verified(stars)
+    both = stars.join(sets.select(F.col("v").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1")), "a").join(sets.select(F.col("v").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2")), "b")
+    links = written(both.mapInArrow(compared, "a long, b long, s double").where(F.col("s") >= similarity).select("a", "b"), "links")
     roots = written(components(links).withColumnRenamed("a", "v"), "roots")
     grouped = members.join(roots, "v", "left").select("band", "i", "v", "n", F.coalesce("root", "v").alias("root"))
     grouped = written(grouped.where("n > 2"), "grouped")
@@ -169,29 +166,56 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     left = left.join(vertices.select("v", "signature"), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = left.select("band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "i", "v", "root", "block", "signature")
 
-    def met_in(batches):
-        """Groups stand in a row; each is compared when the next begins."""
+    def groups(batches, columns):
+        """Rows of one task after another; they stand in a row."""
         key, group = None, []
-
-        def found():
-            band, (v, root, part, signed) = group[0][0], zip(*(g[1:] for g in group), strict=True)
-            v, root, part = np.array(v), np.array(root), np.array(part)
-            i, j = likely(np.frombuffer(b"".join(signed), "<u2").reshape(len(v), -1), root, band, part)
-            return pa.RecordBatch.from_arrays([pa.array(v[i]), pa.array(v[j])], ["a", "b"])
-
         for batch in batches:
-            for *now, band, v, root, part, signed in zip(*(batch.column(c).to_pylist() for c in ("band", "b1", "b2", "i", "v", "root", "block", "signature")), strict=True):
-                if now != key:
-                    if len(group) > 1:
-                        yield found()
-                    key, group = now, []
-                group.append((band, v, root, part, signed))
-        if len(group) > 1:
-            yield found()
-
-    more = tasks.repartition("band", "b1", "b2").sortWithinPartitions("band", "b1", "b2").mapInArrow(met_in, "a long, b long")
-    more = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
-    roots = components(links.unionByName(verified(more))).withColumnRenamed("a", "v").withColumnRenamed("root", "_root")
+            for now, *row in zip(zip(*(batch.column(c).to_pylist() for c in ("band", "b1", "b2")), strict=True), *(batch.column(c).to_pylist() for c in columns), strict=True):
+                if now != key and group:
+                    yield key, [list(x) for x in zip(*group, strict=True)]
+                    group = []
+                key = now
+                group.append(row)
+        if group:
+            yield key, [list(x) for x in zip(*group, strict=True)]
+
+    def alike(i, root, part, signed):
+        return likely(np.frombuffer(b"".join(signed), "<u2").reshape(len(signed), -1), np.array(root), i[0], np.array(part))
+
+    def met_in(batches):
+        """The members of a task that look similar to one of another group."""
+        for key, (i, v, root, part, signed) in groups(batches, ("i", "v", "root", "block", "signature")):
+            some = np.unique(np.concatenate(alike(i, root, part, signed))) if len(v) > 1 else ()
+            if len(some):
+                yield pa.RecordBatch.from_pylist([dict(zip(names, (*key, i[k], v[k], root[k], part[k]), strict=True)) for k in some.tolist()], schema)
+
+    def linked_in(batches):
+        """Links that join groups of a task; pairs that are joined already are passed over."""
+        for _, (i, v, root, part, signed, h, w) in groups(batches, ("i", "v", "root", "block", "signature", "h", "w")):
+            joined = {r: r for r in root}
+
+            def find(x):
+                while joined[x] != x:
+                    x = joined[x]
+                return x
+
+            sets = [(np.frombuffer(a, np.uint64), np.frombuffer(b, "<u4")) for a, b in zip(h, w, strict=True)]
+            out = []
+            for a, b in zip(*alike(i, root, part, signed), strict=True):
+                x, y = find(root[a]), find(root[b])
+                if x != y and probability_jaccard(sets[a], sets[b]) >= similarity:
+                    joined[max(x, y)] = min(x, y)
+                    out.append((v[a], v[b]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    names = ("band", "b1", "b2", "i", "v", "root", "block")
+    schema = pa.schema([("band", pa.int64()), ("b1", pa.int32()), ("b2", pa.int32()), ("i", pa.int32()), ("v", pa.int64()), ("root", pa.int64()), ("block", pa.int32())])
+    task = ["band", "b1", "b2"]
+    close = written(tasks.repartition(*task).sortWithinPartitions(*task).mapInArrow(met_in, "band long, b1 int, b2 int, i int, v long, root long, block int"), "likely")
+    full = close.join(vertices.select("v", "signature"), "v").join(sets, "v")
+    more = written(full.repartition(*task).sortWithinPartitions(*task).mapInArrow(linked_in, "a long, b long"), "links")
+    roots = components(links.unionByName(more)).withColumnRenamed("a", "v").withColumnRenamed("root", "_root")
     grouped = vertices.select("words", "v").join(roots, "v", "left").select(F.col("words").alias("_words"), F.coalesce("_root", "v").alias("component_id"))
     out = rows.select("doc_id", "words").join(grouped, F.col("words") == F.col("_words"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
