@@ -92,19 +92,21 @@ def array_moments(df: DataFrame, keys: Sequence[str], spectrum: str, bands: Sequ
 def aggregate_scene(pixels: DataFrame, keys: Sequence[str], bands: Mapping[float, str], ratios: Mapping[str, tuple[str, str]], water: str = "water") -> DataFrame:
     """A row per coarse cell with water: counts, ``rrs_mean_<nm>``/``rrs_std_<nm>``, ``<ratio>_{mean,std,cv,n}``.
 
-    Ratios are of samples, before the means. Bands and ratios are aggregated long and turned wide at the end.
+    Ratios are of samples, before the means. Samples are read once; counts, bands and ratios are aggregated long
+    and turned wide at the end. A sample whose ``water`` is null counts as dry.
     """
     names = {f"{nm:.0f}": c for nm, c in bands.items()}
     values = [F.struct(F.lit(f"rrs_{n}").alias("what"), finite(F.col(c)).alias("v")) for n, c in names.items()]
     values += [F.struct(F.lit(n).alias("what"), finite(ratio(F.col(a), F.col(b))).alias("v")) for n, (a, b) in ratios.items()]
-    wet = pixels.where(F.col(water)).select(*keys, F.explode(F.array(*values)).alias("b")).select(*keys, "b.*")
-    long = wet.groupBy(*keys, "what").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    px = lambda v: F.struct(F.lit("px").alias("what"), v.cast("double").alias("v"))  # noqa: E731  every sample counts, a dry one only here
+    each = F.explode(F.when(F.col(water), F.array(*values, px(F.lit(1)))).otherwise(F.array(px(F.lit(None)))))
+    long = pixels.select(*keys, each.alias("b")).select(*keys, "b.*").groupBy(*keys, "what").agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
     pick = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))  # noqa: E731  one row each
     columns = [e for n in names for e in (pick(f"rrs_{n}", "mean").alias(f"rrs_mean_{n}"), pick(f"rrs_{n}", "std").alias(f"rrs_std_{n}"))]
     for n in ratios:
         columns += [pick(n, "mean").alias(f"{n}_mean"), pick(n, "std").alias(f"{n}_std"), within_cv(pick(n, "mean"), pick(n, "std")).alias(f"{n}_cv"), pick(n, "n").alias(f"{n}_n")]
-    wide = long.groupBy(*keys).agg(*columns)
-    return water_fraction(pixels, keys, water).where("n_water > 0").join(wide, list(keys), "left")
+    wide = long.groupBy(*keys).agg(pick("px", "n").alias("n_water"), pick("px", "rows").alias("n_valid"), ratio(pick("px", "n"), pick("px", "rows")).alias("frac_water"), *columns)
+    return wide.where("n_water > 0")
 
 
 def scene_ledger(frame: DataFrame, keys: Sequence[str] = (), usable: float = 0.9) -> DataFrame:

@@ -26,19 +26,20 @@ def variance_split(cells: DataFrame, row: str, col: str, value: str, factors: Se
     """``n, between, within, total`` of the population for each block size, by ``keys``.
 
     The window is trimmed to whole blocks; blocks weigh as their finite samples. All sizes are done together:
-    samples are reduced to a block's n, mean and squared deviation before anything is shuffled twice.
+    samples are read once and reduced to a block's n, mean and variance; blocks are then summed up.
     """
     v = finite(F.col(value)).alias("_v")
     some = cells.select(*keys, row, col, v).where("_v is not null").withColumn("factor", F.explode(F.array(*map(F.lit, factors))))
     trim = lambda c, n: F.col(c) < F.floor(F.lit(n) / F.col("factor")) * F.col("factor")
     some = some.where(trim(row, n_rows) & trim(col, n_cols))
-    blocks = some.groupBy(*keys, "factor", _block(row, F.col("factor")).alias("_r"), _block(col, F.col("factor")).alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("m"), F.var_pop("_v").alias("s2"), F.sum("_v").alias("s"))
-    shares = blocks.groupBy(*keys, "factor").agg(F.sum("n").alias("_n"), (F.sum("s") / F.sum("n")).alias("_grand"))
-    both = blocks.join(shares, [*keys, "factor"])
-    out = both.groupBy(*keys, "factor").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.pow(F.col("m") - F.col("_grand"), 2)) / F.sum("n")).alias("_between"), (F.sum(F.col("n") * F.col("s2")) / F.sum("n")).alias("_within"))
+    blocks = some.groupBy(*keys, "factor", _block(row, F.col("factor")).alias("_r"), _block(col, F.col("factor")).alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("m"), F.var_pop("_v").alias("s2"))
+    out = blocks.groupBy(*keys, "factor").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_g"), (F.sum(F.col("n") * F.col("m") * F.col("m")) / F.sum("n")).alias("_q"), (F.sum(F.col("n") * F.col("s2")) / F.sum("n")).alias("_within")
+    )
+    spread = F.greatest(F.col("_q") - F.col("_g") * F.col("_g"), F.lit(0.0))
     one = F.col("factor") == 1
-    total = F.col("_between") + F.col("_within")
-    return out.select(*keys, "factor", "n", F.when(one, total).otherwise(F.col("_between")).alias("between"), F.when(one, F.lit(0.0)).otherwise(F.col("_within")).alias("within"), total.alias("total"))
+    total = spread + F.col("_within")
+    return out.select(*keys, "factor", "n", F.when(one, total).otherwise(spread).alias("between"), F.when(one, F.lit(0.0)).otherwise(F.col("_within")).alias("within"), total.alias("total"))
 
 
 def variance_ladder(cells: DataFrame, row: str, col: str, scalars: Mapping[str, str], factors: Sequence[int], n_rows: int, n_cols: int, keys: Sequence[str] = (), min_finite: int = 480) -> DataFrame:
