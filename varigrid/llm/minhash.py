@@ -107,10 +107,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
 
     Texts with the same words are one vertex. Vertices that share a band are candidates. Each bucket's hub, the
     member that meets most others over all bands, is compared with all its members first: a line of comparisons,
-    not a square, and it joins the groups of copies. In buckets that still hold several groups, members of
-    different groups are compared in bounded blocks, each pair in the first band it shares: first by signatures,
-    then those that look similar by their shingles, and only links that join groups leave a task. Links have a probability Jaccard of counted five-word
-    shingles of at least ``similarity``, computed exactly. No bucket is cut.
+    not a square, and it joins the groups of copies. In buckets that still hold several groups, blocks of the
+    members outside the largest group meet each other and blocks of the largest group, which does not meet
+    itself, each pair in the first band it shares: first by signatures, then those that look similar by their
+    shingles, and only links that join groups leave a task. Links have a probability Jaccard of counted
+    five-word shingles of at least ``similarity``, computed exactly. No bucket is cut.
 
     Null and empty texts, and texts without words, link with nothing. Rows that repeat a doc_id are one
     document if their texts agree. Rows with a null doc_id come back with a null group, kept. An empty table
@@ -160,11 +161,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     roots = written(components(links).withColumnRenamed("a", "v"), "roots")
     grouped = members.join(roots, "v", "left").select("band", "i", "v", "n", F.coalesce("root", "v").alias("root"))
     grouped = written(grouped.where("n > 2"), "grouped")
-    mixed_ = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    left = grouped.join(mixed_, "band", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    left = left.join(vertices.select("v", "signature"), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = left.select("band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "i", "v", "root", "block", "signature")
+    counts = grouped.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
+    split = counts.groupBy("band").agg(F.max_by("root", F.struct("k", (-F.col("root")).alias("r"))).alias("top"), F.max("k").alias("nd"), F.sum("k").alias("n")).where("nd < n")
+    stray = F.col("root") != F.col("top")
+    split = split.select("band", "top", *(F.ceil(c / F.lit(max(1, block // 2))).cast("int").alias(name) for name, c in (("ds", F.col("n") - F.col("nd")), ("dd", F.col("nd")))))
+    left = grouped.drop("n").join(split, "band").withColumn("block", F.pmod(F.xxhash64("v"), F.when(stray, F.col("ds")).otherwise(F.col("dd"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    key = lambda one, other: F.struct(one.cast("int").alias("b1"), other.cast("int").alias("b2"))
+    among = F.transform(upto("ds"), lambda j: key(F.least("block", j), -1 - F.greatest("block", j)))
+    keys = F.when(stray, F.concat(among, F.transform(upto("dd"), lambda j: key(F.col("block"), j)))).otherwise(F.transform(upto("ds"), lambda j: key(j, F.col("block"))))
+    left = left.select("band", "i", "v", "root", F.when(stray, F.col("block")).otherwise(F.lit(-1)).alias("block"), keys.alias("keys")).join(vertices.select("v", "signature"), "v")
+    tasks = left.withColumn("key", F.explode("keys")).select("band", "key.b1", "key.b2", "i", "v", "root", "block", "signature")
 
     def groups(batches, columns):
         """Rows of one task after another; they stand in a row."""
