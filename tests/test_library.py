@@ -112,14 +112,14 @@ def test_inventory_keeps_ids(spark):
 
 
 def test_configured_scenes(spark):
-    entry = {"tanager_id": "2025_1_4001", "date": "2025-05-14", "bbox": [0, 1, 2, 3], "search_bbox": [0, 1, 2, 3], "role": "a\n  b", "more": "x"}
+    entry = {"scene_id": "2025_1_4001", "date": "2025-05-14", "bbox": [0, 1, 2, 3], "search_bbox": [0, 1, 2, 3], "role": "a\n  b", "more": "x"}
     scenes = tables.load_scenes({"b": entry, "a": entry}, ["a"])
     assert scenes[0].key == "a" and scenes[0].role == "a b" and scenes[0].extra == (("more", "x"),)
     assert tables.scenes_frame(spark, scenes).first()["scene_id"] == "2025_1_4001"
     with pytest.raises(KeyError):
         tables.load_scenes({"a": entry}, ["z"])
     with pytest.raises(TypeError):
-        tables.load_scenes({"a": entry | {"tanager_id": 20251}})
+        tables.load_scenes({"a": entry | {"scene_id": 20251}})
 
 
 def test_index_cache(spark):

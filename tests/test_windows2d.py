@@ -71,7 +71,7 @@ def test_homogeneity_drops_boxes_without_a_centre(spark):
 
 
 def test_summary_counts_missing_values_as_false(spark):
-    boxes = spark.createDataFrame([("a", True, 0.1, 0.2, 0.1, 0.2, 0.3, None), ("a", True, 0.1, None, 0.1, 0.2, 0.1, 0.4), ("a", False, 0.3, 0.2, 0.1, 0.2, 0.9, 0.9)], "scene string, passes_filter boolean, between_pixel_cv double, tanager_between_pixel_cv double, band_between_pixel_cv double, band_centre_within_pixel_cv double, centre_within_pixel_cv double, box_max_within_pixel_cv double")
+    boxes = spark.createDataFrame([("a", True, 0.1, 0.2, 0.1, 0.2, 0.3, None), ("a", True, 0.1, None, 0.1, 0.2, 0.1, 0.4), ("a", False, 0.3, 0.2, 0.1, 0.2, 0.9, 0.9)], "scene string, passes_filter boolean, between_pixel_cv double, fine_between_pixel_cv double, band_between_pixel_cv double, band_centre_within_pixel_cv double, centre_within_pixel_cv double, box_max_within_pixel_cv double")
     r = windows2d.box_summary(boxes, ["scene"]).first()
     assert (r["n_boxes"], r["n_passing"], r["n_like_for_like"], r["n_band"]) == (3, 2, 1, 2)
     assert r["frac_any_above"] == 0.5 and r["frac_centre_above"] == 0.5 and r["within_over_between"] == pytest.approx(1.5)

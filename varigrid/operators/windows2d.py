@@ -111,7 +111,7 @@ def homogeneity_table(
     )
     cv = lambda c: trimmed_cv(F.col(c), k * k, config.min_valid_fraction, config.sigma, config.iterations)
     out = lists.select(
-        *keys, "anchor_row", "anchor_col", ratio(F.size("_fs"), F.lit(k * k)).alias("box_valid_fraction"), cv("_fs").alias("between_pixel_cv"), cv("_ms").alias("tanager_between_pixel_cv"), cv("_bs").alias("band_between_pixel_cv"),
+        *keys, "anchor_row", "anchor_col", ratio(F.size("_fs"), F.lit(k * k)).alias("box_valid_fraction"), cv("_fs").alias("between_pixel_cv"), cv("_ms").alias("fine_between_pixel_cv"), cv("_bs").alias("band_between_pixel_cv"),
         "band_centre_within_pixel_cv", "centre_within_pixel_cv", "box_max_within_pixel_cv", "centre_frac_water",
     ).dropna(subset=["between_pixel_cv", "centre_within_pixel_cv"])
     return out.withColumn("passes_filter", F.col("between_pixel_cv") < config.cv_threshold)
@@ -123,12 +123,12 @@ def box_summary(boxes: DataFrame, keys: Sequence[str] = (), threshold: float = 0
     Missing values count as false in the fractions and stay in their denominators.
     """
     passing = F.col("passes_filter")
-    like, band = passing & F.col("tanager_between_pixel_cv").isNotNull(), passing & F.col("band_between_pixel_cv").isNotNull() & F.col("band_centre_within_pixel_cv").isNotNull()
+    like, band = passing & F.col("fine_between_pixel_cv").isNotNull(), passing & F.col("band_between_pixel_cv").isNotNull() & F.col("band_centre_within_pixel_cv").isNotNull()
     med = lambda where, c: F.median(F.when(where, F.col(c)))
     above = lambda c: F.avg(F.when(passing, F.coalesce(F.col(c) > threshold, F.lit(False)).cast("double")))
     return boxes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_boxes"), F.count_if(passing).alias("n_passing"), ratio(F.count_if(passing), F.count(F.lit(1))).alias("pass_rate"), med(passing, "between_pixel_cv").alias("median_between"), F.count_if(like).alias("n_like_for_like"),
-        med(like, "tanager_between_pixel_cv").alias("median_fine_between"), ratio(med(like, "centre_within_pixel_cv"), med(like, "tanager_between_pixel_cv")).alias("within_over_between"), F.count_if(band).alias("n_band"),
+        med(like, "fine_between_pixel_cv").alias("median_fine_between"), ratio(med(like, "centre_within_pixel_cv"), med(like, "fine_between_pixel_cv")).alias("within_over_between"), F.count_if(band).alias("n_band"),
         ratio(med(band, "band_centre_within_pixel_cv"), med(band, "band_between_pixel_cv")).alias("within_over_between_band"), med(passing, "centre_within_pixel_cv").alias("median_within"),
         F.percentile(F.when(passing, F.col("centre_within_pixel_cv")), 0.9).alias("p90_within"), above("centre_within_pixel_cv").alias("frac_centre_above"), above("box_max_within_pixel_cv").alias("frac_any_above"),
     )

@@ -40,9 +40,9 @@ TABLE = f"""{FRAME},
   CASE WHEN rrs_mean_560 > 0 THEN rrs_mean_560 END AS bm, CASE WHEN rrs_mean_560 > 0 THEN rrs_std_560 / rrs_mean_560 END AS bw, frac_water FROM frame f LEFT JOIN fx_coarse k ON f.r = k.r AND f.c = k.c),
  {ANCHORS}, {trimmed('f', 'tf')}, {trimmed('gm', 'tg')}, {trimmed('bm', 'tb')},
  rest AS (SELECT anchor_row, anchor_col, max(gw) AS box_max_within_pixel_cv, max(gw) FILTER (WHERE dr = 2 AND dc = 2) AS centre_within_pixel_cv, max(frac_water) FILTER (WHERE dr = 2 AND dc = 2) AS centre_frac_water, max(bw) FILTER (WHERE dr = 2 AND dc = 2) AS band_centre_within_pixel_cv FROM w GROUP BY ALL),
- boxes AS (SELECT anchor_row, anchor_col, tf.fraction AS box_valid_fraction, tf.cv AS between_pixel_cv, tg.cv AS tanager_between_pixel_cv, tb.cv AS band_between_pixel_cv, band_centre_within_pixel_cv, centre_within_pixel_cv, box_max_within_pixel_cv, centre_frac_water, tf.cv < 0.15 AS passes_filter
+ boxes AS (SELECT anchor_row, anchor_col, tf.fraction AS box_valid_fraction, tf.cv AS between_pixel_cv, tg.cv AS fine_between_pixel_cv, tb.cv AS band_between_pixel_cv, band_centre_within_pixel_cv, centre_within_pixel_cv, box_max_within_pixel_cv, centre_frac_water, tf.cv < 0.15 AS passes_filter
   FROM rest JOIN tf USING (anchor_row, anchor_col) JOIN tg USING (anchor_row, anchor_col) JOIN tb USING (anchor_row, anchor_col) WHERE tf.cv IS NOT NULL AND centre_within_pixel_cv IS NOT NULL)"""
-CVS = ["between_pixel_cv", "tanager_between_pixel_cv", "band_between_pixel_cv", "band_centre_within_pixel_cv", "centre_within_pixel_cv", "box_max_within_pixel_cv", "centre_frac_water"]
+CVS = ["between_pixel_cv", "fine_between_pixel_cv", "band_between_pixel_cv", "band_centre_within_pixel_cv", "centre_within_pixel_cv", "box_max_within_pixel_cv", "centre_frac_water"]
 
 
 def boxes(t):
@@ -56,13 +56,13 @@ def homogeneity_table(t):
 
 
 PASS = "FILTER (WHERE passes_filter)"
-LIKE = "FILTER (WHERE passes_filter AND tanager_between_pixel_cv IS NOT NULL)"
+LIKE = "FILTER (WHERE passes_filter AND fine_between_pixel_cv IS NOT NULL)"
 BAND = "FILTER (WHERE passes_filter AND band_between_pixel_cv IS NOT NULL AND band_centre_within_pixel_cv IS NOT NULL)"
 
 
 @query(
     f"""SELECT CAST(count(*) AS BIGINT) AS n_boxes, CAST(count(*) {PASS} AS BIGINT) AS n_passing, round(CAST(count(*) {PASS} AS DOUBLE) / nullif(count(*), 0), 8) AS pass_rate, round(median(between_pixel_cv) {PASS}, 8) AS median_between,
- CAST(count(*) {LIKE} AS BIGINT) AS n_like_for_like, round(median(tanager_between_pixel_cv) {LIKE}, 8) AS median_fine_between, round(median(centre_within_pixel_cv) {LIKE} / nullif(median(tanager_between_pixel_cv) {LIKE}, 0), 7) AS within_over_between,
+ CAST(count(*) {LIKE} AS BIGINT) AS n_like_for_like, round(median(fine_between_pixel_cv) {LIKE}, 8) AS median_fine_between, round(median(centre_within_pixel_cv) {LIKE} / nullif(median(fine_between_pixel_cv) {LIKE}, 0), 7) AS within_over_between,
  CAST(count(*) {BAND} AS BIGINT) AS n_band, round(median(band_centre_within_pixel_cv) {BAND} / nullif(median(band_between_pixel_cv) {BAND}, 0), 7) AS within_over_between_band, round(median(centre_within_pixel_cv) {PASS}, 8) AS median_within,
  round(quantile_cont(centre_within_pixel_cv, 0.9) {PASS}, 8) AS p90_within, round(avg(CASE WHEN centre_within_pixel_cv > 0.15 THEN 1.0 ELSE 0.0 END) {PASS}, 8) AS frac_centre_above, round(avg(CASE WHEN box_max_within_pixel_cv > 0.15 THEN 1.0 ELSE 0.0 END) {PASS}, 8) AS frac_any_above FROM boxes""",
     BOTH,

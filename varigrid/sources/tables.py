@@ -108,7 +108,7 @@ def load_config(path: str) -> dict:
         return yaml.safe_load(f)
 
 
-def load_scenes(table: dict, keys: Sequence[str] | None = None, id_field: str = "tanager_id") -> list[Scene]:
+def load_scenes(table: dict, keys: Sequence[str] | None = None, id_field: str = "scene_id") -> list[Scene]:
     """Scenes of a configuration table in its order, or those of ``keys``; unknown keys and numeric ids are refused."""
     numeric = [k for k, e in table.items() if not isinstance(e[id_field], str)]
     if numeric:
