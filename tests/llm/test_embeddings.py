@@ -65,6 +65,23 @@ def test_many_shards_and_blocks(spark, monkeypatch):
     check(run(spark, rows), rows)
 
 
+def test_pairs_that_share_no_shard(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SHARD", 40)
+    draw = np.random.default_rng(3)
+    a = draw.normal(0, 1, (1500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    aside = draw.normal(0, 1, a.shape)
+    aside -= (aside * a).sum(1, keepdims=True) * a
+    b = a * 0.952 + aside / np.linalg.norm(aside, axis=1, keepdims=True) * np.sqrt(1 - 0.952**2)
+    vectors = np.concatenate([a, b])
+    want = (vectors @ vectors.T / np.linalg.norm(vectors, axis=1) / np.linalg.norm(vectors, axis=1)[:, None] >= embeddings.COSINE).sum(1) - 1
+    for block in (embeddings.BLOCK, 32 * 8 * 60):
+        monkeypatch.setattr(embeddings, "BLOCK", block)
+        got = run(spark, list(enumerate(vectors.tolist())))
+        assert [got[i]["n_links"] for i in range(len(vectors))] == want.tolist()
+        assert all(got[i]["component_id"] == got[i + 1500]["component_id"] == i for i in range(1500)) and want.sum() == 3000
+
+
 def test_empty_table_and_no_good_vector(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_vectors(frame).count() == 0

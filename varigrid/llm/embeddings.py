@@ -3,7 +3,8 @@
 Vectors are dealt to their nearest cluster centres, so shards overlap. Each shard builds a robust-pruned graph;
 the lists of a vector in several shards are united. Every vector then searches each of its shards: greedily
 from the medoids of the graph's parts, and outwards from every hit for as long as vectors in range are found.
-Links are verified in double precision; a sample of queries is audited by brute force, and the graph is built
+The search stays in its shard; pairs of vectors that share no shard are compared exactly, in blocks of cells, but
+for cells that lie too far from a vector to hold any in range. Links are verified in double precision; a sample of queries is audited by brute force, and the graph is built
 anew, wider, where recall falls short.
 """
 
@@ -26,6 +27,8 @@ COSINE = 0.95
 SHARD, LARGEST = 1000, 2000
 #: Bounds: vectors that centres are fitted on, centres, queries of an audit.
 SAMPLE, CENTRES, AUDITED = 20_000, 2048, 256
+#: Bytes of a block of vectors that are compared exactly, and the least number of blocks.
+BLOCK, BLOCKS = 10 << 20, 3
 RECALL = 0.97
 ALPHA = 1.2
 
@@ -120,9 +123,94 @@ def in_range(vectors: np.ndarray, neighbours: list[np.ndarray], entries: np.ndar
     return hits[hits != query]
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links ``a, b``: the smallest row that links reach."""
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b = a[open_], b[open_]
+        np.minimum.at(label, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (jump := label[label]).tolist() != label.tolist():
+            label = jump
+    return label
+
+
+def compared(held: DataFrame, middle: np.ndarray, dimension: int, cosine: float, apart: bool = True) -> DataFrame:
+    """``v, found, least`` by exact comparison, by pairs of blocks: of the pairs of vectors that share no cell, or
+    of all pairs. A block is a run of home cells, or a part of a large one; each pair of vectors meets once.
+
+    A vector goes to a block only where a cell of it can hold a vector in range. What lies in the cell of centre c
+    is not nearer to the home's centre h than to c, so the sine of the angle to the plane between both,
+    v (h - c) / |h - c|, bounds the angle to all of it from below.
+    """
+    counts = {int(r["home"]): int(r["count"]) for r in held.groupBy("home").count().collect()}  # a row per centre at most
+    rows = max(1, min(BLOCK // (8 * dimension), -(-sum(counts.values()) // BLOCKS)))
+    first, many, block, filled = np.zeros(len(middle), np.int64), np.ones(len(middle), np.int64), 0, 0
+    for c in range(len(middle)):
+        n = counts.get(c, 0)
+        if filled and filled + n > rows:
+            block, filled = block + 1, 0
+        first[c], many[c] = block, max(1, -(-n // rows))
+        block, filled = (block + int(many[c]), 0) if many[c] > 1 else (block, filled + n)
+    sine = float(np.sqrt(1 - cosine * cosine)) + 1e-6 if cosine > 0 else 2.0
+    spread = np.maximum(0, (middle * middle).sum(1)[:, None] + (middle * middle).sum(1) - 2 * middle @ middle.T)
+
+    def placed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            home = batch.column("home").to_numpy()
+            near = directions(np.stack([np.frombuffer(x) for x in batch.column("vector").to_pylist()])) @ middle.T
+            reach = near[np.arange(len(home)), home][:, None] - near <= sine * np.sqrt(spread[home]) + 1e-9
+            reach[np.arange(len(home)), home] = not apart
+            own, pairs = [], []
+            for i, (v, h) in enumerate(zip(batch.column("v").to_pylist(), home.tolist(), strict=True)):
+                own.append(int(first[h]) + xxhash.xxh3_64_intdigest(str(v)) % int(many[h]))
+                cells = np.flatnonzero(reach[i])
+                met = set(first[cells].tolist())
+                for c in cells[many[cells] > 1].tolist():
+                    met.update(range(int(first[c]), int(first[c] + many[c])))
+                pairs.append([f"{min(b, own[-1]):09d}.{max(b, own[-1]):09d}" for b in sorted(met)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("v", "n", "vector", "cells")), pa.array(own, pa.int64()), pa.array(pairs, pa.list_(pa.string()))], ["v", "n", "vector", "cells", "block", "pairs"])
+
+    def met(table: pa.Table) -> pa.Table:
+        table = table.sort_by("v")
+        ids, count, block = (table.column(x).to_numpy() for x in ("v", "n", "block"))
+        exact = directions(np.stack([np.frombuffer(x) for x in table.column("vector").to_pylist()]))
+        cells = np.array(table.column("cells").to_pylist())
+        vectors = exact.astype(np.float32)
+        low, high = map(int, table.column("pair")[0].as_py().split("."))
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        total, pairs, label = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i in range(0, len(left), 1024):
+            for j in range(0, len(right), 4096):
+                if low == high and right[j : j + 4096][-1] <= left[i]:
+                    continue
+                a, b = np.nonzero(vectors[left[i : i + 1024]] @ vectors[right[j : j + 4096]].T >= cosine - 1e-4)
+                a, b = left[i + a], right[j + b]
+                if low == high:
+                    a, b = a[a < b], b[a < b]
+                if apart:
+                    alone = np.ones(len(a), bool)
+                    for x in range(cells.shape[1]):
+                        alone &= (cells[a, x][:, None] != cells[b]).all(1)
+                    a, b = a[alone], b[alone]
+                good = np.concatenate([np.zeros(0, bool), *((exact[a[k : k + 8192]] * exact[b[k : k + 8192]]).sum(1) >= cosine for k in range(0, len(a), 8192))])
+                a, b = a[good], b[good]
+                for x, y in ((a, b), (b, a)):
+                    np.add.at(total, x, count[y])
+                    np.add.at(pairs, x, 1)
+                label = joined(label, a, b)
+        some = np.flatnonzero(pairs)
+        return pa.table({"v": pa.array(ids[some]), "found": pa.array(total[some]), "least": pa.array(ids[label[some]])})
+
+    each = held.mapInArrow(placed, "v long, n long, vector binary, cells array<long>, block long, pairs array<string>")
+    return each.select("v", "n", "vector", "cells", "block", F.explode("pairs").alias("pair")).groupBy("pair").applyInArrow(met, "v long, found long, least long")
+
+
 def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degree: int, beam: int) -> DataFrame:
     """``v, found, least``: for each class, its number of linked vectors, and the smallest class that links within
-    its shard reach, by shard."""
+    its shard, or pair of blocks, reach, by shard or pair."""
     n = classes.count()
     rows = min(SAMPLE, max(1000, (24 << 20) // (8 * dimension)))
     sample = bounded(classes, rows, "v").select("vector").toPandas()["vector"]
@@ -133,10 +221,12 @@ def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degre
     def dealt(batches):
         for batch in batches:
             if batch.num_rows:
-                near = np.argpartition(-(directions(np.stack([np.frombuffer(x) for x in batch.column("vector").to_pylist()])) @ middle.T), take - 1, axis=1)[:, :take]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.sort(near, 1).tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
+                close = directions(np.stack([np.frombuffer(x) for x in batch.column("vector").to_pylist()])) @ middle.T
+                near = np.argpartition(-close, take - 1, axis=1)[:, :take]
+                home = near[np.arange(len(near)), np.take_along_axis(close, near, 1).argmax(1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.tolist(), pa.int64()), pa.array(np.sort(near, 1).tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "home", "cells"])
 
-    held = written(classes.mapInArrow(dealt, "v long, n long, vector binary, cells array<long>"), "cells")
+    held = written(classes.mapInArrow(dealt, "v long, n long, vector binary, home long, cells array<long>"), "cells")
     large = held.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > LARGEST).collect()  # a row per centre at most
     blocks = {int(r["cell"]): -(-2 * int(r["count"]) // LARGEST) for r in large}
 
@@ -153,7 +243,7 @@ def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degre
                 out.append(sorted(own))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], [*batch.schema.names, "shards"])
 
-    sharded = written(held.mapInArrow(shards, "v long, n long, vector binary, cells array<long>, shards array<string>").drop("cells"), "shards")
+    sharded = written(held.mapInArrow(shards, "v long, n long, vector binary, home long, cells array<long>, shards array<string>").drop("home", "cells"), "shards")
     each = sharded.select("v", "n", "vector", "shards", F.explode("shards").alias("shard"))
 
     def built(table: pa.Table) -> pa.Table:
@@ -194,7 +284,10 @@ def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degre
         some = np.flatnonzero((total > 0) | (least < ids))
         return pa.table({"v": pa.array(ids[some]), "found": pa.array(total[some]), "least": pa.array(least[some])})
 
-    out = written(each.join(united, "v").groupBy("shard").applyInArrow(searched, "v long, found long, least long"), "vector-links")
+    found = each.join(united, "v").groupBy("shard").applyInArrow(searched, "v long, found long, least long")
+    if take < len(middle):
+        found = found.unionByName(compared(held, middle, dimension, cosine))
+    out = written(found, "vector-links")
     dropped(held, sharded, united)
     return out
 
