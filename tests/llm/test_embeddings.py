@@ -82,6 +82,25 @@ def test_pairs_that_share_no_shard(spark, monkeypatch):
         assert all(got[i]["component_id"] == got[i + 1500]["component_id"] == i for i in range(1500)) and want.sum() == 3000
 
 
+def test_audit_binds_and_copies_do_not_outweigh(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    a = draw.normal(0, 1, (60, 16))
+    rows = list(enumerate([*a.tolist(), *(a + draw.normal(0, 0.02, a.shape)).tolist()]))
+    rows += [(1000 + i, rows[0][1]) for i in range(4000)]  # one vector copied into nearly all rows
+    found = embeddings.in_range
+
+    def poor(vectors, neighbours, entries, query, *options):  # finds the links of the copied vector and its near copy only
+        hits = found(vectors, neighbours, entries, query, *options)
+        copied = directions[0] @ vectors[query] > 0.95
+        return hits if copied else hits[:0]
+
+    directions = embeddings.directions(np.array([rows[0][1]])).astype(np.float32)
+    monkeypatch.setattr(embeddings, "in_range", poor)
+    got = run(spark, rows)
+    assert all(got[i]["component_id"] == i % 60 and got[i]["n_links"] == (4001 if i % 60 == 0 else 1) for i in range(120))
+    assert got[5]["audited_recall"] == 1
+
+
 def test_empty_table_and_no_good_vector(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_vectors(frame).count() == 0

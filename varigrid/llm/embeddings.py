@@ -4,8 +4,9 @@ Vectors are dealt to their nearest cluster centres, so shards overlap. Each shar
 the lists of a vector in several shards are united. Every vector then searches each of its shards: greedily
 from the medoids of the graph's parts, and outwards from every hit for as long as vectors in range are found.
 The search stays in its shard; pairs of vectors that share no shard are compared exactly, in blocks of cells, but
-for cells that lie too far from a vector to hold any in range. Links are verified in double precision; a sample of queries is audited by brute force, and the graph is built
-anew, wider, where recall falls short.
+for cells that lie too far from a vector to hold any in range. Links are verified in double precision. An audit compares the links of a sample of linked vectors with brute force,
+each vector counting alike; where recall falls short, the graph is built anew, wider, and at last every pair is
+compared exactly.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from varigrid.llm.components import components
 COSINE = 0.95
 #: Vectors of a shard, about, and at most; a larger cluster is dealt in blocks, and every pair of blocks is a shard.
 SHARD, LARGEST = 1000, 2000
-#: Bounds: vectors that centres are fitted on, centres, queries of an audit.
-SAMPLE, CENTRES, AUDITED = 20_000, 2048, 256
+#: Bounds: vectors that centres are fitted on, centres, linked queries of an audit, classes drawn to find these.
+SAMPLE, CENTRES, AUDITED, DRAWN = 20_000, 2048, 256, 16_384
 #: Bytes of a block of vectors that are compared exactly, and the least number of blocks.
 BLOCK, BLOCKS = 10 << 20, 3
 RECALL = 0.97
@@ -136,7 +137,7 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compared(held: DataFrame, middle: np.ndarray, dimension: int, cosine: float, apart: bool = True) -> DataFrame:
-    """``v, found, least`` by exact comparison, by pairs of blocks: of the pairs of vectors that share no cell, or
+    """``v, found, pairs, least`` by exact comparison, by pairs of blocks: of the pairs of vectors that share no cell, or
     of all pairs. A block is a run of home cells, or a part of a large one; each pair of vectors meets once.
 
     A vector goes to a block only where a cell of it can hold a vector in range. What lies in the cell of centre c
@@ -202,15 +203,15 @@ def compared(held: DataFrame, middle: np.ndarray, dimension: int, cosine: float,
                     np.add.at(pairs, x, 1)
                 label = joined(label, a, b)
         some = np.flatnonzero(pairs)
-        return pa.table({"v": pa.array(ids[some]), "found": pa.array(total[some]), "least": pa.array(ids[label[some]])})
+        return pa.table({"v": pa.array(ids[some]), "found": pa.array(total[some]), "pairs": pa.array(pairs[some]), "least": pa.array(ids[label[some]])})
 
     each = held.mapInArrow(placed, "v long, n long, vector binary, cells array<long>, block long, pairs array<string>")
-    return each.select("v", "n", "vector", "cells", "block", F.explode("pairs").alias("pair")).groupBy("pair").applyInArrow(met, "v long, found long, least long")
+    return each.select("v", "n", "vector", "cells", "block", F.explode("pairs").alias("pair")).groupBy("pair").applyInArrow(met, "v long, found long, pairs long, least long")
 
 
-def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degree: int, beam: int) -> DataFrame:
-    """``v, found, least``: for each class, its number of linked vectors, and the smallest class that links within
-    its shard, or pair of blocks, reach, by shard or pair."""
+def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degree: int, beam: int, exact: bool = False) -> DataFrame:
+    """``v, found, pairs, least``: for each class, its number of linked vectors and of linked classes, and the smallest class that links within
+    its shard, or pair of blocks, reach, by shard or pair. With ``exact`` no graph is built, and every pair is compared."""
     n = classes.count()
     rows = min(SAMPLE, max(1000, (24 << 20) // (8 * dimension)))
     sample = bounded(classes, rows, "v").select("vector").toPandas()["vector"]
@@ -227,6 +228,10 @@ def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degre
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.tolist(), pa.int64()), pa.array(np.sort(near, 1).tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "home", "cells"])
 
     held = written(classes.mapInArrow(dealt, "v long, n long, vector binary, home long, cells array<long>"), "cells")
+    if exact:
+        out = written(compared(held, middle, dimension, cosine, apart=False), "vector-links")
+        dropped(held)
+        return out
     large = held.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > LARGEST).collect()  # a row per centre at most
     blocks = {int(r["cell"]): -(-2 * int(r["count"]) // LARGEST) for r in large}
 
@@ -275,16 +280,17 @@ def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degre
             for j in in_range(vectors, neighbours, entries, i, cosine - 1e-4, beam).tolist():
                 found[i].add(j)
                 found[j].add(i)
-        total, linked = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)] * len(ids)
+        total, pairs, linked = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)] * len(ids)
         for i, hits in enumerate(found):
             j = np.array(sorted(hits), np.int64)
             linked[i] = j = j[exact[j] @ exact[i] >= cosine]
-            total[i] = sum(int(count[x]) for x in j.tolist() if min(own[i] & own[x]) == shard)
+            here = [int(count[x]) for x in j.tolist() if min(own[i] & own[x]) == shard]
+            total[i], pairs[i] = sum(here), len(here)
         least = ids[parts(linked)]  # ids ascend, so the part's first is its smallest
         some = np.flatnonzero((total > 0) | (least < ids))
-        return pa.table({"v": pa.array(ids[some]), "found": pa.array(total[some]), "least": pa.array(least[some])})
+        return pa.table({"v": pa.array(ids[some]), "found": pa.array(total[some]), "pairs": pa.array(pairs[some]), "least": pa.array(least[some])})
 
-    found = each.join(united, "v").groupBy("shard").applyInArrow(searched, "v long, found long, least long")
+    found = each.join(united, "v").groupBy("shard").applyInArrow(searched, "v long, found long, pairs long, least long")
     if take < len(middle):
         found = found.unionByName(compared(held, middle, dimension, cosine))
     out = written(found, "vector-links")
@@ -293,7 +299,7 @@ def links(classes: DataFrame, dimension: int, cosine: float, overlap: int, degre
 
 
 def brute(classes: DataFrame, queries: list[tuple[int, bytes]], cosine: float) -> dict[int, int]:
-    """Numbers of linked vectors of a bounded list of classes, against all classes in blocks."""
+    """Numbers of linked classes of a bounded list of classes, against all classes in blocks."""
     ids = np.array([v for v, _ in queries], np.int64)
     unit = directions(np.stack([np.frombuffer(x) for _, x in queries]))
 
@@ -304,19 +310,34 @@ def brute(classes: DataFrame, queries: list[tuple[int, bytes]], cosine: float) -
                 part = batch.slice(i, 4096)
                 near = directions(np.stack([np.frombuffer(x) for x in part.column("vector").to_pylist()])) @ unit.T >= cosine
                 near &= part.column("v").to_numpy()[:, None] != ids
-                total += part.column("n").to_numpy() @ near
+                total += near.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["v", "links"])
 
     return {r["v"]: r["links"] for r in classes.mapInArrow(counted, "v long, links long").groupBy("v").agg(F.sum("links").alias("links")).collect()}
 
 
+def audit(classes: DataFrame, dimension: int, cosine: float) -> tuple[dict[int, int], bool]:
+    """True numbers of linked classes of at most ``AUDITED`` classes that have a link besides equal vectors, and whether
+    they can tell the recall. Classes are drawn, ever more of them, until so many are linked or the bound of the draw
+    is met; fewer come back then, and none tell the recall only where all classes were drawn."""
+    most = max(AUDITED, min(DRAWN, (24 << 20) // (8 * dimension)))
+    n, drawn = classes.count(), min(most, 4 * AUDITED)
+    while True:
+        queries = [(r["v"], r["vector"]) for r in bounded(classes, drawn, "v").select("v", "vector").collect()]
+        linked = {v: t for v, t in (brute(classes, queries, cosine) if queries else {}).items() if t}
+        if len(linked) >= AUDITED or drawn >= min(n, most):
+            return dict(sorted(linked.items(), key=lambda x: xxhash.xxh3_64_intdigest(str(x[0])))[:AUDITED]), bool(linked) or n <= drawn
+        drawn = min(most, 4 * drawn)
+
+
 def near_vectors(rows: DataFrame, cosine: float = COSINE, overlap: int = 2, degree: int = 24, beam: int = 24, recall: float = RECALL) -> DataFrame:
     """``vec_id, n_links, component_id, kept, audited_recall`` of every row of ``rows`` (``vec_id, embedding``).
 
     Equal vectors are one class and link with each other. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing. Vectors of different lengths do not link. Rows that repeat a
     vec_id with the same vector count once and each come back; null ids are kept and link with nothing. An
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. ``audited_recall`` is the mean share of links found over the
+    audited vectors (1 where there is no link to find, or every pair was compared because no audited vector had any).
     """
 
     def read(batches):
@@ -335,20 +356,18 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, overlap: int = 2, degr
     total, least, audited = None, None, None
     for d in sorted(int(r["d"]) for r in classes.select("d").distinct().collect()):
         own = classes.where(F.col("d") == d).drop("d")
-        queries = [(r["v"], r["vector"]) for r in bounded(own, AUDITED, "v").select("v", "vector").collect()]
-        truth = brute(own, queries, cosine)
-        wide = 1
-        while True:
-            got = links(own, d, cosine, overlap + wide - 1, degree * wide, beam * wide)
-            counts = got.groupBy("v").agg(F.sum("found").alias("found"))
-            seen = {r["v"]: r["found"] for r in counts.where(F.col("v").isin([v for v, _ in queries])).collect()}
-            reached = sum(min(seen.get(v, 0), t) for v, t in truth.items()) / max(1, sum(truth.values())) if sum(truth.values()) else 1.0
-            if reached >= recall or wide == 3:
+        truth, tells = audit(own, d, cosine)
+        for wide in (1, 2, 3, 0) if tells else (0,):  # 0: every pair is compared
+            got = links(own, d, cosine, overlap + wide - 1, degree * wide, beam * wide) if wide else links(own, d, cosine, overlap, degree, beam, exact=True)
+            counts = got.groupBy("v").agg(F.sum("found").alias("found"), F.sum("pairs").alias("pairs"))
+            seen = {r["v"]: r["pairs"] for r in counts.where(F.col("v").isin(list(truth))).collect()}
+            counts = counts.drop("pairs")
+            reached = float(np.mean([min(seen.get(v, 0) / t, 1) for v, t in truth.items()])) if truth else 1.0
+            if reached >= recall or not wide:
                 break
             dropped(got)
-            wide += 1
         audited = reached if audited is None else min(audited, reached)
-        counts, ends = counts, got.select(F.col("v").alias("a"), F.col("least").alias("b"))
+        ends = got.select(F.col("v").alias("a"), F.col("least").alias("b"))
         total = counts if total is None else total.unionByName(counts)
         least = ends if least is None else least.unionByName(ends)
     out = all_.select("vec_id", "key")
