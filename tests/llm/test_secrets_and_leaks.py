@@ -67,6 +67,15 @@ def test_templates_are_caught(spark, bench):
     assert decontamination.leaks(docs.where("false"), bench).count() == 0 and decontamination.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_added_and_dropped_words(spark, bench):
+    more, less, slot = QUESTION.replace("walks", "slowly walks"), QUESTION.replace("while Bob", "Bob"), QUESTION.replace("Madrid after 12 hours", "Madrid after 1 000 hours")
+    broken = more.replace("60 km home", "70 km home")  # one value of the item becomes two
+    texts = ["x " * 50 + more, less + " word" * 3000, slot, broken]
+    rows = {(r["doc_id"], r["item_id"]): r for r in decontamination.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert {(0, 1), (1, 1), (2, 1)} <= set(rows) and (3, 1) not in rows
+    assert all(0.8 <= rows[i, 1]["coverage"] <= 1 for i in range(3)) and rows[0, 1]["changed"] == 0
+
+
 def test_no_python_on_the_main_path(spark, bench):
     plan = decontamination.leaks(spark.createDataFrame([(1, QUESTION)], "doc_id long, text string").repartition(2), bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

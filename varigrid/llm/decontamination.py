@@ -2,8 +2,9 @@
 
 Numbers, names (capitalised words inside a sentence) and units after numbers become typed placeholders, so a
 re-parameterised question has the windows of its template. Windows of five words are hash-joined; hits on one
-diagonal (document position less item position) say how many of the item's words the document covers. On
-covered items the values in the slots must map one to one onto the item's values.
+diagonal (document position less item position), or on a band of neighbouring ones where words were added or
+dropped, say how many of the item's words the document covers. On covered items the values in the slots must map
+one to one onto the item's values.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from varigrid.llm.common import written
 
 WINDOW = 5
 COVERAGE = 0.8
+#: Any diagonals within this share of an item's words (and at least LEAST_BAND) are in one band, which is twice as wide.
+BAND, LEAST_BAND = 0.1, 2
 #: Windows of the benchmark up to which they are broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 BROADCAST_CANDIDATES = 200_000
@@ -70,22 +73,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         of_items = F.broadcast(of_items)
     of_docs = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.explode(windows(F.col("w"), sorted(sizes))).alias("x"))
     hits = of_docs.select("doc_id", F.col("x.i").alias("i"), F.col("x.h").alias("h")).join(of_items, "h")
-    found = hits.groupBy("doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.max("n").alias("n"), F.max("k").alias("k"), F.collect_set("j").alias("js"))
-    words = F.size(F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + F.col("k") - 1)))))
+    diagonal, half = F.col("i") - F.col("j"), F.greatest(F.lit(LEAST_BAND), F.ceil(F.col("n") * BAND)).cast("int")
+    band = F.floor(diagonal / half).cast("int")
+    part = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"))
+    hits = hits.select("doc_id", "item_id", "n", "k", "j", diagonal.alias("d"), F.explode(F.array(part(0, diagonal), part(1, band), part(1, band - 1))).alias("part"))
+    found = hits.groupBy("doc_id", "item_id", "part").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.collect_set(F.struct("j", "d")).alias("at"))
+    words = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["j"], x["j"] + F.col("k") - 1)))))
     found = found.withColumn("coverage", F.round(words / F.col("n"), 6)).where(F.col("coverage") >= coverage)
-    found = written(found.select("doc_id", "item_id", "diagonal", "coverage"), "leak-candidates")
+    found = written(found.select("doc_id", "item_id", "part", "k", "at", "coverage"), "leak-candidates")
     slots = F.transform(F.sequence(F.lit(1), F.size("raw")), lambda p: F.struct((p - 1).alias("p"), F.regexp_extract(F.get("raw", p - 1), f"([{NAME}-{UNIT}].*)", 1).alias("v")))
     slotted = items.select("item_id", F.filter(slots, lambda s: s["v"] != "").alias("slots")).where(F.size("slots") > 0)
     to_check = found.join(slotted, "item_id")
     if found.count() <= BROADCAST_CANDIDATES:
         to_check = F.broadcast(to_check)
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(to_check, F.col("_id").eqNullSafe(F.col("doc_id")))
-    pairs = texts.select("doc_id", "item_id", "diagonal", tokens(F.col("text"), raw=True).alias("raw"), F.explode("slots").alias("s"))
-    value = F.regexp_extract(F.get("raw", F.col("s.p") + F.col("diagonal")), f"([{NAME}-{UNIT}].*)", 1)
-    pairs = pairs.where(F.col("s.p") + F.col("diagonal") >= 0).select("doc_id", "item_id", "diagonal", "s.p", F.col("s.v").alias("a"), value.alias("b")).where("b <> ''").distinct()
-    told = pairs.groupBy("doc_id", "item_id", "diagonal").agg(F.countDistinct("p").alias("n_slots"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("changed"), F.countDistinct("a", "b").alias("ab"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"))
-    told = told.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "item_id", "diagonal")})
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "item_id", "diagonal")]
+    pairs = texts.select("doc_id", "item_id", "part", "k", "at", tokens(F.col("text"), raw=True).alias("raw"), F.explode("slots").alias("s"))
+    # a slot lies on the diagonal of the windows over it, or else of the nearest window; of several, on the fullest
+    gap = lambda x: F.greatest(F.lit(0), x["j"] - F.col("s.p"), F.col("s.p") - x["j"] - F.col("k") + 1)
+    place = F.array_max(F.transform("at", lambda x: F.struct((-gap(x)).alias("near"), F.size(F.filter("at", lambda y: y["d"] == x["d"])).alias("full"), x["d"].alias("d"))))["d"]
+    pairs = pairs.withColumn("q", F.col("s.p") + place).where("q >= 0")
+    value = F.regexp_extract(F.get("raw", F.col("q")), f"([{NAME}-{UNIT}].*)", 1)
+    pairs = pairs.select("doc_id", "item_id", "part", "s.p", F.col("s.v").alias("a"), value.alias("b")).where("b <> ''").distinct()
+    told = pairs.groupBy("doc_id", "item_id", "part").agg(F.countDistinct("p").alias("n_slots"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("changed"), F.countDistinct("a", "b").alias("ab"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"))
+    told = told.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "item_id", "part")})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "item_id", "part")]
     one_to_one = F.coalesce((F.col("ab") == F.col("na")) & (F.col("ab") == F.col("nb")), F.lit(True))
     judged = found.join(told, same, "left").select("doc_id", "item_id", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("changed", F.lit(0)).alias("changed"), one_to_one.alias("consistent"))
     best = F.max(F.struct("coverage", (-F.col("changed")).alias("unchanged"), "n_slots")).alias("b")
