@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only (operator 9, a stage).
 
-Numbers, names (capitalised words inside a sentence) and units after numbers become typed placeholders, so a
+Numbers, names (runs of capitalised words, of which one stands inside a sentence; a run is one placeholder) and
+units after numbers become typed placeholders, so a
 re-parameterised question has the windows of its template. Windows of five words are hash-joined; hits on one
 diagonal (document position less item position), or on a band of neighbouring ones where words were added or
 dropped, say how many of the item's words the document covers. On covered items the values in the slots must map
@@ -24,6 +25,10 @@ BROADCAST_CANDIDATES = 200_000
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|l|ml|s|ms|h|min|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|dollars?|euros?|cents?|percent|degrees?|liters?|litres?|grams?|pounds?"
+#: A word of a name, and the blank between two of them that are marked.
+NAME_WORD = r"((?<=[\p{L}\p{N},;:] )\p{Lu}\p{L}{1,255}(?!\p{L})|(?<![\p{L}\p{N}])\p{Lu}\p{L}{1,255}(?= \p{Lu}\p{L}{1,255}(?!\p{L})))"
+NAME_BLANK = rf" (?={NAME}\p{{L}})(?<={NAME}\p{{L}}{{2,256}} )"
+#: Names as the SQL has them.
 NAME_PATTERN = r"([\p{L}\p{N},;:] )(\p{Lu}\p{L}+)"
 NUMBER_PATTERN = r"(\p{N}+(?:[.,]\p{N}+)*)"
 SEPARATOR = rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+"
@@ -31,9 +36,10 @@ SEPARATOR = rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+"
 
 def tokens(text: Column, raw: bool = False) -> Column:
     """Canonical words; with ``raw``, as many words in which each placeholder is followed by what it stands for."""
-    keep = "$2" if raw else ""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), NAME_PATTERN, f"$1{NAME}{keep}")
-    number = f"{NUMBER}{keep.replace('2', '1').replace('.', '')}"
+    keep = "$1" if raw else ""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), NAME_WORD, f"{NAME}{keep}")
+    out = F.regexp_replace(out, *((NAME_BLANK, "") if raw else (f"{NAME}(?: {NAME})+", NAME)))
+    number = f"{NUMBER}{keep}"
     out = F.regexp_replace(out, NUMBER_PATTERN, number)
     if raw:  # parts of one number stay one word
         out = F.regexp_replace(out, rf"(?<=\p{{N}})[.,](?=\p{{N}})", "")
@@ -57,18 +63,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
     ``doc_id, item_id, coverage`` (share of the item's words under matching windows), ``n_slots`` and
     ``changed`` (slots with another value than the item's). An item of fewer words than ``window`` matches as
-    one window; an item without words matches nothing. Null and empty texts match nothing; rows that repeat a
+    one window; an item without words matches nothing, and one of placeholders alone only what has its values. Null and empty texts match nothing; rows that repeat a
     doc_id are one document; empty tables give no rows; other columns are ignored.
     """
     items = benchmark.select("item_id", F.col("text").alias("_t")).distinct()
     items = items.select("item_id", tokens(F.col("_t")).alias("w"), tokens(F.col("_t"), raw=True).alias("raw")).where(F.size("w") > 0)
+    items = items.withColumn("literal", F.exists("w", lambda w: ~F.substring(w, 1, 1).isin(NAME, NUMBER, UNIT)))
     items = written(items.withColumn("k", F.least(F.size("w"), F.lit(window))), "benchmark")
     sizes = [r["k"] for r in items.select("k").distinct().collect()] or [window]  # at most `window` values
     of_items = None
     for k in sizes:
-        some = items.where(F.col("k") == k).select("item_id", F.size("w").alias("n"), "k", F.explode(windows(F.col("w"), [k])).alias("x"))
+        some = items.where(F.col("k") == k).select("item_id", F.size("w").alias("n"), "k", "literal", F.explode(windows(F.col("w"), [k])).alias("x"))
         of_items = some if of_items is None else of_items.unionByName(some)
-    of_items = of_items.select("item_id", "n", "k", F.col("x.i").alias("j"), F.col("x.h").alias("h"))
+    of_items = of_items.select("item_id", "n", "k", "literal", F.col("x.i").alias("j"), F.col("x.h").alias("h"))
     if of_items.count() <= BROADCAST_WINDOWS:
         of_items = F.broadcast(of_items)
     of_docs = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.explode(windows(F.col("w"), sorted(sizes))).alias("x"))
@@ -76,11 +83,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     diagonal, half = F.col("i") - F.col("j"), F.greatest(F.lit(LEAST_BAND), F.ceil(F.col("n") * BAND)).cast("int")
     band = F.floor(diagonal / half).cast("int")
     part = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"))
-    hits = hits.select("doc_id", "item_id", "n", "k", "j", diagonal.alias("d"), F.explode(F.array(part(0, diagonal), part(1, band), part(1, band - 1))).alias("part"))
-    found = hits.groupBy("doc_id", "item_id", "part").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.collect_set(F.struct("j", "d")).alias("at"))
+    hits = hits.select("doc_id", "item_id", "n", "k", "literal", "j", diagonal.alias("d"), F.explode(F.array(part(0, diagonal), part(1, band), part(1, band - 1))).alias("part"))
+    found = hits.groupBy("doc_id", "item_id", "part").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.max("literal").alias("literal"), F.collect_set(F.struct("j", "d")).alias("at"))
     words = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["j"], x["j"] + F.col("k") - 1)))))
     found = found.withColumn("coverage", F.round(words / F.col("n"), 6)).where(F.col("coverage") >= coverage)
-    found = written(found.select("doc_id", "item_id", "part", "k", "at", "coverage"), "leak-candidates")
+    found = written(found.select("doc_id", "item_id", "part", "k", "literal", "at", "coverage"), "leak-candidates")
     slots = F.transform(F.sequence(F.lit(1), F.size("raw")), lambda p: F.struct((p - 1).alias("p"), F.regexp_extract(F.get("raw", p - 1), f"([{NAME}-{UNIT}].*)", 1).alias("v")))
     slotted = items.select("item_id", F.filter(slots, lambda s: s["v"] != "").alias("slots")).where(F.size("slots") > 0)
     to_check = found.join(slotted, "item_id")
@@ -97,7 +104,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     told = pairs.groupBy("doc_id", "item_id", "part").agg(F.countDistinct("p").alias("n_slots"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("changed"), F.countDistinct("a", "b").alias("ab"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"))
     told = told.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "item_id", "part")})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "item_id", "part")]
-    one_to_one = F.coalesce((F.col("ab") == F.col("na")) & (F.col("ab") == F.col("nb")), F.lit(True))
+    one_to_one = F.coalesce((F.col("ab") == F.col("na")) & (F.col("ab") == F.col("nb")), F.lit(True)) & (F.col("literal") | (F.coalesce("changed", F.lit(0)) == 0))
     judged = found.join(told, same, "left").select("doc_id", "item_id", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("changed", F.lit(0)).alias("changed"), one_to_one.alias("consistent"))
     best = F.max(F.struct("coverage", (-F.col("changed")).alias("unchanged"), "n_slots")).alias("b")
     return judged.where("consistent").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.coverage", F.col("b.n_slots").cast("long").alias("n_slots"), (-F.col("b.unchanged")).cast("long").alias("changed"))
