@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,9 +18,12 @@ STEP_BYTES, STEP_ROWS = 2 << 20, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this
+    machine, if all tasks run in the driver's process; on a cluster an error, as executors would not see each other's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="varigrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,9 +55,24 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def bounded(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """At most about ``rows`` rows, chosen by the hash of ``keys``: the documented bound of a training sample."""
-    n = df.count()
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns that an operator returns itself; names differ in more than case."""
+    return df.drop(*(c for c in df.columns if c.lower() in {n.lower() for n in names}))
+
+
+def numbered(df: DataFrame, *more: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with its columns but those of ``keep`` named ``c0, c1, ...``, so that none clashes with a working column, and ``more``."""
+    return df.select(*(F.col(quoted(c)).alias(c.lower() if c.lower() in keep else f"c{i}") for i, c in enumerate(df.columns)), *more)
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def bounded(df: DataFrame, rows: int, *keys: str, total: int | None = None) -> DataFrame:
+    """At most about ``rows`` rows, chosen by the hash of ``keys``: the documented bound of a training sample. ``total``
+    may give a number that ``df`` does not exceed (a file's number of rows, which costs no scan), or its rows are counted."""
+    n = df.count() if total is None else total
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
