@@ -29,7 +29,6 @@ def ids(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4") for _, text in docs]
 
 
@@ -39,11 +38,26 @@ def test_encoder_equals_the_library(docs, ids):
 
 
 def test_encoder_forgets_without_changing_results(docs, ids, monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 5)
-    encoder = tokens.Encoder(PATH)
-    for (_, text), want in zip(docs, ids, strict=True):
-        flat, _ = encoder([text])
-        assert flat.tolist() == want[:-1].tolist()
+    for remembered in (5, 20_000):
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        encoder = tokens.Encoder(PATH)
+        for (_, text), want in zip(docs, ids, strict=True):
+            flat, _ = encoder([text])
+            assert flat.tolist() == want[:-1].tolist()
+        assert encoder.weight <= remembered + 60 * (tokens.WORD_BYTES + 9000)
+
+
+def test_an_added_token_is_one_id():
+    flat, sizes = tokens.Encoder(PATH)(["hello <|endoftext|> world", "plain"])
+    assert flat[: sizes[0]].tolist() == [31373, 220, 50256, 995]
+
+
+def test_long_texts_are_cut_without_changing_ids(docs, ids, monkeypatch):
+    monkeypatch.setattr(tokens, "AT_ONCE", 7)
+    flat, sizes = tokens.with_end(*tokens.Encoder(PATH)([t for _, t in docs]), 2)
+    assert [x.tolist() for x in tokens.each(flat, sizes)] == [x.tolist() for x in ids]
+    text = "one two's\nthree,\nFour  five\n\nsix don't 1 2"
+    assert "".join(tokens.cut(text)) == text and len(list(tokens.cut(text))) > 2
 
 
 def test_files_round_trip(spark, docs, ids):

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from varigrid.llm.common import steps, written
-from varigrid.llm.tokens import each, encoder, with_end
+from varigrid.llm.common import give_back, steps, written
+from varigrid.llm.tokens import each, encoder, release, with_end
 
-#: Rows that share a rank group; a length with more rows is dealt over several groups.
+#: Rows that share a rank group, at most about; a length's rows are dealt over as many groups as a shuffle has partitions, or more.
 GROUP_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -34,6 +34,8 @@ def pieces(docs: DataFrame, path: str, end: int, size: int) -> DataFrame:
             crc = [zlib.crc32(x) for x in each(ids.astype("<u4"), length)]
             doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(many)), many)))
             yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -78,11 +80,11 @@ def packed(docs: DataFrame, path: str, end: int = 2, size: int = 1024, group_row
 
     The plan needs only counts by length: at most ``size`` rows reach the driver. Pieces are then ranked within
     their length (a length's rows are dealt over hashed groups, so that none is large) and take planned slots
-    by that rank. Null text is empty: one id. Rows that repeat a doc_id are packed as they come; an empty
+    by that rank. Null text is empty: one id; a very long text becomes pieces like any other. Rows that repeat a doc_id are packed as they come; an empty
     table gives no rows; other columns are ignored.
     """
     rows = written(pieces(docs, path, end, size), "pieces")
-    groups = -(-max(1, rows.count()) // group_rows)
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(1, rows.count()) // group_rows))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     lengths = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

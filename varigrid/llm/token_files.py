@@ -2,21 +2,20 @@
 
 A file is a Parquet table with a row per document in ascending ``doc_id`` order: ``part`` (the file's number),
 ``doc_id``, ``local_start`` (ids before the document in its file), ``n_tokens``, ``payload`` (the codes, most
-significant bit first, padded to whole bytes) and ``checkpoints`` (little-endian unsigned 32-bit bit offsets
+significant bit first, padded to whole bytes) and ``checkpoints`` (little-endian unsigned 64-bit bit offsets
 of every block of :data:`BLOCK` ids). Blocks decode independently of each other. The table ``codebook`` beside
 it holds ``id`` and ``bits``; canonical codes follow from these two.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import dropped, new_path, steps, written
-from varigrid.llm.tokens import each, encoder, with_end
+from varigrid.llm.common import dropped, give_back, new_path, steps, written
+from varigrid.llm.tokens import each, encoder, release, with_end
 
 BLOCK = 256
 #: Longest code; 2**MAX_BITS must be at least the number of distinct ids.
@@ -36,6 +35,8 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
             ids, sizes = with_end(*encode(batch.column("text").to_pylist()), end)
             rows = [x.tobytes() for x in each(ids.astype("<u4"), sizes)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        release()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ids_of, IDS)
 
@@ -105,7 +106,7 @@ class Code:
         rank = np.arange(len(ids)) - np.repeat(ends - sizes, sizes)
         mark = np.flatnonzero(rank % BLOCK == 0)
         doc = np.repeat(np.arange(len(sizes)), sizes)[mark]
-        offsets = (at[mark] - 8 * base[doc]).astype("<u4")
+        offsets = (at[mark] - 8 * base[doc]).astype("<u8")
         cuts = np.searchsorted(doc, np.arange(len(sizes) + 1))
         return [data[a:b] for a, b in zip(base[:-1], base[1:], strict=True)], [offsets[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -118,7 +119,7 @@ class Code:
         lanes = (sizes + BLOCK - 1) // BLOCK
         doc = np.repeat(np.arange(len(sizes)), lanes)
         within = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        at = np.frombuffer(b"".join(checkpoints), "<u4").astype(np.int64) + base[doc]
+        at = np.frombuffer(b"".join(checkpoints), "<u8").astype(np.int64) + base[doc]
         to = (np.cumsum(sizes) - sizes)[doc] + within * BLOCK
         left = np.minimum(BLOCK, sizes[doc] - within * BLOCK)
         order = np.argsort(-left, kind="stable")
@@ -215,5 +216,3 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     write_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), 2, folder)
     return read_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-

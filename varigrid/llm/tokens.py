@@ -9,8 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words that a worker remembers before it starts anew; it bounds the worker's memory, not the result.
-REMEMBERED = 600_000
+#: Bytes, about, of the words that a worker remembers before it keeps only those met often; it bounds the worker's memory, not
+#: the result. A word's share is its characters and WORD_BYTES.
+REMEMBERED, WORD_BYTES = 48 << 20, 200
+#: Characters that are encoded at once; a longer text is cut where the vocabulary's split into words never depends on both sides.
+AT_ONCE = 1 << 20
+#: Such a place: before a blank between letters, or a line end between characters that are no white space.
+CUT = re.compile("(?<=[a-z]) (?=[a-z])|(?<=[a-z,.])\n(?=[A-Za-z])")
 
 
 def _classes() -> tuple[str, str, str]:
@@ -33,8 +38,9 @@ class Encoder:
     """Ids of texts under a byte-level vocabulary file of the ``tokenizers`` library.
 
     The vocabulary splits text into words before it merges bytes, so a text's ids are its words' ids in a
-    row. Texts in Latin letters are split here and each distinct word is encoded once; any other text goes to
-    the library whole. Texts are ordinary text: the strings of special tokens in them are not special.
+    row. Texts in Latin letters are split here and each distinct word is encoded once; any other text, and one that
+    holds the string of an added token, goes to the library as it is. Ids are those of the library's
+    ``encode(text, add_special_tokens=False)``: no token is added, and an added token's string is that token.
     """
 
     def __init__(self, path: str):
@@ -42,22 +48,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         letters, numbers, space = _classes()
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
-        self.other = re.compile("[^\\x00-\\x1b\\x20-\\u024f]")
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.other = re.compile("|".join(["[^\\x00-\\x1b\\x20-\\u024f]", *map(re.escape, added)]))
         vocabulary = self.tokenizer.get_vocab()
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int32)
         self.id_bytes[list(vocabulary.values())] = list(map(len, vocabulary))  # a character stands for a byte
-        self.known, self.used = Known(), 0
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget every word."""
+        self.known, self.used, self.weight = Known(), 0, 0
         self.known.new = []
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin, self.size, self.hits = (np.zeros(1 << 14, t) for t in (np.int64, np.int32, np.int32))
 
     def forget(self) -> None:
-        """Keep the words met often."""
-        keep = np.flatnonzero(self.hits[: len(self.known)] > 2)
+        """Keep the words met often, or none if those are too many."""
         words = list(self.known)
+        keep = np.flatnonzero(self.hits[: len(words)] > 2)
+        self.weight = sum(len(words[i]) + WORD_BYTES for i in keep.tolist())
+        if self.weight > REMEMBERED // 2:
+            return self.clear()
         size, begin = self.size[keep], self.begin[keep]
         ends = np.cumsum(size, dtype=np.int64)
         self.used = int(ends[-1]) if len(ends) else 0
@@ -101,20 +114,31 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (int32) and each text's number of ids; a null text is an empty one."""
+        if max((len(t) for t in texts if t), default=0) <= AT_ONCE:
+            return self.some(texts)
+        flat, sizes = [], []
+        for text in texts:
+            ids = [self.some([p])[0] for p in cut(text or "")]
+            flat += ids
+            sizes.append(sum(map(len, ids)))
+        return np.concatenate(flat), np.array(sizes, np.int64)
+
+    def some(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words: list[str] = []
         counts, whole = [], {}
         for k, text in enumerate(texts):
             if text and self.other.search(text):
-                whole[k] = self.tokenizer.encode(text, add_special_tokens=False).ids
+                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
                 counts.append(0)
             else:
                 found = self.words.findall(text) if text else []
                 words += found
                 counts.append(len(found))
-        if len(self.known) > REMEMBERED:
+        if self.weight > REMEMBERED:
             self.forget()
         at = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         if self.known.new:
+            self.weight += sum(len(w) + WORD_BYTES for w in self.known.new)
             self.learn(self.known.new)
             self.known.new = []
         self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known)).astype(np.int32)
@@ -125,10 +149,19 @@ class Encoder:
         edges = ends[of]
         if not whole:
             return ids, np.diff(edges)
-        parts = [np.array(whole[k], np.int32) if k in whole else ids[edges[k] : edges[k + 1]] for k in range(len(texts))]
+        parts = [whole[k] if k in whole else ids[edges[k] : edges[k + 1]] for k in range(len(texts))]
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
+def cut(text: str, size: int | None = None) -> Iterator[str]:
+    """``text`` in a row, cut at the first :data:`CUT` from every ``size`` characters on."""
+    at, size = 0, size or AT_ONCE
+    while len(text) - at > size and (found := CUT.search(text, at + size)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same ids with ``end`` after each text's."""
     return np.insert(ids, np.cumsum(sizes), end), sizes + 1
@@ -145,7 +178,14 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder of a worker process for each vocabulary file."""
+    """One encoder of a worker process for each vocabulary file; a task begins without the words of the one before."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].clear()
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Forget the words at the end of a task; the worker lives on."""
+    for one in _ENCODERS.values():
+        one.clear()
