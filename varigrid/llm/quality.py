@@ -9,16 +9,19 @@ lines' forward-backward marginals, weighted by line length, and a logistic curve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import bounded, fold, steps, table
-from varigrid.llm.shingles import GOLDEN, Rolling, mixed
+from varigrid.llm.common import bounded, dropped, fold, steps, table, without, written
+from varigrid.llm.shingles import GOLDEN, LONG, Rolling, mixed
 
-#: Bounds of the training sample: labelled rows, and the lines of one of them.
-TRAINING_ROWS, TRAINING_LINES = 6000, 300
+#: Bounds of the training sample: labelled rows, and the lines that reach the driver. Rows are taken whole, in the order of their
+#: hash, as long as their lines fit; the first is always taken.
+TRAINING_ROWS, TRAINING_LINES = 6000, 300_000
 ROUNDS, STEPS, RATE, RIDGE = 3, 120, 0.1, 1e-3
 KEEP = 0.7
 #: Classes of characters.
@@ -44,7 +47,38 @@ OWN = ("one", "length", "letters", "capitals", "digits", "symbols", "loud", "pun
 
 
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A row of the features :data:`OWN` per line, the lines' lengths, and each text's number of lines."""
+    """A row of the features :data:`OWN` per line, the lines' lengths, and each text's number of lines.
+
+    Long texts are read in pieces that end with a line; whether a line occurs again is told over the whole text.
+    """
+    if max((len(t) for t in texts if t), default=0) > LONG:
+        parts = [_shapes([p]) for t in texts for p in _lines(t or "")]
+        sizes = np.array([sum(1 for _ in _lines(t or "")) for t in texts])
+        of = np.repeat(np.arange(len(texts)), sizes)
+        own, length, whole = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        doc = np.repeat(of, [len(p[1]) for p in parts])
+    else:
+        own, length, whole, doc = _shapes(texts)
+    _, back, times = np.unique(mixed(whole ^ (doc.astype(np.uint64) * GOLDEN)), return_inverse=True, return_counts=True)
+    own[:, OWN.index("doubled")] = times[back] > 1
+    return own, length, np.bincount(doc, minlength=len(texts))
+
+
+def _lines(text: str) -> Iterator[str]:
+    """Pieces of about :data:`LONG` characters that end where a line does; a longer line is one piece."""
+    at = 0
+    while len(text) - at > LONG:
+        cut = text.rfind("\n", at, at + LONG)
+        cut = cut if cut > at else text.find("\n", at + LONG)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
+def _shapes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features (but for whether the line occurs again), lengths, hashes and texts' numbers of the lines that are not blank."""
     parts = [(t or "") + "\n" for t in texts]
     code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = classes()[code]
@@ -52,7 +86,7 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     starts = np.concatenate([[0], ends[:-1] + 1])
     counts = [np.add.reduceat((kind == k).astype(np.int32), starts) for k in range(8)]
     doc = np.searchsorted(np.cumsum([len(p) for p in parts]), starts, side="right")
-    rolling = Rolling((code & 255).astype(np.uint8))
+    rolling = Rolling(code)
     solid = np.concatenate([[False], (kind != SPACE) & (kind != END)])
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     begin, end = edge[::2], edge[1::2]
@@ -69,10 +103,10 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     distinct = np.bincount(line[keyed], minlength=len(starts)) / n
     echo = np.zeros(len(begin), bool)
     echo[1:] = (of_word[1:] == of_word[:-1]) & (line[1:] == line[:-1])
-    sums = {k: np.concatenate([[0], np.cumsum(kind == k, dtype=np.int32)]) for k in (LOWER, UPPER, SYMBOL, LOUD)}
-    within = {k: s[end] - s[begin] for k, s in sums.items()}
-    whole = mixed(rolling.of(starts, ends) ^ (doc.astype(np.uint64) * GOLDEN))
-    _, back, times = np.unique(whole, return_inverse=True, return_counts=True)
+    within = {}
+    for k in (LOWER, UPPER, SYMBOL, LOUD):
+        sums = np.concatenate([[0], np.cumsum(kind == k, dtype=np.int32)])
+        within[k] = sums[end] - sums[begin]
     letters = counts[LOWER] + counts[UPPER]
     size = np.maximum(ends - starts, 1)
     first = np.zeros(len(starts), np.int64)
@@ -81,10 +115,10 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     loud = counts[LOUD]
     columns = [
         np.ones(len(starts)), np.log1p(size) / 8, letters / size, counts[UPPER] / np.maximum(letters, 1), counts[DIGIT] / size, counts[SYMBOL] / size, np.minimum(1, 10 * loud / size), counts[PUNCTUATION] / size,
-        np.minimum(2, share(end - begin) / 10), 1 - distinct, share(echo), share((within[SYMBOL] > 0) | (within[LOUD] > 0)), share((within[UPPER] > 1) & (within[LOWER] == 0)), times[back] > 1, np.isin(code[last], [ord(c) for c in ".!?:;\"')"]), kind[first] == LOWER,
+        np.minimum(2, share(end - begin) / 10), 1 - distinct, share(echo), share((within[SYMBOL] > 0) | (within[LOUD] > 0)), share((within[UPPER] > 1) & (within[LOWER] == 0)), np.zeros(len(starts)), np.isin(code[last], [ord(c) for c in ".!?:;\"')"]), kind[first] == LOWER,
     ]
     own = np.stack(columns, 1).astype(np.float32)[some]
-    return own, (ends - starts)[some], np.bincount(doc[some], minlength=len(texts))
+    return own, (ends - starts)[some], rolling.of(starts, ends)[some], doc[some]
 
 
 def with_neighbours(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -187,25 +221,32 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lines: int = TRAINING_LINES) -> Field:
     """A field taught by the texts of ``docs`` that ``labels`` (``doc_id, quality``) marks: at most about ``rows``
-    labels, chosen by hash, so that they can be broadcast.
+    labels, chosen by hash, so that they can be broadcast, and of these, in the order of the hash, those whose lines
+    together are at most ``lines``; a row teaches with all its lines.
 
-    Rows of more than ``lines`` lines teach nothing, nor do null labels and texts. Without rows, or if all have
-    one label, every document scores that label's share.
+    Null labels, null ids and texts without lines teach nothing; a repeated row teaches as often as it stands there.
+    Without rows, or if all have one label, every document scores that label's share.
     """
 
     def shaped(batches):
         for batch in steps(batches):
             own, length, sizes = line_features(batch.column("text").to_pylist())
-            label, cuts = batch.column("quality").to_pylist(), np.cumsum(sizes)
-            keep = [i for i in range(len(sizes)) if 0 < sizes[i] <= lines]
+            label, order, cuts = batch.column("quality").to_pylist(), batch.column("turn").to_pylist(), np.cumsum(sizes)
+            keep = [i for i in range(len(sizes)) if sizes[i]]
             spans = [slice(cuts[i] - sizes[i], cuts[i]) for i in keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([label[i] for i in keep], pa.int32()), pa.array([own[s].tobytes() for s in spans], pa.binary()), pa.array([length[s].astype("<i8").tobytes() for s in spans], pa.binary())], ["label", "own", "length"]
-            )
-
-    some = bounded(labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")), rows, "doc_id")
-    learn = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    got = learn.select("text", "quality").mapInArrow(shaped, "label int, own binary, length binary").toPandas()
+                [pa.array([label[i] for i in keep], pa.int32()), pa.array([order[i] for i in keep], pa.int64()), pa.array(sizes[keep], pa.int64()), pa.array([own[s].tobytes() for s in spans], pa.binary()), pa.array([length[s].astype("<i8").tobytes() for s in spans], pa.binary())],
+                ["label", "turn", "n", "own", "length"],
+            )
+
+    some = bounded(labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")), rows, "doc_id")
+    learn = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality", F.xxhash64(F.lit(5), "doc_id").alias("turn"))
+    shapes = written(learn.mapInArrow(shaped, "label int, turn long, n long, own binary, length binary"), "quality-lines")
+    order = shapes.select("turn", "n").toPandas().sort_values(["turn", "n"])  # a row per row that teaches
+    fits = order["turn"][(order["n"].cumsum() <= lines).to_numpy()]
+    last = int(fits.iloc[-1]) if len(fits) else int(order["turn"].iloc[0]) if len(order) else 0
+    got = shapes.where(F.col("turn") <= last).orderBy("turn", "n", "label", "own").toPandas()
+    dropped(shapes)
     label = got["label"].to_numpy(np.int64)
     if len(set(label)) < 2:
         share = float(label.mean()) if len(label) else 0.5
@@ -232,11 +273,14 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lines
 def scored(docs: DataFrame, field: Field) -> DataFrame:
     """``docs`` with ``quality`` (0 to 1), ``score`` (the chance of label 1) and ``n_lines``.
 
-    Null and empty texts, and texts of blanks, have no lines and quality 0. Repeated rows stay; an empty table
-    gives no rows; other columns stay as they are.
+    Null and empty texts, and texts of blanks, have no lines and quality 0; texts of any length are read whole. Repeated
+    rows stay; an empty table gives no rows. Columns of ``docs`` that have a result's name give way to it; others
+    stay as they are.
     """
     from varigrid.llm.language import ddl
 
+    docs = without(docs, "quality", "score", "n_lines")
+
     def judged(batches):
         for batch in steps(batches):
             own, length, sizes = line_features(batch.column("text").to_pylist())
