@@ -16,8 +16,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import bounded, fold, steps, table, written
-from varigrid.llm.shingles import GOLDEN, Rolling, mixed
+from varigrid.llm.common import bounded, fold, numbered, steps, table, without, written
+from varigrid.llm.shingles import GOLDEN, LONG, Rolling, mixed, pieces
 
 #: Bounds: labelled rows that teach, entries of the learned lexicon.
 TRAINING_ROWS, ENTRIES = 12_000, 5000
@@ -43,6 +43,9 @@ SECOND = "you your yours yourself u ur ya tu te toi ton ta tes vous votre vos du
 #: Signs that stand for letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 NAMES = ("words", "insult_rate", "insults", "learned_rate", "learned_weight", "learned_most", "second_rate", "near_second", "capitals", "shouted", "loud", "asked", "repeated_marks", "hidden_insults", "mixed_words", "signs")
+#: What is counted in a text, or in its pieces: sums but for ``most``.
+COUNTS = ("words", "insults", "learned", "weight", "most", "second", "near", "upper", "letters", "tokens", "shouted", "loud", "asked", "again", "hidden", "strange", "marks", "bytes")
+MOST = COUNTS.index("most")
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -107,11 +110,37 @@ _FIXED: list[np.ndarray] = []
 
 
 def features(texts: list[str | None], keys: np.ndarray, weights: np.ndarray, version: np.ndarray) -> np.ndarray:
-    """The features :data:`NAMES` of each text; ``weights[version]`` are the learned lexicon's weights for it."""
+    """The features :data:`NAMES` of each text; ``weights[version]`` are the learned lexicon's weights for it.
+
+    A long text is counted in pieces cut at blanks; words on both sides of a cut are not near each other.
+    """
+    if max((len(t) for t in texts if t), default=0) > LONG:
+        rows = []
+        for t, v in zip(texts, version, strict=True):
+            parts = np.concatenate([counted([p], keys, weights, np.array([v])) for p in pieces(t or "")])
+            total = parts.sum(0, keepdims=True)
+            total[0, MOST] = parts[:, MOST].max()
+            rows.append(total)
+        return shares(np.concatenate(rows))
+    return shares(counted(texts, keys, weights, version))
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """The features :data:`NAMES` from the counts :data:`COUNTS`."""
+    c = dict(zip(COUNTS, counts.T, strict=True))
+    words, size, tokens = np.maximum(c["words"], 1), np.maximum(c["bytes"], 1), np.maximum(c["tokens"], 1)
+    columns = [
+        np.log1p(words), 100 * c["insults"] / words, np.log1p(c["insults"]), 100 * c["learned"] / words, 100 * c["weight"] / words, c["most"], 100 * c["second"] / words, c["near"], c["upper"] / np.maximum(c["letters"], 1),
+        c["shouted"] / tokens, 100 * c["loud"] / size, 100 * c["asked"] / size, 100 * c["again"] / size, c["hidden"], c["strange"] / tokens, c["marks"] / size,
+    ]
+    return np.stack(columns, 1)
+
+
+def counted(texts: list[str | None], keys: np.ndarray, weights: np.ndarray, version: np.ndarray) -> np.ndarray:
+    """The counts :data:`COUNTS` of each text."""
     if not _FIXED:
         _FIXED.extend((hashes_of(INSULTS), hashes_of(SECOND)))
     b = Batch(texts)
-    words = np.maximum(b.of_docs(b.doc), 1)
     insult, _ = among(b.words, _FIXED[0])
     second, _ = among(b.words, _FIXED[1])
     near = np.zeros(len(insult), bool)
@@ -129,7 +158,6 @@ def features(texts: list[str | None], keys: np.ndarray, weights: np.ndarray, ver
     raw = np.frombuffer(b"\n".join(b.raw) + b"\n", np.uint8)
     start = np.concatenate([[0], np.cumsum([len(x) + 1 for x in b.raw])[:-1]])
     per = lambda flag: np.add.reduceat(flag.astype(np.int64), start) if b.n else np.zeros(0)
-    size = np.maximum([len(x) for x in b.raw], 1)
     upper = (raw >= 65) & (raw <= 90)
     letter = _LETTER[raw]
     mark = _MARK[raw]
@@ -154,11 +182,9 @@ def features(texts: list[str | None], keys: np.ndarray, weights: np.ndarray, ver
     hidden, _ = among(Rolling(plain).of(hb[some], he[some]), _FIXED[0])
     of_hidden = np.searchsorted(b.breaks, hb[some][hidden], side="right")
 
-    tokens = np.maximum(np.bincount(of_token, minlength=b.n), 1)
     columns = [
-        np.log1p(words), 100 * b.of_docs(b.doc[insult]) / words, np.log1p(b.of_docs(b.doc[insult])), 100 * b.of_docs(b.doc[learned > 0]) / words, 100 * b.of_docs(b.doc, learned) / words, most,
-        100 * b.of_docs(b.doc[second]) / words, b.of_docs(b.doc[insult[near]]), per(upper) / np.maximum(per(letter), 1), np.bincount(of_token, shouted, minlength=b.n) / tokens,
-        100 * per(raw == 33) / size, 100 * per(raw == 63) / size, 100 * per(again) / size, b.of_docs(of_hidden), np.bincount(of_token, strange, minlength=b.n) / tokens, per(mark) / size,
+        b.of_docs(b.doc), b.of_docs(b.doc[insult]), b.of_docs(b.doc[learned > 0]), b.of_docs(b.doc, learned), most, b.of_docs(b.doc[second]), b.of_docs(b.doc[insult[near]]), per(upper), per(letter), b.of_docs(of_token), b.of_docs(of_token, shouted),
+        per(raw == 33), per(raw == 63), per(again), b.of_docs(of_hidden), b.of_docs(of_token, strange), per(mark), np.array([len(x) for x in b.raw], np.float64),
     ]
     return np.stack(columns, 1)
 
@@ -242,8 +268,11 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Dat
     At most about ``rows`` labels teach, chosen by hash. Three quarters of them grow the trees and the rest
     calibrate. A thousandth of the score is the trees' own, so that equal calibrated scores keep their order.
     Null texts are empty. Without labels, or if all are equal, every document scores their share (0 without
-    any). Repeated rows stay; an empty table gives no rows; other columns stay as they are.
+    any). Repeated rows and rows without an id stay; texts of any length are read whole; an empty table gives no rows.
+    A column ``score`` of ``docs`` gives way to the result; others stay as they are, whatever their names.
     """
+    docs = without(docs, "score")
+    rest = docs.drop("text")
     some = bounded(labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("label")), rows, "doc_id")
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(8))
     learn = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label", (draw % 2).cast("int").alias("half"), (draw < 6).alias("grows"))
@@ -251,7 +280,7 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Dat
     sizes = {(r["label"], r["grows"]): r["n"] for r in learn.groupBy("label", "grows").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len({k for k, grows in sizes if grows}) < 2:
         share = sum(n for (k, _), n in sizes.items() if k) / max(1, sum(sizes.values()))
-        return docs.drop("text").withColumn("score", F.lit(float(share)))
+        return rest.withColumn("score", F.lit(float(share)))
     keys, weights = lexicon(learn)
     other = learn.select("text", "label", "grows", (1 - F.col("half")).alias("version"))
     train = written(featured(other, keys, weights, "version").coalesce(4), "toxicity-features")
@@ -263,10 +292,11 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Dat
     if len({k for k, grows in sizes if not grows}) < 2:
         held = trees.transform(train).select("label", margin.alias("_margin"))
     curve = IsotonicRegression(featuresCol="_margin", labelCol="label", predictionCol="_even").fit(held)
-    rows_ = featured(docs, keys, weights).withColumn("_features", array_to_vector("_features"))
+    rows_ = featured(numbered(docs, keep=("text",)), keys, weights).withColumn("_features", array_to_vector("_features"))
     judged = curve.transform(trees.transform(rows_).withColumn("_margin", margin))
     score = 0.999 * F.least(F.greatest("_even", F.lit(0.0)), F.lit(1.0)) + 0.001 * vector_to_array("_chance")[1]
-    return judged.select(*docs.drop("text").columns, score.alias("score"))
+    names = [n for n in numbered(docs, keep=("text",)).columns if n != "text"]
+    return judged.select(*(F.col(n).alias(c) for n, c in zip(names, rest.columns, strict=True)), score.alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
