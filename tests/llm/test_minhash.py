@@ -6,26 +6,28 @@ import random
 
 import numpy as np
 
-from varigrid.llm import minhash
+from varigrid.llm import minhash, shingles
 from varigrid.llm.shingles import shingle_sets
 
 
-def brute(docs: list[tuple[int | None, str | None]], least: float = minhash.SIMILARITY) -> dict[int, int]:
-    known = [(i, t) for i, t in docs if i is not None]
-    sets = shingle_sets([t for _, t in known])
-    root = {i: i for i, _ in known}
+def brute(docs: list[tuple[int | None, str | None]], least: float = minhash.SIMILARITY) -> list[int]:
+    """The smallest id of each row's group, by all pairs."""
+    sets = shingle_sets([t for _, t in docs])
+    root = list(range(len(docs)))
 
     def find(x: int) -> int:
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(len(known)):
+    for a in range(len(docs)):
         for b in range(a):
-            if len(sets[a][0]) and len(sets[b][0]) and (sets[a][2] == sets[b][2] or minhash.probability_jaccard(sets[a][:2], sets[b][:2]) >= least):
-                x, y = sorted((find(known[a][0]), find(known[b][0])))
-                root[y] = x
-    return {i: find(i) for i, _ in known}
+            if docs[a] == docs[b] or len(sets[a][0]) and len(sets[b][0]) and (sets[a][2] == sets[b][2] or minhash.probability_jaccard(sets[a][:2], sets[b][:2]) >= least):
+                root[find(a)] = find(b)
+    groups: dict[int, list] = {}
+    for i, (k, _) in enumerate(docs):
+        groups.setdefault(find(i), []).append(k)
+    return [min((k for k in groups[find(i)] if k is not None), default=None) for i in range(len(docs))]
 
 
 def corpus() -> list[tuple[int | None, str | None]]:
@@ -51,15 +53,37 @@ def corpus() -> list[tuple[int | None, str | None]]:
     return docs
 
 
-def test_groups_equal_brute_force(spark):
+def test_groups_equal_brute_force(spark, monkeypatch):
     docs = corpus()
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, component_id string")
-    for block in (256, 5):  # 5: buckets are dealt in blocks
+    want = sorted((-1 if i is None else i, g) for (i, _), g in zip(docs, brute(docs), strict=True))
+    for block, salted in ((256, 1024), (5, 3)):  # small ones: buckets are dealt in blocks and by salt
+        monkeypatch.setattr(minhash.of_band, "__defaults__", (salted,))
         rows = minhash.near_duplicates(frame.select("doc_id", "text", "component_id"), block=block).collect()
-        assert len(rows) == len(docs)
-        want = brute(docs)
-        assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None} == want
-        assert all(r["kept"] == (r["doc_id"] is None or want[r["doc_id"]] == r["doc_id"]) for r in rows)
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["component_id"]) for r in rows) == want
+        assert {r["component_id"] for r in rows} == {r["doc_id"] for r in rows if r["kept"]}
+        assert len({(r["doc_id"], bytes(r["text_key"] or b"")) for r in rows if r["kept"]}) == len({g for _, g in want})
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (2, b), (2, a), (3, c), (None, c), (None, "alone here"), (None, "alone here"), (4, None), (4, None), (5, None), (6, ""), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, k % 2, "z") for k, (i, t) in enumerate(rows)], "doc_id long, text string, kept int, c0 string")
+    out = minhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    got = sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, "alone here"), (4, None), (5, None), (6, ""), (7, ""), (None, None)], key=str)
+    assert minhash.deduplicated(docs.where("false")).count() == 0
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    texts = ["One two three, four five six. " * 3, "a\nb c\td", "", None, "nothing-to-cut" * 5]
+    whole = shingle_sets(texts)
+    monkeypatch.setattr(shingles, "LONG", 7)
+    monkeypatch.setattr(shingles.pieces, "__defaults__", (7,))
+    cut = shingle_sets(texts)
+    assert all((x[0] == y[0]).all() and (x[1] == y[1]).all() and x[2] == y[2] for x, y in zip(whole, cut, strict=True))
+    assert list(shingles.pieces("one two", 4)) == ["one", " two"]
 
 
 def test_empty_table(spark):

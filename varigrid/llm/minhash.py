@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import steps, written
+from varigrid.llm.common import dropped, numbered, steps, written
 from varigrid.llm.components import components
 from varigrid.llm.shingles import GOLDEN, mixed, shingle_sets
 
 REGISTERS, ROWS = 216, 6  # 36 bands of 6: a pair of similarity 0.8 meets with probability 1 - 2e-5
 SIMILARITY = 0.8
-#: Pairs whose signatures agree in less are not verified: four standard errors below a similarity of 0.8.
-LIKELY = 0.69
+#: Pairs whose signatures agree in less are not compared by their shingles: more than seven standard errors below a similarity
+#: of 0.8 (0.027 for 216 registers), so a link is lost with a chance below 1e-11, a millionth of what the bands lose.
+LIKELY = 0.6
+#: Members of a bucket that one task joins with what is known of the bucket; a larger bucket is dealt by salt.
+SALTED = 1024
 #: Members of a bucket that one task compares; a larger bucket is dealt in blocks, and each pair of blocks is a task's.
 BLOCK = 256
 
@@ -102,8 +105,22 @@ def likely(signature: np.ndarray, root: np.ndarray, band: int, block: np.ndarray
     return np.concatenate(ahead or [none]), np.concatenate(behind or [none])
 
 
+def of_band(members: DataFrame, facts: DataFrame, large: int = SALTED) -> DataFrame:
+    """``members`` joined with ``facts``, a row per ``band``; both have ``n``, the members of the band.
+
+    A band of more than ``large`` members is dealt over several groups by salt, to each of which its facts are sent."""
+    parts = F.ceil(F.col("n") / F.lit(large)).cast("int")
+    dealt = members.withColumn("_salt", F.pmod(F.xxhash64(F.lit(9), "v"), parts).cast("int"))
+    sent = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(sent, ["band", "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``doc_id, component_id, kept`` for every row: the smallest doc_id of its group, and whether it is that.
+    """``doc_id, text_key, component_id, kept`` for every row: the smallest doc_id of its group, and whether the group is left to it.
+
+    A document is a doc_id with a text; ``text_key`` is the text's MD5, so rows that repeat both are one document, and an
+    id with several texts is several documents. Of a group one document is kept: the one of the smallest doc_id
+    (a null id comes last), and of the smallest key among its texts.
 
     Texts with the same words are one vertex. Vertices that share a band are candidates. Each bucket's hub, the
     member that meets most others over all bands, is compared with all its members first: a line of comparisons,
@@ -113,9 +130,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     shingles, and only links that join groups leave a task. Links have a probability Jaccard of counted
     five-word shingles of at least ``similarity``, computed exactly. No bucket is cut.
 
-    Null and empty texts, and texts without words, link with nothing. Rows that repeat a doc_id are one
-    document if their texts agree. Rows with a null doc_id come back with a null group, kept. An empty table
-    gives no rows. Other columns are ignored.
+    Null and empty texts, and texts without words, link with nothing and are kept. Rows without an id are documents
+    like others; the ``component_id`` of a group without any id is null. Texts of any length are read whole. An
+    empty table gives no rows. Other columns are ignored, whatever their names.
     """
 
     def sketched(batches):
@@ -126,27 +143,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
             some = [len(h) > 0 for h, _, _ in sets]
             rows = [x if s else [] for x, s in zip(hashed.tolist(), some, strict=True)]
             keys = [d if s else None for (_, _, d), s in zip(sets, some, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "words", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "text_key", "words", "bands", "signature"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(texts.mapInArrow(sketched, "doc_id long, words binary, bands array<long>, signature binary"), "signatures")
-    known = rows.where("words is not null and doc_id is not null")
-    vertices = written(known.groupBy("words").agg(F.min("doc_id").alias("v"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s")).select("words", "v", "s.bands", "s.signature"), "vertices")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+    rows = written(texts.mapInArrow(sketched, "doc_id long, text_key binary, words binary, bands array<long>, signature binary"), "signatures")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    vertices = rows.where("words is not null").groupBy("words").agg(F.min(one).alias("one"), F.first(F.struct("bands", "signature")).alias("s"))
+    vertices = written(vertices.select("words", "one", "s.bands", "s.signature").withColumn("v", F.monotonically_increasing_id()), "vertices")
     met = vertices.select("v", F.posexplode("bands").alias("i", "band"))
     shared = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(shared, "bucket-sizes")
     members = written(met.join(shared, "band"), "buckets")
     central = members.groupBy("v").agg(F.sum("n").alias("score"))
-    hubs = members.select("band", "v").join(central, "v").groupBy("band").agg(F.max(F.struct("score", (-F.col("v")).alias("v"))).alias("hub")).select("band", (-F.col("hub.v")).alias("hub"))
-    stars = written(members.select("band", "v").join(hubs, "band").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    hubs = members.select("band", "v", "n").join(central, "v").groupBy("band").agg(F.max("n").alias("n"), F.max(F.struct("score", (-F.col("v")).alias("v"))).alias("hub")).select("band", "n", (-F.col("hub.v")).alias("hub"))
+    stars = written(of_band(members.select("band", "v", "n"), hubs).where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
 
     def hashed(batches):
         for batch in steps(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([d for _, _, d in sets], pa.binary()), pa.array([h.tobytes() for h, _, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w, _ in sets], pa.binary())], ["v", "own", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([h.tobytes() for h, _, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w, _ in sets], pa.binary())], ["v", "h", "w"])
 
-    wanted = vertices.select("v", "words").join(central.select("v").distinct(), "v", "left_semi")
-    own = texts.join(wanted, F.col("doc_id") == F.col("v")).select("v", "text")
-    sets = written(own.mapInArrow(hashed, "v long, own binary, h binary, w binary").join(wanted.select("v", F.col("words").alias("own")), ["v", "own"], "left_semi").dropDuplicates(["v", "own"]).drop("own"), "shingles")
+    wanted = vertices.select("v", F.col("one.doc_id").alias("_d"), F.col("one.text_key").alias("_k")).join(central.select("v"), "v", "left_semi")
+    own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))).select("v", "text")
+    sets = written(own.mapInArrow(hashed, "v long, h binary, w binary").dropDuplicates(["v"]), "shingles")
 
     def compared(batches):
         for batch in batches:
@@ -164,8 +183,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     counts = grouped.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
     split = counts.groupBy("band").agg(F.max_by("root", F.struct("k", (-F.col("root")).alias("r"))).alias("top"), F.max("k").alias("nd"), F.sum("k").alias("n")).where("nd < n")
     stray = F.col("root") != F.col("top")
-    split = split.select("band", "top", *(F.ceil(c / F.lit(max(1, block // 2))).cast("int").alias(name) for name, c in (("ds", F.col("n") - F.col("nd")), ("dd", F.col("nd")))))
-    left = grouped.drop("n").join(split, "band").withColumn("block", F.pmod(F.xxhash64("v"), F.when(stray, F.col("ds")).otherwise(F.col("dd"))).cast("int"))
+    split = split.select("band", "n", "top", *(F.ceil(c / F.lit(max(1, block // 2))).cast("int").alias(name) for name, c in (("ds", F.col("n") - F.col("nd")), ("dd", F.col("nd")))))
+    left = of_band(grouped, split).withColumn("block", F.pmod(F.xxhash64("v"), F.when(stray, F.col("ds")).otherwise(F.col("dd"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     key = lambda one, other: F.struct(one.cast("int").alias("b1"), other.cast("int").alias("b2"))
     among = F.transform(upto("ds"), lambda j: key(F.least("block", j), -1 - F.greatest("block", j)))
@@ -222,12 +241,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     close = written(tasks.repartition(*task).sortWithinPartitions(*task).mapInArrow(met_in, "band long, b1 int, b2 int, i int, v long, root long, block int"), "likely")
     full = close.join(vertices.select("v", "signature"), "v").join(sets, "v")
     more = written(full.repartition(*task).sortWithinPartitions(*task).mapInArrow(linked_in, "a long, b long"), "links")
-    roots = components(links.unionByName(more)).withColumnRenamed("a", "v").withColumnRenamed("root", "_root")
-    grouped = vertices.select("words", "v").join(roots, "v", "left").select(F.col("words").alias("_words"), F.coalesce("_root", "v").alias("component_id"))
-    out = rows.select("doc_id", "words").join(grouped, F.col("words") == F.col("_words"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    ends = written(components(links.unionByName(more)).withColumnRenamed("a", "v"), "roots")
+    dropped(members, stars, sets, links, roots, grouped, close, more, shared)
+    least = vertices.select("v", "one").join(ends, "v").groupBy("root").agg(F.min("one").alias("least"))
+    whole = vertices.select("words", "v", "one").join(ends, "v", "left").join(least, "root", "left")
+    whole = whole.select(F.col("words").alias("_words"), F.coalesce("least", "one").alias("head"))
+    out = rows.select("doc_id", "text_key", "words").join(whole, F.col("words") == F.col("_words"), "left")
+    head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & F.col("text_key").eqNullSafe(F.col("head.text_key"))
+    component = F.when(F.col("head").isNotNull(), F.col("head.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_key", component.alias("component_id"), (F.col("head").isNull() | head).alias("kept"))
+
+
+def text_key(text: Column) -> Column:
+    """The text's MD5; null for a null text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each group of near copies, with all its columns.
+
+    It is a row of the document that :func:`near_duplicates` keeps; of rows that repeat an id and a text, null or not, one
+    stays. Documents that are like no other stay, empty texts with an id of their own among them.
+    """
+    rows = near_duplicates(docs, similarity)
+    marks = rows.groupBy("doc_id", "text_key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    marks = written(marks.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("kept").alias("_kept")), "near-copies")
+    named = numbered(docs, F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_key").eqNullSafe(F.col("_k"))
+    plain = named.join(marks, same, "left_anti")
+    again = named.join(marks.where("_kept"), same)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    first = again.groupBy("_id", "_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+    return plain.select(*columns).unionByName(first).toDF(*docs.columns)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
