@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency (operator 8 and a pipeline stage).
 
-Candidates are found in whole texts; each value's hash is aggregated over the corpus by distinct repositories
-and owners. A value that at most ``max_owners`` owners hold looks live; one held more widely is an example that
-was copied around. Base kinds are always reported; the further kinds only where they look live.
+Candidates are found in whole texts; each value's hash is aggregated over the corpus by owners and by their distinct
+repositories. A value that at most ``max_owners`` owners hold looks live, and so does one that others hold too, if half of
+the repositories it stands in are one owner's (a credential and its forks). One held more widely and evenly is an
+example that was copied around. Base kinds are always reported; the further kinds only where they look live.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import steps, written
+from varigrid.llm.common import numbered, steps, written
 from varigrid.llm.language import ddl
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -29,9 +30,10 @@ FURTHER = (
     ("pem", "PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----")),
     ("bearer", "earer ", re.compile(r"[Bb]earer [A-Za-z0-9._~+/-]{20,}=*")),
 )
+COUNTS = ("n_assign", "n_access", "n_hex")
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in FURTHER))
-MAX_OWNERS = 9
-FOUND = "_found array<struct<start:long,rank:int,end:long,vstart:long,vend:long,hash:string>>"
+MAX_OWNERS, OWN_SHARE = 2, 0.5
+FOUND = "found array<struct<start:long,rank:int,end:long,vstart:long,vend:long,hash:string>>"
 SPANS = "array<struct<start:long,rank:int,end:long,vstart:long,vend:long,hash:string,live:boolean,owners:long,repositories:long>>"
 
 
@@ -52,47 +54,63 @@ def candidates(text: str | None) -> list[tuple[int, int, int, int, int, str]]:
     return [(*x[:5], hashlib.sha256(x[5].encode("utf-8", "surrogatepass")).hexdigest()[:32]) for x in sorted(out)]
 
 
-def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs``, counts by base kind, ``base_sha256`` and the candidates of each row."""
-    kept = docs.select(*keep)
+def scanned(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``text``) and their counts by base kind, ``base_sha256`` and candidates as ``found``."""
     fields = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("vstart", pa.int64()), ("vend", pa.int64()), ("hash", pa.string())])
     names = ["start", "rank", "end", "vstart", "vend", "hash"]
-    text = "text" if "text" in keep else "_text"
 
     def scan(batches):
-        for batch in steps(batches, text):
-            found = [candidates(t) for t in batch.column(text).to_pylist()]
+        for batch in steps(batches):
+            found = [candidates(t) for t in batch.column("text").to_pylist()]
             counts = [pa.array([sum(x[1] == k for x in f) for f in found], pa.int64()) for k in range(3)]
             base = [hashlib.sha256(",".join(f"{KINDS[x[1]]}:{x[0]}:{x[2]}" for x in f if x[1] < 3).encode()).hexdigest() for f in found]
-            rows = pa.array([[dict(zip(names, x, strict=True)) for x in f] for f in found], pa.list_(fields))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *counts, pa.array(base), rows], [*keep, "n_assign", "n_access", "n_hex", "base_sha256", "_found"])
+            spans = pa.array([[dict(zip(names, x, strict=True)) for x in f] for f in found], pa.list_(fields))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array(base), spans], [*batch.schema.names, *COUNTS, "base_sha256", "found"])
+
+    return rows.mapInArrow(scan, f"{ddl(rows)}, n_assign long, n_access long, n_hex long, base_sha256 string, {FOUND}")
 
-    schema = f"{ddl(kept)}, n_assign long, n_access long, n_hex long, base_sha256 string, {FOUND}"
-    return docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])).mapInArrow(scan, schema)
 
+def ownership(each: DataFrame, max_owners: int = MAX_OWNERS, share: float = OWN_SHARE) -> DataFrame:
+    """``hash, owners, repositories, live`` from ``hash, repo, owner`` of every candidate.
 
-def told(docs: DataFrame, keep: list[str], repository: Column, owner: Column, max_owners: int = MAX_OWNERS) -> tuple[DataFrame, DataFrame]:
-    """:func:`scanned` rows without candidates, and those with some; see :func:`judged`."""
-    rows = written(scanned(docs.withColumns({"_repo": repository, "_owner": owner}), [*keep, "_repo", "_owner"]).withColumn("_row", F.monotonically_increasing_id()), "secrets")
+    Copies are reduced before each exchange, so a value that stands in a third of all rows meets as few rows as
+    it has owners and repositories. A null repository or owner is one unknown one.
+    """
+    held = each.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
+    by_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
+    told = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"), F.max("n").alias("most"))
+    return told.select("hash", "owners", "repositories", ((F.col("owners") <= max_owners) | (F.col("most") >= share * F.col("repositories"))).alias("live"))
+
+
+def told(docs: DataFrame, repository: Column, owner: Column, max_owners: int = MAX_OWNERS, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """:func:`scanned` rows without candidates, and those with some: the columns of ``docs`` as ``c0, c1, ...``
+    (the text as ``text``, or left out), ``COUNTS``, ``base_sha256`` and ``spans``; see :func:`judged`."""
+    rows = numbered(docs, repository.cast("string").alias("repo"), owner.cast("string").alias("owner"), keep=("text",))
+    found = scanned(rows) if keep_text else scanned(rows).drop("text")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
     none = F.expr(f"cast(array() as {SPANS})")
-    one = rows.where(F.size("_found") > 0)
-    each = one.select("_row", "_repo", "_owner", F.explode("_found").alias("f"))
-    owned = each.groupBy(F.col("f.hash").alias("hash")).agg(F.countDistinct(F.coalesce("_owner", F.lit(""))).alias("owners"), F.countDistinct(F.coalesce("_repo", F.lit(""))).alias("repositories"))
-    found = each.select("_row", "f.*").join(owned, "hash").withColumn("live", F.col("owners") <= max_owners).where("live or rank < 3")
-    spans = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "vstart", "vend", "hash", "live", "owners", "repositories"))).alias("_spans"))
-    with_some = one.join(spans, "_row", "left").withColumn("_spans", F.coalesce("_spans", none))
-    gone = ["_found", "_row", "_repo", "_owner"]
-    return rows.where(F.size("_found") == 0).withColumn("_spans", none).drop(*gone), with_some.drop(*gone)
+    one = found.where(F.size("found") > 0)
+    each = one.select("row", "repo", "owner", F.explode("found").alias("f")).select("row", "repo", "owner", "f.*")
+    owned = written(ownership(each, max_owners), "owned-values")  # a table, so that a value of very many rows is a skewed join's key
+    judged_ = each.drop("repo", "owner").join(owned, "hash").where("live or rank < 3")
+    spans = judged_.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "vstart", "vend", "hash", "live", "owners", "repositories"))).alias("spans"))
+    with_some = one.join(spans, "row", "left").withColumn("spans", F.coalesce("spans", none))
+    gone = ["found", "row", "repo", "owner"]
+    return found.where(F.size("found") == 0).withColumn("spans", none).drop(*gone), with_some.drop(*gone)
 
 
 def judged(docs: DataFrame, keep: list[str], repository: Column, owner: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """:func:`scanned` rows with ``_spans``: every reported candidate, with ``live`` and its numbers of owners.
+    """The columns ``keep`` of ``docs``, :data:`COUNTS`, ``base_sha256`` and ``spans``: every reported candidate, with
+    ``live`` and its numbers of owners and repositories.
 
-    Null texts have none; a null repository or owner counts as one unknown owner. Repeated rows stay and
-    count once per owner. An empty table gives no rows.
+    Null and empty texts have none; whole texts are scanned, whatever their length; a null repository or owner counts as
+    one unknown one. Repeated rows and rows without an id stay and count once per owner. An empty table gives no rows. A
+    kept column that has a result's name gives way to it; other columns are ignored, whatever their names.
     """
-    plain, some = told(docs, keep, repository, owner, max_owners)
-    return plain.unionByName(some)
+    keep = [k for k in keep if k.lower() not in (*COUNTS, "base_sha256", "spans")]
+    plain, some = told(docs.select(*keep, F.col("text").alias("text"), repository.alias("_r"), owner.alias("_o")), F.col("_r"), F.col("_o"), max_owners)
+    names = [*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), *COUNTS, "base_sha256", "spans"]
+    return plain.unionByName(some).select(*names)
 
 
 def owner_of(source: Column) -> Column:
@@ -104,14 +122,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = judged(docs, ["doc_id"], F.col("source"), owner_of(F.col("source")))
     kind = F.array(*map(F.lit, KINDS))
-    named = F.transform("_spans", lambda x: F.concat_ws(":", F.get(kind, x["rank"]), x["start"], x["end"]))
-    live = F.size(F.filter("_spans", lambda x: x["live"])).cast("long")
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(named, ",").alias("spans"), live.alias("n_live"), (F.size("_spans") - live).alias("n_copied"))
+    named = F.transform("spans", lambda x: F.concat_ws(":", F.get(kind, x["rank"]), x["start"], x["end"]))
+    live = F.size(F.filter("spans", lambda x: x["live"])).cast("long")
+    return rows.select("doc_id", *COUNTS, "base_sha256", F.array_join(named, ",").alias("spans"), live.alias("n_live"), (F.size("spans") - live).alias("n_copied"))
 
 
 def redacted(docs: DataFrame, repository: Column, owner: Column, max_owners: int = MAX_OWNERS, mark: str = "<SECRET>") -> DataFrame:
-    """``docs`` with the value of each live-looking secret replaced by ``mark``; overlapping values become one."""
-    plain, some = told(docs, docs.columns, repository, owner, max_owners)
+    """``docs`` with the value of each live-looking secret replaced by ``mark``; overlapping values become one.
+
+    Every row stays, with all its columns; ``n_chars``, if there is one, is that of the new text. Null and empty texts
+    stay as they are, repeated rows are changed alike, and an empty table gives no rows.
+    """
+    plain, some = told(docs, repository, owner, max_owners, keep_text=True)
+    names = numbered(docs, keep=("text",)).columns
 
     def one(text: str | None, found: list[dict] | None) -> str | None:
         out, at = [], 0
@@ -123,11 +146,11 @@ def redacted(docs: DataFrame, repository: Column, owner: Column, max_owners: int
 
     def cover(batches):
         for batch in steps(batches):
-            texts = [one(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            texts = [one(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    names = docs.columns
-    changed = some.select(*names, "_spans").mapInArrow(cover, ddl(docs))
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return plain.select(*names).unionByName(changed.select(*names))
+    changed = some.select(*names, "spans").mapInArrow(cover, ddl(some.select(*names)))
+    for n, c in zip(names, docs.columns, strict=True):
+        if c.lower() == "n_chars":
+            changed = changed.withColumn(n, F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema[c].dataType)))
+    return plain.select(*names).unionByName(changed.select(*names)).toDF(*docs.columns)
