@@ -37,11 +37,28 @@ def test_spans_owners_and_redaction(spark):
     for i, (_, t) in enumerate(texts):
         assert rows[i]["base_sha256"] == base(t or ""), t
     assert [rows[3][c] for c in ("n_assign", "n_access", "n_hex")] == [2, 0, 0] and rows[4]["n_hex"] == 2
-    assert rows[5]["_spans"][0]["live"] and rows[9]["_spans"][0]["owners"] == 12 and not rows[9]["_spans"][0]["live"]
-    assert len(rows[9]["_spans"]) == 1  # the further kinds are reported only where they look live
+    assert rows[5]["spans"][0]["live"] and rows[9]["spans"][0]["owners"] == 12 and not rows[9]["spans"][0]["live"]
+    assert len(rows[9]["spans"]) == 1  # the further kinds are reported only where they look live
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs.select("doc_id", "text", "source"), F.col("source"), secrets.owner_of(F.col("source"))).collect()}
     assert clean[0] == 'é password = "<SECRET>" <SECRET>' and clean[1] is None and clean[9] == texts[9][1] and clean[5] == "x <SECRET> y"
     assert secrets.judged(docs.where("false"), ["doc_id"], F.col("source"), F.col("source")).count() == 0
+    clashing = docs.select("doc_id", "text", F.col("source").alias("_row"), F.lit(1).alias("found"), F.lit("x").alias("spans"), F.lit(5).alias("n_chars"), F.lit(2).alias("c0"))
+    again = secrets.redacted(clashing, F.col("_row"), secrets.owner_of(F.col("_row")))
+    assert again.columns == clashing.columns and {r["doc_id"]: r["text"] for r in again.collect()} == clean
+    assert {r["doc_id"]: r["n_chars"] for r in again.collect()}[5] == len("x <SECRET> y")
+
+
+def test_owners_and_repositories_tell_live_values(spark):
+    held = {"forked": ["me/a", "me/b", "me/c", "you/a", "they/a"], "copied": ["me/a", "you/a", "they/a", "we/b"], "two": ["me/a", "you/a"], "own": ["me/a"] * 50, "unknown": [None, None]}
+    each = spark.createDataFrame([(h, r, r and r.split("/")[0]) for h, rs in held.items() for r in rs], "hash string, repo string, owner string")
+    rows = {r["hash"]: (r["owners"], r["repositories"], r["live"]) for r in secrets.ownership(each).collect()}
+    assert rows == {"forked": (3, 5, True), "copied": (4, 4, False), "two": (2, 2, True), "own": (1, 1, True), "unknown": (1, 1, True)}
+
+
+@data
+def test_copied_examples_stand_in_the_tables(spark):
+    rows = secrets.op8_secrets(spark, SF.replace("sf0.01", "sf0.1"))
+    assert rows.where("n_copied > 0").count() > 0 and rows.where("n_live > 0").count() > rows.where("n_copied > 0").count()
 
 
 QUESTION = "A train leaves Paris at 60 km and reaches Madrid after 12 hours, while Bob walks 60 km home. How far is it?"
@@ -87,6 +104,14 @@ def test_full_names_are_one_placeholder(spark):
     assert all(r["coverage"] == 1 for r in rows.values()) and rows[1, 1]["changed"] >= 3 and rows[0, 1]["changed"] == 0
 
 
+def test_decimals_are_values(spark):
+    item = "Add 1.5 to the sum of all 15 and 1,000 numbers here, then say what 1.5 is in words."
+    texts = [item, item.replace("1.5", "2.5"), item.replace("1.5", "15"), item.replace("1,000", "1000"), item.replace("1.5 is", "1.6 is"), item.replace("1.5", "1,5")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in decontamination.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()}
+    assert rows[0]["n_slots"] == 4 and {i: r["changed"] for i, r in rows.items()} == {0: 0, 1: 2, 3: 0, 5: 0}  # 2 and 4: two values become one, or one two
+
+
 def test_no_python_on_the_main_path(spark, bench):
     plan = decontamination.leaks(spark.createDataFrame([(1, QUESTION)], "doc_id long, text string").repartition(2), bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -100,32 +125,3 @@ def test_leaks_equal_sql(spark):
     want = sorted(con.execute(decontamination.ORACLE_SQL).fetchall())
     got = sorted(tuple(r) for r in decontamination.op9_decontamination(spark, SF).collect())
     assert got == want and len(got) > 10
-
-
-@data
-def test_pipeline(spark):
-    import public_tokenizers
-
-    import corpus_pipeline
-    from varigrid.llm import language, minhash, packing
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    cols = docs.columns
-    sizes = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
-        docs = spark.createDataFrame(stage(spark, before, SF).collect(), before.schema)
-        assert docs.columns == cols, name
-        sizes.append(docs.count())
-        gone = before.select("doc_id").subtract(docs.select("doc_id"))
-        if name.startswith("language"):
-            pred = language.predicted(before, F.col("doc_id") >= 0).join(gone, "doc_id")
-            assert pred.where("n_chars > 200 and score > 0.2").count() == 0
-        if name.startswith("MinHash"):
-            assert {r[0] for r in gone.collect()} == {r["doc_id"] for r in minhash.near_duplicates(before).where("not kept").collect()}
-        if name.startswith("benchmark"):
-            assert decontamination.leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
-    assert sizes[0] > 900 and sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2]
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert out.select("doc_id").distinct().count() == sizes[-1]
-    assert out.where("length > 1024").count() == 0 and packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == out.count()

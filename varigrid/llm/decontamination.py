@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import written
+from varigrid.llm.common import numbered, written
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -23,6 +23,8 @@ BAND, LEAST_BAND = 0.1, 2
 BROADCAST_WINDOWS = 500_000
 BROADCAST_CANDIDATES = 200_000
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+#: Stands for the point within a number.
+POINT = "\ue003"
 #: Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|l|ml|s|ms|h|min|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|dollars?|euros?|cents?|percent|degrees?|liters?|litres?|grams?|pounds?"
 #: A word of a name, and the blank between two of them that are marked.
@@ -31,7 +33,7 @@ NAME_BLANK = rf" (?={NAME}\p{{L}})(?<={NAME}\p{{L}}{{2,256}} )"
 #: Names as the SQL has them.
 NAME_PATTERN = r"([\p{L}\p{N},;:] )(\p{Lu}\p{L}+)"
 NUMBER_PATTERN = r"(\p{N}+(?:[.,]\p{N}+)*)"
-SEPARATOR = rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+"
+SEPARATOR = rf"[^\p{{L}}\p{{N}}{NAME}-{POINT}]+"
 
 
 def tokens(text: Column, raw: bool = False) -> Column:
@@ -41,9 +43,10 @@ def tokens(text: Column, raw: bool = False) -> Column:
     out = F.regexp_replace(out, *((NAME_BLANK, "") if raw else (f"{NAME}(?: {NAME})+", NAME)))
     number = f"{NUMBER}{keep}"
     out = F.regexp_replace(out, NUMBER_PATTERN, number)
-    if raw:  # parts of one number stay one word
-        out = F.regexp_replace(out, rf"(?<=\p{{N}})[.,](?=\p{{N}})", "")
-        out = F.regexp_replace(out, rf"({NUMBER}\p{{N}}*) ?({UNITS})\b", f"$1 {UNIT}$2")
+    if raw:  # parts of one number stay one word: a comma before three digits says nothing, any other sign is a point
+        out = F.regexp_replace(out, rf"(?<=\p{{N}}),(?=\p{{N}}{{3}}(?!\p{{N}}))", "")
+        out = F.regexp_replace(out, rf"(?<=\p{{N}})[.,](?=\p{{N}})", POINT)
+        out = F.regexp_replace(out, rf"({NUMBER}[\p{{N}}{POINT}]*) ?({UNITS})\b", f"$1 {UNIT}$2")
     else:
         out = F.regexp_replace(out, rf"({NUMBER}) ?({UNITS})\b", f"$1 {UNIT}")
     return F.filter(F.split(F.lower(out), SEPARATOR), lambda w: w != "")
@@ -111,11 +114,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    if (bad := written(bad, "leaking")).count() <= BROADCAST_CANDIDATES:
+    """``docs`` without the documents that contain a benchmark item, all other rows with all their columns.
+
+    A document is an id with a text (its MD5 is compared): of an id with several texts only those that hold an item go,
+    and with them their repeated rows. Null and empty texts stay; empty tables change nothing.
+    """
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    named = numbered(docs, F.struct("doc_id", key.alias("k")).alias("_key"), keep=("text",))
+    bad = written(leaks(named.select(F.col("_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "leaking")
+    if bad.count() <= BROADCAST_CANDIDATES:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    kept = named.join(bad, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti")
+    return kept.drop("_key").toDF(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
