@@ -134,6 +134,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     like others; the ``component_id`` of a group without any id is null. Texts of any length are read whole. An
     empty table gives no rows. Other columns are ignored, whatever their names.
     """
+    return _grouped(docs, similarity, block)[0]
+
+
+def _grouped(docs: DataFrame, similarity: float, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """:func:`near_duplicates`, and the tables that its rows are read from."""
 
     def sketched(batches):
         for batch in steps(batches):
@@ -161,21 +166,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     def hashed(batches):
         for batch in steps(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([h.tobytes() for h, _, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w, _ in sets], pa.binary())], ["v", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([h.tobytes() for h, _, _ in sets], pa.binary()), pa.array([packed(w) for _, w, _ in sets], pa.binary())], ["v", "h", "w"])
 
     wanted = vertices.select("v", F.col("one.doc_id").alias("_d"), F.col("one.text_key").alias("_k")).join(central.select("v"), "v", "left_semi")
-    own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))).select("v", "text")
+    own = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))).select("v", "text")
     sets = written(own.mapInArrow(hashed, "v long, h binary, w binary").dropDuplicates(["v"]), "shingles")
 
     def compared(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                h1, w1, h2, w2 = ([np.frombuffer(x, t) for x in part.column(c).to_pylist()] for c, t in (("h1", np.uint64), ("w1", "<u4"), ("h2", np.uint64), ("w2", "<u4")))
-                s = [probability_jaccard((a, x), (b, y)) for a, x, b, y in zip(h1, w1, h2, w2, strict=True)]
+                left, right = ([unpacked(h, w) for h, w in zip(part.column(f"h{k}").to_pylist(), part.column(f"w{k}").to_pylist(), strict=True)] for k in (1, 2))
+                s = [probability_jaccard(x, y) for x, y in zip(left, right, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s, pa.float64())], ["a", "b", "s"])
 
-    both = stars.join(sets.select(F.col("v").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1")), "a").join(sets.select(F.col("v").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2")), "b")
+    both = stars.join(sets.select(F.col("v").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1")).hint("merge"), "a").join(sets.select(F.col("v").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2")).hint("merge"), "b")
     links = written(both.mapInArrow(compared, "a long, b long, s double").where(F.col("s") >= similarity).select("a", "b"), "links")
     roots = written(components(links).withColumnRenamed("a", "v"), "roots")
     grouped = members.join(roots, "v", "left").select("band", "i", "v", "n", F.coalesce("root", "v").alias("root"))
@@ -225,7 +230,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
                     x = joined[x]
                 return x
 
-            sets = [(np.frombuffer(a, np.uint64), np.frombuffer(b, "<u4")) for a, b in zip(h, w, strict=True)]
+            sets = [unpacked(a, b) for a, b in zip(h, w, strict=True)]
             out = []
             for a, b in zip(*alike(i, root, part, signed), strict=True):
                 x, y = find(root[a]), find(root[b])
@@ -239,7 +244,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     schema = pa.schema([("band", pa.int64()), ("b1", pa.int32()), ("b2", pa.int32()), ("i", pa.int32()), ("v", pa.int64()), ("root", pa.int64()), ("block", pa.int32())])
     task = ["band", "b1", "b2"]
     close = written(tasks.repartition(*task).sortWithinPartitions(*task).mapInArrow(met_in, "band long, b1 int, b2 int, i int, v long, root long, block int"), "likely")
-    full = close.join(vertices.select("v", "signature"), "v").join(sets, "v")
+    full = close.join(vertices.select("v", "signature"), "v").join(sets.hint("merge"), "v")
     more = written(full.repartition(*task).sortWithinPartitions(*task).mapInArrow(linked_in, "a long, b long"), "links")
     ends = written(components(links.unionByName(more)).withColumnRenamed("a", "v"), "roots")
     dropped(members, stars, sets, links, roots, grouped, close, more, shared)
@@ -249,7 +254,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     out = rows.select("doc_id", "text_key", "words").join(whole, F.col("words") == F.col("_words"), "left")
     head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & F.col("text_key").eqNullSafe(F.col("head.text_key"))
     component = F.when(F.col("head").isNotNull(), F.col("head.doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", component.alias("component_id"), (F.col("head").isNull() | head).alias("kept"))
+    return out.select("doc_id", "text_key", component.alias("component_id"), (F.col("head").isNull() | head).alias("kept")), [rows, vertices, ends]
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes; none where each is 1."""
+    return counts.astype("<u4").tobytes() if (counts > 1).any() else b""
+
+
+def unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(hashes, np.uint64)
+    return h, np.frombuffer(counts, "<u4") if counts else np.ones(len(h), np.uint32)
 
 
 def text_key(text: Column) -> Column:
@@ -263,13 +278,14 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     It is a row of the document that :func:`near_duplicates` keeps; of rows that repeat an id and a text, null or not, one
     stays. Documents that are like no other stay, empty texts with an id of their own among them.
     """
-    rows = near_duplicates(docs, similarity)
+    rows, tables = _grouped(docs, similarity, BLOCK)
     marks = rows.groupBy("doc_id", "text_key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
     marks = written(marks.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("kept").alias("_kept")), "near-copies")
+    dropped(*tables)
     named = numbered(docs, F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key"))
     same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_key").eqNullSafe(F.col("_k"))
-    plain = named.join(marks, same, "left_anti")
-    again = named.join(marks.where("_kept"), same)
+    plain = named.join(marks.hint("merge"), same, "left_anti")
+    again = named.join(marks.where("_kept").hint("merge"), same)
     columns = [f"c{i}" for i in range(len(docs.columns))]
     first = again.groupBy("_id", "_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
     return plain.select(*columns).unionByName(first).toDF(*docs.columns)
