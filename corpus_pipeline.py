@@ -6,37 +6,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varigrid.llm import decontamination, language, minhash, packing, secrets
-from varigrid.llm.common import fold, new_path, table, written
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from varigrid.llm.common import dropped, fold, new_path, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: texts without a letter, or like none of the learned languages, go."""
-    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
-    rows = language.predicted(docs.select(*COLUMNS), ~held)
-    return rows.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= language.KEEP_COSINE)).select(*COLUMNS)
+    """Operator 7: documents that it rejects go, as :func:`varigrid.llm.language.known` says.
+
+    Rejected are null and empty texts and others without a letter, and texts of 200 letters or more that are like none
+    of the learned languages. Very long texts are read whole; repeated rows and rows without an id are judged like
+    others; an empty table stays empty; the other columns, whatever their names, stay as they are.
+    """
+    return language.known(docs, fold(F.col("doc_id"), 5) != 0)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near copies, the document with the smallest id stays."""
-    docs = docs.select(*COLUMNS)
-    gone = written(minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Operator 3: one document of each group of near copies stays, the one with the smallest id.
+
+    Rows are judged by id and text: of repeated rows one stays, and a text stays if it is like no other, whatever else
+    its id holds. Rows without an id are judged like others and come last; null and empty texts are like nothing; very
+    long texts are read whole; an empty table stays empty; the other columns stay as they are.
+    """
+    return minhash.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents that contain a benchmark item go."""
-    return decontamination.cleaned(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    """Operator 9: documents that contain a benchmark item go, repeated rows and rows without an id too.
+
+    Null and empty texts hold no item; very long texts are read whole; without documents or items nothing changes; the
+    other columns stay as they are.
+    """
+    return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: the values of secrets that few owners hold are replaced; every document stays."""
-    return secrets.redacted(docs.select(*COLUMNS), F.col("source"), secrets.owner_of(F.col("source")))
+    """Operator 8: the values of secrets that look live are replaced, and ``n_chars`` with them; every row stays.
+
+    Null and empty texts stay as they are; very long texts are scanned whole; repeated rows are changed alike; a null
+    source is one unknown owner; an empty table stays empty; the other columns stay as they are.
+    """
+    return secrets.redacted(docs, F.col("source"), secrets.owner_of(F.col("source")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: the pieces of every document and their places in sequences of 1024 ids."""
+    """Operator 4: the pieces of every document and their places in sequences of 1024 ids.
+
+    Null and empty texts are one id; very long texts are cut into pieces; repeated rows and rows without an id are
+    packed as they come; an empty table gives no pieces; the other columns are not carried.
+    """
     import public_tokenizers
 
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -52,8 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = new_path(spark, f"stage{k}")
-        out.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            dropped(docs)
         docs = spark.read.parquet(path)
     return docs
