@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import math
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from varigrid import __main__ as cli
 from varigrid.config import SearchConfig
-from varigrid.operators import ledger
+from varigrid.functions import geo
+from varigrid.operators import ledger, quantiles, spectral
 from varigrid.plans import stages
+from varigrid.sources import tables
 
 N = 8  # coarse cells on a side, 4 x 4 samples each
 
@@ -60,3 +64,97 @@ def test_tasking(spark):
     assert {(r["metric"], r["window"]) for r in rows} == {(m, w) for m in ("floats", "profiles") for w in ("all", "recent")}
     first = next(r for r in rows if (r["metric"], r["window"], r["rank"]) == ("floats", "all", 1))
     assert first["n_ids"] == 9 and first["nearest_scene_id"] == "s_1_4001" and first["recent_points"] == 12  # the southernmost box with all ids holds one row of cells
+
+
+def test_two_scenes_and_two_sensors(spark):
+    """Every granule has its own zone, spacing and retrievals; against numpy."""
+    draw = np.random.default_rng(5)
+    pixels, centres, want = [], [], {}
+    for scene, (lon0, zone) in {"a": (-83.0, 17), "b": (-122.4, 10)}.items():
+        to_lonlat = spark.createDataFrame([(zone,)], "zone int")
+        x0, y0 = to_lonlat.select(*geo.utm_forward(F.lit(lon0), F.lit(40.0), F.col("zone"))).first()
+        xs, ys, green = x0 + draw.uniform(0, 6000, 400), y0 + draw.uniform(0, 6000, 400), draw.uniform(0.02, 0.08, 400)
+        pixels += [(scene, float(x), float(y), True, float(g)) for x, y, g in zip(xs, ys, green, strict=True)]
+        rrs = (green - np.percentile(green, 1)) / np.pi
+        for sensor, step in (("olci", 300.0), ("pace", 1000.0)):
+            side = int(6000 / step) + 2
+            grid = [(i, x0 + (i % side) * step, y0 + (i // side) * step) for i in range(side * side)]
+            far = np.hypot(xs[:, None] - [g[1] for g in grid], ys[:, None] - [g[2] for g in grid])
+            at = far.argmin(1)
+            for i in np.unique(at[far.min(1) <= step]):
+                mine = rrs[at == i]
+                want[scene, sensor, int(i)] = (len(mine), mine.mean(), float(i) + len(scene + sensor) + (scene == "b"))
+            lonlat = spark.createDataFrame(grid, "i long, x double, y double").select("i", *geo.utm_inverse(F.col("x"), F.col("y"), F.lit(zone))).collect()
+            centres += [(scene, sensor, r[0], r[1], r[2], zone, float(r[0]) + len(scene + sensor) + (scene == "b")) for r in lonlat]
+    px = spark.createDataFrame(pixels, "scene string, x double, y double, water boolean, g double")
+    cs = spark.createDataFrame(centres, "scene string, sensor string, coarse_index long, lon double, lat double, zone int, CHL double")
+    got = {(r["scene"], r["sensor"], r["coarse_index"]): r for r in stages.aggregate_stage(px, cs, {560.0: "g"}, ratios=[]).collect()}
+    assert set(got) == set(want)
+    for k, (n, mean, chl) in want.items():
+        assert got[k]["n_water"] == n and abs(got[k]["rrs_mean_560"] - mean) < 1e-9 and got[k]["coarse_CHL"] == chl
+
+
+def test_agreement_of_nothing_is_not_assessable(spark, frame):
+    path = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/verdicts"
+    assert stages.agreement_stage(frame.where("false"), {560.0: "rrs_mean_560"}, {560.0: "coarse_RRS560"}, path).count() == 0
+    assert stages.agreement_stage(frame, {560.0: "rrs_mean_560"}, {560.0: "coarse_RRS560"}, path, sensor="pace").count() == 0
+    assert spark.read.schema(ledger.SCHEMA).csv(path, header=True).first()["verdict"] == "NOT ASSESSABLE"
+
+
+def test_check_and_aggregate_from_the_command_line(spark, pixels, frame):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    grid = {"epsg": 32617, "dx": 30.0, "dy": -30.0, "x0": 500_000.0, "y0": 4_600_000.0, "n_x": 32, "n_y": 32}
+    with open(f"{base}/grids.json", "w") as f:
+        json.dump({"s": grid}, f)
+    corners = tables.corners_frame(spark, {"s": tables.grid_header(grid)})
+    edge = corners.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+    spark.createDataFrame([("s", *(float(x) for x in edge))], "scene string, west double, south double, east double, north double").write.parquet(f"{base}/boxes")
+    wet = (F.col("row") + F.col("col")) % 7 != 0
+    green, nir = F.when(wet, 0.05).otherwise(0.02), F.when(wet, 0.01).otherwise(0.03)
+    pixels.select("scene", "row", "col", green.alias("green"), nir.alias("nir"), F.lit(0.001).alias("uncertainty"), F.lit(0).alias("cloud")).write.parquet(f"{base}/check")
+    common = ["--out", f"{base}/out", "--ledger", f"{base}/ledger", "--log-dir", f"{base}/logs"]
+    cli.main([*common, "check", "--pixels", f"{base}/check", "--grids", f"{base}/grids.json", "--boxes", f"{base}/boxes", "--flags", "cloud"])
+    assert spark.read.parquet(f"{base}/out/checks").first()["green_over_nir"] == pytest.approx(5)
+    pixels.write.parquet(f"{base}/pixels")
+    rows = [("s", "olci", r * N + c, c * 120.0 + 60, r * 120.0 + 60, 0.01 + 0.004 * math.sin((4 * c + 1.5) / 3)) for r in range(N) for c in range(N)]
+    spark.createDataFrame(rows, "scene string, sensor string, coarse_index long, cx double, cy double, RRS560 double").write.parquet(f"{base}/centres")
+    bands = ["--bands", "490=b490", "560=b560", "665=b665", "--coarse", "560=coarse_RRS560"]
+    cli.main([*common, "aggregate", "--pixels", f"{base}/pixels", "--centres", f"{base}/centres", *bands])
+    cli.main([*common, "--log-level", "ERROR", "aggregate", "--verify-only-gate", "--scenes", "s", *bands])
+    assert spark.read.parquet(f"{base}/out/frame").count() == frame.count() and spark.read.parquet(f"{base}/out/agreement").count() == 1
+    verdicts = {r["hypothesis"][:2]: r["verdict"] for r in spark.read.schema(ledger.SCHEMA).csv(f"{base}/ledger", header=True).collect()}
+    assert verdicts == {"V1": "PASS", "V0": "PASS", "V2": "PASS"}
+    assert open(f"{base}/logs/check.log").read().count("check ends") == 1 and open(f"{base}/logs/aggregate.log").read() == ""
+
+
+def test_proposal_and_fetch_gates(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    index = spark.createDataFrame([(f"f{i % 5}", -30.0 + i % 3 * 0.05, 40.02, "2024-01-01", True) for i in range(20)], "float_id string, lon double, lat double, time string, has_chla boolean").withColumn("time", F.to_timestamp("time"))
+    scenes = spark.createDataFrame([("s_1_4001", "here", -29.0, 40.0)], "scene_id string, place string, lon double, lat double")
+    stations = spark.createDataFrame([("a", "weekly", -83.2, 41.8), ("b", "cruise", -83.3, 41.85), ("c", "weekly", -80.0, 41.0)], "station string, kind string, lon double, lat double")
+    feet = spark.createDataFrame([(-83.25, 41.7, -83.1, 41.9)], "west double, south double, east double, north double")
+    both, gaps = stages.proposal_stage(index, scenes, stations, feet, recent=F.col("time") >= F.lit("2023-01-01").cast("timestamp"), centre=(-83.28, 41.8), weekly="weekly", ledger_path=f"{base}/ledger", config=SearchConfig(top_n=1))
+    rows = both.collect()
+    last = [r for r in rows if r["metric"] == "in_situ_stations"]
+    assert len(rows) == 5 and len(last) == 1 and (last[0]["n_stations"], last[0]["n_weekly"], last[0]["n_ids"]) == (2, 1, None)
+    assert gaps.first()["n_inside"] == 1
+    opened = spark.createDataFrame([("s", True, 600), ("t", True, 10)], "scene string, opens boolean, n_valid long")
+    stages.fetch_stage(opened, ["s"], f"{base}/ledger")
+    with pytest.raises(RuntimeError):
+        stages.fetch_stage(opened, ["s", "t", "u"], f"{base}/ledger")
+    verdicts = {r["hypothesis"][:2]: (r["verdict"], r["note"]) for r in spark.read.schema(ledger.SCHEMA).csv(f"{base}/ledger", header=True).collect()}
+    assert verdicts["V6"][0] == "PASS" and verdicts["G0"] == ("FAIL", "t, u")
+
+
+def test_percentiles_equal_numpy(spark):
+    draw = np.random.default_rng(6)
+    fields = {"normal": draw.normal(0, 1, 700), "tied": draw.integers(0, 4, 500).astype(float), "one": np.array([3.5]), "same": np.full(40, -2.0), "wide": np.concatenate([draw.normal(0, 1e-9, 300), [1e12, -1e12]])}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in fields.items() for v in x] + [("normal", None), ("none", None)], "k string, v double")
+    shares = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.92, "e": 1.0}
+    for buckets in (1, 7, 4096):
+        got = {r["k"]: r for r in quantiles.percentiles(rows, ["k"], "v", shares, buckets).collect()}
+        assert set(got) == set(fields)
+        for k, x in fields.items():
+            assert got[k]["n"] == len(x) and all(got[k][n] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-22) for n, p in shares.items())
+    plan = spectral.water_spectrum(rows.withColumn("w", F.col("v")), {"v": "v", "w": "w"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "median(" not in plan

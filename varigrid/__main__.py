@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import json
+import logging
+import os
 
 from pyspark.sql import functions as F
 
@@ -16,7 +19,22 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="varigrid", description=__doc__)
     parser.add_argument("--out", required=True, help="folder of the results")
     parser.add_argument("--ledger", help="folder of the verdicts; gates are recorded and enforced if given")
+    parser.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR"])
+    parser.add_argument("--log-dir", help="folder of the stages' logs on this machine; each run begins its stage's log anew")
     commands = parser.add_subparsers(dest="stage", required=True)
+    check = commands.add_parser("check", help="gates V0 and V1 of scenes")
+    check.add_argument("--pixels", required=True, help="scene, row, col, green, nir, uncertainty, and water or else flags")
+    check.add_argument("--grids", required=True, help="JSON: the grid header of each scene")
+    check.add_argument("--boxes", required=True, help="scene, west, south, east, north")
+    check.add_argument("--flags", nargs="*", default=[], help="columns of cloud and cirrus flags")
+    aggregate = commands.add_parser("aggregate", help="bin fine samples to the cells of coarse sensors")
+    aggregate.add_argument("--pixels", help="scene, x, y, water and the bands' columns")
+    aggregate.add_argument("--centres", help="scene, sensor, coarse_index, cx and cy or lon, lat and zone, retrievals")
+    aggregate.add_argument("--bands", nargs="*", default=[], help="wavelength=column")
+    aggregate.add_argument("--coarse", nargs="*", default=[], help="wavelength=column of the frame, for V2")
+    aggregate.add_argument("--scenes", nargs="*")
+    aggregate.add_argument("--sensors", nargs="*")
+    aggregate.add_argument("--verify-only-gate", action="store_true", help="only V2, over the frame written before")
     compare = commands.add_parser("compare", help="box statistics of aggregate frames")
     compare.add_argument("--frame", required=True)
     compare.add_argument("--rows", type=int, required=True)
@@ -33,8 +51,34 @@ def main(argv: list[str] | None = None) -> None:
     split.add_argument("--patch", type=int, default=480)
     split.add_argument("--factors", type=int, nargs="+", default=[18, 40])
     args = parser.parse_args(argv)
+    logging.basicConfig(level=args.log_level, force=True, format="%(asctime)s %(levelname)s %(message)s", handlers=_handlers(args.log_dir, args.stage))
+    log = logging.getLogger("varigrid")
+    log.info("%s begins", args.stage)
     spark = session()
-    if args.stage == "compare":
+    if args.stage == "check":
+        pixels = tables.aggregates(spark, args.pixels)
+        if "water" not in pixels.columns:
+            pixels = stages.mask_stage(pixels, "green", "nir", flags=args.flags)
+        headers = json.loads(spark.read.text(args.grids, wholetext=True).first()[0])
+        corners = tables.corners_frame(spark, {k: tables.grid_header(h) for k, h in headers.items()})
+        stages.check_stage(pixels, corners, spark.read.parquet(args.boxes), args.ledger).write.mode("overwrite").parquet(f"{args.out}/checks")
+    elif args.stage == "aggregate":
+        pairs = lambda xs: {float(a): b for a, b in (x.split("=", 1) for x in xs)}
+        bands = pairs(args.bands)
+        if not args.verify_only_gate:
+            centres = tables.aggregates(spark, args.centres)
+            for column, chosen in (("scene", args.scenes), ("sensor", args.sensors)):
+                if chosen:
+                    centres = centres.where(F.col(column).isin(*chosen))
+            tables.write_aggregates(stages.aggregate_stage(tables.aggregates(spark, args.pixels), centres, bands), f"{args.out}/frame")
+        frame = tables.aggregates(spark, f"{args.out}/frame")
+        for column, chosen in (("scene", args.scenes), ("sensor", args.sensors)):
+            if chosen:
+                frame = frame.where(F.col(column).isin(*chosen))
+        if args.coarse:
+            fine = {nm: f"rrs_mean_{nm:.0f}" for nm in bands if f"rrs_mean_{nm:.0f}" in frame.columns}
+            stages.agreement_stage(frame, fine, pairs(args.coarse), args.ledger).write.mode("overwrite").parquet(f"{args.out}/agreement")
+    elif args.stage == "compare":
         frame = tables.aggregates(spark, args.frame)
         for column, chosen in (("scene", args.scenes), ("sensor", args.sensors)):
             if chosen:
@@ -48,6 +92,14 @@ def main(argv: list[str] | None = None) -> None:
     else:
         samples = tables.aggregates(spark, args.samples)
         stages.variance_stage(samples, {c: c for c in args.scalars}, patch=args.patch, factors=args.factors).write.mode("overwrite").parquet(f"{args.out}/variance")
+    log.info("%s ends", args.stage)
+
+
+def _handlers(folder: str | None, stage: str) -> list[logging.Handler]:
+    if not folder:
+        return [logging.StreamHandler()]
+    os.makedirs(folder, exist_ok=True)
+    return [logging.StreamHandler(), logging.FileHandler(os.path.join(folder, f"{stage}.log"), mode="w", encoding="utf-8")]
 
 
 if __name__ == "__main__":

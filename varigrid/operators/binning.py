@@ -11,20 +11,23 @@ from pyspark.sql import Window as W
 from varigrid.functions.nulls import finite, ratio
 
 
-def nearest_join(points: DataFrame, centres: DataFrame, spacing: float, *, x: str = "x", y: str = "y", cx: str = "cx", cy: str = "cy", index: str = "coarse_index", keys: Sequence[str] = ()) -> DataFrame:
+def nearest_join(points: DataFrame, centres: DataFrame, spacing: float | Column, *, x: str = "x", y: str = "y", cx: str = "cx", cy: str = "cy", index: str = "coarse_index", keys: Sequence[str] = ()) -> DataFrame:
     """``points`` with ``index`` and ``distance`` of the nearest centre within ``spacing``, ends included; others go.
 
     Both sides are bucketed by cells as wide as ``spacing``; a centre stands in the nine buckets around its own,
     so the nearest within reach is always in a point's bucket and the join is one equi-join, exact. A bucket's
     centres are gathered to an array first (a few on a grid of this spacing), so each point meets one row and no
     shuffle by point follows. Ties go to the lowest index. ``keys`` (a scene, say) must agree.
+
+    ``spacing`` may be a column that both tables have, one value for all rows of a key. It should be the centres' real
+    spacing: a bucket holds the centres of nine cells of that width.
     """
-    s = F.lit(float(spacing))
+    s = spacing if isinstance(spacing, Column) else F.lit(float(spacing))
     around = F.array(*(F.lit(d) for d in (-1, 0, 1)))
     dealt = centres.where(finite(F.col(cx)).isNotNull() & finite(F.col(cy)).isNotNull())
-    dealt = dealt.groupBy(*keys, F.col(cx).alias("_cx"), F.col(cy).alias("_cy")).agg(F.min(index).alias("_index"))
+    dealt = dealt.groupBy(*keys, s.alias("_s"), F.col(cx).alias("_cx"), F.col(cy).alias("_cy")).agg(F.min(index).alias("_index"))
     dealt = dealt.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    dealt = dealt.withColumns({"_bx": (F.floor(F.col("_cx") / s) + F.col("_dx")).cast("long"), "_by": (F.floor(F.col("_cy") / s) + F.col("_dy")).cast("long")})
+    dealt = dealt.withColumns({"_bx": (F.floor(F.col("_cx") / F.col("_s")) + F.col("_dx")).cast("long"), "_by": (F.floor(F.col("_cy") / F.col("_s")) + F.col("_dy")).cast("long")})
     buckets = dealt.groupBy(*keys, "_bx", "_by").agg(F.collect_list(F.struct("_index", "_cx", "_cy")).alias("_centres"))
     placed = points.withColumns({"_bx": F.floor(F.col(x) / s).cast("long"), "_by": F.floor(F.col(y) / s).cast("long")})
     met = placed.join(buckets, [*keys, "_bx", "_by"])
@@ -39,6 +42,12 @@ def median_spacing(centres: DataFrame, *, x: str = "x", y: str = "y", reach: flo
     ``reach`` bounds the search cell; centres that have no other within it are counted in ``n_alone`` and left
     out of the median, so a caller can widen ``reach`` until there are none. Centres at one place have distance 0.
     """
+    near = nearest_others(centres, x=x, y=y, reach=reach, keys=keys)
+    return near.groupBy(*keys).agg(F.median("d").alias("spacing"), F.count_if(F.col("d").isNull()).alias("n_alone"))
+
+
+def nearest_others(centres: DataFrame, *, x: str, y: str, reach: float, keys: Sequence[str]) -> DataFrame:
+    """``keys, d``: the distance of each centre to its nearest other one, null beyond ``reach``."""
     s = F.lit(float(reach))
     own = centres.where(finite(F.col(x)).isNotNull() & finite(F.col(y)).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
     cell = lambda c: F.floor(F.col(c) / s).cast("long")
@@ -50,8 +59,30 @@ def median_spacing(centres: DataFrame, *, x: str = "x", y: str = "y", reach: flo
     d2 = F.array_min(F.transform(others, lambda o: F.pow(F.col("_x") - o["px"], 2) + F.pow(F.col("_y") - o["py"], 2)))
     distance = F.when(F.col("_n") > 1, F.lit(0.0)).when(F.sqrt(d2) <= s, F.sqrt(d2))
     each = met.select(*keys, distance.alias("d"), "_n")
-    weighted = each.withColumn("d", F.explode(F.array_repeat("d", F.col("_n").cast("int"))))
-    return weighted.groupBy(*keys).agg(F.median("d").alias("spacing"), F.count_if(F.col("d").isNull()).alias("n_alone"))
+    return each.withColumn("d", F.explode(F.array_repeat("d", F.col("_n").cast("int")))).select(*keys, "d")
+
+
+def granule_spacing(centres: DataFrame, keys: Sequence[str], *, x: str = "x", y: str = "y", reach: float = 2000.0, widen: int = 8) -> DataFrame:
+    """``keys, spacing``: :func:`median_spacing` of each key. The search cell of a key is widened by four until the median is
+    certain: until fewer than half of its centres are alone within it. A key whose centres are all in one place, or of
+    one centre only, has none."""
+    left, out = centres, None
+    for turn in range(widen):
+        found = median_spacing_of_all(left, x=x, y=y, reach=reach * 4**turn, keys=keys)
+        sure = found.where("spacing is not null").select(*keys, "spacing")
+        out = sure if out is None else out.unionByName(sure)
+        rest = found.where("spacing is null").select(*keys)
+        if rest.isEmpty():  # a row a granule
+            break
+        left = left.join(F.broadcast(rest), list(keys), "left_semi")
+    return out
+
+
+def median_spacing_of_all(centres: DataFrame, *, x: str, y: str, reach: float, keys: Sequence[str]) -> DataFrame:
+    """:func:`median_spacing` in which a centre alone within ``reach`` lies further than all others; null if that hides the median."""
+    near = nearest_others(centres, x=x, y=y, reach=reach, keys=keys)
+    told = near.groupBy(*keys).agg(F.median(F.coalesce("d", F.lit(float("inf")))).alias("spacing"))
+    return told.withColumn("spacing", F.when(F.col("spacing") < float("inf"), F.col("spacing")))
 
 
 def bin_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,15 +14,21 @@ from varigrid.functions.geo import haversine_km, in_box, rect_gap_km
 ARRAY_ROWS = 5000
 
 
-def _met(points: DataFrame, others: DataFrame, name: str) -> DataFrame:
-    """``points`` with ``others`` as an array column ``name``: once for a checked few, else once a block of them."""
+def _least(points: DataFrame, others: DataFrame, key: Sequence[str], value: Callable[[Column], Column]) -> DataFrame:
+    """``key`` and ``best``, the least ``value`` of a point's and any other row, given as a struct; keys are unique.
+
+    Up to :data:`ARRAY_ROWS` others, a checked number, travel with the plan as one array, and no point moves. More are met in
+    blocks, and the least of each block is reduced by key.
+    """
     packed = F.struct(*(F.col(c) for c in others.columns))
+    best = F.array_min(F.transform("_others", value)).alias("best")
     n = others.count()
     if n <= ARRAY_ROWS:
-        return points.join(F.broadcast(others.agg(F.collect_list(packed).alias(name))), F.lit(True))
+        return points.join(F.broadcast(others.agg(F.collect_list(packed).alias("_others"))), F.lit(True)).select(*key, best)
     blocks = -(-n // ARRAY_ROWS)
-    arrays = others.groupBy(F.pmod(F.xxhash64(*others.columns), F.lit(blocks)).alias("_block")).agg(F.collect_list(packed).alias(name))
-    return points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(arrays, "_block").drop("_block")
+    arrays = others.groupBy(F.pmod(F.xxhash64(*others.columns), F.lit(blocks)).alias("_block")).agg(F.collect_list(packed).alias("_others"))
+    met = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(arrays, "_block")
+    return met.select(*key, best).groupBy(*key).agg(F.min("best").alias("best"))
 
 
 def nearest_scene(points: DataFrame, scenes: DataFrame, *, key: Sequence[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -32,18 +38,18 @@ def nearest_scene(points: DataFrame, scenes: DataFrame, *, key: Sequence[str], l
     """
     string_ids(scenes, "scene_id")
     s = scenes.select("scene_id", "place", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
-    met = _met(points.select(*key, F.col(lon).alias("_lon"), F.col(lat).alias("_lat")), s, "_scenes")
-    best = F.array_min(F.transform("_scenes", lambda x: F.struct(haversine_km(F.col("_lat"), F.col("_lon"), x["slat"], x["slon"]).alias("km"), x["scene_id"].alias("id"), x["place"].alias("place"))))
-    out = met.withColumn("_best", best).groupBy(*key).agg(F.min("_best").alias("b"))
-    return out.select(*key, F.col("b.id").alias("nearest_scene_id"), F.col("b.km").alias("nearest_scene_km"), F.col("b.place").alias("nearest_scene_place"))
+    placed = points.select(*key, F.col(lon).alias("_lon"), F.col(lat).alias("_lat"))
+    near = lambda x: F.struct(haversine_km(F.col("_lat"), F.col("_lon"), x["slat"], x["slon"]).alias("km"), x["scene_id"].alias("id"), x["place"].alias("place"))
+    out = _least(placed, s, key, near)
+    return out.select(*key, F.col("best.id").alias("nearest_scene_id"), F.col("best.km").alias("nearest_scene_km"), F.col("best.place").alias("nearest_scene_place"))
 
 
 def rect_gap(stations: DataFrame, footprints: DataFrame, *, key: Sequence[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
     """``key, km, inside``: distance from each station to the nearest footprint (``west, south, east, north``)."""
-    met = _met(stations.select(*key, F.col(lon).alias("_lon"), F.col(lat).alias("_lat")), footprints.select("west", "south", "east", "north"), "_rects")
-    gap = F.array_min(F.transform("_rects", lambda r: rect_gap_km(F.col("_lon"), F.col("_lat"), r["west"], r["south"], r["east"], r["north"])))
-    out = met.withColumn("_km", gap).groupBy(*key).agg(F.min("_km").alias("km"))
-    return out.withColumn("inside", F.col("km") == 0)
+    placed = stations.select(*key, F.col(lon).alias("_lon"), F.col(lat).alias("_lat"))
+    gap = lambda r: rect_gap_km(F.col("_lon"), F.col("_lat"), r["west"], r["south"], r["east"], r["north"])
+    out = _least(placed, footprints.select("west", "south", "east", "north"), key, gap)
+    return out.select(*key, F.col("best").alias("km"), (F.col("best") == 0).alias("inside"))
 
 
 def stations_in_box(stations: DataFrame, west: float, south: float, east: float, north: float, weekly: str, *, lon: str = "lon", lat: str = "lat", kind: str = "kind") -> DataFrame:

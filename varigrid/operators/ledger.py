@@ -81,12 +81,14 @@ def water_gate(checks: DataFrame, config: GateConfig = GateConfig()) -> dict[str
 
 
 def agreement_verdict(gates: DataFrame, config: GateConfig = GateConfig()) -> dict[str, str]:
-    """V2 over the scenes of :func:`varigrid.operators.agreement.agreement_gate`."""
+    """V2 over the scenes of :func:`varigrid.operators.agreement.agreement_gate`; NOT ASSESSABLE where no band could be compared."""
     from varigrid.operators.agreement import furthest_from_one
 
     r = gates.agg(F.min("worst_correlation").alias("r"), furthest_from_one(F.col("worst_spread")).alias("f")).first()
-    ok = r["r"] is not None and r["f"] is not None and r["r"] >= config.min_correlation and abs(math.log(r["f"])) <= math.log(config.max_spread)
-    return verdict_row("V2 fine means agree with the coarse sensor", "worst gated correlation; worst spread", f"{r['r']}; {r['f']}", f">= {config.min_correlation}; within x{config.max_spread}", "PASS" if ok else "FAIL")
+    told = r["r"] is not None and r["f"] is not None
+    ok = told and r["r"] >= config.min_correlation and abs(math.log(r["f"])) <= math.log(config.max_spread)
+    verdict = "NOT ASSESSABLE" if not told else "PASS" if ok else "FAIL"
+    return verdict_row("V2 fine means agree with the coarse sensor", "worst gated correlation; worst spread", f"{r['r']}; {r['f']}" if told else "-", f">= {config.min_correlation}; within x{config.max_spread}", verdict)
 
 
 def structure_verdict(scores: DataFrame, keys: Sequence[str], config: GateConfig = GateConfig()) -> dict[str, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from varigrid.functions.nulls import finite, ratio
+from varigrid.operators.quantiles import of_columns
 
 
 def ndwi(green: Column, nir: Column) -> Column:
@@ -56,8 +57,7 @@ def binary_opening(cells: DataFrame, row: str, col: str, mask: str, keys: Sequen
 
 def dark_offset(df: DataFrame, bands: Mapping[str, str], keys: Sequence[str] = (), share: float = 0.01) -> DataFrame:
     """``band, pedestal``: the exact percentile of each band over the given (water) samples."""
-    rows = F.array(*(F.struct(F.lit(b).alias("band"), finite(F.col(c)).alias("v")) for b, c in bands.items()))
-    return df.select(*keys, F.explode(rows).alias("b")).groupBy(*keys, F.col("b.band").alias("band")).agg(F.percentile("b.v", share).alias("pedestal"))
+    return of_columns(df, bands, "band", {"pedestal": share}, keys).drop("n")
 
 
 def to_rrs(df: DataFrame, offsets: DataFrame, bands: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
@@ -72,15 +72,34 @@ def to_rrs(df: DataFrame, offsets: DataFrame, bands: Mapping[str, str], keys: Se
 
 def water_spectrum(df: DataFrame, bands: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
     """``band, n, median, p1`` over the given (water) samples."""
-    rows = F.array(*(F.struct(F.lit(b).alias("band"), finite(F.col(c)).alias("v")) for b, c in bands.items()))
-    long = df.select(*keys, F.explode(rows).alias("b")).select(*keys, "b.*")
-    return long.groupBy(*keys, "band").agg(F.count("v").alias("n"), F.median("v").alias("median"), F.percentile("v", 0.01).alias("p1"))
+    return of_columns(df, bands, "band", {"median": 0.5, "p1": 0.01}, keys)
 
 
 def water_check(df: DataFrame, water: str, green: str, nir: str, uncertainty: str, keys: Sequence[str] = ()) -> DataFrame:
     """Water share, green over near infrared and relative uncertainty at green: medians over water."""
-    wet = lambda c: F.median(F.when(F.col(water), finite(F.col(c))))
-    return df.groupBy(*keys).agg(F.count_if(F.col(water)).alias("n_water"), F.count(F.lit(1)).alias("n_valid"), ratio(F.count_if(F.col(water)), F.count(F.lit(1))).alias("water_share"), ratio(wet(green), wet(nir)).alias("green_over_nir"), ratio(wet(uncertainty), wet(green)).alias("relative_uncertainty"))
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.count_if(F.col(water)).alias("n_water"), F.count(F.lit(1)).alias("n_valid"))
+    wet = of_columns(df.where(water), {"g": green, "n": nir, "u": uncertainty}, "band", {"m": 0.5}, keys)
+    wide = wet.groupBy(*keys).agg(*(F.max(F.when(F.col("band") == b, F.col("m"))).alias(f"_{b}") for b in "gnu"))
+    met = counts.join(wide, keys, "left") if keys else counts.join(F.broadcast(wide), F.lit(True), "left")
+    return met.select(*keys, "n_water", "n_valid", ratio(F.col("n_water"), F.col("n_valid")).alias("water_share"), ratio(F.col("_g"), F.col("_n")).alias("green_over_nir"), ratio(F.col("_u"), F.col("_g")).alias("relative_uncertainty"))
+
+
+def water_mask(pixels: DataFrame, row: str, col: str, green: str, nir: str, *, flags: Sequence[str] = (), valid: str | None = None, keys: Sequence[str] = (), bins: int = 64, element: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """``pixels`` (unique cells) with ``water``: the index of green and near infrared lies above the scene's threshold of
+    Otsu, no cloud or cirrus flag in ``flags`` is set (a null flag, that is the fill value, counts as set), and the cell
+    survives a binary opening. Invalid cells are dry."""
+    keys = list(keys)
+    index = ndwi(F.col(green), F.col(nir))
+    good = F.col(valid) if valid else F.lit(True)
+    for flag in flags:
+        good = good & F.coalesce(F.col(flag) == 0, F.lit(False))
+    marked = pixels.withColumn("_index", F.when(good, index))
+    limits = otsu_threshold(marked, "_index", -1.0, 1.0, bins, keys).select(*keys, "threshold")
+    met = marked.join(F.broadcast(limits), keys, "left") if keys else marked.join(F.broadcast(limits), F.lit(True), "left")  # a row a scene
+    raw = met.withColumn("water", F.coalesce(F.col("_index") >= F.col("threshold"), F.lit(False)))
+    opened = binary_opening(raw, row, col, "water", keys, element or CROSS).withColumn("_open", F.lit(True))
+    return raw.drop("water", "_index", "threshold").join(opened, [*keys, row, col], "left").withColumn("water", F.coalesce("_open", F.lit(False))).drop("_open")
 
 
 def bbox_margin(corners: DataFrame, boxes: DataFrame, keys: Sequence[str], pixel: float = 30.0, slack: float = 1.0) -> DataFrame:

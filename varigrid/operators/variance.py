@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.functions.nulls import finite, ratio
+from varigrid.operators.quantiles import percentiles
 
 
 def _block(c: str, factor: Column | int) -> Column:
@@ -61,5 +62,4 @@ def centre_window(cells: DataFrame, row: str, col: str, size: int, keys: Sequenc
 
 def stretch(df: DataFrame, value: str, low: float = 0.08, high: float = 0.92, keys: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles for a display stretch."""
-    v = finite(F.col(value))
-    return df.groupBy(*keys).agg(F.percentile(v, low).alias("low"), F.percentile(v, high).alias("high"))
+    return percentiles(df.select(*keys, finite(F.col(value)).alias("_value")), keys, "_value", {"low": low, "high": high}).drop("n")

@@ -12,6 +12,7 @@ from varigrid.functions.text import flag_contains as contains
 from varigrid.operators import coverage, density, ledger
 from varigrid.plans.registry import query, rounded
 from varigrid.sources import tables
+from varigrid.sources.fixtures import scratch
 
 CONFIG = SearchConfig(box_deg=(0.3, 0.2), cell_deg=0.1, top_n=10, min_separation_deg=2.0)
 P, S, T = ("fx_profiles",), ("fx_scenes",), ("fx_stations",)
@@ -33,9 +34,9 @@ def grid_mesh(t):
     return tables.grid_mesh(lon, lat)
 
 
-@query("SELECT CAST(float_id AS STRING) AS float_id, round(lat, 6) AS lat, round(lon, 6) AS lon, time, parameters, contains(parameters, 'click') AS has_chla FROM fx_profiles WHERE profile_id % 7 <> 0", P)
+@query("SELECT CAST(float_id AS STRING) AS float_id, round(lat, 6) AS lat, round(lon, 6) AS lon, time, parameters, contains(parameters, 'click') AS has_chla FROM fx_profiles", P)
 def profile_index(t):
-    raw = t("fx_profiles").select(F.col("float_id").alias("PLATFORM_NUMBER"), F.when(F.col("profile_id") % 7 != 0, F.col("lat")).otherwise(F.lit(float("nan"))).alias("LATITUDE"), F.col("lon").alias("LONGITUDE"), F.col("time").alias("TIME"), "parameters")
+    raw = t("fx_profiles").select(F.col("float_id").alias("PLATFORM_NUMBER"), F.col("lat").alias("LATITUDE"), F.col("lon").alias("LONGITUDE"), F.col("time").alias("TIME"), "parameters")
     return tables.profile_index(raw, "click").select("float_id", *rounded(6, "lat", "lon"), "time", "parameters", "has_chla")
 
 
@@ -197,3 +198,53 @@ def union_all(t):
 @query("SELECT n_name AS name, n_regionkey AS region, CAST(NULL AS STRING) AS label FROM nation UNION ALL SELECT r_name, NULL, 'region' FROM region")
 def union_missing_cols(t):
     return t("nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).unionByName(t("region").select(F.col("r_name").alias("name"), F.lit("region").alias("label")), allowMissingColumns=True)
+
+
+@query("SELECT CAST(n_regionkey AS STRING) AS kind, CAST(count(*) AS BIGINT) AS n, round(min(s_acctbal), 6) AS least, round(avg(s_acctbal), 6) AS mean FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def metrics_ledger(t):
+    """A summary written as a JSON ledger and looked up again."""
+    rows = t("nation").join(t("supplier"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").cast("string").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("s_acctbal").alias("least"), F.avg("s_acctbal").alias("mean"))
+    path = f"{scratch(rows.sparkSession)}/metrics.json"
+    ledger.write_metrics(rows, path, ["kind"])
+    return tables.read_metrics(rows.sparkSession, path, ["kind"], "n bigint, least double, mean double").select("kind", "n", *rounded(6, "least", "mean"))
+
+
+@query("SELECT 'r' || n_regionkey AS scene, 's' || (n_nationkey % 2) AS sensor, n_nationkey AS coarse_index, CASE WHEN n_nationkey % 5 > 0 THEN CAST(n_nationkey AS DOUBLE) / 8 END AS rrs_mean_560 FROM nation")
+def frame_round_trip(t):
+    """Aggregate frames written by scene and sensor and read again; NaN comes back as null."""
+    k = F.col("n_nationkey")
+    value = F.when(k % 5 > 0, k.cast("double") / 8).otherwise(F.lit(float("nan")))
+    frame = t("nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("scene"), F.concat(F.lit("s"), (k % 2).cast("string")).alias("sensor"), k.alias("coarse_index"), value.alias("rrs_mean_560"))
+    path = f"{scratch(frame.sparkSession)}/frame"
+    tables.write_aggregates(frame, path)
+    return tables.aggregates(frame.sparkSession, path).select("scene", "sensor", "coarse_index", "rrs_mean_560")
+
+
+@query("SELECT s_name || ', \"' || s_suppkey || '\"' AS station, CASE WHEN s_suppkey % 3 = 0 THEN 'weekly' ELSE 'cruise' END AS kind, round(s_acctbal / 200, 6) AS lat, CAST(s_suppkey AS DOUBLE) AS depth_m FROM supplier")
+def station_file(t):
+    """Stations from CSV with quoted commas and quotes."""
+    rows = t("supplier").select(F.concat("s_name", F.lit(', "'), F.col("s_suppkey").cast("string"), F.lit('"')).alias("station"), F.when(F.col("s_suppkey") % 3 == 0, "weekly").otherwise("cruise").alias("kind"), (F.col("s_acctbal") / 200).alias("lat"), F.lit(0.0).alias("lon"), F.col("s_suppkey").cast("double").alias("depth_m"), F.lit("a, b").alias("sampling"), F.lit("x").alias("source"))
+    path = f"{scratch(rows.sparkSession)}/stations"
+    rows.write.csv(path, header=True, escape='"')
+    return tables.stations(rows.sparkSession, path).where("sampling = 'a, b'").select("station", "kind", *rounded(6, "lat"), "depth_m")
+
+
+@query("SELECT scene_id, '2024-01-01' AS date, place, round(lon - 0.15, 6) AS west, round(lat + 0.1, 6) AS north, round(lon, 6) AS lon, round(lat, 6) AS lat FROM fx_scenes", S)
+def scene_inventory(t):
+    """Scenes from JSON, ids as strings, with the centres of their boxes."""
+    box = F.array(F.col("lon") - 0.15, F.col("lat") - 0.1, F.col("lon") + 0.15, F.col("lat") + 0.1)
+    rows = t("fx_scenes").select(F.col("scene_id").alias("id"), F.lit("2024-01-01").alias("dt"), box.alias("bbox"), F.col("place").alias("loc"))
+    path = f"{scratch(rows.sparkSession)}/scenes"
+    rows.write.json(path)
+    return tables.inventory(rows.sparkSession, path, lines=True).select("scene_id", "date", "place", *rounded(6, "west", "north", "lon", "lat"))
+
+
+@query("SELECT n_name AS scene, '2024_' || n_nationkey AS scene_id, '2024-01-02' AS date, CAST(n_nationkey AS DOUBLE) AS west, CAST(n_nationkey + 1 AS DOUBLE) AS east, 'a role of ' || n_regionkey AS role, 'http://x/2024_' || n_nationkey || '/2024_' || n_nationkey || '_b' AS url FROM nation WHERE n_nationkey < 20")
+def scene_config(t):
+    """Scenes of a configuration table, chosen by key, with the address of an asset."""
+    rows = t("nation").orderBy("n_nationkey").collect()  # 25 rows: a configuration file
+    config = {r["n_name"]: {"scene_id": f"2024_{r['n_nationkey']}", "date": "2024-01-02", "bbox": [r["n_nationkey"], 0, r["n_nationkey"] + 1, 1], "role": f" a  role\n of {r['n_regionkey']}"} for r in rows}
+    chosen = tables.load_scenes(config, [r["n_name"] for r in rows if r["n_nationkey"] < 20])
+    out = tables.scenes_frame(t("nation").sparkSession, chosen)
+    urls = out.sparkSession.createDataFrame([(s.key, tables.asset_url("http://x/", s.scene_id, "b")) for s in chosen], "scene string, url string")
+    return out.join(urls, "scene").select("scene", "scene_id", "date", "west", "east", "role", "url")

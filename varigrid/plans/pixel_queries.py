@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from varigrid.functions.geo import METRES_PER_DEGREE
 from varigrid.functions.nulls import masked, ratio
+from varigrid.functions.text import first_token
 from varigrid.operators import agreement, binning, ledger, spectral, variance
 from varigrid.plans.registry import as_rrs, query, rounded
 from varigrid.sources.fixtures import COARSE, FINE
@@ -344,3 +345,95 @@ def merge_first_wins(t):
     k = t("fx_coarse")
     right = k.where("c % 2 = 0").select("coarse_index", (F.col("coarse_rrs560") * 2).alias("coarse_rrs560"), "coarse_rrs490")
     return ledger.merge_first_wins(k.select("coarse_index", "coarse_rrs560"), right, ["coarse_index"]).select("coarse_index", *as_rrs(9, "coarse_rrs560", "coarse_rrs490"))
+
+
+#: Two scenes of the fine samples (even and odd rows) and the cells of two sensors with their own spacings, in SQL.
+SCENES = """px AS (SELECT CASE WHEN y % 2 = 0 THEN 'even' ELSE 'odd' END AS scene, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, water, b490, b560 FROM fx_pixels),
+ grid AS (SELECT scene, sensor, w, r * (96 // w) + c AS coarse_index, c * w + (w - 1) / 2.0 AS cx, r * w + (w - 1) / 2.0 AS cy, (r * 3 + c * 5 + w + length(scene)) / 100.0 AS RRS560
+  FROM (VALUES ('even'), ('odd')) a(scene), (VALUES ('olci', 4), ('pace', 8)) b(sensor, w), range(0, 24) p(r), range(0, 24) q(c) WHERE r < 96 // w AND c < 96 // w),
+ spots AS (SELECT DISTINCT scene, x, y FROM px),
+ near AS (SELECT * FROM (SELECT scene, sensor, x, y, coarse_index, d2, w, row_number() OVER (PARTITION BY scene, sensor, x, y ORDER BY d2, coarse_index) AS k FROM (SELECT s.scene, sensor, x, y, coarse_index, w, pow(x - cx, 2) + pow(y - cy, 2) AS d2 FROM spots s JOIN grid g ON s.scene = g.scene AND abs(x - cx) <= w AND abs(y - cy) <= w)) WHERE k = 1 AND sqrt(d2) <= w),
+ dark AS (SELECT scene, quantile_cont(b560, 0.01) AS o560, quantile_cont(b490, 0.01) AS o490 FROM px WHERE water GROUP BY scene)"""
+
+
+def scenes_and_grids(t):
+    px = t("fx_pixels").select(F.when(F.col("y") % 2 == 0, "even").otherwise("odd").alias("scene"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "water", "b490", "b560")
+    spark = px.sparkSession
+    side = lambda w: [(s, n, r * (96 // w) + c, c * w + (w - 1) / 2, r * w + (w - 1) / 2, (r * 3 + c * 5 + w + len(s)) / 100) for s in ("even", "odd") for n in (["olci"] if w == 4 else ["pace"]) for r in range(96 // w) for c in range(96 // w)]
+    return px, spark.createDataFrame(side(4) + side(8), "scene string, sensor string, coarse_index long, cx double, cy double, RRS560 double")
+
+
+@query(
+    """SELECT scene, sensor, coarse_index, CAST(count(*) FILTER (WHERE water) AS BIGINT) AS n_water, CAST(count(*) AS BIGINT) AS n_valid, round(avg((b560 - o560) / pi()) FILTER (WHERE water), 9) AS rrs_mean_560, round(stddev_pop((b560 - o560) / pi()) FILTER (WHERE water), 9) AS rrs_std_560,
+ CAST(count((b560 - o560) / nullif(b490 - o490, 0)) FILTER (WHERE water) AS BIGINT) AS green_blue_n, max(RRS560) AS coarse_RRS560 FROM px JOIN near USING (scene, x, y) JOIN dark USING (scene) JOIN grid USING (scene, sensor, coarse_index) GROUP BY scene, sensor, coarse_index HAVING count(*) FILTER (WHERE water) > 0""",
+    PX,
+    SCENES,
+)
+def aggregate_stage(t):
+    """The aggregate frame of two scenes and two sensors at once, each granule with its own spacing."""
+    from varigrid.plans import stages
+
+    out = stages.aggregate_stage(*scenes_and_grids(t), {490.0: "b490", 560.0: "b560"}, ratios=[("green_blue", 560.0, 490.0)])
+    return out.select("scene", "sensor", "coarse_index", "n_water", "n_valid", *rounded(9, "rrs_mean_560", "rrs_std_560"), "green_blue_n", "coarse_RRS560")
+
+
+@query("SELECT sensor, scene, CAST(w AS DOUBLE) AS spacing FROM (SELECT DISTINCT sensor, scene, w FROM grid)", PX, SCENES)
+def granule_spacing(t):
+    return binning.granule_spacing(scenes_and_grids(t)[1], ["scene", "sensor"], x="cx", y="cy", reach=1.0)
+
+
+@query("SELECT f.r, f.c, CAST(n_water AS BIGINT) AS n_water, round(coarse_rrs560 / pi(), 9) AS coarse_RRS560 FROM frame f LEFT JOIN fx_coarse k ON f.r = k.r AND f.c = k.c", BOTH, FRAME)
+def attach_coarse(t):
+    from varigrid.sources import tables
+
+    k = t("fx_coarse").select("r", "c", F.col("coarse_rrs560").alias("RRS560"), F.col("coarse_rrs490").alias("other"))
+    return tables.attach_coarse(frame(t), k, "c", keys=["r"]).select("r", "c", "n_water", *as_rrs(9, "coarse_RRS560"))
+
+
+MASK = """cells AS (SELECT y, x, avg(b560) AS g, avg(b865) AS n, max(CASE WHEN water THEN 0 ELSE 1 END) AS flag FROM fx_pixels GROUP BY y, x),
+ idx AS (SELECT *, CASE WHEN flag = 0 THEN (g - n) / nullif(g + n, 0) END AS v FROM cells),
+ hist AS (SELECT least(greatest(CAST(floor((v + 1) / 0.03125) AS BIGINT), 0), 63) AS bin, count(*) AS k FROM idx WHERE v IS NOT NULL GROUP BY 1),
+ run AS (SELECT bin, CAST(sum(k) OVER (ORDER BY bin) AS DOUBLE) AS n0, CAST(sum(k * bin) OVER (ORDER BY bin) AS DOUBLE) AS s0, CAST(sum(k) OVER () AS DOUBLE) AS nn, CAST(sum(k * bin) OVER () AS DOUBLE) AS ss FROM hist),
+ edge AS (SELECT -1 + (bin + 1) * 0.03125 AS t FROM run WHERE n0 < nn ORDER BY round(CAST(n0 AS DOUBLE) * (nn - n0) * (s0 / n0 - (ss - s0) / (nn - n0)) * (s0 / n0 - (ss - s0) / (nn - n0)), 6) DESC, bin LIMIT 1),
+ wet AS (SELECT y, x FROM idx, edge WHERE v >= t),
+ o AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) v(dy, dx)),
+ eroded AS (SELECT y - dy AS y, x - dx AS x FROM wet, o GROUP BY 1, 2 HAVING count(*) = 5),
+ opened AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM eroded, o)"""
+
+
+@query("SELECT c.y, c.x, o.y IS NOT NULL AS water FROM cells c LEFT JOIN opened o ON o.y = c.y AND o.x = c.x", PX, MASK)
+def water_mask(t):
+    cells = t("fx_pixels").groupBy("y", "x").agg(F.avg("b560").alias("g"), F.avg("b865").alias("n"), F.max((~F.col("water")).cast("int")).alias("flag"))
+    return spectral.water_mask(cells, "y", "x", "g", "n", flags=["flag"]).select("y", "x", "water")
+
+
+@query(
+    """SELECT y - row0 AS row, x - col0 AS col, CAST(count(*) AS BIGINT) AS n, round(avg((b560 - o560) / pi()), 9) AS band, round(avg(CASE WHEN (b560 - o560) / nullif(b490 - o490, 0) BETWEEN 0.2 AND 5 THEN (b560 - o560) / nullif(b490 - o490, 0) END), 7) AS ratio
+ FROM fx_pixels, (SELECT quantile_cont(b560, 0.01) AS o560, quantile_cont(b490, 0.01) AS o490 FROM fx_pixels WHERE water),
+ (SELECT greatest(CAST(floor((SELECT median(y) FROM (SELECT DISTINCT y FROM fx_pixels WHERE water))) AS BIGINT) - 20, 0) AS row0, greatest(CAST(floor((SELECT median(x) FROM (SELECT DISTINCT x FROM fx_pixels WHERE water))) AS BIGINT) - 20, 0) AS col0)
+ WHERE water AND y - row0 BETWEEN 0 AND 39 AND x - col0 BETWEEN 0 AND 39 GROUP BY 1, 2""",
+    PX,
+)
+def ladder_patch(t):
+    from varigrid.plans import stages
+
+    px = t("fx_pixels").withColumnsRenamed({"y": "row", "x": "col"}).withColumn("scene", F.lit("s"))
+    out = stages.ladder_patch(px, {490.0: "b490", 560.0: "b560"}, patch=40)
+    return out.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("band"), 9).alias("band"), F.round(F.avg("ratio"), 7).alias("ratio"))
+
+
+@query(
+    f"""SELECT 'G0' AS tag, CASE WHEN bool_and(n >= 500) AND count(*) = 24 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT r, count(*) AS n FROM fx_pixels WHERE water GROUP BY r)
+ UNION ALL SELECT 'V0', CASE WHEN CAST(count(*) FILTER (WHERE water) AS DOUBLE) / count(*) >= 0.15 AND median(b560) FILTER (WHERE water) / median(b865) FILTER (WHERE water) >= 1.05 THEN 'PASS' ELSE 'FAIL' END FROM fx_pixels
+ UNION ALL SELECT 'V2', CASE WHEN worst_correlation IS NULL OR worst_spread IS NULL THEN 'NOT ASSESSABLE' WHEN worst_correlation >= 0.6 AND abs(ln(worst_spread)) <= ln(2.5) THEN 'PASS' ELSE 'FAIL' END FROM {WORST}
+ UNION ALL SELECT 'V6', CASE WHEN max(n) > 0 THEN 'PASS' ELSE 'FAIL' END FROM (SELECT count(*) AS n FROM fx_coarse)""",
+    BOTH,
+    AGREE,
+)
+def gate_verdicts(t):
+    """Verdicts of the gates that read tables, by tag."""
+    px = t("fx_pixels")
+    files = px.where("water").groupBy(F.col("r").cast("string").alias("scene")).agg(F.count(F.lit(1)).alias("n_valid")).withColumn("opens", F.lit(True))
+    rows = [ledger.fetch_gate(files, [str(r) for r in range(COARSE)]), ledger.water_gate(spectral.water_check(px, "water", "b560", "b865", "b665")), ledger.agreement_verdict(agreement.agreement_gate(agreed(t))), ledger.coverage_verdict(t("fx_coarse").count(), 1)]
+    frame = px.sparkSession.createDataFrame([(r["hypothesis"], r["verdict"]) for r in rows], "hypothesis string, verdict string")
+    return frame.select(first_token(F.col("hypothesis")).alias("tag"), "verdict")

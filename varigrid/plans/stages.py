@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from varigrid.config import BoxConfig, GateConfig, SearchConfig
 from varigrid.functions.geo import utm_forward
+from varigrid.functions.nulls import masked
+from varigrid.functions.nulls import ratio as ratio_of
 from varigrid.operators import agreement, binning, coverage, density, ledger, spectral, variance, windows2d
 from varigrid.sources import tables
 
@@ -22,6 +24,17 @@ KEYS = ["scene", "sensor"]
 RATIOS = (("blue_green", 490.0, 560.0), ("green_blue", 560.0, 490.0), ("red_green", 665.0, 560.0), ("green_red", 560.0, 665.0))
 
 
+def fetch_stage(opened: DataFrame, expected: Sequence[str], ledger_path: str, config: GateConfig = GateConfig()) -> DataFrame:
+    """G0 of ``opened`` (``scene, opens, n_valid``, one row a scene): every expected scene is there, opens and holds valid water."""
+    ledger.enforce(opened.sparkSession, ledger_path, [ledger.fetch_gate(opened, expected, config)])
+    return opened
+
+
+def mask_stage(pixels: DataFrame, green: str, nir: str, *, flags: Sequence[str] = (), valid: str | None = None, keys: Sequence[str] = ("scene",)) -> DataFrame:
+    """``pixels`` (``scene, row, col``) with ``water``, from :func:`varigrid.operators.spectral.water_mask`."""
+    return spectral.water_mask(pixels, "row", "col", green, nir, flags=flags, valid=valid, keys=keys)
+
+
 def check_stage(pixels: DataFrame, corners: DataFrame, boxes: DataFrame, ledger_path: str | None = None, config: GateConfig = GateConfig()) -> DataFrame:
     """V1 and V0 of every ``scene``: ``pixels`` has ``scene, water, green, nir, uncertainty``."""
     margins = spectral.bbox_margin(corners, boxes, ["scene"], slack=config.corner_slack_px)
@@ -36,29 +49,51 @@ def nearest(bands: Mapping[float, str], nm: float) -> str:
     return bands[min(bands, key=lambda w: (abs(w - nm), w))]
 
 
-def aggregate_stage(pixels: DataFrame, centres: DataFrame, bands: Mapping[float, str], *, spacing: float, ratios: Sequence[tuple[str, float, float]] = RATIOS, zone: int | None = None, low: float = 400.0, high: float = 900.0) -> DataFrame:
+def aggregate_stage(pixels: DataFrame, centres: DataFrame, bands: Mapping[float, str], *, spacing: float | None = None, ratios: Sequence[tuple[str, float, float]] = RATIOS, zone: int | None = None, low: float = 400.0, high: float = 900.0) -> DataFrame:
     """The aggregate frame: ``pixels`` (``scene, x, y, water`` and the bands' columns) binned to ``centres``.
 
-    ``centres`` has ``scene, sensor, coarse_index`` and ``cx, cy`` in metres, or ``lon, lat`` with a UTM ``zone``.
-    The pedestal of each band (its first percentile over water) is taken off by scene and the rest divided by pi.
+    ``centres`` has ``scene, sensor, coarse_index`` and ``cx, cy`` in metres, or ``lon, lat``; the UTM zone is then its column
+    ``zone``, one for each scene, or ``zone`` for all. The reach of the join is each granule's own median spacing (of a
+    scene and sensor, over all its centres), or ``spacing`` for all. The pedestal of each band (its first percentile
+    over water) is taken off by scene and the rest divided by pi. Retrievals of the coarse sensor are attached by
+    scene, sensor and index.
     """
     if "cx" not in centres.columns:
-        x, y = utm_forward(F.col("lon"), F.col("lat"), zone)
+        x, y = utm_forward(F.col("lon"), F.col("lat"), F.col("zone") if "zone" in centres.columns else zone)
         centres = centres.withColumns({"cx": x, "cy": y})
     used = {nm: c for nm, c in bands.items() if low <= nm <= high}
     named = {f"{nm:.0f}": c for nm, c in used.items()}
     offsets = spectral.dark_offset(pixels.where("water"), named, ["scene"])
     rrs = spectral.to_rrs(pixels, offsets, named, ["scene"])
-    sensors = centres.select(*KEYS).distinct()
-    labelled = binning.nearest_join(rrs.join(F.broadcast(sensors), "scene"), centres, spacing, keys=KEYS)
+    if spacing is None:
+        reach = binning.granule_spacing(centres, KEYS, x="cx", y="cy").withColumnRenamed("spacing", "_spacing")
+    else:
+        reach = centres.select(*KEYS).distinct().withColumn("_spacing", F.lit(float(spacing)))
+    placed = centres.select(*KEYS, "coarse_index", "cx", "cy").join(reach, KEYS)
+    labelled = binning.nearest_join(rrs.join(reach, "scene"), placed, F.col("_spacing"), keys=KEYS)  # a row a granule: small, but the optimizer's to tell
     columns = {nm: f"rrs_{nm:.0f}" for nm in used}
     frame = binning.aggregate_scene(labelled, [*KEYS, "coarse_index"], columns, {n: (nearest(columns, a), nearest(columns, b)) for n, a, b in ratios})
-    return tables.attach_coarse(frame, centres.drop("scene", "sensor")) if len({*centres.columns} - {*KEYS, "coarse_index", "cx", "cy", "lon", "lat", "row", "col"}) else frame
+    return tables.attach_coarse(frame, centres, keys=KEYS)
+
 
+def ladder_patch(pixels: DataFrame, bands: Mapping[float, str], *, ratio: tuple[float, float] = (560.0, 490.0), band: float = 560.0, patch: int = 480, low: float = 0.2, high: float = 5.0) -> DataFrame:
+    """``scene, row, col, ratio, band`` of the water in each scene's central window: reflectances less their pedestal over pi,
+    their ratio by sample, null outside its admissible range, and one band. ``pixels`` has ``scene, row, col, water``."""
+    wanted = {f"{nm:.0f}": nearest(bands, nm) for nm in (*ratio, band)}
+    wet = pixels.where("water")
+    rrs = spectral.to_rrs(wet, spectral.dark_offset(wet, wanted, ["scene"]), wanted, ["scene"])
+    value = ratio_of(F.col(f"rrs_{ratio[0]:.0f}"), F.col(f"rrs_{ratio[1]:.0f}"))
+    told = rrs.select("scene", "row", "col", masked(value, value, low, high).alias("ratio"), F.col(f"rrs_{band:.0f}").alias("band"))
+    corner = variance.centre_window(wet, "row", "col", patch, ["scene"])
+    inside = told.join(F.broadcast(corner), "scene").withColumns({"row": F.col("row") - F.col("row0"), "col": F.col("col") - F.col("col0")})  # a row a scene
+    return inside.where((F.col("row") >= 0) & (F.col("row") < patch) & (F.col("col") >= 0) & (F.col("col") < patch)).drop("row0", "col0")
 
-def agreement_stage(frame: DataFrame, fine: dict[float, str], coarse: dict[float, str], ledger_path: str | None = None, config: GateConfig = GateConfig()) -> DataFrame:
-    """V2 from a saved frame: a row for each scene and band over usable cells."""
+
+def agreement_stage(frame: DataFrame, fine: dict[float, str], coarse: dict[float, str], ledger_path: str | None = None, config: GateConfig = GateConfig(), sensor: str | None = "olci") -> DataFrame:
+    """V2 from a saved frame: a row for each scene and band over the usable cells of ``sensor`` (of all, if None)."""
     usable = frame.where(F.col("frac_water") >= config.usable_fraction)
+    if "sensor" in frame.columns and sensor:
+        usable = usable.where(F.col("sensor") == sensor)
     stats = agreement.spectral_agreement(usable, fine, coarse, ["scene"], config.min_pairs)
     if ledger_path:
         ledger.enforce(frame.sparkSession, ledger_path, [ledger.agreement_verdict(agreement.agreement_gate(stats, config, ["scene"]), config)])
@@ -115,3 +150,18 @@ def station_box(stations: DataFrame, footprints: DataFrame, centre: tuple[float,
     row = held.select(F.lit(1).alias("rank"), F.lit("in_situ_stations").alias("metric"), F.lit("proposed").alias("window"), F.lit(lon - w).alias("lon_west"), F.lit(lon + w).alias("lon_east"), F.lit(lat - h).alias("lat_min"), F.lit(lat + h).alias("lat_max"), "n_stations", "n_weekly")
     gaps = coverage.rect_gap(stations, footprints, key=["station"])
     return row, gaps.agg(F.count_if("inside").alias("n_inside"), F.min("km").alias("min_km"), F.median("km").alias("median_km"))
+
+
+def proposal_stage(
+    index: DataFrame, scenes: DataFrame, stations: DataFrame, footprints: DataFrame, *, recent: Column, centre: tuple[float, float], weekly: str, ledger_path: str | None = None, config: SearchConfig = SearchConfig(), max_km: float | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`tasking_stage` with the proposed box of the stations as one more row (what it lacks is null), the stations' gaps,
+    and V6 over the best box and the proposed one."""
+    boxes = tasking_stage(index, scenes, recent, config)
+    row, gaps = station_box(stations, footprints, centre, weekly, config)
+    both = boxes.unionByName(row, allowMissingColumns=True)
+    if ledger_path:
+        best = boxes.where((F.col("metric") == "floats") & (F.col("window") == "all")).orderBy("rank").limit(1).select("n_ids", "nearest_scene_km").first()
+        held = row.select("n_stations").first()["n_stations"]
+        ledger.enforce(index.sparkSession, ledger_path, [ledger.coverage_verdict(best["n_ids"] if best else 0, held, best["nearest_scene_km"] if best else None, max_km)])
+    return both, gaps

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and columns of the fine and the coarse grid.
@@ -42,6 +46,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name], **{READS[name]: view(spark, sf_dir, READS[name])})
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for the files of a round trip: in ``spark.checkpoint.dir``, or of this machine where all tasks run in one process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="varigrid-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def ctes(*names: str) -> str:
     """The views as common table expressions over tables of the same names, for another engine."""
     order: list[str] = []

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varigrid.functions.geo import utm_inverse
 from varigrid.functions.nulls import denan
 from varigrid.functions.text import flag_contains, squeezed
 from varigrid.operators.coverage import string_ids
@@ -32,13 +33,13 @@ def stations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATIONS).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """``scene_id, date, place, west, south, east, north, lon, lat`` (the centre) of a JSON array of scenes.
+def inventory(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``scene_id, date, place, west, south, east, north, lon, lat`` (the centre) of a JSON array of scenes, or of one a line.
 
     Ids are read under a schema as strings; an id that is a bare number in the file would come out as its
     digits, so ids without the pattern's separators are refused by the first action on the result.
     """
-    raw = spark.read.schema(INVENTORY).json(path, multiLine=True)
+    raw = spark.read.schema(INVENTORY).json(path, multiLine=not lines)
     box = lambda i: F.get("bbox", F.lit(i))
     checked = F.when(F.col("id").rlike("^[0-9.eE+]+$"), F.raise_error(F.concat(F.lit("a scene id was read as a number: "), "id"))).otherwise(F.col("id"))
     return raw.select(checked.cast("string").alias("scene_id"), F.col("dt").alias("date"), F.col("loc").alias("place"), box(0).alias("west"), box(1).alias("south"), box(2).alias("east"), box(3).alias("north"), *bbox_centre("bbox"))
@@ -80,10 +81,54 @@ def grid_mesh(lon: DataFrame, lat: DataFrame) -> DataFrame:
     return both.select("row", "col", (F.col("row") * F.col("n_lon") + F.col("col")).cast("long").alias("coarse_index"), "lon", "lat")
 
 
-def attach_coarse(frame: DataFrame, coarse: DataFrame, index: str = "coarse_index", prefixes: Sequence[str] = ("RRS", "Rrs"), wanted: Sequence[str] = ("CHL", "chlor_a")) -> DataFrame:
-    """``frame`` with the coarse sensor's retrievals as ``coarse_<name>``, by index."""
+def attach_coarse(frame: DataFrame, coarse: DataFrame, index: str = "coarse_index", prefixes: Sequence[str] = ("RRS", "Rrs"), wanted: Sequence[str] = ("CHL", "chlor_a"), keys: Sequence[str] = ()) -> DataFrame:
+    """``frame`` with the coarse sensor's retrievals as ``coarse_<name>``, by ``keys`` (a scene and sensor, say) and index."""
     names = [c for c in coarse.columns if c.startswith(tuple(prefixes)) or c in wanted]
-    return frame.join(coarse.select(index, *(F.col(c).alias(f"coarse_{c}") for c in names)), index, "left")
+    if not names:
+        return frame
+    return frame.join(coarse.select(*keys, index, *(F.col(c).alias(f"coarse_{c}") for c in names)), [*keys, index], "left")
+
+
+def read_metrics(spark: SparkSession, path: str, keys: Sequence[str], schema: str) -> DataFrame:
+    """The rows of a document of :func:`varigrid.operators.ledger.write_metrics`: ``keys`` as strings and the fields of ``schema``."""
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", f"map<string, struct<{', '.join(': '.join(x.split()) for x in schema.split(','))}>>")).alias("k", "v"))
+    parts = F.split("k", "/")
+    return rows.select(*(F.get(parts, i).alias(k) for i, k in enumerate(keys)), "v.*")
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A corner-registered grid: its zone, pixel sizes in metres, the outer corner of pixel (0, 0) and its shape."""
+
+    zone: int
+    dx: float
+    dy: float
+    x0: float
+    y0: float
+    n_x: int
+    n_y: int
+
+    def corners(self) -> list[tuple[float, float]]:
+        return [(self.x0 + i * self.dx, self.y0 + j * self.dy) for j in (0, self.n_y) for i in (0, self.n_x)]
+
+
+def grid_header(table: Mapping[str, object]) -> Grid:
+    """A grid from a header (a document read with :func:`load_config` or JSON): ``zone`` or an EPSG code of a northern UTM zone
+    as ``epsg``, ``dx, dy, x0, y0, n_x, n_y``."""
+    epsg = table.get("epsg")
+    zone = int(table["zone"]) if epsg is None else int(epsg) - 32600
+    if not 1 <= zone <= 60:
+        raise ValueError(f"not a northern UTM zone: {epsg if epsg is not None else zone}")
+    return Grid(zone, *(float(table[k]) for k in ("dx", "dy", "x0", "y0")), *(int(table[k]) for k in ("n_x", "n_y")))
+
+
+def corners_frame(spark: SparkSession, grids: Mapping[str, Grid]) -> DataFrame:
+    """``scene, lon, lat`` of the four corners of each scene's grid."""
+    rows = [(k, g.zone, float(x), float(y)) for k, g in grids.items() for x, y in g.corners()]
+    frame = spark.createDataFrame(rows, "scene string, zone int, x double, y double")
+    lon, lat = utm_inverse(F.col("x"), F.col("y"), F.col("zone"))
+    return frame.select("scene", lon.alias("lon"), lat.alias("lat"))
 
 
 @dataclass(frozen=True)
