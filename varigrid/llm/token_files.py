@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.llm.common import dropped, give_back, new_path, steps, written
-from varigrid.llm.tokens import each, encoder, release, with_end
+from varigrid.llm.common import dropped, new_path, steps, written
+from varigrid.llm.tokens import each, encoder, with_end
 
 BLOCK = 256
 #: Longest code; 2**MAX_BITS must be at least the number of distinct ids.
 MAX_BITS = 18
+#: Bytes, about, of the words that a worker remembers: nothing else of this operator's stages needs its memory.
+REMEMBERED = 120 << 20
 #: Ids in one file, about.
 FILE_IDS = 16 << 20
 IDS = "doc_id long, n_tokens long, ids binary"
@@ -30,13 +32,11 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit) of each row of ``docs``; null text is empty."""
 
     def ids_of(batches):
-        encode = encoder(path)
+        encode = encoder(path, REMEMBERED)
         for batch in steps(batches):
             ids, sizes = with_end(*encode(batch.column("text").to_pylist()), end)
             rows = [x.tobytes() for x in each(ids.astype("<u4"), sizes)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "n_tokens", "ids"])
-        release()
-        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ids_of, IDS)
 

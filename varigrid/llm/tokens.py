@@ -11,7 +11,7 @@ import numpy as np
 
 #: Bytes, about, of the words that a worker remembers before it keeps only those met often; it bounds the worker's memory, not
 #: the result. A word's share is its characters and WORD_BYTES.
-REMEMBERED, WORD_BYTES = 48 << 20, 200
+REMEMBERED, WORD_BYTES = 72 << 20, 200
 #: Characters that are encoded at once; a longer text is cut where the vocabulary's split into words never depends on both sides.
 AT_ONCE = 1 << 20
 #: Such a place: before a blank between letters, or a line end between characters that are no white space.
@@ -43,11 +43,12 @@ class Encoder:
     ``encode(text, add_special_tokens=False)``: no token is added, and an added token's string is that token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.remembered = remembered
         letters, numbers, space = _classes()
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -69,7 +70,7 @@ class Encoder:
         words = list(self.known)
         keep = np.flatnonzero(self.hits[: len(words)] > 2)
         self.weight = sum(len(words[i]) + WORD_BYTES for i in keep.tolist())
-        if self.weight > REMEMBERED // 2:
+        if self.weight > (self.remembered or REMEMBERED) // 2:
             return self.clear()
         size, begin = self.size[keep], self.begin[keep]
         ends = np.cumsum(size, dtype=np.int64)
@@ -134,7 +135,7 @@ class Encoder:
                 found = self.words.findall(text) if text else []
                 words += found
                 counts.append(len(found))
-        if self.weight > REMEMBERED:
+        if self.weight > (self.remembered or REMEMBERED):
             self.forget()
         at = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         if self.known.new:
@@ -174,18 +175,12 @@ def each(ids: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
         at += n
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder of a worker process for each vocabulary file; a task begins without the words of the one before."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    _ENCODERS[path].clear()
-    return _ENCODERS[path]
-
-
-def release() -> None:
-    """Forget the words at the end of a task; the worker lives on."""
-    for one in _ENCODERS.values():
-        one.clear()
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    """One encoder of a worker process for each vocabulary file; it keeps its words, within their bound (``remembered`` bytes,
+    about, or :data:`REMEMBERED`), from task to task."""
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
