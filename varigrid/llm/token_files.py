@@ -24,19 +24,32 @@ MAX_BITS = 18
 REMEMBERED = 120 << 20
 #: Ids in one file, about.
 FILE_IDS = 16 << 20
-IDS = "doc_id long, n_tokens long, ids binary"
+IDS = "doc_id long, n_tokens long, ids binary, tally binary"
+#: How often a task met each id.
+TALLY = np.dtype([("id", "<u4"), ("n", "<u8")])
 FILE = "part int, doc_id long, n_tokens long, payload binary, checkpoints binary"
 
 
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit) of each row of ``docs``; null text is empty."""
+    """``doc_id, n_tokens, ids`` of each row of ``docs``, and a row with ``tally`` alone for each task; null text is empty.
+
+    ``ids`` are little-endian and unsigned, of 16 bits where the vocabulary and ``end`` fit, or of 32. Counting reads the
+    tallies, not the ids.
+    """
 
     def ids_of(batches):
         encode = encoder(path, REMEMBERED)
+        known = max(len(encode.id_bytes), end + 1)
+        total = np.zeros(known, np.int64)
         for batch in steps(batches):
             ids, sizes = with_end(*encode(batch.column("text").to_pylist()), end)
-            rows = [x.tobytes() for x in each(ids.astype("<u4"), sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            total += np.bincount(ids, minlength=known)
+            rows = [x.tobytes() for x in each(ids.astype("<u2" if known <= 1 << 16 else "<u4"), sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], ["doc_id", "n_tokens", "ids", "tally"])
+        used = np.flatnonzero(total)
+        tally = np.zeros(len(used), TALLY)
+        tally["id"], tally["n"] = used, total[used]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([tally.tobytes()], pa.binary())], ["doc_id", "n_tokens", "ids", "tally"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ids_of, IDS)
 
@@ -144,20 +157,17 @@ def write_files(docs: DataFrame, path: str, end: int, folder: str, max_bits: int
     themselves; null doc_ids come first; an empty table gives empty files; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = written(tokenized(docs, path, end), "token-ids", "zstd")
+    stored = written(tokenized(docs, path, end), "token-ids")
+    rows = stored.where("tally is null").drop("tally")
 
     def counted(batches):
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                now = np.bincount(np.frombuffer(b"".join(x for x in batch.column("ids").slice(i, 512).to_pylist()), "<u4"))
-                if len(now) > len(total):
-                    now, total = total, now.astype(np.int64)
-                total[: len(now)] += now
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+            for tally in batch.column("tally").to_pylist():
+                found = np.frombuffer(tally, TALLY)
+                yield pa.RecordBatch.from_arrays([pa.array(found["id"].astype(np.int32)), pa.array(found["n"].astype(np.int64))], ["id", "n"])
 
-    counts = rows.select("ids").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    tallies = stored.select("tally").where("tally is not null")
+    counts = tallies.mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     by_id = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     by_id[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     bits = code_lengths(by_id, max_bits)
@@ -167,9 +177,10 @@ def write_files(docs: DataFrame, path: str, end: int, folder: str, max_bits: int
 
     def encoded(batches):
         code = Code(bits)
-        for batch in steps(batches, "ids", 4 << 20):
+        for batch in steps(batches, "ids", 2 << 20):
             sizes = batch.column("n_tokens").to_numpy()
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4").astype(np.int64)
+            data = b"".join(batch.column("ids").to_pylist())
+            ids = np.frombuffer(data, f"<u{len(data) // int(sizes.sum())}").astype(np.int64)
             payload, marks = code.encode(ids, sizes)
             key = batch.column("doc_id")
             part = np.searchsorted(cuts, pa.compute.fill_null(key, -(1 << 63)).to_numpy(), side="left").astype(np.int32)
@@ -184,7 +195,7 @@ def write_files(docs: DataFrame, path: str, end: int, folder: str, max_bits: int
 
     parts = rows.mapInArrow(encoded, FILE).repartitionById(len(cuts) + 1, F.col("part"))
     parts.sortWithinPartitions("doc_id").mapInArrow(placed, f"{FILE}, local_start long").write.option("compression", "none").parquet(f"{folder}/data")
-    dropped(rows)
+    dropped(stored)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
