@@ -19,11 +19,11 @@ GROUP_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, end: int, size: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end: int, size: int, remembered: int | None = None) -> DataFrame:
     """A row per piece of at most ``size`` ids; of a longer document, the first piece takes what is left over."""
 
     def cut(batches):
-        encode = encoder(path)
+        encode = encoder(path, remembered)
         for batch in steps(batches):
             ids, sizes = with_end(*encode(batch.column("text").to_pylist()), end)
             many = (sizes + size - 1) // size
@@ -73,15 +73,15 @@ def plan(histogram: dict[int, int], size: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "n", "per", "sequence", "offset"]).astype("int64")
 
 
-def packed(docs: DataFrame, path: str, end: int = 2, size: int = 1024, group_rows: int = GROUP_ROWS) -> DataFrame:
+def packed(docs: DataFrame, path: str, end: int = 2, size: int = 1024, group_rows: int = GROUP_ROWS, remembered: int | None = None) -> DataFrame:
     """Every document's pieces with their sequence and offset.
 
     The plan needs only counts by length: at most ``size`` rows reach the driver. Pieces are then ranked within
     their length (a length's rows are dealt over hashed groups, so that none is large) and take planned slots
-    by that rank. Null text is empty: one id; a very long text becomes pieces like any other. Rows that repeat a doc_id are packed as they come; an empty
+    by that rank. ``remembered`` bounds the bytes of the words that a worker keeps (:func:`varigrid.llm.tokens.encoder`). Null text is empty: one id; a very long text becomes pieces like any other. Rows that repeat a doc_id are packed as they come; an empty
     table gives no rows; other columns are ignored.
     """
-    rows = written(pieces(docs, path, end, size), "pieces")
+    rows = written(pieces(docs, path, end, size, remembered), "pieces")
     groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(1, rows.count()) // group_rows))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
