@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from varigrid.llm import decontamination, language, minhash, packing, secrets
 from varigrid.llm.common import dropped, fold, new_path, table
 
+#: Bytes, about, of the words that a worker keeps after the packing stage: workers outlive a stage, and the next run's first
+#: stage needs their memory.
+REMEMBERED = 24 << 20
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that it rejects go, as :func:`varigrid.llm.language.known` says.
@@ -55,7 +59,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     import public_tokenizers
 
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("language ID", language_stage), ("MinHash near-dedup", minhash_stage), ("benchmark decontamination", decontamination_stage), ("secret scans", secrets_stage), ("best-fit packing", packing_stage)]
