@@ -79,12 +79,13 @@ def test_empty_tables(spark):
         assert phrases.collocations(spark.createDataFrame(some, SCHEMA)).count() == 0
 
 
-def test_words_are_forgotten_without_changing_counts():
-    words = phrases.Words()
-    a = words.of([b"x", b"y", b"\xff", b"x"])
-    assert a.tolist()[0] == a.tolist()[3] and a[2] == 0
-    words.forget()
-    assert words.of([b"z"]).tolist() == [1]
+def test_words_and_pieces():
+    data = phrases.read(["One\ttwo, ÉA  one.", None, "One"])
+    begin, end, hashes, piece = phrases.words_of(data)
+    assert [data[a:b].decode() for a, b in zip(begin, end, strict=True)] == ["one", "two", "Éa", "one", "one"]
+    assert hashes[0] == hashes[3] == hashes[4] != hashes[1]
+    assert piece[0] == piece[1] != piece[2] == piece[3] != piece[4]
+    assert len(phrases.words_of(b"")[0]) == len(phrases.words_of(b" \xff ")[0]) == 0
 
 
 def test_buckets_hold_back_the_rare_and_let_the_frequent_through():
@@ -96,12 +97,3 @@ def test_buckets_hold_back_the_rare_and_let_the_frequent_through():
     counters.add(rare)
     bits = np.packbits(counters.cells >= 100, bitorder="little")
     assert phrases.lit(bits, common).all() and phrases.lit(bits, rare).mean() < 0.01
-
-
-def test_equal_hashes_do_not_join_phrases():
-    ids = np.array([1, 2, 1, 3, 1, 2])
-    first, many = phrases.runs(ids, np.zeros(3, np.uint64), np.array([0, 2, 4]), 2)
-    counts = Counter()
-    for i, n in zip(first, many, strict=True):
-        counts[tuple(ids[i : i + 2].tolist())] += int(n)
-    assert counts == {(1, 2): 2, (1, 3): 1}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,43 +13,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from varigrid.llm.common import dropped, steps, written
-from varigrid.llm.shingles import GOLDEN, mixed
+from varigrid.llm.shingles import GOLDEN, Rolling, mixed
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Buckets of a pass: a task keeps a small counter for each, and the driver a bit. It bounds memory, not the result.
 BUCKETS = 1 << 22
 #: Counters that travel in one row.
 SLICE = 1 << 16
-#: Distinct words that a task keeps numbers of, and bytes of text of a step.
-WORDS, STEP = 400_000, 6 << 20
+#: Bytes of text of a step.
+STEP = 4 << 20
 BREAK = b"\xff"  # no byte of UTF-8
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + b" " + BREAK * 10)
 PARTIAL = "lang string, phrase string, n long, part int, cells binary"
 
 
-class Words:
-    """Numbers and hashes of words; number 0 breaks a phrase. Words are forgotten when there are many: counts are partial."""
+def read(texts: list[str | None]) -> bytes:
+    """All texts in a row: A-Z lowered, words apart by spaces, pieces and texts by breaks."""
+    return BREAK.join((t or "").encode() for t in texts).translate(_TABLE)
 
-    def __init__(self) -> None:
-        self.forget()
 
-    def forget(self) -> None:
-        self.names: list[bytes] = [BREAK]
-        self.hashes = np.zeros(1, np.uint64)
-        self.numbers: dict[bytes, int] = {BREAK: 0}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of ``words``."""
-        new = [w for w in set(words) if w not in self.numbers]
-        self.numbers.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
-        self.names += new
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-
-
-def split(texts: list[str | None]) -> list[bytes]:
-    """Words of all texts in order, with a break between pieces and texts. A-Z are lowered."""
-    return BREAK.join((t or "").encode() for t in texts).translate(_TABLE).replace(BREAK, b" \xff ").split()
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and end places of the words in ``data``, their hashes, and the numbers of their pieces."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = (raw != 32) & (raw != BREAK[0])
+    begin, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    return begin, end, Rolling(raw).of(begin, end), np.searchsorted(np.flatnonzero(raw == BREAK[0]), begin)
 
 
 def seed_of(lang: str) -> np.uint64:
@@ -76,19 +65,6 @@ def lit(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def runs(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First places and counts of equal phrases at ``at``. The hash only orders places; words decide."""
-    at = at[np.argsort(hashes, kind="stable")]
-    new = np.ones(len(at), bool)
-    if len(at):
-        new[1:] = False
-        for k in range(n):
-            w = ids[at + k]
-            new[1:] |= w[1:] != w[:-1]
-    first = np.flatnonzero(new)
-    return at[first], np.diff(np.append(first, len(at)))
-
-
 class Counters:
     """Bucket counts that stop at ``least``."""
 
@@ -145,37 +121,35 @@ def counted(docs: DataFrame, n: int, least: int, buckets: int, longest: int, kno
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counters = Words(), Counters(buckets, least)
+        counters = Counters(buckets, least)
         below, here = (None if b is None else np.frombuffer(b.value, np.uint8) for b in (known, full))
         for batch in steps(batches, limit=STEP, rows=1 << 20):
-            langs = batch.column("lang").to_pylist()
             rows: dict[str, list[int]] = {}
-            for i, lang in enumerate(langs):
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
                 rows.setdefault(lang, []).append(i)
             for lang, own in rows.items():
-                if len(words.names) > WORDS:
-                    words.forget()
+                data = read(batch.column("text").take(pa.array(own)).to_pylist())
                 seed = seed_of(lang)
-                ids = words.of(split(batch.column("text").take(pa.array(own)).to_pylist()))
-                hashes = words.hashes[ids]
-                apart = ids == 0
-                fits = ~apart
+                begin, end, hashes, piece = words_of(data)
+                together = np.ones(len(hashes), bool)
                 for k in range(1, n):
-                    fits = fits[:-1] & ~apart[k:]
+                    together = together[:-1] & (piece[k:] == piece[:-k])
                 if n > 1:
                     ok = lit(below, grams(hashes, seed, n - 1))
-                    fits &= ok[: len(fits)] & ok[1 : len(fits) + 1]
-                g = grams(hashes, seed, n)
-                fits &= lit(here, g)
-                at = np.flatnonzero(fits)
-                first, many = runs(ids, g[at], at, n)
-                names = words.names
-                phrase = [b" ".join([names[i] for i in row]).decode() for row in ids[first[:, None] + np.arange(n)].tolist()]
-                if phrase:
+                    together &= ok[: len(together)] & ok[1 : len(together) + 1]
+                together &= lit(here, grams(hashes, seed, n))
+                if n == 1:
+                    found = Counter(data.replace(BREAK, b" ").split())
+                else:
+                    at = np.flatnonzero(together)
+                    found = Counter([data[a:b] for a, b in zip(begin[at].tolist(), end[at + n - 1].tolist(), strict=True)])
+                if found:
+                    phrase = [b" ".join(x.split()).decode() for x in found]
                     nothing = pa.nulls(len(phrase), pa.int32()), pa.nulls(len(phrase), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase)), pa.array(phrase), pa.array(many, pa.int64()), *nothing], ["lang", "phrase", "n", "part", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase)), pa.array(phrase), pa.array(list(found.values()), pa.int64()), *nothing], ["lang", "phrase", "n", "part", "cells"])
                 if n < longest:
-                    counters.add(grams(hashes, seed, n + 1)[np.flatnonzero(fits[:-1] & fits[1:])])
+                    next_ = together[:-1] & together[1:] & (piece[n:] == piece[:-n])
+                    counters.add(grams(hashes, seed, n + 1)[next_])
         for part, cells in counters.parts():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([cells], pa.binary())], ["lang", "phrase", "n", "part", "cells"])
 
@@ -188,8 +162,7 @@ def marked(frequent: DataFrame, n: int, buckets: int) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = Counters(buckets, 1)
         for batch in batches:
-            phrases = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(phrases)), np.uint64).reshape(-1, n)
+            hashes = words_of(BREAK.join(p.encode() for p in batch.column("phrase").to_pylist()))[2].reshape(-1, n)
             seeds = np.array([seed_of(x) for x in batch.column("lang").to_pylist()], np.uint64)
             g = mixed(hashes[:, 0] ^ seeds)
             for k in range(1, n):
@@ -240,7 +213,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     first, whose first ``top`` meet.
 
     Null texts are empty, a null lang is ``und``, rows that repeat count each time, other columns are ignored, an empty table
-    gives no rows. A text longer than a step (6 MiB) is a step of its own: some 60 bytes of memory a word.
+    gives no rows. A text longer than a step (4 MiB) is a step of its own, with some 25 bytes of memory for each of its own.
     """
     spark = docs.sparkSession
     phrases, totals = frequent_phrases(docs, least, longest, buckets)
