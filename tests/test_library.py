@@ -154,13 +154,6 @@ def test_cube_source(spark):
     assert (rows[0, 0]["x"], rows[0, 0]["y"]) == (15.0, -15.0)
 
 
-def test_nearest_scene_in_blocks(spark, monkeypatch):
-    points = spark.createDataFrame([(i, i * 9.0 - 180, i * 3.0 - 60) for i in range(40)], "p int, lon double, lat double")
-    scenes = spark.createDataFrame([(f"s{i}", "x", (i * 37) % 360 - 180.0, (i * 13) % 120 - 60.0) for i in range(50)], "scene_id string, place string, lon double, lat double")
-    whole = sorted(map(str, coverage.nearest_scene(points, scenes, key=["p"]).collect()))
-    monkeypatch.setattr(coverage, "ARRAY_ROWS", 7)
-    assert sorted(map(str, coverage.nearest_scene(points, scenes, key=["p"]).collect())) == whole
-
 
 def test_streams(spark):
     source = temp("in")

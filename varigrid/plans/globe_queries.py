@@ -147,6 +147,29 @@ def rect_gap(t):
     return coverage.rect_gap(t("fx_stations"), feet, key=["station"]).select("station", *rounded(6, "km"))
 
 
+PS = P + S
+
+
+@query(
+    f"""SELECT profile_id, best.id AS nearest_scene_id, round(best.km, 6) AS nearest_scene_km, best.place AS nearest_scene_place FROM
+ (SELECT profile_id, min({{'km': {haversine_sql('t.lat', 't.lon', 's.lat', 's.lon')}, 'id': scene_id, 'place': place}}) AS best FROM fx_profiles t, fx_scenes s GROUP BY profile_id)""",
+    PS,
+)
+def nearest_scene_cells(t):
+    """The nearest scene of every profile, by cells of profiles and of scenes."""
+    return coverage.nearest_scene(t("fx_profiles"), t("fx_scenes"), key=["profile_id"], compared=0).select("profile_id", "nearest_scene_id", *rounded(6, "nearest_scene_km"), "nearest_scene_place")
+
+
+@query(
+    f"SELECT profile_id, round(km, 6) AS km, km = 0 AS inside FROM (SELECT profile_id, min({haversine_sql('t.lat', 't.lon', 'greatest(s.lat - 0.1, least(t.lat, s.lat + 0.1))', 'greatest(s.lon - 0.15, least(t.lon, s.lon + 0.15))')}) AS km FROM fx_profiles t, fx_scenes s GROUP BY profile_id)",
+    PS,
+)
+def rect_gap_cells(t):
+    """The gap from every profile to the nearest footprint, by cells of both."""
+    feet = t("fx_scenes").select((F.col("lon") - 0.15).alias("west"), (F.col("lat") - 0.1).alias("south"), (F.col("lon") + 0.15).alias("east"), (F.col("lat") + 0.1).alias("north"))
+    return coverage.rect_gap(t("fx_profiles"), feet, key=["profile_id"], compared=0).select("profile_id", *rounded(6, "km"), "inside")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n_total, CAST(count(*) FILTER (WHERE inside) AS BIGINT) AS n_stations, CAST(count(*) FILTER (WHERE inside AND kind = 2) AS BIGINT) AS n_weekly FROM (SELECT *, lon BETWEEN -120 AND 60 AND lat BETWEEN -30 AND 40 AS inside FROM fx_stations)", T)
 def stations_in_box(t):
     return coverage.stations_in_box(t("fx_stations"), -120, -30, 60, 40, 2)
