@@ -146,15 +146,49 @@ def test_proposal_and_fetch_gates(spark):
     assert verdicts["V6"][0] == "PASS" and verdicts["G0"] == ("FAIL", "t, u")
 
 
-def test_percentiles_equal_numpy(spark):
+def test_percentiles_equal_numpy(spark, monkeypatch):
     draw = np.random.default_rng(6)
     fields = {"normal": draw.normal(0, 1, 700), "tied": draw.integers(0, 4, 500).astype(float), "one": np.array([3.5]), "same": np.full(40, -2.0), "wide": np.concatenate([draw.normal(0, 1e-9, 300), [1e12, -1e12]])}
     rows = spark.createDataFrame([(k, float(v)) for k, x in fields.items() for v in x] + [("normal", None), ("none", None)], "k string, v double")
     shares = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.92, "e": 1.0}
-    for buckets in (1, 7, 4096):
-        got = {r["k"]: r for r in quantiles.percentiles(rows, ["k"], "v", shares, buckets).collect()}
+    usual, limit = quantiles._ends, quantiles.RANKED
+
+    def check(accuracy):
+        got = {r["k"]: r for r in quantiles.percentiles(rows, ["k"], "v", shares, accuracy).collect()}
         assert set(got) == set(fields)
         for k, x in fields.items():
             assert got[k]["n"] == len(x) and all(got[k][n] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-22) for n, p in shares.items())
+
+    for accuracy in (1, 30, 2000):
+        check(accuracy)
+    monkeypatch.setattr(quantiles, "RANKED", 0)  # ranks by value range
+    check(100)
+    monkeypatch.setattr(quantiles, "RANKED", limit)
+    monkeypatch.setattr(quantiles, "_ends", lambda v, s, a: F.transform(usual(v, s, a), lambda x: x + F.lit(0.3)))  # a sketch that is wrong
+    check(2000)
+    whole = quantiles.percentiles(rows.where("k = 'tied'"), [], "v", {"m": 0.5}).first()
+    assert (whole["n"], whole["m"]) == (500, np.median(fields["tied"]))
+    monkeypatch.undo()
     plan = spectral.water_spectrum(rows.withColumn("w", F.col("v")), {"v": "v", "w": "w"})._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan and "median(" not in plan
+
+
+def test_an_outlier_leaves_few_values_to_rank(spark, monkeypatch):
+    """A million distinct values and one far away: few are looked at one by one, and no group of the ranking is large."""
+    n, seen = 1_000_000, []
+    rows = spark.range(n).select(F.lit("k").alias("k"), F.when(F.col("id") == 5, 1e12).otherwise(F.pmod(F.col("id") * 7919, F.lit(n)).cast("double")).alias("v"))
+    monkeypatch.setattr(quantiles, "RANKED", 1000)
+    placed = quantiles._placed
+
+    def watched(long, keys, shares, limits, values_in, ranges_in):
+        keep = lambda f: lambda df: seen.append(f(df)) or seen[-1]
+        return placed(long, keys, shares, limits, keep(values_in), keep(ranges_in))
+
+    monkeypatch.setattr(quantiles, "_placed", watched)
+    got = quantiles.percentiles(rows, ["k"], "v", {"low": 0.01, "mid": 0.5, "high": 0.99}).first()
+    values = np.arange(n, dtype=float)
+    values[5 * 7919] = 1e12
+    assert [got[c] for c in ("low", "mid", "high")] == pytest.approx(np.quantile(values, [0.01, 0.5, 0.99]).tolist(), rel=1e-12)
+    counts, ranges = seen
+    assert counts.count() < n // 50
+    assert ranges.groupBy("k", "_s", "_range").count().agg(F.max("count")).first()[0] < counts.count() // 2
