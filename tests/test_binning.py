@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varigrid.operators import agreement, binning, spectral, variance
+from varigrid.operators import agreement, binning, nearest, spectral, variance
 
 
 def test_nearest_join_equals_brute_force(spark):
@@ -104,3 +104,30 @@ def test_agreement_needs_pairs_and_positive_spread(spark):
     assert agreement.pair_stats(frame.limit(19), "t", "c").count() == 0
     with pytest.raises(KeyError):
         agreement.first_column(frame, ["coarse_a"])
+
+
+def test_spacing_of_any_scale_in_one_call(spark):
+    """Granules from 1 m to 5 km, one with both, repeated places and a lone centre, against all pairs."""
+    draw = np.random.default_rng(9)
+    at = {"fine": draw.uniform(0, 40, (400, 2)), "coarse": draw.uniform(0, 9e4, (300, 2)) + 5e6, "lone": np.array([[1.0, 2.0]]), "line": np.stack([np.arange(50.0), np.zeros(50)], 1)}
+    at["both"] = np.concatenate([draw.uniform(0, 20, (300, 2)), draw.uniform(0, 2e6, (200, 2))])
+    at["same"] = np.repeat([[3.0, 4.0]], 30, axis=0)
+    at["twice"] = np.concatenate([at["fine"][:90], at["fine"][:40]])
+    rows = [(k, float(a), float(b)) for k, xy in at.items() for a, b in xy] + [("fine", None, 1.0), ("fine", float("nan"), 1.0)]
+    frame = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r["k"]: r["spacing"] for r in binning.granule_spacing(frame, ["k"]).collect()}
+    assert set(got) == set(at) - {"lone"}
+    for k in got:
+        d = np.sqrt(((at[k][:, None] - at[k]) ** 2).sum(2)) + np.where(np.eye(len(at[k])), np.inf, 0)
+        assert got[k] == pytest.approx(np.median(d.min(1)), rel=1e-9, abs=1e-12), k
+
+
+def test_a_dense_region_fills_no_bucket(spark):
+    """A thousandth of the area holds nearly all centres: each still meets few."""
+    n = 60_000
+    some = spark.range(n).select(F.pmod("id", F.lit(240)).cast("double").alias("x"), F.floor(F.col("id") / 240).cast("double").alias("y"))
+    wide = spark.range(400).select((F.pmod("id", F.lit(20)) * 5000 + 1000).cast("double").alias("x"), (F.floor(F.col("id") / 20) * 5000 + 1000).cast("double").alias("y"))
+    own = nearest.flat(some.unionByName(wide), "x", "y", [])
+    met = nearest.nearest(own, own, nearest.PLANE).select("x", F.size("_items").alias("k"))
+    worst = met.agg(F.count("k").alias("n"), F.max("k").alias("most"), F.avg("k").alias("mean")).first()
+    assert worst["n"] == n + 400 and worst["most"] <= nearest.MET and worst["mean"] < 40

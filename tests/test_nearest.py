@@ -36,7 +36,7 @@ def spots(draw, n):
 
 @pytest.mark.parametrize("met", [1, 8])
 def test_nearest_scene_equals_all_pairs(spark, met, monkeypatch):
-    monkeypatch.setattr(nearest.nearest, "__defaults__", (met, 9))
+    monkeypatch.setattr(nearest.nearest, "__defaults__", (nearest.GLOBE, (), met, 9))
     draw = random.Random(3)
     scenes = [(f"s{i:04}", f"p{i}", *xy) for i, xy in enumerate(spots(draw, 60))]
     scenes += [(f"a{i}", "same place", *scenes[5][2:]) for i in range(30)] + [("x", "nowhere", None, 1.0), ("y", "nowhere", NONE, 1.0)]

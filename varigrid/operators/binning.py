@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from varigrid.functions.nulls import finite, ratio
+from varigrid.operators import nearest, quantiles
 
 
 def nearest_join(points: DataFrame, centres: DataFrame, spacing: float | Column, *, x: str = "x", y: str = "y", cx: str = "cx", cy: str = "cy", index: str = "coarse_index", keys: Sequence[str] = ()) -> DataFrame:
@@ -39,50 +40,32 @@ def nearest_join(points: DataFrame, centres: DataFrame, spacing: float | Column,
 def median_spacing(centres: DataFrame, *, x: str = "x", y: str = "y", reach: float, keys: Sequence[str] = ()) -> DataFrame:
     """``spacing``: the median distance from each centre to its nearest other one, of those within ``reach``.
 
-    ``reach`` bounds the search cell; centres that have no other within it are counted in ``n_alone`` and left
-    out of the median, so a caller can widen ``reach`` until there are none. Centres at one place have distance 0.
+    Centres that have no other within it are counted in ``n_alone`` and left out of the median. Centres at one place have
+    distance 0.
     """
-    near = nearest_others(centres, x=x, y=y, reach=reach, keys=keys)
-    return near.groupBy(*keys).agg(F.median("d").alias("spacing"), F.count_if(F.col("d").isNull()).alias("n_alone"))
-
-
-def nearest_others(centres: DataFrame, *, x: str, y: str, reach: float, keys: Sequence[str]) -> DataFrame:
-    """``keys, d``: the distance of each centre to its nearest other one, null beyond ``reach``."""
-    s = F.lit(float(reach))
-    own = centres.where(finite(F.col(x)).isNotNull() & finite(F.col(y)).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    cell = lambda c: F.floor(F.col(c) / s).cast("long")
-    around = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    dealt = own.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    buckets = dealt.groupBy(*keys, (cell("_x") + F.col("_dx")).alias("_bx"), (cell("_y") + F.col("_dy")).alias("_by")).agg(F.collect_list(F.struct(F.col("_x").alias("px"), F.col("_y").alias("py"))).alias("_others"))
-    met = own.withColumns({"_bx": cell("_x"), "_by": cell("_y")}).join(buckets, [*keys, "_bx", "_by"])
-    others = F.filter("_others", lambda o: (o["px"] != F.col("_x")) | (o["py"] != F.col("_y")))
-    d2 = F.array_min(F.transform(others, lambda o: F.pow(F.col("_x") - o["px"], 2) + F.pow(F.col("_y") - o["py"], 2)))
-    distance = F.when(F.col("_n") > 1, F.lit(0.0)).when(F.sqrt(d2) <= s, F.sqrt(d2))
-    each = met.select(*keys, distance.alias("d"), "_n")
-    return each.withColumn("d", F.explode(F.array_repeat("d", F.col("_n").cast("int")))).select(*keys, "d")
-
-
-def granule_spacing(centres: DataFrame, keys: Sequence[str], *, x: str = "x", y: str = "y", reach: float = 2000.0, widen: int = 8) -> DataFrame:
-    """``keys, spacing``: :func:`median_spacing` of each key. The search cell of a key is widened by four until the median is
-    certain: until fewer than half of its centres are alone within it. A key whose centres are all in one place, or of
-    one centre only, has none."""
-    left, out = centres, None
-    for turn in range(widen):
-        found = median_spacing_of_all(left, x=x, y=y, reach=reach * 4**turn, keys=keys)
-        sure = found.where("spacing is not null").select(*keys, "spacing")
-        out = sure if out is None else out.unionByName(sure)
-        rest = found.where("spacing is null").select(*keys)
-        if rest.isEmpty():  # a row a granule
-            break
-        left = left.join(F.broadcast(rest), list(keys), "left_semi")
-    return out
-
-
-def median_spacing_of_all(centres: DataFrame, *, x: str, y: str, reach: float, keys: Sequence[str]) -> DataFrame:
-    """:func:`median_spacing` in which a centre alone within ``reach`` lies further than all others; null if that hides the median."""
-    near = nearest_others(centres, x=x, y=y, reach=reach, keys=keys)
-    told = near.groupBy(*keys).agg(F.median(F.coalesce("d", F.lit(float("inf")))).alias("spacing"))
-    return told.withColumn("spacing", F.when(F.col("spacing") < float("inf"), F.col("spacing")))
+    keys = list(keys)
+    near = nearest_others(centres, x=x, y=y, keys=keys)
+    alone = near.groupBy(*keys).agg(F.sum(F.when(F.col("d") <= reach, 0).otherwise(F.col("n"))).alias("n_alone"))
+    spacing = quantiles.weighted(near.where(F.col("d") <= reach), keys, "d", "n", {"spacing": 0.5}).drop("n")
+    both = alone.join(spacing, keys, "left") if keys else alone.join(F.broadcast(spacing), F.lit(True), "left")  # one row each
+    return both.select(*keys, "spacing", "n_alone")
+
+
+def nearest_others(centres: DataFrame, *, x: str, y: str, keys: Sequence[str]) -> DataFrame:
+    """``keys, d, n``: the distance from a place to the nearest other centre (0 if it has several, null if its key has but one),
+    and its number of centres. Cells follow the centres' density (:mod:`varigrid.operators.nearest`)."""
+    places = centres.groupBy(*keys, F.col(x).alias("px"), F.col(y).alias("py")).agg(F.count(F.lit(1)).alias("n"))
+    own = nearest.flat(places, "px", "py", keys)
+    met = nearest.nearest(own, own, nearest.PLANE, keys)
+    others = F.filter("_items", lambda o: (o["px"] != F.col("px")) | (o["py"] != F.col("py")))
+    d2 = F.array_min(F.transform(others, lambda o: F.pow(F.col("px") - o["px"], 2) + F.pow(F.col("py") - o["py"], 2)))
+    return met.select(*keys, F.when(F.col("n") > 1, F.lit(0.0)).otherwise(F.sqrt(d2)).alias("d"), "n")
+
+
+def granule_spacing(centres: DataFrame, keys: Sequence[str], *, x: str = "x", y: str = "y") -> DataFrame:
+    """``keys, spacing``: the median, over a key's centres, of the distance to the nearest other one. A key of one centre has
+    none. Spacings may differ by any factor from key to key and from region to region."""
+    return quantiles.weighted(nearest_others(centres, x=x, y=y, keys=keys), keys, "d", "n", {"spacing": 0.5}).drop("n")
 
 
 def bin_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -68,8 +68,7 @@ def _selected(long: DataFrame, keys: list[str], shares: Mapping[str, float], lim
         of = lambda df, how: df if held is None else df.join(held, keys, how)
         more = _placed(of(long, "left_semi"), keys, shares, of(limits, "left_semi").withColumn("_ends", every), lambda df: stored(df, "all-values"), lambda df: stored(df, "all-ranges"))
         found = more.unionByName(of(found, "left_anti")) if keys else more
-    value = lambda s: F.max(F.when(F.col("_s") == s, F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")))
-    return found.groupBy(*keys).agg(F.max("_n").alias("n"), *(value(s).alias(name) for s, name in enumerate(shares)))
+    return _wide(found, keys, shares)
 
 
 def _placed(long: DataFrame, keys: list[str], shares: Mapping[str, float], limits: DataFrame, values_in, ranges_in) -> DataFrame:
@@ -77,9 +76,34 @@ def _placed(long: DataFrame, keys: list[str], shares: Mapping[str, float], limit
     met = long.join(limits, keys) if keys else long.join(F.broadcast(limits), F.lit(True))  # without keys one row
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("_s"), F.col("_ends")[2 * s].alias("a"), F.col("_ends")[2 * s + 1].alias("b")) for s in range(len(shares))))).alias("e")
     sided = met.select(*keys, "_v", each).withColumn("_side", F.when(F.col("_v") < F.col("e.a"), -1).when(F.col("_v") > F.col("e.b"), 1).otherwise(0))
-    own = [*keys, "_s"]
     counts = sided.groupBy(*keys, F.col("e._s").alias("_s"), "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_at")).agg(F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-    counts = values_in(counts)
+    return _ranked(values_in(counts), keys, shares, limits, ranges_in)
+
+
+def weighted(df: DataFrame, keys: Sequence[str], value: str, weight: str, shares: Mapping[str, float]) -> DataFrame:
+    """:func:`percentiles` of rows that count ``weight`` times each; distinct values are ranked by value range."""
+    spark, base, keys = df.sparkSession, scratch(df.sparkSession), list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_at")).agg(F.sum(weight).alias("_k"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1)))
+    counts.select(*keys, every.alias("_s"), F.lit(0).alias("_side"), "_at", "_k", F.col("_at").alias("_least"), F.col("_at").alias("_most")).write.parquet(f"{base}/values")
+    stored = spark.read.parquet(f"{base}/values")
+    limits = stored.where("_s = 0").groupBy(*keys).agg(F.sum("_k").alias("_n")).where("_n > 0")
+
+    def ranges_in(ranges: DataFrame) -> DataFrame:
+        ranges.write.parquet(f"{base}/ranges")
+        return spark.read.schema(ranges.schema).parquet(f"{base}/ranges")
+
+    return _wide(_ranked(stored, keys, shares, limits, ranges_in), keys, shares).select(*keys, "n", *shares)
+
+
+def _wide(found: DataFrame, keys: list[str], shares: Mapping[str, float]) -> DataFrame:
+    value = lambda s: F.max(F.when(F.col("_s") == s, F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")))
+    return found.groupBy(*keys).agg(F.max("_n").alias("n"), *(value(s).alias(name) for s, name in enumerate(shares)))
+
+
+def _ranked(counts: DataFrame, keys: list[str], shares: Mapping[str, float], limits: DataFrame, ranges_in) -> DataFrame:
+    """:func:`_placed`, from counts by value."""
+    own = [*keys, "_s"]
     if counts.count() > RANKED:
         ranges = ranges_in(counts.repartitionByRange(*own, "_side", "_at").withColumn("_range", F.spark_partition_id()))
         sizes = ranges.groupBy(*own, "_range").agg(F.sum("_k").alias("_all"))  # a row a key and range that holds it

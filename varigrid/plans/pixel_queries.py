@@ -377,9 +377,18 @@ def aggregate_stage(t):
     return out.select("scene", "sensor", "coarse_index", "n_water", "n_valid", *rounded(9, "rrs_mean_560", "rrs_std_560"), "green_blue_n", "coarse_RRS560")
 
 
-@query("SELECT sensor, scene, CAST(w AS DOUBLE) AS spacing FROM (SELECT DISTINCT sensor, scene, w FROM grid)", PX, SCENES)
+@query(
+    "SELECT granule, round(median(d), 6) AS spacing FROM (SELECT a.granule, a.coarse_index, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM p a JOIN p b ON a.granule = b.granule AND a.coarse_index <> b.coarse_index GROUP BY 1, 2) GROUP BY 1",
+    BOTH,
+    "p AS (SELECT r_name AS granule, coarse_index, (CAST(c * 4 AS DOUBLE) + CAST((r * 7 + c * 13) % 5 AS DOUBLE) / 8) * pow(10, r_regionkey) / 4 AS x, (CAST(r * 4 AS DOUBLE) + CAST((r * 3 + c) % 3 AS DOUBLE) / 8) * pow(10, r_regionkey) / 4 AS y FROM fx_coarse, region)",
+)
 def granule_spacing(t):
-    return binning.granule_spacing(scenes_and_grids(t)[1], ["scene", "sensor"], x="cx", y="cy", reach=1.0)
+    """The coarse cells as granules of every region, each ten times as wide as the one before."""
+    r, c, wide = F.col("r"), F.col("c"), F.pow(F.lit(10), "r_regionkey") / 4
+    x = ((c * 4).cast("double") + F.pmod(r * 7 + c * 13, F.lit(5)).cast("double") / 8) * wide
+    y = ((r * 4).cast("double") + F.pmod(r * 3 + c, F.lit(3)).cast("double") / 8) * wide
+    p = t("fx_coarse").join(F.broadcast(t("region")), F.lit(True)).select(F.col("r_name").alias("granule"), x.alias("x"), y.alias("y"))  # five regions
+    return binning.granule_spacing(p, ["granule"]).select("granule", *rounded(6, "spacing"))
 
 
 @query("SELECT f.r, f.c, CAST(n_water AS BIGINT) AS n_water, round(coarse_rrs560 / pi(), 9) AS coarse_RRS560 FROM frame f LEFT JOIN fx_coarse k ON f.r = k.r AND f.c = k.c", BOTH, FRAME)
