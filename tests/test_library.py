@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import tempfile
 
 import numpy as np
@@ -151,8 +152,47 @@ def test_cube_source(spark):
     rows = {(r["row"], r["col"]): r for r in frame.collect()}
     assert len(rows) == 15 and frame.rdd.getNumPartitions() == 3
     assert rows[0, 0]["sr"] == [None, 15.0] and not rows[4, 2]["valid"] and rows[1, 2]["sr"] == [5.0, 20.0]
-    assert (rows[0, 0]["x"], rows[0, 0]["y"]) == (15.0, -15.0)
-
+    assert (rows[0, 0]["x"], rows[0, 0]["y"]) == (15.0, -15.0) and rows[0, 0]["scene"] == "cube"
+    some = frame.where("row > 1 and row <= 3 and x between 40 and 80 and y < -100 and sr[0] > 9")
+    assert {(r["row"], r["col"]) for r in some.collect()} == {(3, 1), (3, 2)} and some.rdd.getNumPartitions() == 1
+    assert frame.where("row in (0, 4)").rdd.getNumPartitions() == 2 and frame.where("scene = 'other'").count() == 0
+    one = spark.read.format("npycube").schema("b1 float, col int").option("path", path).load()
+    assert sorted(r["b1"] for r in one.where("col = 1").collect()) == [16.0, 19.0, 22.0, 25.0, 28.0]
+    with pytest.raises(Exception, match="no columns"):
+        spark.read.format("npycube").schema("nir float").option("path", path).load().collect()
+
+
+def test_cube_folder_reads_only_what_is_asked_for(spark):
+    path = temp("scene_a")
+    cells = spark.createDataFrame([(r, c, float(r * 10 + c), None if r == 3 else 1.0) for r in range(8) for c in range(6) if r != 5], "row int, col int, g double, n double")
+    cubes.write_cube(cells, path, ["g", "n"], 9, 6, rows=4)
+    cubes.register(spark)
+    read = spark.read.format("npycube").schema("scene string, row int, col int, b0 float, b1 float").option("path", path).load()
+    got = {(r["row"], r["col"]): (r["b0"], r["b1"]) for r in read.collect()}
+    assert len(got) == 54 and got[3, 2] == (32.0, None) and got[5, 1] == (None, None) and got[8, 0] == (None, None)
+    os.remove(f"{path}/strip-00000004.npy")  # a strip outside the window is never opened
+    window = read.where("row < 3 and col >= 4 and scene = 'scene_a'")
+    assert {(r["row"], r["col"]) for r in window.collect()} == {(r, c) for r in range(3) for c in (4, 5)}
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.replace("RuntimeFilters", ""), plan  # all comparisons went to the scan
+
+
+def test_swath_source(spark):
+    base = temp("swaths")
+    cells = [(g, i, j, 40.0 + i, -80.0 - j, None if (i, j) == (1, 1) else i * 10.0 + j, 5.0) for g in "ab" for i in range(6) for j in range(3) if (i, j) != (5, 2)]
+    frame = spark.createDataFrame(cells, "granule string, line int, pixel int, lat double, lon double, Rrs_490 double, chlor_a double")
+    paths = cubes.write_swath(frame, base, ["Rrs_490", "chlor_a"], 6, 3)
+    cubes.register(spark)
+    swath = spark.read.format("npyswath").option("path", ",".join(paths)).option("rows", "2").load()
+    assert swath.columns == ["granule", "line", "pixel", "coarse_index", "lat", "lon", "Rrs_490", "chlor_a"]
+    rows = {(r["granule"], r["line"], r["pixel"]): r for r in swath.collect()}
+    assert len(rows) == 36 and rows["b", 1, 1]["Rrs_490"] is None and rows["a", 5, 2]["lat"] is None and rows["a", 2, 1]["coarse_index"] == 7
+    near = swath.where("granule = 'b' and lat >= 42 and lat < 44 and lon < -80.5")
+    assert {(r["line"], r["pixel"]) for r in near.collect()} == {(2, 1), (2, 2), (3, 1), (3, 2)} and near.rdd.getNumPartitions() == 3
+    assert swath.where("lat is not null").count() == 34
+    os.remove(f"{paths[1]}/geophysical_data/chlor_a.npy")  # retrievals of blocks without a position in bounds, or not asked for, stay unread
+    less = spark.read.format("npyswath").schema("line int, lat double, Rrs_490 double").option("path", paths[1]).load()
+    assert less.where("lat > 44.5").count() == 2 and swath.where("granule = 'b' and lat > 90").count() == 0
 
 
 def test_streams(spark):

@@ -9,7 +9,8 @@ from varigrid.functions.nulls import masked, ratio
 from varigrid.functions.text import first_token
 from varigrid.operators import agreement, binning, ledger, spectral, variance
 from varigrid.plans.registry import as_rrs, query, rounded
-from varigrid.sources.fixtures import COARSE, FINE
+from varigrid.sources import cubes
+from varigrid.sources.fixtures import COARSE, FINE, scratch
 
 PX = ("fx_pixels",)
 BANDS = {443.0: "b443", 490.0: "b490", 560.0: "b560", 665.0: "b665", 865.0: "b865"}
@@ -446,3 +447,37 @@ def gate_verdicts(t):
     rows = [ledger.fetch_gate(files, [str(r) for r in range(COARSE)]), ledger.water_gate(spectral.water_check(px, "water", "b560", "b865", "b665")), ledger.agreement_verdict(agreement.agreement_gate(agreed(t))), ledger.coverage_verdict(t("fx_coarse").count(), 1)]
     frame = px.sparkSession.createDataFrame([(r["hypothesis"], r["verdict"]) for r in rows], "hypothesis string, verdict string")
     return frame.select(first_token(F.col("hypothesis")).alias("tag"), "verdict")
+
+
+@query(
+    "SELECT y AS row, x AS col, round(CAST(max(CAST(b560 AS REAL)) AS DOUBLE), 9) AS green, round(CAST(max(CAST(b865 AS REAL)) AS DOUBLE), 9) AS nir FROM fx_pixels WHERE y >= 20 AND y < 60 AND (x + 0.5) * 30 < 2000 GROUP BY y, x",
+    PX,
+)
+def cube_scan(t):
+    """A cube of strips is written, and a window of two of its bands read: rows and columns by comparisons pushed to the scan."""
+    px = t("fx_pixels").groupBy(F.col("y").alias("row"), F.col("x").alias("col")).agg(F.max("b560").alias("b560"), F.max("b665").alias("b665"), F.max("b865").alias("b865"))
+    spark = px.sparkSession
+    cubes.register(spark)
+    path = f"{scratch(spark)}/cube"
+    cubes.write_cube(px, path, ["b560", "b665", "b865"], FINE, FINE, rows=16)
+    cube = spark.read.format("npycube").schema("row int, col int, x double, b0 float, b2 float").option("path", path).load()
+    window = cube.where("row >= 20 and row < 60 and x < 2000").where("b0 is not null")
+    return window.select(F.col("row").cast("long"), F.col("col").cast("long"), *(F.round(F.col(b).cast("double"), 9).alias(n) for b, n in (("b0", "green"), ("b2", "nir"))))
+
+
+@query(
+    """SELECT granule, line, pixel, line * 24 + pixel AS coarse_index, round(lat, 6) AS lat, round(lon, 6) AS lon, round(v / pi(), 9) AS Rrs_560 FROM
+ (SELECT 'g' || (c % 3) AS granule, CAST(r AS INT) AS line, CAST(c AS INT) AS pixel, 41.5 - CAST(r AS DOUBLE) / 8 + CAST(c AS DOUBLE) / 100 AS lat, CAST(c AS DOUBLE) / 8 - 83 AS lon, coarse_rrs560 AS v FROM fx_coarse)
+ WHERE granule IN ('g0', 'g2') AND lat BETWEEN 39.52 AND 40.97""",
+    BOTH,
+)
+def swath_scan(t):
+    """Swaths are written as groups of arrays and read within bounds of latitude, from two of three granules."""
+    r, c = F.col("r").cast("double"), F.col("c").cast("double")
+    cells = t("fx_coarse").select(F.concat(F.lit("g"), (F.col("c") % 3).cast("string")).alias("granule"), F.col("r").cast("int").alias("line"), F.col("c").cast("int").alias("pixel"), (41.5 - r / 8 + c / 100).alias("lat"), (c / 8 - 83).alias("lon"), F.col("coarse_rrs560").alias("Rrs_560"))
+    spark = cells.sparkSession
+    cubes.register(spark)
+    paths = cubes.write_swath(cells, f"{scratch(spark)}/swaths", ["Rrs_560"], COARSE, COARSE)
+    swaths = spark.read.format("npyswath").option("path", ",".join(paths)).load()
+    some = swaths.where(F.col("granule").isin("g0", "g2") & F.col("lat").between(39.52, 40.97))
+    return some.select("granule", "line", "pixel", "coarse_index", *rounded(6, "lat", "lon"), *as_rrs(9, "Rrs_560"))
