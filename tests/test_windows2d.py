@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from varigrid.config import BoxConfig
+from varigrid.functions.permutations import permuted
 from varigrid.operators import windows2d
 
 
@@ -87,3 +89,14 @@ def test_shuffle_permutes_and_structure_shows(spark):
     assert len(scores) == 2 and all(r["assessable"] and r["ratio"] < 0.2 for r in scores)
     few = windows2d.structure_score(frame.where("r < 2"), "r", "c", "v", ["scene"]).first()
     assert not few["assessable"] and few["ratio"] is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 10, 226, 1000, 30_011])
+def test_permutation_is_a_bijection(spark, n):
+    at = lambda seed: [r["p"] for r in spark.range(n).select("id", permuted(F.col("id"), F.lit(n), seed).alias("p")).orderBy("id").collect()]
+    one, other = at(0), at(5)
+    assert sorted(one) == sorted(other) == list(range(n))
+    if n > 200:
+        assert one != other and sum(i == p for i, p in enumerate(one)) < 12
+        ranks = np.corrcoef(np.arange(n), one)[0, 1], np.corrcoef(one[:-1], one[1:])[0, 1]
+        assert max(map(abs, ranks)) < 4 / np.sqrt(n)

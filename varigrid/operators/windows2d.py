@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from varigrid.config import BoxConfig
 from varigrid.functions.nulls import finite, let, masked, ratio
+from varigrid.functions.permutations import permuted
 from varigrid.operators.binning import bucket_rank
 
 #: Anchors on a side of a tile.
@@ -148,13 +149,17 @@ def adjacent_diff(cells: DataFrame, row: str, col: str, value: str, keys: Sequen
     return some.withColumn("difference", F.when(beside, F.abs(F.col("_v") - F.lag("_v").over(w)))).where("difference is not null").drop("_v")
 
 
-def shuffled(cells: DataFrame, row: str, col: str, value: str, keys: Sequence[str] = (), seed: int = 0, buckets: int = 64) -> DataFrame:
-    """The finite values dealt anew over the finite cells, by ranks of a seeded hash."""
+def shuffled(cells: DataFrame, row: str, col: str, value: str, keys: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """The finite values dealt anew over the finite cells: the value of the i-th cell, by row and column, goes to the place
+    that a seeded bijection gives i. Cells are ranked by row, with offsets; values then meet their places by rank, so
+    any number of tasks share a scene."""
+    keys = list(keys)
     some = cells.select(*keys, row, col, finite(F.col(value)).alias(value)).where(F.col(value).isNotNull())
-    places = bucket_rank(some.select(*keys, row, col), F.col(row), [F.col(col)], "_rank", keys)
-    drawn = F.xxhash64(F.lit(seed), row, col)
-    values = bucket_rank(some.withColumn("_h", drawn), F.pmod(F.col("_h"), F.lit(buckets)), [F.col("_h"), F.col(row), F.col(col)], "_rank", keys)
-    return places.join(values.select(*keys, "_rank", value), [*keys, "_rank"]).select(*keys, row, col, value)
+    ranked = bucket_rank(some, F.col(row), [F.col(col)], "_rank", keys)
+    sizes = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"))
+    sized = ranked.join(sizes, keys) if keys else ranked.join(F.broadcast(sizes), F.lit(True))  # without keys one row
+    values = sized.select(*keys, permuted(F.col("_rank"), F.col("_cells"), seed).alias("_rank"), value)
+    return ranked.select(*keys, row, col, "_rank").join(values, [*keys, "_rank"]).select(*keys, row, col, value)
 
 
 def structure_score(cells: DataFrame, row: str, col: str, value: str, keys: Sequence[str] = (), seed: int = 0, min_pairs: int = 50) -> DataFrame:

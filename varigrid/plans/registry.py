@@ -13,14 +13,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, fx: Sequence[str] = (), ctes_: str = ""):
+def query(sql: str | None = None, fx: Sequence[str] = (), ctes_: str = "", recursive: bool = False):
     """Registers ``f(t)``, where ``t(name)`` is a view; ``sql`` runs after the views ``fx`` and the expressions ``ctes_``."""
 
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
         if sql:
             head = ",\n".join(x for x in (ctes(*fx), ctes_) if x)
-            ORACLE[f.__name__] = f"WITH {head}\n{sql}" if head else sql
+            ORACLE[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{head}\n{sql}" if head else sql
         return f
 
     return add

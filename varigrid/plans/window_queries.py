@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varigrid.config import BoxConfig
+from varigrid.functions.permutations import permuted_sql
 from varigrid.operators import windows2d
 from varigrid.plans.pixel_queries import BOTH, FRAME, frame
 from varigrid.plans.registry import as_rrs, query, rounded
@@ -90,7 +91,12 @@ def structure_neighbours(t):
     return windows2d.structure_score(t("fx_coarse"), "r", "c", "coarse_rrs560").select("n_adjacent_pairs", *as_rrs(9, "neighbour_difference"), "assessable")
 
 
-@query()
+@query(
+    """SELECT CAST(n AS BIGINT) AS n_adjacent_pairs, round(own, 9) AS neighbour_difference, round(other, 9) AS shuffled_difference, round(own / nullif(other, 0), 9) AS ratio, n >= 50 AS assessable
+ FROM (SELECT count(*) AS n, median(abs(a.v - b.v)) AS own FROM cells a JOIN cells b ON a.r = b.r AND a.c = b.c + 1), (SELECT median(abs(a.v - b.v)) AS other FROM dealt a JOIN dealt b ON a.r = b.r AND a.c = b.c + 1)""",
+    BOTH,
+    "cells AS (SELECT r, c, coarse_rrs560 AS v, row_number() OVER (ORDER BY r, c) - 1 AS i, count(*) OVER () AS n FROM fx_coarse),\n" + permuted_sql("cells", "i", "i", "n") + ",\ndealt AS (SELECT p.r, p.c, o.v FROM cells o JOIN walked USING (i) JOIN cells p ON p.i = place)",
+    recursive=True,
+)
 def structure_score(t):
-    """The shuffled part depends on a seeded hash of Spark's, so it has no SQL; tests check that values are only permuted."""
     return windows2d.structure_score(t("fx_coarse"), "r", "c", "coarse_rrs560").select("n_adjacent_pairs", *rounded(9, "neighbour_difference", "shuffled_difference", "ratio"), "assessable")
