@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from varigrid.llm.common import bounded
 from varigrid.llm.components import components
 
 
@@ -34,3 +35,12 @@ def test_components(spark, links):
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(rows) == len({r["a"] for r in rows})
     assert {r["a"]: r["root"] for r in rows} == brute(links)
+
+
+def test_samples_of_any_share_hold_rows(spark):
+    """Ten of forty million rows, and a share that is told for a table of a million million."""
+    many = spark.range(40_000_000)
+    assert 1 <= bounded(many, 10, "id", total=40_000_000).count() <= 40
+    told = bounded(many, 500_000, "id", total=10**12)  # one in two million
+    assert 4 <= told.count() <= 60
+    assert bounded(many.limit(5), 10, "id").count() == 5

@@ -75,7 +75,7 @@ def bounded(df: DataFrame, rows: int, *keys: str, total: int | None = None) -> D
     n = df.count() if total is None else total
     if n <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+    return df.where(F.shiftrightunsigned(F.xxhash64(F.lit(17), *keys), 1) < (rows << 63) // n)  # of all 63 bits: a share may be as small as one row in 2^63
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:

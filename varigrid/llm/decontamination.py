@@ -10,6 +10,8 @@ one to one onto the item's values.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,65 +54,102 @@ def tokens(text: Column, raw: bool = False) -> Column:
     return F.filter(F.split(F.lower(out), SEPARATOR), lambda w: w != "")
 
 
-def windows(words: Column, sizes: list[int]) -> Column:
-    """Array of (position, hash) of every window of each size."""
+def template(raw: Column) -> Column:
+    """The canonical words of words with values: a placeholder stands alone."""
+    return F.transform(raw, lambda w: F.when(w >= NAME, F.substring(w, 1, 1)).otherwise(w))  # letters beyond stay apart in both
+
+
+def bare(words: Column, i: Column, k: int) -> Column:
+    """Whether the window at ``i`` has placeholders only."""
+    return reduce(lambda a, b: a & b, (F.get(words, i + j) >= NAME for j in range(k)))
+
+
+def windows(words: Column, raw: Column, sizes: list[int]) -> Column:
+    """Array of (position, hash) of every window of each size. A window of placeholders alone has the hash of its values:
+    its template is that of every list of numbers."""
+
     def hashed(k: int) -> Column:
         starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(k), *(F.get(words, i + j) for j in range(k))).alias("h")))
+        of = lambda kind, some, i: F.xxhash64(F.lit(kind), *(F.get(some, i + j) for j in range(k)))
+        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.when(bare(words, i, k), of(-k, raw, i)).otherwise(of(k, words, i)).alias("h")))
 
     return F.concat(*map(hashed, sizes))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once a row, however often and within whatever function it is used."""
+    values = F.explode(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))).alias("_once")
+    return df.select(*(c for c in df.columns if c not in columns), values).select(*(c for c in df.columns if c not in columns), "_once.*")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """A row per document and benchmark item that the document contains.
 
     ``doc_id, item_id, coverage`` (share of the item's words under matching windows), ``n_slots`` and
-    ``changed`` (slots with another value than the item's). An item of fewer words than ``window`` matches as
-    one window; an item without words matches nothing, and one of placeholders alone only what has its values. Null and empty texts match nothing; rows that repeat a
-    doc_id are one document; empty tables give no rows; other columns are ignored.
+    ``changed`` (slots with another value than the item's). A document is a row's id and text: rows that share an id, or have
+    none, are judged each by itself, and the best of an id counts. An item of fewer words than ``window`` matches as
+    one window. A window of placeholders alone seeds a match only with the item's own values, so numbers meet no other
+    numbers; beside a seed with a word, on its diagonals, such windows count whatever their values. An item without words
+    matches nothing, and one of placeholders alone only what has its values. Null and empty texts match nothing; empty
+    tables give no rows; other columns are ignored. A name begins inside a sentence or is followed by another capitalised
+    word, and its words have at most 256 letters; a single one at the beginning of a sentence stays a word.
     """
-    items = benchmark.select("item_id", F.col("text").alias("_t")).distinct()
-    items = items.select("item_id", tokens(F.col("_t")).alias("w"), tokens(F.col("_t"), raw=True).alias("raw")).where(F.size("w") > 0)
-    items = items.withColumn("literal", F.exists("w", lambda w: ~F.substring(w, 1, 1).isin(NAME, NUMBER, UNIT)))
-    items = written(items.withColumn("k", F.least(F.size("w"), F.lit(window))), "benchmark")
-    sizes = [r["k"] for r in items.select("k").distinct().collect()] or [window]  # at most `window` values
-    of_items = None
+    items = benchmark.select("item_id", F.col("text").alias("_t")).distinct().select("item_id", tokens(F.col("_t"), raw=True).alias("raw")).where(F.size("raw") > 0)
+    items = once(items, w=template(F.col("raw")))
+    items = items.withColumn("literal", F.exists("w", lambda w: w < NAME)).withColumn("k", F.least(F.size("w"), F.lit(window)))
+    items = written(items, "benchmark")
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect()) or [window]  # at most `window` values
+    inside = lambda at, k: F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(j, j + k - 1))))
+    parts = []
     for k in sizes:
-        some = items.where(F.col("k") == k).select("item_id", F.size("w").alias("n"), "k", "literal", F.explode(windows(F.col("w"), [k])).alias("x"))
-        of_items = some if of_items is None else of_items.unionByName(some)
-    of_items = of_items.select("item_id", "n", "k", "literal", F.col("x.i").alias("j"), F.col("x.h").alias("h"))
+        starts = F.sequence(F.lit(0), F.size("w") - k)
+        some = once(items.where(F.col("k") == k), bare=F.when(F.col("literal"), F.filter(starts, lambda i: bare(F.col("w"), i, k))).otherwise(F.expr("cast(array() as array<int>)")))  # noqa: B023
+        parts.append(some.withColumn("x", windows(F.col("w"), F.col("raw"), [k])))
+    items = written(reduce(DataFrame.unionByName, parts), "benchmark-windows")
+    # item words that may match by placeholders alone
+    of_items = items.select("item_id", F.size("w").alias("n"), "k", "literal", F.size(inside(F.col("bare"), F.col("k"))).alias("spare"), F.explode("x").alias("x"))
+    of_items = of_items.select("item_id", "n", "k", "literal", "spare", F.col("x.i").alias("j"), F.col("x.h").alias("h"))
     if of_items.count() <= BROADCAST_WINDOWS:
         of_items = F.broadcast(of_items)
-    of_docs = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.explode(windows(F.col("w"), sorted(sizes))).alias("x"))
-    hits = of_docs.select("doc_id", F.col("x.i").alias("i"), F.col("x.h").alias("h")).join(of_items, "h")
+    named = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"), "text")
+    key = ["doc_id", "md5"]
+    of_docs = named.select(*key, tokens(F.col("text"), raw=True).alias("raw")).select(*key, "raw", template(F.col("raw")).alias("w")).select(*key, F.explode(windows(F.col("w"), F.col("raw"), sizes)).alias("x"))
+    hits = of_docs.select(*key, F.col("x.i").alias("i"), F.col("x.h").alias("h")).join(of_items, "h")
     diagonal, half = F.col("i") - F.col("j"), F.greatest(F.lit(LEAST_BAND), F.ceil(F.col("n") * BAND)).cast("int")
     band = F.floor(diagonal / half).cast("int")
     part = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"))
-    hits = hits.select("doc_id", "item_id", "n", "k", "literal", "j", diagonal.alias("d"), F.explode(F.array(part(0, diagonal), part(1, band), part(1, band - 1))).alias("part"))
-    found = hits.groupBy("doc_id", "item_id", "part").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.max("literal").alias("literal"), F.collect_set(F.struct("j", "d")).alias("at"))
-    words = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["j"], x["j"] + F.col("k") - 1)))))
-    found = found.withColumn("coverage", F.round(words / F.col("n"), 6)).where(F.col("coverage") >= coverage)
-    found = written(found.select("doc_id", "item_id", "part", "k", "literal", "at", "coverage"), "leak-candidates")
-    slots = F.transform(F.sequence(F.lit(1), F.size("raw")), lambda p: F.struct((p - 1).alias("p"), F.regexp_extract(F.get("raw", p - 1), f"([{NAME}-{UNIT}].*)", 1).alias("v")))
-    slotted = items.select("item_id", F.filter(slots, lambda s: s["v"] != "").alias("slots")).where(F.size("slots") > 0)
+    hits = hits.select(*key, "item_id", "n", "k", "literal", "spare", "j", diagonal.alias("d"), F.explode(F.array(part(0, diagonal), part(1, band), part(1, band - 1))).alias("part"))
+    found = hits.groupBy(*key, "item_id", "part").agg(*(F.max(c).alias(c) for c in ("n", "k", "literal", "spare")), F.collect_set(F.struct("j", "d")).alias("at"))
+    found = once(found, words=F.size(inside(F.transform("at", lambda x: x["j"]), F.col("k"))))
+    share = lambda words: F.round(words / F.col("n"), 6)
+    found = written(found.where(share(F.col("words") + F.col("spare")) >= coverage), "leak-candidates")
+    marked = F.filter(F.transform(F.sequence(F.lit(0), F.size("raw") - 1), lambda p: F.struct(p.alias("p"), F.get("raw", p).alias("v"))), lambda s: s["v"] >= NAME)
+    slotted = items.select("item_id", "bare", F.col("w").alias("iw"), marked.alias("slots")).where(F.size("slots") > 0)
+    plain = found.join(slotted, "item_id", "left_anti").select("doc_id", "item_id", share(F.col("words")).alias("coverage"), F.lit(0).alias("n_slots"), F.lit(0).alias("changed"))
     to_check = found.join(slotted, "item_id")
     if found.count() <= BROADCAST_CANDIDATES:
         to_check = F.broadcast(to_check)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(to_check, F.col("_id").eqNullSafe(F.col("doc_id")))
-    pairs = texts.select("doc_id", "item_id", "part", "k", "at", tokens(F.col("text"), raw=True).alias("raw"), F.explode("slots").alias("s"))
+    met = named.select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), "text").join(to_check, (F.col("_md5") == F.col("md5")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    met = once(met.select(*key, "item_id", "n", "k", "literal", "bare", "iw", "slots", "at", "text"), raw=tokens(F.col("text"), raw=True)).drop("text")
+    met = once(met, w=template(F.col("raw")), ds=F.array_distinct(F.transform("at", lambda x: x["d"])))
+    # windows of placeholders alone, on the diagonals of the seeds
+    alike = lambda j, d: F.forall(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.coalesce(F.get("w", j + d + t) == F.get("iw", j + t), F.lit(False)))
+    more = F.flatten(F.transform("ds", lambda d: F.transform(F.filter("bare", lambda j: (j + d >= 0) & alike(j, d)), lambda j: F.struct(j.alias("j"), d.alias("d")))))
+    met = once(met, at=F.array_union("at", more))
+    met = once(met, at=F.transform("at", lambda x: F.struct(x["j"], x["d"], F.size(F.filter("at", lambda y: y["d"] == x["d"])).alias("full"))), coverage=share(F.size(inside(F.transform("at", lambda x: x["j"]), F.col("k")))))
     # a slot lies on the diagonal of the windows over it, or else of the nearest window; of several, on the fullest
-    gap = lambda x: F.greatest(F.lit(0), x["j"] - F.col("s.p"), F.col("s.p") - x["j"] - F.col("k") + 1)
-    place = F.array_max(F.transform("at", lambda x: F.struct((-gap(x)).alias("near"), F.size(F.filter("at", lambda y: y["d"] == x["d"])).alias("full"), x["d"].alias("d"))))["d"]
-    pairs = pairs.withColumn("q", F.col("s.p") + place).where("q >= 0")
-    value = F.regexp_extract(F.get("raw", F.col("q")), f"([{NAME}-{UNIT}].*)", 1)
-    pairs = pairs.select("doc_id", "item_id", "part", "s.p", F.col("s.v").alias("a"), value.alias("b")).where("b <> ''").distinct()
-    told = pairs.groupBy("doc_id", "item_id", "part").agg(F.countDistinct("p").alias("n_slots"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("changed"), F.countDistinct("a", "b").alias("ab"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"))
-    told = told.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "item_id", "part")})
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "item_id", "part")]
-    one_to_one = F.coalesce((F.col("ab") == F.col("na")) & (F.col("ab") == F.col("nb")), F.lit(True)) & (F.col("literal") | (F.coalesce("changed", F.lit(0)) == 0))
-    judged = found.join(told, same, "left").select("doc_id", "item_id", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("changed", F.lit(0)).alias("changed"), one_to_one.alias("consistent"))
+    gap = lambda x, p: F.greatest(F.lit(0), x["j"] - p, p - x["j"] - F.col("k") + 1)
+    place = lambda p: F.array_max(F.transform("at", lambda x: F.struct((-gap(x, p)).alias("near"), x["full"], x["d"])))["d"]
+    value = lambda q: F.when(q >= 0, F.get("raw", q))
+    pairs = F.filter(F.transform("slots", lambda s: F.struct(s["v"].alias("a"), value(s["p"] + place(s["p"])).alias("b"))), lambda x: x["b"] >= NAME)
+    met = once(met.where(F.col("coverage") >= coverage), pairs=pairs)
+    many = lambda some: F.size(F.array_distinct(some))
+    one_side = lambda c: many(F.transform("pairs", lambda x: x[c]))
+    changed = F.size(F.filter("pairs", lambda x: x["a"] != x["b"]))
+    consistent = (many(F.col("pairs")) == one_side("a")) & (many(F.col("pairs")) == one_side("b")) & (F.col("literal") | (changed == 0))
+    judged = met.where(consistent).select("doc_id", "item_id", "coverage", F.size("pairs").alias("n_slots"), changed.alias("changed")).unionByName(plain)
     best = F.max(F.struct("coverage", (-F.col("changed")).alias("unchanged"), "n_slots")).alias("b")
-    return judged.where("consistent").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.coverage", F.col("b.n_slots").cast("long").alias("n_slots"), (-F.col("b.unchanged")).cast("long").alias("changed"))
+    return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.coverage", F.col("b.n_slots").cast("long").alias("n_slots"), (-F.col("b.unchanged")).cast("long").alias("changed"))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
