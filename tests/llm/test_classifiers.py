@@ -162,8 +162,12 @@ def test_rows_of_any_length_teach(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     rows = {r["doc_id"]: r["score"] for r in quality.scored(docs, quality.trained(docs, labels)).collect()}
     assert rows[1] > 0.5 > rows[2] and rows[3] > rows[4]
-    short = quality.trained(docs, labels, lines=500)  # one row fits, so all have its label
+    short = quality.trained(docs, labels, lines=500)  # no row is short enough
     assert len({r["score"] for r in quality.scored(docs, short).collect()}) == 1
+    long = spark.createDataFrame([(i, "$ # !\n" * 16_000) for i in range(50, 60)], docs.schema)  # none of these ends the sample
+    every = labels.unionByName(long.selectExpr("doc_id", "1 as quality"))
+    rows = {r["doc_id"]: r["score"] for r in quality.scored(docs, quality.trained(docs.unionByName(long), every)).collect()}
+    assert rows[1] > 0.5 > rows[2] and rows[3] > rows[4]
 
 
 def test_toxicity_counts_by_brute_force(monkeypatch):

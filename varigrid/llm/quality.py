@@ -22,6 +22,8 @@ from varigrid.llm.shingles import GOLDEN, LONG, Rolling, mixed
 #: Bounds of the training sample: labelled rows, and the lines that reach the driver. Rows are taken whole, in the order of their
 #: hash, as long as their lines fit; the first is always taken.
 TRAINING_ROWS, TRAINING_LINES = 6000, 300_000
+#: A training row of more than this part of the lines does not teach.
+LONG_ROW = 20
 ROUNDS, STEPS, RATE, RIDGE = 3, 120, 0.1, 1e-3
 KEEP = 0.7
 #: Classes of characters.
@@ -222,7 +224,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lines: int = TRAINING_LINES) -> Field:
     """A field taught by the texts of ``docs`` that ``labels`` (``doc_id, quality``) marks: at most about ``rows``
     labels, chosen by hash, so that they can be broadcast, and of these, in the order of the hash, those whose lines
-    together are at most ``lines``; a row teaches with all its lines.
+    together are at most ``lines``; a row teaches with all its lines. A row of more than a ``LONG_ROW``-th of that
+    bound does not teach, so that none takes the others' place.
 
     Null labels, null ids and texts without lines teach nothing; a repeated row teaches as often as it stands there.
     Without rows, or if all have one label, every document scores that label's share.
@@ -242,6 +245,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lines
     some = bounded(labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")), rows, "doc_id")
     learn = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality", F.xxhash64(F.lit(5), "doc_id").alias("turn"))
     shapes = written(learn.mapInArrow(shaped, "label int, turn long, n long, own binary, length binary"), "quality-lines")
+    shapes = shapes.where(F.col("n") <= lines // LONG_ROW)
     order = shapes.select("turn", "n").toPandas().sort_values(["turn", "n"])  # a row per row that teaches
     fits = order["turn"][(order["n"].cumsum() <= lines).to_numpy()]
     last = int(fits.iloc[-1]) if len(fits) else int(order["turn"].iloc[0]) if len(order) else 0
