@@ -76,3 +76,16 @@ def test_descriptions_keep_empty_and_wrapping_boxes(spark):
     rows = {r["rank"]: r for r in density.describe_boxes(boxes, points, F.col("time") >= "2023").collect()}
     assert (rows[1]["flagged_points"], rows[1]["flagged_ids"], rows[1]["recent_points"], rows[1]["first_seen"]) == (1, 1, 1, "2022-01-01")
     assert rows[2]["flagged_points"] == 0 and rows[2]["first_seen"] is None
+
+
+def test_runs_are_few_and_apart(spark):
+    """Windows of 6 x 4 cells over a busy place: rows before the count fall by the window's width or more."""
+    draw = random.Random(6)
+    config = SearchConfig(box_deg=(6.0, 4.0), cell_deg=1.0)
+    points = [(draw.randrange(5), draw.randrange(-180, -150) + 0.5, draw.randrange(-12, 12) + 0.5) for _ in range(4000)] + [(9, 179.5, 3.5), (9, -179.5, 3.5), (9, 0.5, 89.5), (9, 0.5, -89.5)]
+    frame = spark.createDataFrame(points, "float_id long, lon double, lat double")
+    want = {k: len(v) for k, v in brute(points, config).items()}
+    assert {(r["anchor_y"], r["anchor_x"]): r["n_ids"] for r in density.distinct_id_windows(frame, config).collect()} == want
+    runs = density._runs(frame, config, "float_id", "lon", "lat", [])
+    cells = len({p for p in points})
+    assert runs.count() < cells * 24 / 12 and runs.agg(F.sum(F.col("_to") - F.col("_from") + 1)).first()[0] == sum(want.values())

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from varigrid.config import SearchConfig
 from varigrid.functions.geo import box_area_km2, in_box
 from varigrid.functions.grids import cell_assign
-from varigrid.operators.windows2d import anchored, window_keys
 
 
 @dataclass(frozen=True)
@@ -44,20 +44,38 @@ class Lattice:
         return (2 * self.separation - 1) ** 2 if self.separation else 1
 
 
-def distinct_id_windows(points: DataFrame, config: SearchConfig = SearchConfig(), *, id: str = "float_id", lon: str = "lon", lat: str = "lat", keys: Sequence[str] = ()) -> DataFrame:
-    """``anchor_y, anchor_x, n_ids``: distinct ids with a point in the window of each anchor that has any.
-
-    Points are reduced to distinct (id, cell) first, so a busy id or cell weighs no more than its cells. Null ids
-    and positions are left out. Longitude wraps on a whole globe, latitude never does.
-    """
+def _runs(points: DataFrame, config: SearchConfig, id: str, lon: str, lat: str, keys: list[str]) -> DataFrame:
+    """``keys, _row, _from, _to``: for each id, the anchors whose windows hold a point of it, as runs along rows that do not overlap."""
     grid = Lattice.of(config)
     cells = points.where(F.col(id).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(
         *keys, F.col(id).alias("_id"), cell_assign(F.col(lat), config.bounds[1], config.cell_deg, grid.n_lat).alias("_y"), cell_assign(F.col(lon), config.bounds[0], config.cell_deg, grid.n_lon).alias("_x")
     )
-    n_cols = grid.n_lon if grid.wraps else grid.n_lon + grid.win_x - 1  # on a bounded map a box may reach beyond the east edge
-    each = anchored(cells.distinct(), "_y", "_x", grid.win_y, grid.win_x, grid.n_lat, n_cols, keys, grid.wraps)
-    out = each.groupBy(*window_keys(keys)).agg(F.countDistinct("_id").alias("n_ids"))
-    return out.select(*keys, F.col("anchor_row").alias("anchor_y"), F.col("anchor_col").alias("anchor_x"), "n_ids")
+    rows = F.sequence(F.greatest(F.lit(0), F.col("_y") - (grid.win_y - 1)), F.least(F.col("_y"), F.lit(grid.n_lat - grid.win_y)))
+    first, span = F.col("_x") - (grid.win_x - 1), lambda a, b: F.struct(a.cast("long").alias("_from"), b.cast("long").alias("_to"))
+    straight = F.array(span(F.greatest(F.lit(0), first), F.col("_x")))
+    spans = F.when(first < 0, F.concat(straight, F.array(span(first + grid.n_lon, F.lit(grid.n_lon - 1))))).otherwise(straight) if grid.wraps else straight
+    beside = cells.distinct().where(F.col("_y") - (grid.win_y - 1) <= grid.n_lat - grid.win_y).select(*keys, "_id", F.explode(rows).alias("_row"), spans.alias("spans"))
+    each = beside.select(*keys, "_id", "_row", F.explode("spans").alias("s")).select(*keys, "_id", "_row", "s.*")
+    before = W.partitionBy(*keys, "_id", "_row").orderBy("_from", "_to").rowsBetween(W.unboundedPreceding, -1)
+    new = each.withColumn("_from", F.greatest("_from", F.coalesce(F.max("_to").over(before) + 1, F.col("_from"))))
+    return new.where(F.col("_from") <= F.col("_to")).select(*keys, "_row", "_from", "_to")
+
+
+def distinct_id_windows(points: DataFrame, config: SearchConfig = SearchConfig(), *, id: str = "float_id", lon: str = "lon", lat: str = "lat", keys: Sequence[str] = ()) -> DataFrame:
+    """``anchor_y, anchor_x, n_ids``: distinct ids with a point in the window of each anchor that has any.
+
+    Points are reduced to distinct (id, cell) first, so a busy id or cell weighs no more than its cells. No id is counted
+    window by window: its windows are united to runs along each row of anchors, a run adds one where it begins and takes one
+    off behind its end, and sums along the row give the counts. Changes at one place are summed before they are
+    shuffled, so neither a dense place nor a busy id fills a task; a row has at most as many places as the lattice has
+    columns. Null ids and positions are left out. Longitude wraps on a whole globe, latitude never does.
+    """
+    keys = list(keys)
+    ends = F.explode(F.array(F.struct(F.col("_from").alias("at"), F.lit(1).alias("by")), F.struct((F.col("_to") + 1).alias("at"), F.lit(-1).alias("by")))).alias("e")
+    changes = _runs(points, config, id, lon, lat, keys).select(*keys, "_row", ends).groupBy(*keys, "_row", F.col("e.at").alias("_at")).agg(F.sum("e.by").alias("_by"))
+    along = W.partitionBy(*keys, "_row").orderBy("_at")
+    counts = changes.withColumn("n_ids", F.sum("_by").over(along)).withColumn("_next", F.lead("_at").over(along)).where("n_ids > 0")
+    return counts.select(*keys, F.col("_row").alias("anchor_y"), F.explode(F.sequence(F.col("_at"), F.col("_next") - 1)).alias("anchor_x"), "n_ids")
 
 
 def picked(ordered: list[tuple[int, int, int]], grid: Lattice, top_n: int) -> list[tuple[int, int, int]]:
