@@ -6,6 +6,7 @@ import json
 import math
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -208,3 +209,22 @@ def test_streams(spark):
     query = streams.stream_distinct(stream, ["k"], "id", "t", "10 days").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", temp("c2")).start()
     query.awaitTermination(120)
     assert spark.table("firsts").groupBy("k").count().where("count = 5").count() == 3
+
+
+def test_ledger_versions(spark):
+    """Writers at the same time, a broken write, and a ledger that stood there before."""
+    path = temp("versions")
+    spark.createDataFrame([("A old", "s", "1", "t", "PASS", "")], ledger.SCHEMA).write.csv(path, header=True)
+    tags = [f"T{i}" for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda t: ledger.record(spark, path, [ledger.verdict_row(f"{t} x", "s", "1", "t", "PASS", 'a "note", and\nmore')]), tags))
+    assert sorted(r["hypothesis"] for r in ledger.verdicts(spark, path).collect()) == ["A old", *(f"{t} x" for t in tags)]
+    assert sorted(n for n in os.listdir(f"{path}/_versions") if not n.startswith(".")) == [f"{i:08d}.csv" for i in range(1, 7)]
+    with open(f"{path}/_versions/.broken", "w") as f:
+        f.write("hypothesis\nhalf a li")
+    ledger.record(spark, path, [ledger.verdict_row("T3 y", "s", "2", "t", "FAIL")])
+    rows = {r["hypothesis"]: (r["verdict"], r["note"]) for r in ledger.verdicts(spark, path).collect()}
+    assert rows["T3 y"] == ("FAIL", "") and "T3 x" not in rows and rows["T1 x"] == ("PASS", 'a "note", and\nmore') and len(rows) == 7
+    shown = spark.read.schema(ledger.SCHEMA).csv(path, header=True, multiLine=True, escape='"').fillna("")
+    assert sorted(map(str, shown.collect())) == sorted(map(str, ledger.verdicts(spark, path).collect()))
+    assert ledger.verdicts(spark, temp("none")).count() == 0

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,19 +34,95 @@ def upsert(existing: DataFrame, new: DataFrame, key: Column | None = None) -> Da
     return kept.unionByName(new)
 
 
+#: Times that a writer begins anew because another was faster.
+TURNS = 50
+
+
+class Versions:
+    """The versions of a ledger: ``_versions/<number>.csv`` below its folder, each the whole ledger and never changed.
+
+    A version is written under another name and committed by a rename that fails if its number is taken; what a broken
+    writer leaves is never read. Beside them the folder itself holds the newest version for other readers of CSV.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.jvm = spark, spark.sparkContext._jvm
+        self.path = path.rstrip("/")
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.folder = self.jvm.org.apache.hadoop.fs.Path(self.path)
+        self.fs = self.folder.getFileSystem(self.conf)
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def names(self, folder: str) -> list[str]:
+        where = self.at(folder) if folder else self.folder
+        return [s.getPath().getName() for s in self.fs.listStatus(where)] if self.fs.exists(where) else []
+
+    def newest(self) -> int:
+        """The highest number; 0 if there is none."""
+        return max((int(n[:-4]) for n in self.names("_versions") if n[:-4].isdigit() and n.endswith(".csv")), default=0)
+
+    def read(self, number: int) -> DataFrame:
+        """A version; number 0 is what stands in the folder without any."""
+        if not number and not any(n.endswith(".csv") for n in self.names("")):
+            return self.spark.createDataFrame([], SCHEMA)
+        path = f"{self.path}/_versions/{number:08d}.csv" if number else self.path
+        return self.spark.read.schema(SCHEMA).csv(path, header=True, multiLine=True, escape='"').fillna("")
+
+    def write(self, name: str, rows: Sequence[tuple]) -> None:
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n").writerows([COLUMNS, *rows])
+        stream = self.fs.create(self.at(name), False)
+        stream.write(bytearray(text.getvalue().encode()))
+        stream.close()
+
+    def commit(self, number: int, rows: Sequence[tuple]) -> bool:
+        """Whether ``rows`` became version ``number``."""
+        own = f"_versions/.{uuid.uuid4().hex}"
+        self.write(own, rows)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        try:
+            context.rename(self.at(own), self.at(f"_versions/{number:08d}.csv"), self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as refused:
+            if "FileAlreadyExistsException" not in refused.java_exception.toString():
+                raise
+            self.fs.delete(self.at(own), False)
+            return False
+        return True
+
+    def show(self, number: int, rows: Sequence[tuple]) -> None:
+        """Version ``number`` in the folder itself, unless a newer one is there; older ones go."""
+        shown = f"verdicts-{number:08d}.csv"
+        if shown not in self.names(""):
+            self.write(shown, rows)
+        there = [n for n in self.names("") if n.endswith(".csv")]
+        newest = max(n for n in there if n.startswith("verdicts-"))
+        for name in {*there, "_SUCCESS"} - {newest}:
+            self.fs.delete(self.at(name), False)
+
+
+def verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the ledger at ``path``; no rows if there is none."""
+    versions = Versions(spark, path)
+    return versions.read(versions.newest())
+
+
 def record(spark: SparkSession, path: str, rows: Sequence[Mapping[str, str]]) -> DataFrame:
-    """Upsert ``rows`` into the ledger at ``path`` (one small CSV folder) and return it, existing rows first.
+    """Upsert ``rows`` into the ledger at ``path`` (a folder) and return it, existing rows first.
 
-    The ledger has a row a hypothesis, so it is read whole before it is replaced.
+    The result is a new version (:class:`Versions`). If another writer has taken its number meanwhile, the upsert is done
+    again on what that one has written, so no verdict is lost. The ledger has a row a hypothesis, so a version is read whole.
     """
     new = spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], SCHEMA)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    old = spark.read.schema(SCHEMA).csv(path, header=True, multiLine=True, escape='"').fillna("") if there else spark.createDataFrame([], SCHEMA)
-    merged = [tuple(r) for r in upsert(old, new).collect()]
-    out = spark.createDataFrame(merged, SCHEMA)
-    out.coalesce(1).write.mode("overwrite").option("escape", '"').csv(path, header=True)
-    return out
+    versions = Versions(spark, path)
+    for _ in range(TURNS):
+        number = versions.newest()
+        merged = [tuple(r) for r in upsert(versions.read(number), new).collect()]
+        if versions.commit(number + 1, merged):
+            versions.show(number + 1, merged)
+            return spark.createDataFrame(merged, SCHEMA)
+    raise RuntimeError(f"other writers were faster {TURNS} times at {path}")
 
 
 def write_metrics(df: DataFrame, path: str, keys: Sequence[str]) -> dict:
