@@ -146,6 +146,40 @@ def test_proposal_and_fetch_gates(spark):
     assert verdicts["V6"][0] == "PASS" and verdicts["G0"] == ("FAIL", "t, u")
 
 
+def test_gates_and_variance_from_the_command_line(spark, pixels, frame):
+    """G0, V4 with floors, V6 with stations, and the variance of pixels."""
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    common = ["--out", f"{base}/out", "--ledger", f"{base}/ledger", "--log-level", "ERROR"]
+    spark.createDataFrame([("s", True, 600)], "scene string, opens boolean, n_valid long").write.parquet(f"{base}/opened")
+    cli.main([*common, "fetch", "--opened", f"{base}/opened", "--scenes", "s"])
+    with pytest.raises(SystemExit):
+        cli.main(["--out", base, "fetch", "--opened", f"{base}/opened", "--scenes", "s"])
+    frame.withColumn("row", F.floor(F.col("coarse_index") / N)).withColumn("col", F.col("coarse_index") % N).write.parquet(f"{base}/frame")
+    spark.createDataFrame([("s", 1e-6)], "scene string, floor double").write.parquet(f"{base}/floors")
+    try:
+        cli.main([*common, "compare", "--frame", f"{base}/frame", "--rows", str(N), "--cols", str(N), "--floors", f"{base}/floors"])
+    except RuntimeError:  # a gate may fail on this frame; it is recorded before
+        pass
+    index = spark.createDataFrame([(f"f{i % 5}", -30.0 + i % 3 * 0.05, 40.02, "2024-01-01", "CHLA") for i in range(20)], "PLATFORM_NUMBER string, LONGITUDE double, LATITUDE double, TIME string, parameters string")
+    index.write.parquet(f"{base}/index")
+    with open(f"{base}/scenes.json", "w") as f:
+        json.dump([{"id": "s_1_4001", "dt": "2024-01-01", "bbox": [-29.1, 39.9, -28.9, 40.1], "loc": "here"}], f)
+    with open(f"{base}/stations.csv", "w") as f:
+        f.write("station,kind,lat,lon,depth_m,sampling,source\na,weekly,41.8,-83.2,1,x,y\nb,cruise,41.85,-83.3,1,x,y\n")
+    spark.createDataFrame([(-83.25, 41.7, -83.1, 41.9)], "west double, south double, east double, north double").write.parquet(f"{base}/feet")
+    cli.main([*common, "tasking", "--index", f"{base}/index", "--scenes-json", f"{base}/scenes.json", "--top-n", "1", "--stations", f"{base}/stations.csv", "--footprints", f"{base}/feet", "--centre", "-83.28", "41.8"])
+    assert spark.read.parquet(f"{base}/out/gaps").first()["n_inside"] == 1 and spark.read.parquet(f"{base}/out/boxes").where("metric = 'in_situ_stations'").first()["n_stations"] == 2
+    verdicts = {r["hypothesis"][:2]: r["verdict"] for r in ledger.verdicts(spark, f"{base}/ledger").collect()}
+    assert verdicts["G0"] == verdicts["V6"] == "PASS" and "V4" in verdicts
+    pixels.write.parquet(f"{base}/pixels")
+    cli.main([*common, "variance", "--pixels", f"{base}/pixels", "--bands", "490=b490", "560=b560", "--patch", "16", "--factors", "2", "4"])
+    told = spark.read.parquet(f"{base}/out/variance")
+    want = stages.ladder_patch(pixels, {490.0: "b490", 560.0: "b560"}, patch=16).agg(F.count("band")).first()[0]
+    assert told.count() == 4 and want > 0
+    with pytest.raises(SystemExit):
+        cli.main(["--out", base, "variance"])
+
+
 def test_percentiles_equal_numpy(spark, monkeypatch):
     draw = np.random.default_rng(6)
     fields = {"normal": draw.normal(0, 1, 700), "tied": draw.integers(0, 4, 500).astype(float), "one": np.array([3.5]), "same": np.full(40, -2.0), "wide": np.concatenate([draw.normal(0, 1e-9, 300), [1e12, -1e12]])}

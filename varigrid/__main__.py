@@ -10,6 +10,7 @@ import os
 from pyspark.sql import functions as F
 
 from varigrid.config import SearchConfig
+from varigrid.operators import variance
 from varigrid.plans import stages
 from varigrid.session import session
 from varigrid.sources import tables
@@ -22,6 +23,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR"])
     parser.add_argument("--log-dir", help="folder of the stages' logs on this machine; each run begins its stage's log anew")
     commands = parser.add_subparsers(dest="stage", required=True)
+    fetch = commands.add_parser("fetch", help="gate G0 of the scenes' files")
+    fetch.add_argument("--opened", required=True, help="scene, opens, n_valid")
+    fetch.add_argument("--scenes", nargs="+", required=True, help="those expected")
     check = commands.add_parser("check", help="gates V0 and V1 of scenes")
     check.add_argument("--pixels", required=True, help="scene, row, col, green, nir, uncertainty, and water or else flags")
     check.add_argument("--grids", required=True, help="JSON: the grid header of each scene")
@@ -39,23 +43,40 @@ def main(argv: list[str] | None = None) -> None:
     compare.add_argument("--frame", required=True)
     compare.add_argument("--rows", type=int, required=True)
     compare.add_argument("--cols", type=int, required=True)
+    compare.add_argument("--floors", help="scene, floor: the declared noise, for V4")
     compare.add_argument("--scenes", nargs="*")
     compare.add_argument("--sensors", nargs="*")
     tasking = commands.add_parser("tasking", help="densest boxes of a profile index")
     tasking.add_argument("--index", required=True)
     tasking.add_argument("--scenes-json", required=True)
     tasking.add_argument("--top-n", type=int, default=SearchConfig().top_n)
+    tasking.add_argument("--stations", help="CSV of stations: adds the proposed box, the stations' gaps and V6")
+    tasking.add_argument("--footprints", help="west, south, east, north of the existing scenes")
+    tasking.add_argument("--centre", type=float, nargs=2, metavar=("LON", "LAT"), help="of the proposed box")
+    tasking.add_argument("--weekly", default="weekly", help="the stations' kind that is counted apart")
+    tasking.add_argument("--max-km", type=float)
     split = commands.add_parser("variance", help="variance between and within cells")
-    split.add_argument("--samples", required=True)
-    split.add_argument("--scalars", nargs="+", required=True)
+    split.add_argument("--samples", help="scene, row, col and the scalars")
+    split.add_argument("--scalars", nargs="*", default=[])
+    split.add_argument("--pixels", help="scene, row, col, water and the bands' columns: pedestal, ratio and window are made first")
+    split.add_argument("--bands", nargs="*", default=[], help="wavelength=column")
     split.add_argument("--patch", type=int, default=480)
     split.add_argument("--factors", type=int, nargs="+", default=[18, 40])
     args = parser.parse_args(argv)
+    if args.stage == "tasking" and args.stations and not (args.footprints and args.centre):
+        parser.error("--stations needs --footprints and --centre")
+    if args.stage == "variance" and bool(args.samples) == bool(args.pixels):
+        parser.error("variance needs either --samples with --scalars or --pixels with --bands")
+    if args.stage == "fetch" and not args.ledger:
+        parser.error("fetch records a gate: it needs --ledger")
     logging.basicConfig(level=args.log_level, force=True, format="%(asctime)s %(levelname)s %(message)s", handlers=_handlers(args.log_dir, args.stage))
     log = logging.getLogger("varigrid")
     log.info("%s begins", args.stage)
     spark = session()
-    if args.stage == "check":
+    pairs = lambda xs: {float(a): b for a, b in (x.split("=", 1) for x in xs)}
+    if args.stage == "fetch":
+        stages.fetch_stage(spark.read.parquet(args.opened), args.scenes, args.ledger)
+    elif args.stage == "check":
         pixels = tables.aggregates(spark, args.pixels)
         if "water" not in pixels.columns:
             pixels = stages.mask_stage(pixels, "green", "nir", flags=args.flags)
@@ -63,7 +84,6 @@ def main(argv: list[str] | None = None) -> None:
         corners = tables.corners_frame(spark, {k: tables.grid_header(h) for k, h in headers.items()})
         stages.check_stage(pixels, corners, spark.read.parquet(args.boxes), args.ledger).write.mode("overwrite").parquet(f"{args.out}/checks")
     elif args.stage == "aggregate":
-        pairs = lambda xs: {float(a): b for a, b in (x.split("=", 1) for x in xs)}
         bands = pairs(args.bands)
         if not args.verify_only_gate:
             centres = tables.aggregates(spark, args.centres)
@@ -83,12 +103,24 @@ def main(argv: list[str] | None = None) -> None:
         for column, chosen in (("scene", args.scenes), ("sensor", args.sensors)):
             if chosen:
                 frame = frame.where(F.col(column).isin(*chosen))
-        for name, result in zip(("boxes", "summary", "structure"), stages.compare_stage(frame, args.rows, args.cols, ledger_path=args.ledger), strict=True):
+        floors = spark.read.parquet(args.floors) if args.floors else None
+        for name, result in zip(("boxes", "summary", "structure"), stages.compare_stage(frame, args.rows, args.cols, floors=floors, ledger_path=args.ledger), strict=True):
             result.write.mode("overwrite").parquet(f"{args.out}/{name}")
     elif args.stage == "tasking":
         index, scenes = tables.load_index(spark, args.index), tables.inventory(spark, args.scenes_json)
         config = SearchConfig(top_n=args.top_n)
-        stages.tasking_stage(index, scenes, F.col("time") >= F.lit(config.recent_since).cast("timestamp"), config).write.mode("overwrite").parquet(f"{args.out}/boxes")
+        recent = F.col("time") >= F.lit(config.recent_since).cast("timestamp")
+        if args.stations:
+            stations, feet = tables.stations(spark, args.stations), spark.read.parquet(args.footprints)
+            boxes, gaps = stages.proposal_stage(index, scenes, stations, feet, recent=recent, centre=tuple(args.centre), weekly=args.weekly, ledger_path=args.ledger, config=config, max_km=args.max_km)
+            gaps.write.mode("overwrite").parquet(f"{args.out}/gaps")
+        else:
+            boxes = stages.tasking_stage(index, scenes, recent, config)
+        boxes.write.mode("overwrite").parquet(f"{args.out}/boxes")
+    elif args.pixels:
+        inside = stages.ladder_patch(tables.aggregates(spark, args.pixels), pairs(args.bands), patch=args.patch)
+        told = variance.variance_ladder(inside, "row", "col", {"ratio": "ratio", "band": "band"}, args.factors, args.patch, args.patch, ["scene"], args.patch)
+        told.write.mode("overwrite").parquet(f"{args.out}/variance")
     else:
         samples = tables.aggregates(spark, args.samples)
         stages.variance_stage(samples, {c: c for c in args.scalars}, patch=args.patch, factors=args.factors).write.mode("overwrite").parquet(f"{args.out}/variance")
