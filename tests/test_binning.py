@@ -93,6 +93,47 @@ def test_opening_and_threshold(spark):
     assert 0.1 < spectral.otsu_threshold(two, "v", 0.0, 1.0, 50).first()["threshold"] <= 0.8
 
 
+@pytest.mark.parametrize("height, width", [(1, 1), (3, 4), (15, 15), (1, 9), (20, 2)])
+def test_opening_by_a_rectangle_over_tiles(spark, height, width):
+    """Blobs and pricks across tile edges and negative places, two scenes at once, against every offset tried."""
+    rng = np.random.default_rng(height * 31 + width)
+    grids = {}
+    for scene in "ab":
+        grid = rng.random((150, 140)) > 0.004
+        for r, c in rng.integers(0, 120, (12, 2)):
+            grid[r : r + 9, c : c + 30] = False
+        grids[scene] = grid
+    rows = [(s, int(r) - 40, int(c) - 7, bool(g[r, c]) or None) for s, g in grids.items() for r, c in np.ndindex(g.shape)]
+    frame = spark.createDataFrame(rows, "s string, r int, c int, m boolean")
+    opened = spectral.box_opening(frame, "r", "c", "m", height, width, ["s"])
+    got = [(x["s"], x["r"], x["c"]) for x in opened.collect()]
+    want = set()
+    for s, g in grids.items():
+        shape = (g.shape[0] - height + 1, g.shape[1] - width + 1)
+        begin = np.all([g[a : a + shape[0], b : b + shape[1]] for a in range(height) for b in range(width)], axis=0)
+        out = np.zeros_like(g)
+        for a in range(height):
+            for b in range(width):
+                out[a : a + shape[0], b : b + shape[1]] |= begin
+        want |= {(s, int(r) - 40, int(c) - 7) for r, c in np.argwhere(out)}
+    assert set(got) == want and len(got) == len(want) > 0
+    plan = opened._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1
+
+
+def test_opening_of_nothing(spark):
+    empty = spark.createDataFrame([], "r int, c int, m boolean")
+    assert spectral.box_opening(empty, "r", "c", "m", 3, 3).count() == 0
+    with pytest.raises(ValueError):
+        spectral.box_opening(empty, "r", "c", "m", 0, 3)
+
+
+def test_water_mask_with_a_rectangle(spark):
+    cells = spark.createDataFrame([(r, c, 0.5 if 2 <= r < 8 and 2 <= c < 8 or (r, c) == (10, 10) else 0.1, 0.2) for r in range(12) for c in range(12)], "r int, c int, g double, n double")
+    wet = {(x["r"], x["c"]) for x in spectral.water_mask(cells, "r", "c", "g", "n", element=(4, 4)).where("water").collect()}
+    assert wet == {(r, c) for r in range(2, 8) for c in range(2, 8)}
+
+
 def test_agreement_needs_pairs_and_positive_spread(spark):
     rows = [(float(i), 2.0 * i, -1.0 * i) for i in range(30)]
     frame = spark.createDataFrame(rows, "c double, t double, u double")

@@ -55,6 +55,42 @@ def binary_opening(cells: DataFrame, row: str, col: str, mask: str, keys: Sequen
     return opened.select(*keys, row, col)
 
 
+def box_opening(cells: DataFrame, row: str, col: str, mask: str, height: int, width: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, row, col`` of the cells that survive an opening by a rectangle of ``height`` x ``width``; cells are unique.
+
+    The rectangle is taken as two lines, and nothing is exploded to its offsets: an erosion keeps what lies far enough before
+    the end of its run, a dilation what has an eroded cell near enough before it, first along one axis and then along the
+    other. (An opening adds no cell, so only cells of the mask are asked.) Cells are sent once, to the tile that owns them
+    and to those whose edge is near; tiles are eight times the rectangle's sides, so a cell goes to 1.6 tiles on average
+    and a tile's size follows the rectangle's, not the grid's. The work a cell does not depend on the rectangle.
+    """
+    if height < 1 or width < 1:
+        raise ValueError("the rectangle has no cells")
+    keys, tiles = [*keys], ["_tile_row", "_tile_col"]
+    r, c = F.col("_r"), F.col("_c")
+    sides = {"_r": (max(64, 8 * (height - 1)), height - 1), "_c": (max(64, 8 * (width - 1)), width - 1)}
+    near = lambda at: F.explode(F.sequence(*(F.floor((F.col(at) + by) / F.lit(sides[at][0])).cast("long") for by in (-sides[at][1], sides[at][1]))))
+    sent = cells.where(mask).select(*keys, F.col(row).alias("_row"), F.col(col).alias("_col"), F.col(row).cast("long").alias("_r"), F.col(col).cast("long").alias("_c"))
+    dealt = sent.withColumn("_tile_row", near("_r")).withColumn("_tile_col", near("_c")).repartition(*keys, *tiles)
+
+    def eroded(df: DataFrame, flag: str, line: str, at: Column, k: int) -> DataFrame:
+        """``flag`` of the cells that begin ``k`` set ones along the line."""
+        across = [*keys, *tiles, line]
+        runs = df.withColumn("_run", at - F.row_number().over(W.partitionBy(*across, flag).orderBy(at)))
+        return runs.withColumn(flag, F.col(flag) & (F.max(at).over(W.partitionBy(*across, flag, "_run")) - at >= k - 1)).drop("_run")
+
+    def dilated(df: DataFrame, flag: str, line: str, at: Column, k: int) -> DataFrame:
+        """``flag`` of the cells with a set one among the last ``k`` along the line, themselves included."""
+        before = W.partitionBy(*keys, *tiles, line).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumn(flag, F.coalesce(at - F.max(F.when(F.col(flag), at)).over(before) < k, F.lit(False)))
+
+    out = dealt.withColumn("_set", F.lit(True))
+    for step in (eroded, dilated):
+        out = step(step(out, "_set", "_c", r, height), "_set", "_r", c, width)
+    own = [F.floor(F.col(at) / F.lit(sides[at][0])) == F.col(t) for at, t in zip(("_r", "_c"), tiles, strict=True)]
+    return out.where(F.col("_set") & own[0] & own[1]).select(*keys, F.col("_row").alias(row), F.col("_col").alias(col))
+
+
 def dark_offset(df: DataFrame, bands: Mapping[str, str], keys: Sequence[str] = (), share: float = 0.01) -> DataFrame:
     """``band, pedestal``: the exact percentile of each band over the given (water) samples."""
     return of_columns(df, bands, "band", {"pedestal": share}, keys).drop("n")
@@ -85,10 +121,11 @@ def water_check(df: DataFrame, water: str, green: str, nir: str, uncertainty: st
     return met.select(*keys, "n_water", "n_valid", ratio(F.col("n_water"), F.col("n_valid")).alias("water_share"), ratio(F.col("_g"), F.col("_n")).alias("green_over_nir"), ratio(F.col("_u"), F.col("_g")).alias("relative_uncertainty"))
 
 
-def water_mask(pixels: DataFrame, row: str, col: str, green: str, nir: str, *, flags: Sequence[str] = (), valid: str | None = None, keys: Sequence[str] = (), bins: int = 64, element: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+def water_mask(pixels: DataFrame, row: str, col: str, green: str, nir: str, *, flags: Sequence[str] = (), valid: str | None = None, keys: Sequence[str] = (), bins: int = 64, element: Sequence[tuple[int, int]] | tuple[int, int] | None = None) -> DataFrame:
     """``pixels`` (unique cells) with ``water``: the index of green and near infrared lies above the scene's threshold of
     Otsu, no cloud or cirrus flag in ``flags`` is set (a null flag, that is the fill value, counts as set), and the cell
-    survives a binary opening. Invalid cells are dry."""
+    survives a binary opening by ``element``: offsets, a rectangle's height and width, or the cross if None. Invalid cells
+    are dry."""
     keys = list(keys)
     index = ndwi(F.col(green), F.col(nir))
     good = F.col(valid) if valid else F.lit(True)
@@ -98,7 +135,11 @@ def water_mask(pixels: DataFrame, row: str, col: str, green: str, nir: str, *, f
     limits = otsu_threshold(marked, "_index", -1.0, 1.0, bins, keys).select(*keys, "threshold")
     met = marked.join(F.broadcast(limits), keys, "left") if keys else marked.join(F.broadcast(limits), F.lit(True), "left")  # a row a scene
     raw = met.withColumn("water", F.coalesce(F.col("_index") >= F.col("threshold"), F.lit(False)))
-    opened = binary_opening(raw, row, col, "water", keys, element or CROSS).withColumn("_open", F.lit(True))
+    if element and isinstance(element[0], int):
+        opened = box_opening(raw, row, col, "water", *element, keys)
+    else:
+        opened = binary_opening(raw, row, col, "water", keys, element or CROSS)
+    opened = opened.withColumn("_open", F.lit(True))
     return raw.drop("water", "_index", "threshold").join(opened, [*keys, row, col], "left").withColumn("water", F.coalesce("_open", F.lit(False))).drop("_open")
 
 

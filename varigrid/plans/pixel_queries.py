@@ -53,6 +53,21 @@ def binary_opening(t):
     return spectral.binary_opening(cells, "y", "x", "water")
 
 
+@query(
+    "SELECT DISTINCT y + dy AS y, x + dx AS x FROM eroded, o",
+    ["fx_coarse"],
+    """cells AS (SELECT y, x FROM (SELECT r * 10 + a.i AS y, c * 10 + b.i AS x, r, c FROM fx_coarse, range(0, 10) a(i), range(0, 10) b(i)) WHERE (y * 7 + x * 11 + r * c) % 397 <> 0),
+ o AS (SELECT a.i AS dy, b.i AS dx FROM range(0, 15) a(i), range(0, 15) b(i)),
+ eroded AS (SELECT y - dy AS y, x - dx AS x FROM cells, o GROUP BY 1, 2 HAVING count(*) = 225)""",
+)
+def box_opening(t):
+    """The coarse cells, ten fine cells wide and pricked, opened by a square of fifteen."""
+    wide = t("fx_coarse").select("r", "c", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    cells = wide.select((F.col("r") * 10 + F.col("i")).alias("y"), (F.col("c") * 10 + F.col("j")).alias("x"), "r", "c")
+    pricked = cells.withColumn("water", (F.col("y") * 7 + F.col("x") * 11 + F.col("r") * F.col("c")) % 397 != 0)
+    return spectral.box_opening(pricked, "y", "x", "water", 15, 15)
+
+
 @query("SELECT band, round(quantile_cont(v, 0.01) / pi(), 9) AS pedestal FROM long GROUP BY band", PX, LONG)
 def dark_offset(t):
     return spectral.dark_offset(wet(t), NAMED).select("band", *as_rrs(9, "pedestal"))
