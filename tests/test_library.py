@@ -63,6 +63,43 @@ def test_map_projection_round_trip(spark):
     assert one(spark, geo.utm_zone(F.lit(-83.3)))[0] == 17
 
 
+def test_projections_of_both_hemispheres_and_poles(spark):
+    """Published examples of the polar stereographic projection, variants A and B, and the way back from every code."""
+    e, n = one(spark, *geo.projected(44.0, 73.0, 32661))
+    assert (e, n) == (pytest.approx(3_320_416.75, abs=0.01), pytest.approx(632_668.43, abs=0.01))
+    e, n = one(spark, *geo.projected(50.0, -75.0, 3031))
+    assert (e, n) == (pytest.approx(1_255_380.79, abs=0.01), pytest.approx(1_053_389.56, abs=0.01))
+    north, south = one(spark, geo.projected(-58.0, 34.5, 32621)[1], geo.projected(-58.0, -34.5, 32721)[1])
+    assert north + south == pytest.approx(10_000_000)
+    places = [(code, lon, lat) for code in geo.POLAR for lon in (-179.5, -60.0, 0.0, 100.0, 180.0) for lat in (60.0, 84.5, 89.999)]
+    places = [(code, lon, lat * geo.POLAR[code][0]) for code, lon, lat in places] + [(32733, 14.0, -33.9), (32633, 16.0, 71.0), (32760, 179.0, -0.5)]
+    frame = spark.createDataFrame(places, "epsg int, lon double, lat double")
+    x, y = geo.projected(F.col("lon"), F.col("lat"), F.col("epsg"))
+    lon, lat = geo.unprojected(F.col("x"), F.col("y"), F.col("epsg"))
+    for r in frame.withColumns({"x": x, "y": y}).select("*", lon.alias("lon2"), lat.alias("lat2")).collect():
+        assert abs(r["lat"] - r["lat2"]) < 1e-9 and abs((r["lon"] - r["lon2"] + 180) % 360 - 180) < 1e-7, r
+    for code in (32661, 32761):
+        pole = 90.0 * geo.POLAR[code][0]
+        e, n = one(spark, *geo.projected(12.0, pole, code))
+        assert (e, n) == (2_000_000, 2_000_000)
+        assert one(spark, geo.unprojected(e, n, code)[1])[0] == pole
+    codes = one(spark, *(geo.epsg_for(F.lit(a), F.lit(b)).alias(f"c{i}") for i, (a, b) in enumerate([(-83.3, 41.8), (151.2, -33.9), (10.0, 84.1), (10.0, -80.1), (179.9, 0.0)])))
+    assert tuple(codes) == (32617, 32756, 32661, 32761, 32660)
+    assert tuple(one(spark, *geo.projected(1.0, 2.0, F.lit(None)))) == (None, None)
+    with pytest.raises(Exception, match="unknown projection"):
+        spark.range(1).select(geo.projected(1.0, 2.0, F.col("id").cast("int") + 4326)[0]).collect()
+
+
+def test_grid_headers_of_other_projections(spark):
+    table = {"dx": 30.0, "dy": -30.0, "x0": 300_000.0, "y0": 6_250_000.0, "n_x": 100, "n_y": 100}
+    grids = {"south": tables.grid_header({**table, "epsg": 32756}), "pole": tables.grid_header({**table, "epsg": 3413, "x0": 0.0, "y0": 0.0}), "plain": tables.grid_header({**table, "zone": 17})}
+    corners = {k: [(r["lon"], r["lat"]) for r in tables.corners_frame(spark, grids).where(F.col("scene") == k).collect()] for k in grids}
+    assert all(150 < lon < 152 and -34.5 < lat < -33 for lon, lat in corners["south"]) and max(lat for _, lat in corners["pole"]) == 90
+    assert grids["plain"].epsg == 32617
+    with pytest.raises(ValueError, match="not a projection"):
+        tables.grid_header({**table, "epsg": 4326})
+
+
 def test_missing_values(spark):
     frame = spark.createDataFrame([(float("nan"), 1.0), (2.0, 0.0)], "a double, b double")
     rows = denan(frame).select("a", ratio(F.col("a"), F.col("b")).alias("q")).collect()

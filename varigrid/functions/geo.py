@@ -70,7 +70,19 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((_d(lon) + 180) / 6) % 60 + 1).cast("int")
 
 
-def utm_forward(lon, lat, zone: int | Column, south: bool = False) -> tuple[Column, Column]:
+def _false_northing(south: bool | Column) -> Column:
+    return F.when(south if isinstance(south, Column) else F.lit(south), F.lit(10_000_000.0)).otherwise(F.lit(0.0))
+
+
+def _sin_latitude(psi: Column, first: Column) -> Column:
+    """The sine of the latitude whose isometric latitude is ``psi``."""
+    sin_phi = first
+    for _ in range(4):  # converges by a factor of E2 a turn
+        sin_phi = F.tanh(psi + E * F.atanh(E * sin_phi))
+    return sin_phi
+
+
+def utm_forward(lon, lat, zone: int | Column, south: bool | Column = False) -> tuple[Column, Column]:
     """Easting and northing in metres in the given UTM zone."""
     lon, lat = _d(lon), _d(lat)
     radius, forward, _ = _series()
@@ -82,22 +94,92 @@ def utm_forward(lon, lat, zone: int | Column, south: bool = False) -> tuple[Colu
     for j, c in enumerate(forward, 1):
         x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500_000 + 0.9996 * radius * x, (10_000_000 if south else 0) + 0.9996 * radius * y
+    return 500_000 + 0.9996 * radius * x, _false_northing(south) + 0.9996 * radius * y
 
 
-def utm_inverse(x, y, zone: int | Column, south: bool = False) -> tuple[Column, Column]:
+def utm_inverse(x, y, zone: int | Column, south: bool | Column = False) -> tuple[Column, Column]:
     """Longitude and latitude of a position in the given UTM zone."""
     radius, _, back = _series()
     x, y = _d(x), _d(y)
-    xi0, eta0 = (y - (10_000_000 if south else 0)) / (0.9996 * radius), (x - 500_000) / (0.9996 * radius)
+    xi0, eta0 = (y - _false_northing(south)) / (0.9996 * radius), (x - 500_000) / (0.9996 * radius)
     xi, eta = xi0, eta0
     for j, c in enumerate(back, 1):
         xi = xi - c * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
         eta = eta - c * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
     conformal = F.sin(xi) / F.cosh(eta)
     psi = F.atanh(conformal)
-    sin_phi = conformal
-    for _ in range(4):  # converges by a factor of E2 a turn
-        sin_phi = F.tanh(psi + E * F.atanh(E * sin_phi))
+    sin_phi = _sin_latitude(psi, conformal)
     centre = (zone if isinstance(zone, Column) else F.lit(zone)).cast("double") * 6 - 183
     return centre + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(F.asin(sin_phi))
+
+
+# Polar stereographic projections by EPSG code. Pole (1 north, -1 south), latitude of true scale in degrees or
+# None with the scale at the pole, central meridian, false easting and northing in metres.
+POLAR = {
+    32661: (1, None, 0.994, 0.0, 2_000_000.0),
+    5041: (1, None, 0.994, 0.0, 2_000_000.0),
+    32761: (-1, None, 0.994, 0.0, 2_000_000.0),
+    5042: (-1, None, 0.994, 0.0, 2_000_000.0),
+    3413: (1, 70.0, None, -45.0, 0.0),
+    3995: (1, 71.0, None, 0.0, 0.0),
+    3031: (-1, 71.0, None, 0.0, 0.0),
+}
+
+
+def polar_scale(code: int) -> float:
+    """Metres from the pole of a point whose ``exp(-isometric latitude)`` is 1."""
+    _, true, at_pole, _, _ = POLAR[code]
+    if true is None:
+        return 2 * A * at_pole / math.sqrt((1 + E) ** (1 + E) * (1 - E) ** (1 - E))
+    sin_true = math.sin(math.radians(true))
+    psi = math.atanh(sin_true) - E * math.atanh(E * sin_true)
+    return A * math.cos(math.radians(true)) / math.sqrt(1 - E * E * sin_true * sin_true) * math.exp(psi)
+
+
+def epsg_for(lon: Column, lat: Column) -> Column:
+    """The code of a position's UTM zone on its hemisphere, or of the polar projection above 84 and below -80 degrees."""
+    plain = F.when(_d(lat) >= 0, F.lit(32600)).otherwise(F.lit(32700)) + utm_zone(lon)
+    return F.when(_d(lat) > 84, F.lit(32661)).when(_d(lat) < -80, F.lit(32761)).otherwise(plain).cast("int")
+
+
+def _by_code(epsg: Column, utm: Column, polar) -> Column:
+    """``utm`` for the codes of UTM zones, ``polar(code)`` for those of :data:`POLAR`; other codes are an error."""
+    zone = epsg % 100
+    out = F.when(epsg.isNull(), F.lit(None).cast("double")).when((F.floor(epsg / 100).isin(326, 327)) & zone.between(1, 60), utm)
+    for code in POLAR:
+        out = out.when(epsg == code, polar(code))
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown projection "), epsg.cast("string"))).cast("double"))
+
+
+def projected(lon, lat, epsg: int | Column) -> tuple[Column, Column]:
+    """Easting and northing in the projection ``epsg``, a code for all or each row's own: UTM of both hemispheres or one of
+    :data:`POLAR`. A null code gives nulls, an unknown one is an error."""
+    lon, lat = _d(lon), _d(lat)
+    epsg = (epsg if isinstance(epsg, Column) else F.lit(epsg)).cast("int")
+    x, y = utm_forward(lon, lat, epsg % 100, F.floor(epsg / 100) == 327)
+
+    def place(code: int) -> tuple[Column, Column]:
+        pole, _, _, meridian, false = POLAR[code]
+        sin_phi, lam = pole * F.sin(F.radians(lat)), F.radians(lon - meridian)
+        rho = F.when(sin_phi >= 1, F.lit(0.0)).otherwise(polar_scale(code) * F.exp(E * F.atanh(E * sin_phi) - F.atanh(sin_phi)))
+        return false + rho * F.sin(lam), false - pole * rho * F.cos(lam)
+
+    return _by_code(epsg, x, lambda code: place(code)[0]), _by_code(epsg, y, lambda code: place(code)[1])
+
+
+def unprojected(x, y, epsg: int | Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a position in the projection ``epsg``, the inverse of :func:`projected`."""
+    x, y = _d(x), _d(y)
+    epsg = (epsg if isinstance(epsg, Column) else F.lit(epsg)).cast("int")
+    lon, lat = utm_inverse(x, y, epsg % 100, F.floor(epsg / 100) == 327)
+
+    def place(code: int) -> tuple[Column, Column]:
+        pole, _, _, meridian, false = POLAR[code]
+        east, up = x - false, -pole * (y - false)
+        rho = F.hypot(east, up)
+        psi = -F.ln(rho / polar_scale(code))
+        turned = F.degrees(F.atan2(east, up)) + meridian
+        away = F.when(turned > 180, turned - 360).when(turned <= -180, turned + 360).otherwise(turned)
+        return away, F.when(rho == 0, F.lit(90.0 * pole)).otherwise(pole * F.degrees(F.asin(_sin_latitude(psi, F.tanh(psi)))))
+
+    return _by_code(epsg, lon, lambda code: place(code)[0]), _by_code(epsg, lat, lambda code: place(code)[1])

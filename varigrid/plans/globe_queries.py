@@ -202,6 +202,28 @@ def utm_forward(t):
     return t("fx_stations").select("station", zone.alias("zone"), F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"))
 
 
+def _projected() -> str:
+    radius, forward, _ = geo._series()
+    x = "eta + " + " + ".join(f"{c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(forward, 1))
+    y = "xi + " + " + ".join(f"{c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(forward, 1))
+    pole, rho = "CASE WHEN lat > 0 THEN 1 ELSE -1 END", f"{geo.polar_scale(32661)!r} * exp({geo.E!r} * atanh({geo.E!r} * sin(radians(abs(lat)))) - atanh(sin(radians(abs(lat)))))"
+    return f"""SELECT station, epsg, round(CASE WHEN polar THEN 2000000 + {rho} * sin(radians(lon)) ELSE 500000 + {0.9996 * radius!r} * ({x}) END, 3) AS easting,
+ round(CASE WHEN polar THEN 2000000 - {pole} * {rho} * cos(radians(lon)) ELSE CASE WHEN epsg > 32700 THEN 10000000 ELSE 0 END + {0.9996 * radius!r} * ({y}) END, 3) AS northing FROM
+ (SELECT *, epsg IN (32661, 32761) AS polar, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM
+ (SELECT *, radians(lon - (epsg % 100 * 6 - 183)) AS lam, sinh(atanh(sin(radians(lat))) - {geo.E!r} * atanh({geo.E!r} * sin(radians(lat)))) AS t FROM
+ (SELECT *, CAST(CASE WHEN lat > 84 THEN 32661 WHEN lat < -80 THEN 32761 ELSE CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + CAST(floor((lon + 180) / 6) AS INT) % 60 + 1 END AS INT) AS epsg FROM
+ (SELECT station, lon, lat * 1.25 AS lat FROM fx_stations))))"""
+
+
+@query(_projected(), T)
+def projected(t):
+    """Stations spread to 87 degrees of both hemispheres, each in the projection of its place."""
+    spread = t("fx_stations").select("station", "lon", (F.col("lat") * 1.25).alias("lat"))
+    placed = spread.withColumn("epsg", geo.epsg_for(F.col("lon"), F.col("lat")))
+    x, y = geo.projected(F.col("lon"), F.col("lat"), F.col("epsg"))
+    return placed.select("station", "epsg", F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"))
+
+
 @query("SELECT hypothesis, value FROM (SELECT concat('N', CAST(n_nationkey AS STRING), ' ', n_name) AS hypothesis, 'old' AS value FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region) UNION ALL SELECT concat('N', CAST(r_regionkey AS STRING), ' ', r_name), 'new' FROM region)")
 def verdict_upsert(t):
     tag = lambda key, name: F.concat(F.lit("N"), F.col(key).cast("string"), F.lit(" "), F.col(name)).alias("hypothesis")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrid.functions.geo import utm_inverse
+from varigrid.functions.geo import POLAR, unprojected
 from varigrid.functions.nulls import denan
 from varigrid.functions.text import flag_contains, squeezed
 from varigrid.operators.coverage import string_ids
@@ -97,11 +97,16 @@ def read_metrics(spark: SparkSession, path: str, keys: Sequence[str], schema: st
     return rows.select(*(F.get(parts, i).alias(k) for i, k in enumerate(keys)), "v.*")
 
 
+def coarse_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """``scene, sensor, n_rows, n_cols`` from a ledger of the aggregate stage: the shape of each granule's native grid."""
+    return read_metrics(spark, path, ["scene", "sensor"], "n_rows bigint, n_cols bigint")
+
+
 @dataclass(frozen=True)
 class Grid:
-    """A corner-registered grid: its zone, pixel sizes in metres, the outer corner of pixel (0, 0) and its shape."""
+    """A corner-registered grid: its projection's EPSG code, pixel sizes in metres, the outer corner of pixel (0, 0) and its shape."""
 
-    zone: int
+    epsg: int
     dx: float
     dy: float
     x0: float
@@ -114,20 +119,19 @@ class Grid:
 
 
 def grid_header(table: Mapping[str, object]) -> Grid:
-    """A grid from a header (a document read with :func:`load_config` or JSON): ``zone`` or an EPSG code of a northern UTM zone
-    as ``epsg``, ``dx, dy, x0, y0, n_x, n_y``."""
-    epsg = table.get("epsg")
-    zone = int(table["zone"]) if epsg is None else int(epsg) - 32600
-    if not 1 <= zone <= 60:
-        raise ValueError(f"not a northern UTM zone: {epsg if epsg is not None else zone}")
-    return Grid(zone, *(float(table[k]) for k in ("dx", "dy", "x0", "y0")), *(int(table[k]) for k in ("n_x", "n_y")))
+    """A grid from a header (a document read with :func:`load_config` or JSON): ``epsg`` of a UTM zone of either hemisphere or a
+    polar projection, or a northern ``zone``, and ``dx, dy, x0, y0, n_x, n_y``."""
+    epsg = int(table["epsg"]) if table.get("epsg") is not None else 32600 + int(table["zone"])
+    if epsg not in POLAR and not (epsg // 100 in (326, 327) and 1 <= epsg % 100 <= 60):
+        raise ValueError(f"not a projection that is known: {epsg}")
+    return Grid(epsg, *(float(table[k]) for k in ("dx", "dy", "x0", "y0")), *(int(table[k]) for k in ("n_x", "n_y")))
 
 
 def corners_frame(spark: SparkSession, grids: Mapping[str, Grid]) -> DataFrame:
     """``scene, lon, lat`` of the four corners of each scene's grid."""
-    rows = [(k, g.zone, float(x), float(y)) for k, g in grids.items() for x, y in g.corners()]
-    frame = spark.createDataFrame(rows, "scene string, zone int, x double, y double")
-    lon, lat = utm_inverse(F.col("x"), F.col("y"), F.col("zone"))
+    rows = [(k, g.epsg, float(x), float(y)) for k, g in grids.items() for x, y in g.corners()]
+    frame = spark.createDataFrame(rows, "scene string, epsg int, x double, y double")
+    lon, lat = unprojected(F.col("x"), F.col("y"), F.col("epsg"))
     return frame.select("scene", lon.alias("lon"), lat.alias("lat"))
 
 
