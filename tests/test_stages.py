@@ -52,6 +52,33 @@ def test_compare_from_the_command_line(spark, frame):
     assert {r["hypothesis"][:2] for r in spark.read.schema(ledger.SCHEMA).csv(f"{base}/ledger", header=True).collect()} == {"V3", "V5"}
 
 
+def test_compare_of_granules_with_shapes_of_their_own(spark, frame):
+    """Two sensors over the same flat field, 8 and 16 cells wide: recorded by the aggregate stage, read by compare."""
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    flat = frame.drop("row", "col", "sensor").crossJoin(spark.createDataFrame([("olci",), ("pace",)], "sensor string"))
+    flat.write.partitionBy("scene", "sensor").parquet(f"{base}/frame")
+    shapes = spark.createDataFrame([("s", "olci", N, N), ("s", "pace", N // 2, 2 * N), ("other", "pace", 3, 3)], "scene string, sensor string, n_rows long, n_cols long")
+    ledger.write_metrics(shapes, f"{base}/shapes.json", stages.KEYS)
+    assert {tuple(r) for r in tables.coarse_shapes(spark, f"{base}/shapes.json").collect()} == {tuple(r) for r in shapes.collect()}
+    floors = spark.createDataFrame([("s", "olci", 1e-9)], "scene string, sensor string, floor double")
+    for shape, sensor in (((N, N), "olci"), ((N // 2, 2 * N), "pace")):
+        alone = stages.compare_stage(flat.where(F.col("sensor") == sensor), shape)[0].drop("filter_on")
+        both = stages.compare_stage(flat, shapes)[0].where(F.col("sensor") == sensor).drop("filter_on")
+        assert sorted(map(tuple, alone.collect()), key=str) == sorted(map(tuple, both.collect()), key=str)
+    table = stages.compare_stage(flat, shapes, floors=floors, ledger_path=f"{base}/verdicts")[0]
+    counts = {r["sensor"]: r["count"] for r in table.groupBy("sensor").count().collect()}
+    assert counts["olci"] == (N - 4) ** 2 and "pace" not in counts  # a grid of four rows holds no box of five
+    verdicts = {r["hypothesis"][:2]: r["value"] for r in ledger.verdicts(spark, f"{base}/verdicts").collect()}
+    assert "s/olci" in verdicts["V4"] and "pace" not in verdicts["V4"]
+    cli.main(["--out", f"{base}/out", "compare", "--frame", f"{base}/frame", "--shapes", f"{base}/shapes.json"])
+    assert spark.read.parquet(f"{base}/out/boxes").count() == (N - 4) ** 2
+    for bad in (shapes.where("sensor = 'olci'"), shapes.unionByName(shapes.withColumn("n_rows", F.col("n_rows") + 1))):
+        with pytest.raises(Exception, match="no shape, or more than one, of s/"):
+            stages.compare_stage(flat, bad)[0].collect()
+    with pytest.raises(SystemExit):
+        cli.main(["--out", f"{base}/out", "compare", "--frame", f"{base}/frame", "--rows", "8"])
+
+
 def test_variance_of_the_central_window(pixels):
     rows = stages.variance_stage(pixels.where("water"), {"band": "b560"}, patch=16, factors=[4]).collect()
     assert len(rows) == 1 and 0 < rows[0]["within_cell_fraction"] < 1 and rows[0]["n_finite"] >= 240
@@ -115,6 +142,8 @@ def test_check_and_aggregate_from_the_command_line(spark, pixels, frame):
     common = ["--out", f"{base}/out", "--ledger", f"{base}/ledger", "--log-dir", f"{base}/logs"]
     cli.main([*common, "check", "--pixels", f"{base}/check", "--grids", f"{base}/grids.json", "--boxes", f"{base}/boxes", "--flags", "cloud"])
     assert spark.read.parquet(f"{base}/out/checks").first()["green_over_nir"] == pytest.approx(5)
+    with open(f"{base}/out/checks.json") as f:
+        assert json.load(f)["s"]["contains"] is True
     pixels.write.parquet(f"{base}/pixels")
     rows = [("s", "olci", r * N + c, c * 120.0 + 60, r * 120.0 + 60, 0.01 + 0.004 * math.sin((4 * c + 1.5) / 3)) for r in range(N) for c in range(N)]
     spark.createDataFrame(rows, "scene string, sensor string, coarse_index long, cx double, cy double, RRS560 double").write.parquet(f"{base}/centres")

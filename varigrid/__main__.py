@@ -10,7 +10,7 @@ import os
 from pyspark.sql import functions as F
 
 from varigrid.config import SearchConfig
-from varigrid.operators import variance
+from varigrid.operators import ledger, variance
 from varigrid.plans import stages
 from varigrid.session import session
 from varigrid.sources import tables
@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> None:
     check.add_argument("--flags", nargs="*", default=[], help="columns of cloud and cirrus flags")
     aggregate = commands.add_parser("aggregate", help="bin fine samples to the cells of coarse sensors")
     aggregate.add_argument("--pixels", help="scene, x, y, water and the bands' columns")
-    aggregate.add_argument("--centres", help="scene, sensor, coarse_index, cx and cy or lon, lat and zone, retrievals")
+    aggregate.add_argument("--centres", help="scene, sensor, coarse_index, cx and cy or lon, lat and epsg or zone, retrievals; with n_rows and n_cols the granules' shapes are recorded")
     aggregate.add_argument("--bands", nargs="*", default=[], help="wavelength=column")
     aggregate.add_argument("--coarse", nargs="*", default=[], help="wavelength=column of the frame, for V2")
     aggregate.add_argument("--scenes", nargs="*")
@@ -41,9 +41,10 @@ def main(argv: list[str] | None = None) -> None:
     aggregate.add_argument("--verify-only-gate", action="store_true", help="only V2, over the frame written before")
     compare = commands.add_parser("compare", help="box statistics of aggregate frames")
     compare.add_argument("--frame", required=True)
-    compare.add_argument("--rows", type=int, required=True)
-    compare.add_argument("--cols", type=int, required=True)
-    compare.add_argument("--floors", help="scene, floor: the declared noise, for V4")
+    compare.add_argument("--shapes", help="JSON of the granules' shapes, as the aggregate stage records them")
+    compare.add_argument("--rows", type=int, help="of all granules' grids, in place of --shapes")
+    compare.add_argument("--cols", type=int)
+    compare.add_argument("--floors", help="scene, floor (and sensor, if it tells): the declared noise, for V4")
     compare.add_argument("--scenes", nargs="*")
     compare.add_argument("--sensors", nargs="*")
     tasking = commands.add_parser("tasking", help="densest boxes of a profile index")
@@ -65,6 +66,8 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     if args.stage == "tasking" and args.stations and not (args.footprints and args.centre):
         parser.error("--stations needs --footprints and --centre")
+    if args.stage == "compare" and bool(args.shapes) == bool(args.rows and args.cols):
+        parser.error("compare needs either --shapes or --rows and --cols")
     if args.stage == "variance" and bool(args.samples) == bool(args.pixels):
         parser.error("variance needs either --samples with --scalars or --pixels with --bands")
     if args.stage == "fetch" and not args.ledger:
@@ -83,6 +86,7 @@ def main(argv: list[str] | None = None) -> None:
         headers = json.loads(spark.read.text(args.grids, wholetext=True).first()[0])
         corners = tables.corners_frame(spark, {k: tables.grid_header(h) for k, h in headers.items()})
         stages.check_stage(pixels, corners, spark.read.parquet(args.boxes), args.ledger).write.mode("overwrite").parquet(f"{args.out}/checks")
+        ledger.write_metrics(spark.read.parquet(f"{args.out}/checks"), f"{args.out}/checks.json", ["scene"])  # a row a scene
     elif args.stage == "aggregate":
         bands = pairs(args.bands)
         if not args.verify_only_gate:
@@ -90,6 +94,8 @@ def main(argv: list[str] | None = None) -> None:
             for column, chosen in (("scene", args.scenes), ("sensor", args.sensors)):
                 if chosen:
                     centres = centres.where(F.col(column).isin(*chosen))
+            if {"n_rows", "n_cols"} <= set(centres.columns):
+                ledger.write_metrics(centres.select(*stages.KEYS, "n_rows", "n_cols").distinct(), f"{args.out}/shapes.json", stages.KEYS)  # a row a granule
             tables.write_aggregates(stages.aggregate_stage(tables.aggregates(spark, args.pixels), centres, bands), f"{args.out}/frame")
         frame = tables.aggregates(spark, f"{args.out}/frame")
         for column, chosen in (("scene", args.scenes), ("sensor", args.sensors)):
@@ -103,8 +109,9 @@ def main(argv: list[str] | None = None) -> None:
         for column, chosen in (("scene", args.scenes), ("sensor", args.sensors)):
             if chosen:
                 frame = frame.where(F.col(column).isin(*chosen))
+        shapes = tables.coarse_shapes(spark, args.shapes) if args.shapes else (args.rows, args.cols)
         floors = spark.read.parquet(args.floors) if args.floors else None
-        for name, result in zip(("boxes", "summary", "structure"), stages.compare_stage(frame, args.rows, args.cols, floors=floors, ledger_path=args.ledger), strict=True):
+        for name, result in zip(("boxes", "summary", "structure"), stages.compare_stage(frame, shapes, floors=floors, ledger_path=args.ledger), strict=True):
             result.write.mode("overwrite").parquet(f"{args.out}/{name}")
     elif args.stage == "tasking":
         index, scenes = tables.load_index(spark, args.index), tables.inventory(spark, args.scenes_json)

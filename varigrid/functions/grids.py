@@ -12,10 +12,10 @@ def cell_assign(value: Column, low: float, cell: float, n: int) -> Column:
     return F.when(at < 0, F.lit(0).cast("long")).when(at > n - 1, F.lit(n - 1).cast("long")).otherwise(at)
 
 
-def unravel(index: Column, n_columns: int) -> tuple[Column, Column]:
-    """Row and column of a flat index."""
-    index = index.cast("long")
-    return F.floor(index / F.lit(n_columns)).cast("long"), F.pmod(index, F.lit(n_columns).cast("long"))
+def unravel(index: Column, n_columns: int | Column) -> tuple[Column, Column]:
+    """Row and column of a flat index in a grid of ``n_columns``, a number or each row's own."""
+    index, n = index.cast("long"), (n_columns if isinstance(n_columns, Column) else F.lit(n_columns)).cast("long")
+    return F.floor(index / n).cast("long"), F.pmod(index, n)
 
 
 def flat(row: Column, column: Column, n_columns: int) -> Column:

@@ -22,26 +22,41 @@ from varigrid.operators.binning import bucket_rank
 TILE = 32
 
 
-def anchored(cells: DataFrame, row: str, col: str, height: int, width: int, n_rows: int, n_cols: int, keys: Sequence[str] = (), wrap: bool = False, tile: int = TILE) -> DataFrame:
+def extent(n: int | Column) -> Column:
+    """A grid's rows or columns: one number for all cells, or a column of them that gives each cell its own grid's."""
+    return (n if isinstance(n, Column) else F.lit(n)).cast("long")
+
+
+def anchored(cells: DataFrame, row: str, col: str, height: int, width: int, n_rows: int | Column, n_cols: int | Column, keys: Sequence[str] = (), wrap: bool = False, tile: int = TILE) -> DataFrame:
     """A row per cell and window that covers it: ``anchor_row, anchor_col`` (the window's first cell), ``dr, dc``.
 
-    Windows lie fully inside the grid; with ``wrap`` columns go round. The result is dealt by tile
+    Windows lie fully inside the grid; with ``wrap`` columns go round. A grid's shape may be a column, so that grids of
+    many shapes pass at once; a cell whose shape is null is in no window. The result is dealt by tile
     (``_tile_row, _tile_col``): group by :func:`window_keys` to stay within it.
     """
     r, c = F.col(row).cast("long"), F.col(col).cast("long")
+    n_rows, n_cols = extent(n_rows), extent(n_cols)
     down, right = (F.sequence(F.lit(0), F.lit(k - 1)) for k in (height, width))
     # anchors of a cell are exploded to find the tiles that hold them: the distinct tile rows and columns
-    tiles = lambda at, k, wraps: F.array_distinct(F.transform(k, lambda d: F.floor((F.pmod(at - d, F.lit(n_cols)) if wraps else at - d) / F.lit(tile)).cast("long")))
+    tiles = lambda at, k, wraps: F.array_distinct(F.transform(k, lambda d: F.floor((F.pmod(at - d, n_cols) if wraps else at - d) / F.lit(tile)).cast("long")))
     sent = cells.withColumn("_tile_row", F.explode(tiles(r, down, False))).withColumn("_tile_col", F.explode(tiles(c, right, wrap)))
     sent = sent.where(F.col("_tile_row") >= 0).repartition(*keys, "_tile_row", "_tile_col")
     each = sent.withColumn("dr", F.explode(down)).withColumn("anchor_row", r - F.col("dr"))
     each = each.where((F.col("anchor_row") >= 0) & (F.col("anchor_row") <= n_rows - height) & (F.floor(F.col("anchor_row") / F.lit(tile)) == F.col("_tile_row")))
     at = c - F.col("dc")
-    each = each.withColumn("dc", F.explode(right)).withColumn("anchor_col", F.pmod(at, F.lit(n_cols).cast("long")) if wrap else at)
+    each = each.withColumn("dc", F.explode(right)).withColumn("anchor_col", F.pmod(at, n_cols) if wrap else at)
     inside = F.lit(True) if wrap else (F.col("anchor_col") >= 0) & (F.col("anchor_col") <= n_cols - width)
     return each.where(inside & (F.floor(F.col("anchor_col") / F.lit(tile)) == F.col("_tile_col")))
 
 
+def _shape(n_rows: int | Column, n_cols: int | Column) -> tuple[Column, Column]:
+    return extent(n_rows).alias("_n_rows"), extent(n_cols).alias("_n_cols")
+
+
+def _shaped() -> tuple[Column, Column]:
+    return F.col("_n_rows"), F.col("_n_cols")
+
+
 def window_keys(keys: Sequence[str] = ()) -> list[str]:
     return [*keys, "_tile_row", "_tile_col", "anchor_row", "anchor_col"]
 
@@ -73,25 +88,25 @@ def trimmed_cv(values: Column, cells: int, min_valid: float, sigma: float = 1.5,
     return F.when(ratio(F.size(values), F.lit(cells)) >= min_valid, passes(values, iterations))
 
 
-def sliding_box(cells: DataFrame, row: str, col: str, value: str, n_rows: int, n_cols: int, box: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+def sliding_box(cells: DataFrame, row: str, col: str, value: str, n_rows: int | Column, n_cols: int | Column, box: int = 5, keys: Sequence[str] = ()) -> DataFrame:
     """``n, valid_fraction, mean, max`` of the finite values in every window with a cell; missing cells are invalid."""
     v = finite(F.col(value))
-    each = anchored(cells.select(*keys, row, col, v.alias("_v")), row, col, box, box, n_rows, n_cols, keys)
+    each = anchored(cells.select(*keys, row, col, v.alias("_v"), *_shape(n_rows, n_cols)), row, col, box, box, *_shaped(), keys)
     out = each.groupBy(*window_keys(keys)).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.max("_v").alias("max"))
     return out.select(*keys, "anchor_row", "anchor_col", "n", ratio(F.col("n"), F.lit(box * box)).alias("valid_fraction"), "mean", "max")
 
 
-def box_cv(cells: DataFrame, row: str, col: str, value: str, n_rows: int, n_cols: int, config: BoxConfig = BoxConfig(), keys: Sequence[str] = ()) -> DataFrame:
+def box_cv(cells: DataFrame, row: str, col: str, value: str, n_rows: int | Column, n_cols: int | Column, config: BoxConfig = BoxConfig(), keys: Sequence[str] = ()) -> DataFrame:
     """``valid_fraction, cv`` of every window with a cell: :func:`trimmed_cv` of the finite values."""
     k = config.box
-    each = anchored(cells.select(*keys, row, col, finite(F.col(value)).alias("_v")), row, col, k, k, n_rows, n_cols, keys)
+    each = anchored(cells.select(*keys, row, col, finite(F.col(value)).alias("_v"), *_shape(n_rows, n_cols)), row, col, k, k, *_shaped(), keys)
     lists = each.groupBy(*window_keys(keys)).agg(F.collect_list("_v").alias("_vs"))
     cv = trimmed_cv(F.col("_vs"), k * k, config.min_valid_fraction, config.sigma, config.iterations)
     return lists.select(*keys, "anchor_row", "anchor_col", ratio(F.size("_vs"), F.lit(k * k)).alias("valid_fraction"), cv.alias("cv"))
 
 
 def homogeneity_table(
-    cells: DataFrame, row: str, col: str, n_rows: int, n_cols: int, *, filter_on: str, mean: str, within: str, band_mean: str, band_std: str, water: str = "frac_water", config: BoxConfig = BoxConfig(), keys: Sequence[str] = ()
+    cells: DataFrame, row: str, col: str, n_rows: int | Column, n_cols: int | Column, *, filter_on: str, mean: str, within: str, band_mean: str, band_std: str, water: str = "frac_water", config: BoxConfig = BoxConfig(), keys: Sequence[str] = ()
 ) -> DataFrame:
     """What the filter sees of every box, and what it cannot see, from one pass over the windows.
 
@@ -103,11 +118,11 @@ def homogeneity_table(
     positive = F.when(finite(F.col(band_mean)) > 0, F.col(band_mean))
     shaped = cells.where(ok).select(
         *keys, row, col, finite(F.col(filter_on)).alias("_f"), masked(F.col(mean), F.col(mean), config.mean_low, config.mean_high).alias("_m"), masked(finite(F.col(within)), F.col(mean), config.mean_low, config.mean_high).alias("_w"),
-        positive.alias("_b"), ratio(F.col(band_std), positive).alias("_bw"), F.col(water).alias("_water"),
+        positive.alias("_b"), ratio(F.col(band_std), positive).alias("_bw"), F.col(water).alias("_water"), *_shape(n_rows, n_cols),
     )
     centre = (F.col("dr") == half) & (F.col("dc") == half)
     at_centre = lambda c: F.max(F.when(centre, F.col(c)))
-    lists = anchored(shaped, row, col, k, k, n_rows, n_cols, keys).groupBy(*window_keys(keys)).agg(
+    lists = anchored(shaped, row, col, k, k, *_shaped(), keys).groupBy(*window_keys(keys)).agg(
         F.collect_list("_f").alias("_fs"), F.collect_list("_m").alias("_ms"), F.collect_list("_b").alias("_bs"), at_centre("_w").alias("centre_within_pixel_cv"), F.max("_w").alias("box_max_within_pixel_cv"), at_centre("_water").alias("centre_frac_water"), at_centre("_bw").alias("band_centre_within_pixel_cv"),
     )
     cv = lambda c: trimmed_cv(F.col(c), k * k, config.min_valid_fraction, config.sigma, config.iterations)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varigrid.config import BoxConfig, GateConfig, SearchConfig
-from varigrid.functions.geo import utm_forward
+from varigrid.functions.geo import projected, utm_forward
+from varigrid.functions.grids import unravel
 from varigrid.functions.nulls import masked
 from varigrid.functions.nulls import ratio as ratio_of
 from varigrid.operators import agreement, binning, coverage, density, ledger, spectral, variance, windows2d
@@ -52,14 +53,18 @@ def nearest(bands: Mapping[float, str], nm: float) -> str:
 def aggregate_stage(pixels: DataFrame, centres: DataFrame, bands: Mapping[float, str], *, spacing: float | None = None, ratios: Sequence[tuple[str, float, float]] = RATIOS, zone: int | None = None, low: float = 400.0, high: float = 900.0) -> DataFrame:
     """The aggregate frame: ``pixels`` (``scene, x, y, water`` and the bands' columns) binned to ``centres``.
 
-    ``centres`` has ``scene, sensor, coarse_index`` and ``cx, cy`` in metres, or ``lon, lat``; the UTM zone is then its column
-    ``zone``, one for each scene, or ``zone`` for all. The reach of the join is each granule's own median spacing (of a
+    ``centres`` has ``scene, sensor, coarse_index`` and ``cx, cy`` in metres, or ``lon, lat``; the projection is then its column
+    ``epsg``, one for each scene (:func:`varigrid.functions.geo.projected` knows which), or a northern UTM zone: its column
+    ``zone``, or ``zone`` for all. The reach of the join is each granule's own median spacing (of a
     scene and sensor, over all its centres), or ``spacing`` for all. The pedestal of each band (its first percentile
     over water) is taken off by scene and the rest divided by pi. Retrievals of the coarse sensor are attached by
     scene, sensor and index.
     """
     if "cx" not in centres.columns:
-        x, y = utm_forward(F.col("lon"), F.col("lat"), F.col("zone") if "zone" in centres.columns else zone)
+        if "epsg" in centres.columns:
+            x, y = projected(F.col("lon"), F.col("lat"), F.col("epsg"))
+        else:
+            x, y = utm_forward(F.col("lon"), F.col("lat"), F.col("zone") if "zone" in centres.columns else zone)
         centres = centres.withColumns({"cx": x, "cy": y})
     used = {nm: c for nm, c in bands.items() if low <= nm <= high}
     named = {f"{nm:.0f}": c for nm, c in used.items()}
@@ -100,20 +105,43 @@ def agreement_stage(frame: DataFrame, fine: dict[float, str], coarse: dict[float
     return stats
 
 
+def shaped(frame: DataFrame, shapes: DataFrame | tuple[int, int]) -> DataFrame:
+    """``frame`` with its granules' ``n_rows, n_cols``, and ``row, col`` where it has only ``coarse_index``."""
+    if isinstance(shapes, DataFrame):
+        one = shapes.groupBy(*KEYS).agg(*(F.when(F.min(c) == F.max(c), F.max(c)).cast("long").alias(c) for c in ("n_rows", "n_cols")))
+        known = frame.drop("n_rows", "n_cols").join(one, KEYS, "left")
+        refused = F.raise_error(F.concat(F.lit("no shape, or more than one, of "), F.concat_ws("/", *KEYS)))
+        known = known.withColumns({c: F.coalesce(c, refused.cast("long")) for c in ("n_rows", "n_cols")})
+    else:
+        known = frame.withColumns({c: F.lit(n).cast("long") for c, n in zip(("n_rows", "n_cols"), shapes, strict=True)})
+    if "row" in frame.columns and "col" in frame.columns:
+        return known
+    at = unravel(F.col("coarse_index"), F.col("n_cols"))
+    return known.withColumns({"row": at[0], "col": at[1]})
+
+
 def compare_stage(
-    frame: DataFrame, n_rows: int, n_cols: int, *, filter_on: Sequence[str] = ("coarse_RRS560", "coarse_Rrs_560", "coarse_CHL", "coarse_chlor_a"), ratio: str = "green_blue", band: str = "560", floors: DataFrame | None = None,
+    frame: DataFrame, shapes: DataFrame | tuple[int, int], *, filter_on: Sequence[str] = ("coarse_RRS560", "coarse_Rrs_560", "coarse_CHL", "coarse_chlor_a"), ratio: str = "green_blue", band: str = "560", floors: DataFrame | None = None,
     ledger_path: str | None = None, boxes: BoxConfig = BoxConfig(), gates: GateConfig = GateConfig(),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Box table, summary and structure scores of every scene and sensor, from a frame with ``row, col``."""
+    """Box table, summary and structure scores of every scene and sensor, from a frame with ``row, col`` or ``coarse_index``.
+
+    ``shapes`` has ``scene, sensor, n_rows, n_cols``, a row for each granule (:func:`varigrid.sources.tables.coarse_shapes` reads
+    it from a ledger), or is one shape for all. Windows end at their own granule's edges, and a flat index is told apart
+    to row and column by its own granule's width. A granule of the frame without a shape is an error, as are two shapes of
+    one. ``floors`` has ``floor`` by ``scene``, and by ``sensor`` where it has that column.
+    """
     chosen = agreement.first_column(frame, filter_on)
-    table = windows2d.homogeneity_table(frame, "row", "col", n_rows, n_cols, filter_on=chosen, mean=f"{ratio}_mean", within=f"{ratio}_cv", band_mean=f"rrs_mean_{band}", band_std=f"rrs_std_{band}", config=boxes, keys=KEYS).withColumn("filter_on", F.lit(chosen))
+    frame = shaped(frame, shapes)
+    table = windows2d.homogeneity_table(frame, "row", "col", F.col("n_rows"), F.col("n_cols"), filter_on=chosen, mean=f"{ratio}_mean", within=f"{ratio}_cv", band_mean=f"rrs_mean_{band}", band_std=f"rrs_std_{band}", config=boxes, keys=KEYS).withColumn("filter_on", F.lit(chosen))
     summary = windows2d.box_summary(table, KEYS, boxes.cv_threshold)
     masked = frame.withColumn("_cv", F.when(F.col(f"{ratio}_mean").between(boxes.mean_low, boxes.mean_high), F.col(f"{ratio}_cv")))
     scores = windows2d.structure_score(masked, "row", "col", "_cv", KEYS, min_pairs=gates.min_adjacent_pairs)
     if ledger_path:
         rows = [ledger.structure_verdict(scores, KEYS, gates), ledger.answer_verdict(summary, KEYS)]
         if floors is not None:
-            rows.insert(1, ledger.noise_verdict(windows2d.noise_multiple(table, floors, ["scene"]), ["scene"], gates))
+            by = [k for k in KEYS if k in floors.columns]
+            rows.insert(1, ledger.noise_verdict(windows2d.noise_multiple(table, floors, by), by, gates))
         ledger.enforce(frame.sparkSession, ledger_path, rows)
     return table, summary, scores
 

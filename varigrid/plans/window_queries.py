@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from varigrid.config import BoxConfig
 from varigrid.functions.permutations import permuted_sql
 from varigrid.operators import windows2d
+from varigrid.plans import stages
 from varigrid.plans.pixel_queries import BOTH, FRAME, frame
 from varigrid.plans.registry import as_rrs, query, rounded
 from varigrid.sources.fixtures import COARSE
@@ -31,6 +32,24 @@ def sliding_box(t):
     return windows2d.sliding_box(t("fx_coarse"), "r", "c", "coarse_rrs560", N, N).select("anchor_row", "anchor_col", "n", *rounded(9, "valid_fraction"), *as_rrs(9, "mean", "max"))
 
 
+@query(
+    "SELECT sensor, anchor_row, anchor_col, CAST(count(f) AS BIGINT) AS n, round(avg(f) / pi(), 9) AS mean, round(max(f) / pi(), 9) AS max FROM w GROUP BY ALL",
+    BOTH,
+    """shaped AS (SELECT sensor, n_cols, (SELECT max(coarse_index) FROM fx_coarse) // n_cols + 1 AS n_rows FROM (VALUES ('narrow', 24), ('wide', 32)) v(sensor, n_cols)),
+ cells AS (SELECT sensor, n_rows, n_cols, coarse_index // n_cols AS r, coarse_index % n_cols AS c, coarse_rrs560 AS f FROM fx_coarse, shaped),
+ o AS (SELECT a.i AS dr, b.i AS dc FROM range(0, 5) a(i), range(0, 5) b(i)),
+ w AS (SELECT sensor, r - dr AS anchor_row, c - dc AS anchor_col, f FROM cells, o WHERE r - dr BETWEEN 0 AND n_rows - 5 AND c - dc BETWEEN 0 AND n_cols - 5)""",
+)
+def granule_windows(t):
+    """One flat field as the native grids of two sensors, 24 and 32 cells wide: windows end at their own granule's edges."""
+    sensor = F.explode(F.array(F.struct(F.lit("narrow").alias("sensor"), F.lit(24).alias("n_cols")), F.struct(F.lit("wide").alias("sensor"), F.lit(32).alias("n_cols")))).alias("s")
+    cells = t("fx_coarse").select(F.lit("s").alias("scene"), sensor, "coarse_index", "coarse_rrs560").select("scene", "s.*", "coarse_index", "coarse_rrs560")
+    shapes = cells.groupBy("scene", "sensor", "n_cols").agg((F.floor(F.max("coarse_index") / F.col("n_cols")) + 1).alias("n_rows"))
+    granules = stages.shaped(cells.drop("n_cols"), shapes)
+    out = windows2d.sliding_box(granules, "row", "col", "coarse_rrs560", F.col("n_rows"), F.col("n_cols"), keys=["scene", "sensor"])
+    return out.select("sensor", "anchor_row", "anchor_col", "n", *as_rrs(9, "mean", "max"))
+
+
 @query("SELECT anchor_row, anchor_col, round(fraction, 9) AS valid_fraction, round(cv, 8) AS cv FROM b", BOTH, f"{COARSE_CELLS}, {ANCHORS}, {trimmed('f', 'b')}")
 def box_cv(t):
     return windows2d.box_cv(t("fx_coarse"), "r", "c", "coarse_rrs560", N, N).select("anchor_row", "anchor_col", *rounded(9, "valid_fraction"), *rounded(8, "cv"))
