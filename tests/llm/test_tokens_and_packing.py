@@ -76,6 +76,22 @@ def test_files_round_trip(spark, docs, ids):
     assert order == sorted(order)
 
 
+@pytest.mark.parametrize("one", [None, 7])
+def test_rows_of_one_id_fill_several_files(spark, one):
+    """Rows that share an id, or have none, are dealt like others; starts run through all files and each text comes back."""
+    texts = [f"{'word ' * (k % 40)}{k % 9}" for k in range(900)]
+    frame = spark.createDataFrame([(one, t) for t in texts] + [(9, "the last")], "doc_id long, text string").repartition(3)
+    folder = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/files"
+    token_files.write_files(frame, PATH, 2, folder, file_ids=2000)
+    files = spark.read.parquet(f"{folder}/data").groupBy("part").count().collect()
+    assert len(files) > 4 and max(r["count"] for r in files) < 450
+    rows = sorted(token_files.read_files(spark, folder).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1]]
+    assert [r["doc_id"] for r in rows] == [one] * 900 + [9]
+    ids, sizes = tokens.with_end(*tokens.encoder(PATH)([*texts, "the last"]), 2)
+    assert sorted(bytes(r["ids"]) for r in rows) == sorted(x.astype("<u4").tobytes() for x in tokens.each(ids, sizes))
+
+
 def test_files_of_an_empty_table(spark):
     folder = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/files"
     token_files.write_files(spark.createDataFrame([], "doc_id long, text string"), PATH, 2, folder)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,6 +154,8 @@ class Code:
 def write_files(docs: DataFrame, path: str, end: int, folder: str, max_bits: int = MAX_BITS, file_ids: int = FILE_IDS) -> None:
     """Tokenize ``docs`` (``doc_id``, ``text``) and write the files and their code book under ``folder``.
 
+    A file is a range of ids and, among rows of one id, of their places in the stored table: however many rows share an id,
+    or have none, they fill several files. The ranges come from Spark's own sample of the keys, of a bounded size.
     Null texts are empty (one id, ``end``); rows that repeat a doc_id stay rows, in any order among
     themselves; null doc_ids come first; an empty table gives empty files; other columns are ignored.
     """
@@ -173,28 +176,22 @@ def write_files(docs: DataFrame, path: str, end: int, folder: str, max_bits: int
     bits = code_lengths(by_id, max_bits)
     spark.createDataFrame([(int(i), int(by_id[i]), int(bits[i])) for i in np.flatnonzero(bits)], "id int, n long, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
     files = max(1, -(-int(by_id.sum()) // file_ids))
-    cuts = np.array(sorted(set(rows.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.02 / files)))) if files > 1 else np.zeros(0)
+    ranked = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def encoded(batches):
-        code = Code(bits)
+        code, part, at = Code(bits), TaskContext.get().partitionId(), 0
         for batch in steps(batches, "ids", 2 << 20):
             sizes = batch.column("n_tokens").to_numpy()
             data = b"".join(batch.column("ids").to_pylist())
             ids = np.frombuffer(data, f"<u{len(data) // int(sizes.sum())}").astype(np.int64)
             payload, marks = code.encode(ids, sizes)
-            key = batch.column("doc_id")
-            part = np.searchsorted(cuts, pa.compute.fill_null(key, -(1 << 63)).to_numpy(), side="left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), key, batch.column("n_tokens"), pa.array(payload, pa.binary()), pa.array(marks, pa.binary())], ["part", "doc_id", "n_tokens", "payload", "checkpoints"])
-
-    def placed(batches):
-        at = 0
-        for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at + np.cumsum(n) - n)], [*batch.schema.names, "local_start"])
-            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(sizes), part, np.int32)), batch.column("doc_id"), batch.column("n_tokens"), pa.array(payload, pa.binary()), pa.array(marks, pa.binary()), pa.array(at + np.cumsum(sizes) - sizes)],
+                ["part", "doc_id", "n_tokens", "payload", "checkpoints", "local_start"],
+            )
+            at += int(sizes.sum())
 
-    parts = rows.mapInArrow(encoded, FILE).repartitionById(len(cuts) + 1, F.col("part"))
-    parts.sortWithinPartitions("doc_id").mapInArrow(placed, f"{FILE}, local_start long").write.option("compression", "none").parquet(f"{folder}/data")
+    ranked.drop("tie").mapInArrow(encoded, f"{FILE}, local_start long").write.option("compression", "none").parquet(f"{folder}/data")
     dropped(stored)
 
 
