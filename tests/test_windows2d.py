@@ -100,3 +100,26 @@ def test_permutation_is_a_bijection(spark, n):
         assert one != other and sum(i == p for i, p in enumerate(one)) < 12
         ranks = np.corrcoef(np.arange(n), one)[0, 1], np.corrcoef(one[:-1], one[1:])[0, 1]
         assert max(map(abs, ranks)) < 4 / np.sqrt(n)
+
+
+@pytest.mark.parametrize("wrap", [False, True])
+def test_extremes_line_by_line(spark, wrap):
+    """Sparse cells of two grids of different shapes over several tiles, missing values, against every window tried."""
+    rng = np.random.default_rng(5)
+    shapes, height, width = {"a": (70, 41), "b": (9, 100)}, 8, 6
+    grids = {k: np.where(rng.random(s) < 0.1, rng.normal(size=s), np.nan) for k, s in shapes.items()}
+    rows = [(k, int(r), int(c), float(g[r, c]), *shapes[k]) for k, g in grids.items() for r, c in np.argwhere(np.isfinite(g))] + [("a", 3, 3, float("nan"), 70, 41)] * bool(np.isnan(grids["a"][3, 3]))
+    frame = spark.createDataFrame(rows, "k string, r int, c int, v double, h int, w int")
+    out = windows2d.sliding_extremes(frame, "r", "c", "v", F.col("h"), F.col("w"), height, width, ["k"], wrap)
+    got = {(x["k"], x["anchor_row"], x["anchor_col"]): (x["n"], x["min"], x["max"]) for x in out.collect() if x["n"]}
+    want = {}
+    for k, g in grids.items():
+        around = np.concatenate([g, g[:, : width - 1]], axis=1) if wrap else g
+        for r in range(g.shape[0] - height + 1):
+            for c in range(around.shape[1] - width + 1):
+                part = around[r : r + height, c : c + width]
+                part = part[np.isfinite(part)]
+                if len(part):
+                    want[k, r, c] = (len(part), part.min(), part.max())
+    assert got == want
+    assert out._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].count("Exchange") == 1

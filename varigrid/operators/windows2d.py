@@ -36,19 +36,49 @@ def anchored(cells: DataFrame, row: str, col: str, height: int, width: int, n_ro
     """
     r, c = F.col(row).cast("long"), F.col(col).cast("long")
     n_rows, n_cols = extent(n_rows), extent(n_cols)
-    down, right = (F.sequence(F.lit(0), F.lit(k - 1)) for k in (height, width))
+    sent = _sent(cells, r, c, height, width, n_cols, keys, wrap, tile)
+    rows = _anchor_rows(sent, r, height, n_rows, tile)
+    return _anchor_cols(rows, c, width, n_cols, wrap, tile)
+
+
+def _sent(cells: DataFrame, r: Column, c: Column, height: int, width: int, n_cols: Column, keys: Sequence[str], wrap: bool, tile: int) -> DataFrame:
+    """Cells in the tiles that hold their windows' anchors: the one exchange."""
     # anchors of a cell are exploded to find the tiles that hold them: the distinct tile rows and columns
+    down, right = (F.sequence(F.lit(0), F.lit(k - 1)) for k in (height, width))
     tiles = lambda at, k, wraps: F.array_distinct(F.transform(k, lambda d: F.floor((F.pmod(at - d, n_cols) if wraps else at - d) / F.lit(tile)).cast("long")))
     sent = cells.withColumn("_tile_row", F.explode(tiles(r, down, False))).withColumn("_tile_col", F.explode(tiles(c, right, wrap)))
-    sent = sent.where(F.col("_tile_row") >= 0).repartition(*keys, "_tile_row", "_tile_col")
-    each = sent.withColumn("dr", F.explode(down)).withColumn("anchor_row", r - F.col("dr"))
-    each = each.where((F.col("anchor_row") >= 0) & (F.col("anchor_row") <= n_rows - height) & (F.floor(F.col("anchor_row") / F.lit(tile)) == F.col("_tile_row")))
+    return sent.where(F.col("_tile_row") >= 0).repartition(*keys, "_tile_row", "_tile_col")
+
+
+def _anchor_rows(sent: DataFrame, r: Column, height: int, n_rows: Column, tile: int) -> DataFrame:
+    each = sent.withColumn("dr", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("anchor_row", r - F.col("dr"))
+    return each.where((F.col("anchor_row") >= 0) & (F.col("anchor_row") <= n_rows - height) & (F.floor(F.col("anchor_row") / F.lit(tile)) == F.col("_tile_row")))
+
+
+def _anchor_cols(each: DataFrame, c: Column, width: int, n_cols: Column, wrap: bool, tile: int) -> DataFrame:
     at = c - F.col("dc")
-    each = each.withColumn("dc", F.explode(right)).withColumn("anchor_col", F.pmod(at, n_cols) if wrap else at)
+    each = each.withColumn("dc", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("anchor_col", F.pmod(at, n_cols) if wrap else at)
     inside = F.lit(True) if wrap else (F.col("anchor_col") >= 0) & (F.col("anchor_col") <= n_cols - width)
     return each.where(inside & (F.floor(F.col("anchor_col") / F.lit(tile)) == F.col("_tile_col")))
 
 
+def sliding_extremes(cells: DataFrame, row: str, col: str, value: str, n_rows: int | Column, n_cols: int | Column, height: int, width: int, keys: Sequence[str] = (), wrap: bool = False) -> DataFrame:
+    """``n, min, max`` of the finite values in every window with a cell: what can be taken line by line.
+
+    Values are first taken down each column of a tile, then along its rows of anchors, both behind the one exchange: a cell
+    is exploded ``height`` times and a column's result ``width`` times, not each cell to all places of its windows. Windows
+    lie fully inside the grid; with ``wrap`` columns go round, and ``width`` is at most their number.
+    """
+    keys = list(keys)
+    shaped = cells.select(*keys, F.col(row).cast("long").alias("_r"), F.col(col).cast("long").alias("_c"), finite(F.col(value)).alias("_v"), *_shape(n_rows, n_cols))
+    tall, wide = _shaped()
+    sent = _sent(shaped, F.col("_r"), F.col("_c"), height, width, wide, keys, wrap, TILE)
+    down = _anchor_rows(sent, F.col("_r"), height, tall, TILE).groupBy(*keys, "_tile_row", "_tile_col", "anchor_row", "_c", "_n_cols").agg(F.count("_v").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    each = _anchor_cols(down, F.col("_c"), width, wide, wrap, TILE)
+    return each.groupBy(*window_keys(keys)).agg(F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max")).select(*keys, "anchor_row", "anchor_col", "n", "min", "max")
+
+
+
 def _shape(n_rows: int | Column, n_cols: int | Column) -> tuple[Column, Column]:
     return extent(n_rows).alias("_n_rows"), extent(n_cols).alias("_n_cols")
 

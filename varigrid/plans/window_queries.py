@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varigrid.config import BoxConfig
+from varigrid.functions.geo import METRES_PER_DEGREE
 from varigrid.functions.permutations import permuted_sql
-from varigrid.operators import windows2d
+from varigrid.operators import ledger, spectral, windows2d
 from varigrid.plans import stages
 from varigrid.plans.pixel_queries import BOTH, FRAME, frame
 from varigrid.plans.registry import as_rrs, query, rounded
@@ -50,6 +51,16 @@ def granule_windows(t):
     return out.select("sensor", "anchor_row", "anchor_col", "n", *as_rrs(9, "mean", "max"))
 
 
+@query(
+    f"SELECT r - dr AS anchor_row, c - dc AS anchor_col, CAST(count(coarse_rrs560) AS BIGINT) AS n, round(min(coarse_rrs560) / pi(), 9) AS min, round(max(coarse_rrs560) / pi(), 9) AS max FROM fx_coarse, o WHERE r - dr BETWEEN 0 AND {N - 7} AND c - dc BETWEEN 0 AND {N - 9} GROUP BY ALL",
+    BOTH,
+    "o AS (SELECT a.i AS dr, b.i AS dc FROM range(0, 7) a(i), range(0, 9) b(i))",
+)
+def sliding_extremes(t):
+    out = windows2d.sliding_extremes(t("fx_coarse"), "r", "c", "coarse_rrs560", N, N, 7, 9)
+    return out.select("anchor_row", "anchor_col", "n", *as_rrs(9, "min", "max"))
+
+
 @query("SELECT anchor_row, anchor_col, round(fraction, 9) AS valid_fraction, round(cv, 8) AS cv FROM b", BOTH, f"{COARSE_CELLS}, {ANCHORS}, {trimmed('f', 'b')}")
 def box_cv(t):
     return windows2d.box_cv(t("fx_coarse"), "r", "c", "coarse_rrs560", N, N).select("anchor_row", "anchor_col", *rounded(9, "valid_fraction"), *rounded(8, "cv"))
@@ -119,3 +130,27 @@ def structure_neighbours(t):
 )
 def structure_score(t):
     return windows2d.structure_score(t("fx_coarse"), "r", "c", "coarse_rrs560").select("n_adjacent_pairs", *rounded(9, "neighbour_difference", "shuffled_difference", "ratio"), "assessable")
+
+
+@query(
+    f"""SELECT 'V1' AS tag, CASE WHEN max(greatest(-least(w, s, e, n), 0)) < 1 THEN 'PASS' ELSE 'FAIL' END AS verdict
+ FROM (SELECT 0.0003 * k * cos(radians(lat - 0.0003)) AS w, 0.0001 * k AS s, 0.0007 * k * cos(radians(lat - 0.0003)) AS e, -0.0005 * k AS n FROM fx_scenes, (SELECT {METRES_PER_DEGREE} / 30 AS k))
+ UNION ALL SELECT 'V3', CASE WHEN n < 50 OR coalesce(other, 0) = 0 THEN 'NOT ASSESSABLE' WHEN own / other <= 0.75 THEN 'PASS' ELSE 'MIXED' END
+ FROM (SELECT count(*) AS n, median(abs(a.v - b.v)) AS own FROM field a JOIN field b ON a.r = b.r AND a.c = b.c + 1), (SELECT median(abs(a.v - b.v)) AS other FROM dealt a JOIN dealt b ON a.r = b.r AND a.c = b.c + 1)
+ UNION ALL SELECT 'V4', CASE WHEN min(m) >= 1.5 THEN 'PASS' ELSE 'FAIL' END FROM (SELECT median(centre_within_pixel_cv) / 0.05 AS m FROM boxes GROUP BY anchor_col % 2)
+ UNION ALL SELECT 'V5', 'ANSWERED' FROM (SELECT count(*) FROM boxes)""",
+    (*BOTH, "fx_scenes"),
+    f"{TABLE},\nfield AS (SELECT r, c, coarse_rrs560 AS v, row_number() OVER (ORDER BY r, c) - 1 AS i, count(*) OVER () AS n FROM fx_coarse),\n" + permuted_sql("field", "i", "i", "n") + ",\ndealt AS (SELECT p.r, p.c, o.v FROM field o JOIN walked USING (i) JOIN field p ON p.i = place)",
+    recursive=True,
+)
+def compare_verdicts(t):
+    """Verdicts of the gates over grids, boxes and structure, by tag."""
+    scenes = t("fx_scenes")
+    feet = scenes.select("scene_id", *((F.col(c) + d).alias(n) for n, c, d in (("west", "lon", -0.15), ("south", "lat", -0.1), ("east", "lon", 0.15), ("north", "lat", 0.1))))
+    corner = F.explode(F.array(*(F.struct((F.col("lon") + a).alias("lon"), (F.col("lat") + b).alias("lat")) for a in (-0.1503, 0.1507) for b in (-0.1001, 0.0995)))).alias("p")
+    margins = spectral.bbox_margin(scenes.select("scene_id", corner).select("scene_id", "p.*"), feet, ["scene_id"])
+    halves = boxes(t).withColumn("scene", F.pmod(F.col("anchor_col"), F.lit(2).cast("long")))
+    floors = scenes.sparkSession.createDataFrame([(0, 0.05), (1, 0.05)], "scene long, floor double")
+    scores = windows2d.structure_score(t("fx_coarse").withColumn("scene", F.lit("s")), "r", "c", "coarse_rrs560", ["scene"])
+    rows = [ledger.grid_gate(margins), ledger.structure_verdict(scores, ["scene"]), ledger.noise_verdict(windows2d.noise_multiple(halves, floors, ["scene"]), ["scene"]), ledger.answer_verdict(windows2d.box_summary(halves, ["scene"]), ["scene"])]
+    return scenes.sparkSession.createDataFrame([(r["hypothesis"].split(" ")[0], r["verdict"]) for r in rows], "tag string, verdict string")
