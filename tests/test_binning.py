@@ -37,6 +37,23 @@ def test_median_spacing(spark):
     assert binning.median_spacing(frame, reach=0.5).first()["n_alone"] == int((d.min(1) > 0.5).sum())
 
 
+def test_spacings_compute_their_centres_once(spark):
+    """A centre may come from thousands of samples: these are read once, not by each step."""
+    samples = spark.range(3000)
+    for of in (lambda c: binning.median_spacing(c, reach=2.0), lambda c: binning.granule_spacing(c, ["k"])):
+        read = spark.sparkContext.accumulator(0)
+
+        def counted(batches, read=read):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        one = samples.mapInArrow(counted, "id long")
+        centres = one.groupBy(F.pmod("id", F.lit(300)).alias("i")).agg(F.lit(1).alias("k")).select("k", F.pmod("i", F.lit(20)).cast("double").alias("x"), F.floor(F.col("i") / 20).cast("double").alias("y"))
+        assert of(centres).first()["spacing"] == 1.0
+        assert read.value == 3000
+
+
 def test_moments_ignore_what_is_not_finite(spark):
     frame = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", float("inf")), ("a", 3.0), ("b", None), ("c", 2.0), ("d", 0.0)], "k string, v double")
     rows = {r["k"]: (r["n"], r["mean"], r["std"]) for r in binning.bin_moments(frame, ["k"], "v").collect()}

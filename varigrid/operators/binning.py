@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from varigrid.functions.nulls import finite, ratio
 from varigrid.operators import nearest, quantiles
+from varigrid.sources.fixtures import scratch
 
 
 def nearest_join(points: DataFrame, centres: DataFrame, spacing: float | Column, *, x: str = "x", y: str = "y", cx: str = "cx", cy: str = "cy", index: str = "coarse_index", keys: Sequence[str] = ()) -> DataFrame:
@@ -44,17 +45,25 @@ def median_spacing(centres: DataFrame, *, x: str = "x", y: str = "y", reach: flo
     distance 0.
     """
     keys = list(keys)
-    near = nearest_others(centres, x=x, y=y, keys=keys)
+    near = _stored(nearest_others(centres, x=x, y=y, keys=keys), "near")  # read for both columns
     alone = near.groupBy(*keys).agg(F.sum(F.when(F.col("d") <= reach, 0).otherwise(F.col("n"))).alias("n_alone"))
     spacing = quantiles.weighted(near.where(F.col("d") <= reach), keys, "d", "n", {"spacing": 0.5}).drop("n")
     both = alone.join(spacing, keys, "left") if keys else alone.join(F.broadcast(spacing), F.lit(True), "left")  # one row each
     return both.select(*keys, "spacing", "n_alone")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what it comes from is not computed by each step that reads it."""
+    path = f"{scratch(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def nearest_others(centres: DataFrame, *, x: str, y: str, keys: Sequence[str]) -> DataFrame:
     """``keys, d, n``: the distance from a place to the nearest other centre (0 if it has several, null if its key has but one),
-    and its number of centres. Cells follow the centres' density (:mod:`varigrid.operators.nearest`)."""
-    places = centres.groupBy(*keys, F.col(x).alias("px"), F.col(y).alias("py")).agg(F.count(F.lit(1)).alias("n"))
+    and its number of centres. Cells follow the centres' density (:mod:`varigrid.operators.nearest`). The centres, which may
+    come from many more samples, are computed once."""
+    places = _stored(centres.groupBy(*keys, F.col(x).alias("px"), F.col(y).alias("py")).agg(F.count(F.lit(1)).alias("n")), "places")
     own = nearest.flat(places, "px", "py", keys)
     met = nearest.nearest(own, own, nearest.PLANE, keys)
     others = F.filter("_items", lambda o: (o["px"] != F.col("px")) | (o["py"] != F.col("py")))
