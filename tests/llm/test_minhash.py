@@ -98,3 +98,50 @@ def test_signatures_estimate_probability_jaccard():
     assert abs(np.mean(error)) < 0.01 and np.max(np.abs(error)) < 0.2
     alone = minhash.signatures(sets[7:8])
     assert (alone[0] == signed[7]).all()  # a batch's other texts don't matter
+
+
+def test_pairs_in_doubt_are_told_without_comparing_each(monkeypatch):
+    """Near copies of a text that are not near copies of each other: a bound rules out those of sets, most others, and none that links."""
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        for at in draw.sample(range(150), 1 + k % 4):
+            copy[at] = f"own{k}at{at}"
+        texts.append(" ".join(copy if k % 9 else copy + copy[:40]))  # some with repeated shingles
+    sets = [(h, w) for h, w, _ in shingle_sets([*texts, "one two", "three four five six seven eight"])]
+    i, j = np.triu_indices(len(sets), 1)
+    exact = np.array([minhash.probability_jaccard(sets[a], sets[b]) for a, b in zip(i, j, strict=True)])
+    plain = np.array([(w == 1).all() for _, w in sets])
+    for least in (0.8, *exact[exact > 0][:20]):  # limits that some pairs meet exactly
+        out, below = minhash.ruled_out(sets, i, j, least), exact < least - 1e-9
+        assert not (out & ~below).any() and (out | ~below | ~(plain[i] & plain[j])).all()
+    odd = [(np.array(sorted(draw.sample(range(40), n)), np.uint64), np.array([draw.choice([1, 1, 2, 7, 300]) for _ in range(n)], np.uint32)) for n in range(3, 40)]
+    i2, j2 = np.triu_indices(len(odd), 1)
+    exact = np.array([minhash.probability_jaccard(odd[a], odd[b]) for a, b in zip(i2, j2, strict=True)])
+    for least in (0.05, 0.2, 0.5, 0.8):
+        out = minhash.ruled_out(odd, i2, j2, least)
+        assert (exact[out] < least).all() and (out.any() or not (exact < 0.9 * least).any())
+    monkeypatch.setattr(minhash, "SHINGLES", 10)
+    assert not minhash.ruled_out(sets, i, j, 0.8).any()
+
+
+def test_likely_pairs_equal_all_pairs():
+    draw = np.random.default_rng(2)
+    n, m, rows = 150, minhash.REGISTERS, minhash.ROWS
+    signed = np.where(draw.random((n, m)) < 0.15, draw.integers(1, 9, (n, m)), 0).astype("<u2")
+    signed[:, :rows] = 0
+    root, halves = draw.integers(0, 60, n), np.where(draw.random(n) < 0.5, -1, 3)
+    for block in (np.full(n, 2), halves):
+        for band in (0, 1):
+            want = set()
+            for a in range(n):
+                for b in range(a + 1, n):
+                    same = signed[a] == signed[b]
+                    first = same.reshape(-1, rows).all(1).argmax()
+                    if same.mean() >= minhash.LIKELY and root[a] != root[b] and first == band and (block[a] != block[b] or block is not halves):
+                        want.add((a, b))
+            got = list(zip(*(x.tolist() for x in minhash.likely(signed, root, band, block)), strict=True))
+            assert len(set(got)) == len(got) and {(min(x), max(x)) for x in got} == want
+            assert band or want

@@ -20,6 +20,8 @@ LIKELY = 0.6
 SALTED = 1024
 #: Members of a bucket that one task compares; a larger bucket is dealt in blocks, and each pair of blocks is a task's.
 BLOCK = 256
+#: Bytes of a task's shingles up to which its pairs are bounded all at once; in larger ones they are compared one by one.
+SHINGLES = 32 << 20
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray, bytes]], registers: int = REGISTERS) -> np.ndarray:
@@ -85,24 +87,54 @@ def likely(signature: np.ndarray, root: np.ndarray, band: int, block: np.ndarray
 
     Members of two blocks meet only across the blocks; a block alone meets itself.
     """
-    n, m = signature.shape
+    m = signature.shape[1]
     across = block.min() != block.max()
-    ahead, behind = [], []
-    for a in range(0, n, 64):
-        same = signature[a : a + 64, None, :] == signature[None, :, :]
-        ok = same.mean(2) >= LIKELY
-        ok &= root[a : a + 64, None] != root
-        ok &= np.arange(a, min(n, a + 64))[:, None] < np.arange(n)
-        if across:
-            ok &= block[a : a + 64, None] != block
+    rest = np.flatnonzero(block == block.max()) if across else np.arange(len(block))
+    own = np.flatnonzero(block == block.min()) if across else rest
+    ahead, behind = [none := np.zeros(0, np.int64)], [none]
+    for a in range(0, len(own), 64):
+        one, other = own[a : a + 64], rest if across else rest[a:]
+        same = signature[one, None, :] == signature[None, other, :]
+        ok = np.count_nonzero(same, 2) >= LIKELY * m
+        ok &= root[one, None] != root[other]
+        if not across:
+            ok &= one[:, None] < other
         i, j = np.nonzero(ok)
         if len(i):
             shared = same[i, j].reshape(len(i), m // rows, rows).all(2)
             mine = shared.argmax(1) == band
-            ahead.append(i[mine] + a)
-            behind.append(j[mine])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(ahead or [none]), np.concatenate(behind or [none])
+            ahead.append(one[i[mine]])
+            behind.append(other[j[mine]])
+    return np.concatenate(ahead), np.concatenate(behind)
+
+
+def ruled_out(sets: list[tuple[np.ndarray, np.ndarray]], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of places surely have a similarity below ``least``, from one product of matrices for all pairs.
+
+    Of weights that sum to X and Y, let P and Q be those of the shared shingles. The probability Jaccard is at most
+    1 / (X / P + Y / Q - 1): with r the ratio of an element's weights x and y, its term is x / D(r), and D(r) is at least
+    X + rY - min(P, rQ); that is concave in 1 / r, so by Jensen's inequality all terms together are at most those of one
+    ratio P / Q. Equal where shared weights have one ratio, as in sets. Rounding is far below 1e-9. No pair is ruled out
+    where the shingles take more than ``SHINGLES`` bytes, or where pairs are fewer than sets.
+    """
+    sizes = np.array([len(h) for h, _ in sets])
+    if len(i) < len(sets) or 8 * sizes.sum() > SHINGLES:
+        return np.zeros(len(i), bool)
+    _, number, often = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(often[number] > 1)  # a shingle of one member is shared by no pair
+    column, row = (np.cumsum(often > 1) - 1)[number[kept]], np.repeat(np.arange(len(sets)), sizes)[kept]
+    weight = np.concatenate([w for _, w in sets]).astype(np.float64)[kept]
+    order = np.argsort(column, kind="stable")
+    column, row, weight = column[order], row[order], weight[order]
+    shared = np.zeros((len(sets), len(sets)))  # of the row's weights, those of shingles that the column's set holds too
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        part = slice(*np.searchsorted(column, (a, a + 2048)))
+        counts = np.zeros((len(sets), 2048))
+        counts[row[part], column[part] - a] = weight[part]
+        shared += counts @ (counts > 0).T.astype(np.float64)
+    total = np.array([w.sum() for _, w in sets], np.float64)
+    with np.errstate(divide="ignore"):
+        return 1 / (total[i] / shared[i, j] + total[j] / shared[j, i] - 1) < least - 1e-9
 
 
 def of_band(members: DataFrame, facts: DataFrame, large: int = SALTED) -> DataFrame:
@@ -127,7 +159,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     not a square, and it joins the groups of copies. In buckets that still hold several groups, blocks of the
     members outside the largest group meet each other and blocks of the largest group, which does not meet
     itself, each pair in the first band it shares: first by signatures, then those that look similar by their
-    shingles, and only links that join groups leave a task. Links have a probability Jaccard of counted
+    shingles (a bound for all pairs at once rules out most), and only links that join groups leave a task. Links have a probability Jaccard of counted
     five-word shingles of at least ``similarity``, computed exactly. No bucket is cut.
 
     Null and empty texts, and texts without words, link with nothing and are kept. Rows without an id are documents
@@ -231,8 +263,10 @@ def _grouped(docs: DataFrame, similarity: float, block: int) -> tuple[DataFrame,
                 return x
 
             sets = [unpacked(a, b) for a, b in zip(h, w, strict=True)]
+            ahead, behind = alike(i, root, part, signed)
+            left = ~ruled_out(sets, ahead, behind, similarity) if len(ahead) else slice(0)
             out = []
-            for a, b in zip(*alike(i, root, part, signed), strict=True):
+            for a, b in zip(ahead[left].tolist(), behind[left].tolist(), strict=True):
                 x, y = find(root[a]), find(root[b])
                 if x != y and probability_jaccard(sets[a], sets[b]) >= similarity:
                     joined[max(x, y)] = min(x, y)
